@@ -52,7 +52,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text (one text at least), which bounds a task's memory."""
     off, _ = buffers(batch.column(column))
     at = 0
