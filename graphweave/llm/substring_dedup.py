@@ -26,8 +26,8 @@ from graphweave.llm.common import documents, materialise
 
 WINDOW = 20
 #: Windows in a group: about 100 MB of arrays in the task.
-GROUP_WINDOWS = 1_500_000
-RUNS = "group int, doc_id long, seq long, gram binary, first binary, length binary, path binary, kind int"
+GROUP_WINDOWS = 3_000_000
+RUNS = "group int, doc_id binary, seq binary, runs binary, gram binary, first binary, length binary, path binary, kind int"
 MARKS = "doc_id long, seq long, starts binary"
 
 
@@ -51,6 +51,22 @@ def windows(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
     return text[at], at - begin[text[at]], low[at], path[at], counts
 
 
+def ranks(ids: np.ndarray, seqs: np.ndarray) -> np.ndarray:
+    """The place of each document in the order of ids and seqs; equal ones share a place."""
+    order = np.lexsort((seqs, ids))
+    out = np.empty(len(ids), np.int64)
+    a, b = ids[order], seqs[order]
+    out[order] = np.cumsum(np.append(0, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(ids) else []
+    return out
+
+
+def repeated(g: np.ndarray, p: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of sorted windows, those that equal one of another place before them."""
+    new = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+    return (rank != rank[first]) | (start != start[first])
+
+
 def later(text: np.ndarray, start: np.ndarray, gram: np.ndarray, path: np.ndarray, ids: np.ndarray, seqs: np.ndarray) -> np.ndarray:
     """Which windows equal one of this batch that starts earlier."""
     key = gram ^ (path.astype(np.uint64) * H.U(0x9E3779B97F4A7C15))
@@ -59,11 +75,10 @@ def later(text: np.ndarray, start: np.ndarray, gram: np.ndarray, path: np.ndarra
     out = np.zeros(len(key), bool)
     if len(twice):
         at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.lexsort((seqs, ids))] = np.arange(len(ids))
-        order = at[np.lexsort((start[at], rank[text[at]], path[at], gram[at]))]
-        g, p = gram[order], path[order]
-        out[order[1:]] = (g[1:] == g[:-1]) & (p[1:] == p[:-1])
+        rank = ranks(ids, seqs)[text[at]]
+        order = np.lexsort((start[at], rank, path[at], gram[at]))
+        rank, order = rank[order], at[order]
+        out[order] = repeated(gram[order], path[order], rank, start[order])
     return out
 
 
@@ -78,8 +93,11 @@ def runs_of(size: int, groups: int):  # noqa: ANN201
                     continue
                 again = later(text, start, gram, path, ids, seqs)
                 rows: list[tuple] = []
-                for t, starts in split(text[again], start[again]):
-                    rows.append((t % groups, ids[t], seqs[t], b"", starts.astype(np.uint32).tobytes(), b"", b"", 1))
+                if again.any():
+                    t, at = text[again], start[again]
+                    cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                    n = np.diff(np.append(cut, len(t))).astype(np.uint32)
+                    rows.append((int(gram[0] % H.U(groups)), ids[t[cut]].tobytes(), seqs[t[cut]].tobytes(), n.tobytes(), b"", at.astype(np.uint32).tobytes(), b"", b"", 1))
                 left = np.flatnonzero(~again)
                 text, start, gram, path = text[left], start[left], gram[left], path[left]
                 # runs: consecutive starts of one text with the same gram
@@ -97,19 +115,23 @@ def runs_of(size: int, groups: int):  # noqa: ANN201
                 path, ends = path[expand], np.append(0, np.cumsum(length))
                 owner, gram, start = text[head], gram[head], start[head].astype(np.uint32)
                 short = length.astype(np.uint8)
-                cut = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1]))) if len(head) else []
+                cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(head) else []
                 for a, b in zip(cut, np.append(cut[1:], len(head)), strict=True) if len(head) else []:
+                    own = owner[a:b]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                     rows.append((
-                        int(group[a]), ids[owner[a]], seqs[owner[a]], gram[a:b].tobytes(), start[a:b].tobytes(),
-                        short[a:b].tobytes(), path[ends[a] : ends[b]].tobytes(), 0,
+                        int(group[a]), ids[own[first]].tobytes(), seqs[own[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(),
+                        gram[a:b].tobytes(), start[a:b].tobytes(), short[a:b].tobytes(), path[ends[a] : ends[b]].tobytes(), 0,
                     ))
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN_TYPES, strict=True)], names=RUN_NAMES)
 
     return run
 
 
-RUN_NAMES = ["group", "doc_id", "seq", "gram", "first", "length", "path", "kind"]
-RUN_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+RUN_NAMES = ["group", "doc_id", "seq", "runs", "gram", "first", "length", "path", "kind"]
+RUN_TYPES = [pa.int32(), *[pa.binary()] * 7, pa.int32()]
 
 
 def split(text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -123,30 +145,33 @@ def split(text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 def repeats(table: pa.Table) -> pa.Table:
     """Of one group: for each document the starts of windows that an earlier one equals."""
-    kind = np.asarray(table.column("kind"))
-    ids, seqs = np.asarray(table.column("doc_id")), np.asarray(table.column("seq"))
+    kind, out = np.asarray(table.column("kind")), []
     column = lambda name, dtype, rows: np.frombuffer(b"".join(table.column(name).take(pa.array(rows)).to_pylist()), dtype)
     done, open_ = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-    out = [(ids[i], seqs[i], table.column("first")[int(i)].as_py()) for i in done]
+    if len(done):
+        ids, seqs, n = column("doc_id", np.int64, done), column("seq", np.int64, done), column("runs", np.uint32, done)
+        starts, ends = column("first", np.uint32, done), np.append(0, np.cumsum(n.astype(np.int64)))
+        out += [(i, q, starts[a:b].tobytes()) for i, q, a, b in zip(ids, seqs, ends[:-1], ends[1:], strict=True)]
     if len(open_):
+        ids, seqs, runs = column("doc_id", np.int64, open_), column("seq", np.int64, open_), column("runs", np.uint32, open_)
         gram, first = column("gram", np.uint64, open_), column("first", np.uint32, open_)
         length, path = column("length", np.uint8, open_).astype(np.int64), column("path", np.uint32, open_)
-        sizes = np.array([len(x) // 8 for x in table.column("gram").take(pa.array(open_)).to_pylist()])
-        row = np.repeat(open_, sizes)
+        row = np.repeat(np.arange(len(ids)), runs)
         ends = np.cumsum(length)
         # a gram met once has no repeat
-        _, back, times = np.unique(gram, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero((times[back] > 1))
-        n = length[keep]
-        expand = np.repeat(ends[keep] - n - np.cumsum(n) + n, n) + np.arange(n.sum())
-        r, g, p = np.repeat(row[keep], n), np.repeat(back[keep], n), path[expand]
-        start = np.repeat(first[keep].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rank = np.empty(table.num_rows, np.int64)
-        rank[np.lexsort((seqs, ids))] = np.arange(table.num_rows)
-        order = np.lexsort((start, rank[r], p, g))
-        g, p = g[order], p[order]
-        again = order[1:][(g[1:] == g[:-1]) & (p[1:] == p[:-1])]
-        out += [(ids[t], seqs[t], s.astype(np.uint32).tobytes()) for t, s in split(r[again], start[again])]
+        ordered = np.sort(gram)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice):
+            back = np.minimum(np.searchsorted(twice, gram), len(twice) - 1)
+            keep = np.flatnonzero(twice[back] == gram)
+            n = length[keep]
+            expand = np.repeat(ends[keep] - np.cumsum(n), n) + np.arange(n.sum())
+            r, g, p = np.repeat(row[keep], n), np.repeat(back[keep], n), path[expand]
+            start = np.repeat(first[keep].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rank = ranks(ids, seqs)[r]
+            order = np.lexsort((start, rank, p, g))
+            again = order[repeated(g[order], p[order], rank[order], start[order])]
+            out += [(ids[t], seqs[t], s.astype(np.uint32).tobytes()) for t, s in split(r[again], start[again])]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, MARK_TYPES, strict=True)], names=["doc_id", "seq", "starts"])
 
 
