@@ -5,7 +5,9 @@
    n - ceil(t n) + L(n). Nodes whose own prefix shares fewer grams than any partner would need are out;
    prefix grams travel as packed arrays, and grams that repeat within a batch are settled there, so that the
    most frequent gram costs one entry per batch.
-3. What is left falls into groups connected by shared prefix grams. A group is joined by a trie: its sets in
+3. What is left falls into groups connected by shared prefix grams. Where linked nodes share k at least, each
+   node first leaves out its (k - 1) // 2 most frequent, such as those of passages that many texts share;
+   one common gram is left to any linked pair. A group is joined by a trie: its sets in
    the group's own order (rarest gram first), traversed depth first with one array of partial overlaps that
    sets with a common path share, and left where the remaining length can't reach the needed overlap.
    Groups too large for a task are cut into bands, and each pair of bands is joined by a task of its own.
@@ -28,9 +30,9 @@ N = 5
 #: The threshold as a fraction: a link has DEN * intersection >= NUM * union.
 NUM, DEN = 4, 5
 #: Prefix entries in a packed group, and set entries in one band of a trie group.
-GROUP_ENTRIES, BAND_ENTRIES = 1_500_000, 4_000_000
+GROUP_ENTRIES, BAND_ENTRIES = 1_500_000, 1_000_000
 SETS = "doc_id long, n_shingles long, node long, prefix binary"
-PACKED = "part int, nodes binary, counts binary, grams binary, done int"
+PACKED = "part int, nodes binary, counts binary, grams binary, often binary, done int"
 
 
 def sets_of(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -59,8 +61,8 @@ def least(n: int) -> int:
 
 
 def level(n: int) -> int:
-    """How many shared prefix grams a set of n looks for."""
-    return max(1, n // 10)
+    """How many shared prefix grams a set of n looks for; never fewer for a larger set."""
+    return max(1, min(n // 4, 62), n // 10)
 
 
 def needed(n: int) -> int:
@@ -96,25 +98,30 @@ def set_rows(n: int):  # noqa: ANN201
     return run
 
 
-def pack(node: np.ndarray, gram: np.ndarray, part: np.ndarray, done: int) -> Iterator[tuple]:
-    """One row per part: its nodes, how many grams each has, and those grams."""
+def pack(node: np.ndarray, gram: np.ndarray, part: np.ndarray, done: int, often: np.ndarray | None = None) -> Iterator[tuple]:
+    """One row per part: its nodes, how many grams each has, those grams, and how often each was met."""
     order = np.lexsort((gram, node, part))
     node, gram, part = node[order], gram[order], part[order]
+    often = None if often is None else often[order].astype(np.uint32)
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True) if len(part) else []:
         head = np.flatnonzero(np.append(True, node[a + 1 : b] != node[a : b - 1]))
         counts = np.diff(np.append(head, b - a)).astype(np.uint32)
-        yield int(part[a]), node[a:b][head].tobytes(), counts.tobytes(), gram[a:b].tobytes(), done
+        yield int(part[a]), node[a:b][head].tobytes(), counts.tobytes(), gram[a:b].tobytes(), b"" if often is None else often[a:b].tobytes(), done
 
 
-def unpack(nodes: list[bytes], counts: list[bytes], grams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    node, count = np.frombuffer(b"".join(nodes), np.int64), np.frombuffer(b"".join(counts), np.uint32)
-    return np.repeat(node, count), np.frombuffer(b"".join(grams), np.uint64)
+def unpack(table: pa.Table, done: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, gram and how often it was met, of a packed table's rows of that kind."""
+    rows = pa.array(np.flatnonzero(np.asarray(table.column("done")) == done))
+    get = lambda c, dtype: np.frombuffer(b"".join(table.column(c).take(rows).to_pylist()), dtype)
+    node, gram = np.repeat(get("nodes", np.int64), get("counts", np.uint32)), get("grams", np.uint64)
+    often = get("often", np.uint32)
+    return node, gram, often if len(often) else np.ones(len(gram), np.uint32)
 
 
-def met(node: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by gram and node, each once: node, the least node with the same gram, and whether another
-    node has it."""
+def met(node: np.ndarray, gram: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted by gram and node, each once: node, the least node with the same gram, gram, how many nodes
+    have it, and what the first of equal rows had as often."""
     order = np.lexsort((node, gram))
     node, gram = node[order], gram[order]
     once = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])) if len(gram) else np.zeros(0, bool)
@@ -122,72 +129,79 @@ def met(node: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     first = np.append(True, gram[1:] != gram[:-1]) if len(gram) else np.zeros(0, bool)
     head = np.flatnonzero(first)
     size = np.diff(np.append(head, len(gram)))
-    return np.stack([node, np.repeat(node[head], size)]), gram, np.repeat(size > 1, size)
+    return node, np.repeat(node[head], size), gram, np.repeat(size, size), None if often is None else often[order][once]
 
 
-PACKED_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+PACKED_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
 
 
 def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_TYPES, strict=True)], names=["part", "nodes", "counts", "grams", "done"])
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_TYPES, strict=True)], names=["part", "nodes", "counts", "grams", "often", "done"])
 
 
 def dealt(parts: int):  # noqa: ANN201
-    """Prefixes to packed parts by gram. Within a batch, all but the least node of a gram are done: they
-    are known to share it; the least goes on, marked (done 2) if it is known to share it too."""
+    """Prefixes to packed parts by gram. Within a batch, all but the least node of a gram are done (1): they
+    are known to share it and go to parts by node; the least goes on, marked (2) if it shares it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, at = np.unique(np.asarray(batch.column("node")), return_index=True)
             blobs = batch.column("prefix").take(pa.array(at)).to_pylist()
             node, gram = np.repeat(names, [len(x) // 8 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint64)
-            (node, head), gram, shared = met(node, gram)
+            node, head, gram, size, _ = met(node, gram)
             part = (gram % H.U(parts)).astype(np.int64)
-            rows = []
-            for done, which in ((0, ~shared), (1, shared & (node != head)), (2, shared & (node == head))):
-                rows += pack(node[which], gram[which], part[which], done)
-            yield packed_batch(rows)
+            alone, rest, least_ = size == 1, node != head, (size > 1) & (node == head)
+            yield packed_batch([
+                *pack(node[alone], gram[alone], part[alone], 0),
+                *pack(node[rest], gram[rest], node[rest] % parts, 1, size[rest]),
+                *pack(node[least_], gram[least_], part[least_], 2, size[least_]),
+            ])
 
     return run
 
 
 def sharing(table: pa.Table) -> pa.Table:
-    """Of one part: each node with the grams it shares."""
-    done = np.asarray(table.column("done"))
-    get = lambda which: unpack(*(table.column(c).take(pa.array(np.flatnonzero(which))).to_pylist() for c in ("nodes", "counts", "grams")))
-    known = get(done == 1)
-    node, gram = get(done != 1)
-    (n2, _), g2, shared = met(node, gram)
-    # a gram known to be shared within one batch, though it came only once here
-    sure = np.unique(get(done == 2)[1])
-    shared |= np.isin(g2, sure)
-    node, gram = np.concatenate([known[0], n2[shared]]), np.concatenate([known[1], g2[shared]])
-    key = np.lexsort((gram, node))
-    node, gram = node[key], gram[key]
-    keep = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])) if len(gram) else np.zeros(0, bool)
-    node, gram = node[keep], gram[keep]
+    """Of one part: each node with the grams it shares, and how often each was met."""
+    known, alone, more = (unpack(table, k) for k in (1, 0, 2))
+    # rows marked 2 first, so that they stand for a node's gram
+    node, gram, often = (np.concatenate([x, y]) for x, y in zip(more, alone, strict=True))
+    node, _, gram, size, often = met(node, gram, often)
+    shared = (size > 1) | (often > 1)
+    node = np.concatenate([known[0], node[shared]])
+    gram = np.concatenate([known[1], gram[shared]])
+    often = np.concatenate([known[2], (size * often)[shared]])
+    order = np.lexsort((gram, node))
+    node, gram, often = node[order], gram[order], often[order]
     head = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
     ends = np.append(head[1:], len(node))
     return pa.table({
         "node": pa.array(node[head], pa.int64()),
         "n": pa.array((ends - head), pa.int64()),
         "grams": pa.array([gram[a:b].tobytes() for a, b in zip(head, ends, strict=True)], pa.binary()),
+        "often": pa.array([often[a:b].astype(np.uint32).tobytes() for a, b in zip(head, ends, strict=True)], pa.binary()),
     })
 
 
 def joining(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Shared grams of the nodes left, to packed parts: as dealt, but the done rows carry edges."""
+    """Shared grams of the nodes left, without each node's most frequent, to packed parts; edges to the
+    least node of the batch are done."""
     for batch in batches:
-        blobs = [b"".join(x) for x in batch.column("grams").to_pylist()]
-        names = np.asarray(batch.column("node"))
-        node, gram = np.repeat(names, [len(x) // 8 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint64)
-        (node, head), gram, _ = met(node, gram)
+        nodes, blobs = [], []
+        for name, size, grams, often in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "grams", "often")), strict=True):
+            gram, times = np.frombuffer(b"".join(grams), np.uint64), np.frombuffer(b"".join(often), np.uint32)
+            gram, at = np.unique(gram, return_index=True)
+            keep = np.argsort(-times[at].astype(np.int64), kind="stable")[(needed(size) - 1) // 2 :]
+            nodes.append(np.full(len(keep), name))
+            blobs.append(gram[keep])
+        if not nodes:
+            continue
+        node, head, gram, _, _ = met(np.concatenate(nodes), np.concatenate(blobs))
         edge = np.unique(np.stack([head[node != head], node[node != head]]), axis=1)
         least_ = node == head
         rows = list(pack(node[least_], gram[least_], (gram[least_] % H.U(parts)).astype(np.int64), 0))
         if edge.shape[1]:
-            rows.append((int(len(rows) % parts), edge[0].tobytes(), b"", edge[1].tobytes(), 1))
+            rows.append((int(edge[1][0] % parts), edge[0].tobytes(), b"", edge[1].tobytes(), b"", 1))
         yield packed_batch(rows)
 
 
@@ -195,7 +209,7 @@ def edges_of(table: pa.Table) -> pa.Table:
     done = np.asarray(table.column("done"))
     take = lambda c, which: table.column(c).take(pa.array(np.flatnonzero(which))).to_pylist()
     known = np.stack([np.frombuffer(b"".join(take(c, done == 1)), np.int64) for c in ("nodes", "grams")])
-    (node, head), _, _ = met(*unpack(*(take(c, done == 0) for c in ("nodes", "counts", "grams"))))
+    node, head, _, _, _ = met(*unpack(table, 0)[:2])
     edge = np.unique(np.concatenate([known, np.stack([head[node != head], node[node != head]])], axis=1), axis=1)
     return pa.table({"u": pa.array(edge[0], pa.int64()), "v": pa.array(edge[1], pa.int64())})
 
@@ -329,14 +343,15 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     full = sets.where(F.col("node").isNotNull()).select("node", "n_shingles", "prefix")
     entries = full.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // GROUP_ENTRIES) + 1)
-    shared = full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(sharing, "node long, n long, grams binary")
+    shared = full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(sharing, "node long, n long, grams binary, often binary")
     sizes = full.groupBy("node").agg(F.min("n_shingles").alias("size"))
     least_ = F.ceil(F.col("size") * NUM / DEN)
+    level_ = F.greatest(F.lit(1), F.least(F.floor(least_ / 4), F.lit(62)), F.floor(least_ / 10))  # needed()
     left = (
-        shared.groupBy("node").agg(F.sum("n").alias("n"), F.collect_list("grams").alias("grams"))
-        .join(sizes, "node").where(F.col("n") >= F.greatest(F.lit(1), F.floor(least_ / 10)))
+        shared.groupBy("node").agg(F.sum("n").alias("n"), F.collect_list("grams").alias("grams"), F.collect_list("often").alias("often"))
+        .join(sizes, "node").where(F.col("n") >= level_)
     )
-    left = materialise(left.select("node", "grams"), "left")
+    left = materialise(left.select("node", "size", "grams", "often"), "left")
     edges = left.mapInArrow(lambda b: joining(b, parts), PACKED).groupBy("part").applyInArrow(edges_of, "u long, v long")
     return components(edges)
 
