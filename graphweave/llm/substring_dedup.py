@@ -28,6 +28,7 @@ WINDOW = 20
 #: Windows in a group: about 100 MB of arrays in the task.
 GROUP_WINDOWS = 3_000_000
 RUNS = "group int, doc_id binary, seq binary, runs binary, gram binary, first binary, length binary, path binary, kind int"
+PACKED_MARKS = "part int, doc_id binary, seq binary, runs binary, starts binary"
 MARKS = "doc_id long, seq long, starts binary"
 
 
@@ -134,24 +135,14 @@ RUN_NAMES = ["group", "doc_id", "seq", "runs", "gram", "first", "length", "path"
 RUN_TYPES = [pa.int32(), *[pa.binary()] * 7, pa.int32()]
 
 
-def split(text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each text number its starts."""
-    order = np.lexsort((start, text))
-    text, start = text[order], start[order]
-    cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
-    for a, b in zip(cut, np.append(cut[1:], len(text)), strict=True) if len(text) else []:
-        yield int(text[a]), start[a:b]
-
-
-def repeats(table: pa.Table) -> pa.Table:
-    """Of one group: for each document the starts of windows that an earlier one equals."""
-    kind, out = np.asarray(table.column("kind")), []
+def repeats(table: pa.Table, parts: int) -> pa.Table:
+    """Of one group: the starts of windows that an earlier one equals, packed by parts of the documents."""
+    kind, found = np.asarray(table.column("kind")), []
     column = lambda name, dtype, rows: np.frombuffer(b"".join(table.column(name).take(pa.array(rows)).to_pylist()), dtype)
     done, open_ = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
     if len(done):
         ids, seqs, n = column("doc_id", np.int64, done), column("seq", np.int64, done), column("runs", np.uint32, done)
-        starts, ends = column("first", np.uint32, done), np.append(0, np.cumsum(n.astype(np.int64)))
-        out += [(i, q, starts[a:b].tobytes()) for i, q, a, b in zip(ids, seqs, ends[:-1], ends[1:], strict=True)]
+        found.append((np.repeat(ids, n), np.repeat(seqs, n), column("first", np.uint32, done)))
     if len(open_):
         ids, seqs, runs = column("doc_id", np.int64, open_), column("seq", np.int64, open_), column("runs", np.uint32, open_)
         gram, first = column("gram", np.uint64, open_), column("first", np.uint32, open_)
@@ -171,8 +162,34 @@ def repeats(table: pa.Table) -> pa.Table:
             rank = ranks(ids, seqs)[r]
             order = np.lexsort((start, rank, p, g))
             again = order[repeated(g[order], p[order], rank[order], start[order])]
-            out += [(ids[t], seqs[t], s.astype(np.uint32).tobytes()) for t, s in split(r[again], start[again])]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, MARK_TYPES, strict=True)], names=["doc_id", "seq", "starts"])
+            found.append((ids[r[again]], seqs[r[again]], start[again].astype(np.uint32)))
+    rows: list[tuple] = []
+    if found:
+        ids, seqs, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = (H.mix(seqs.astype(np.uint64)) % H.U(parts)).astype(np.int64)
+        order = np.lexsort((starts, seqs, ids, part))
+        ids, seqs, starts, part = ids[order], seqs[order], starts[order], part[order]
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True) if len(part) else []:
+            i, q = ids[a:b], seqs[a:b]
+            head = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (q[1:] != q[:-1])))
+            n = np.diff(np.append(head, b - a)).astype(np.uint32)
+            rows.append((int(part[a]), i[head].tobytes(), q[head].tobytes(), n.tobytes(), starts[a:b].tobytes()))
+    types = [pa.int32(), *[pa.binary()] * 4]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["part", "doc_id", "seq", "runs", "starts"])
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """Of one part: each document's starts."""
+    get = lambda c, dtype: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype)
+    n = get("runs", np.uint32)
+    ids, seqs, starts = np.repeat(get("doc_id", np.int64), n), np.repeat(get("seq", np.int64), n), get("starts", np.uint32)
+    order = np.lexsort((starts, seqs, ids))
+    ids, seqs, starts = ids[order], seqs[order], starts[order]
+    head = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (seqs[1:] != seqs[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    ends = np.append(head[1:], len(ids))
+    out = (ids[head], seqs[head], [starts[a:b].tobytes() for a, b in zip(head, ends, strict=True)])
+    return pa.table([pa.array(c, t) for c, t in zip(out, MARK_TYPES, strict=True)], names=["doc_id", "seq", "starts"])
 
 
 MARK_TYPES = [pa.int64(), pa.int64(), pa.binary()]
@@ -190,8 +207,8 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(parts, -(-bytes_ // (6 * GROUP_WINDOWS)))
-    found = rows.mapInArrow(runs_of(size, groups), RUNS).groupBy("group").applyInArrow(repeats, MARKS)
-    return materialise(found, "repeats").groupBy("doc_id", "seq").agg(F.collect_list("starts").alias("starts"))
+    found = rows.mapInArrow(runs_of(size, groups), RUNS).groupBy("group").applyInArrow(lambda t: repeats(t, groups), PACKED_MARKS)
+    return materialise(found.groupBy("part").applyInArrow(by_document, MARKS), "repeats")
 
 
 def cut_out(size: int):  # noqa: ANN201
@@ -200,16 +217,13 @@ def cut_out(size: int):  # noqa: ANN201
             for batch in H.pieces(whole):
                 texts, marks = batch.column("text").to_pylist(), batch.column("starts").to_pylist()
                 out: list[tuple] = []
-                for text, blobs in zip(texts, marks, strict=True):
+                for text, blob in zip(texts, marks, strict=True):
                     got = text.encode().split()  # at space and \x09-\x0D
                     n = len(got)
                     gone = 0
-                    if blobs:
-                        edge = np.zeros(n + 1, np.int32)
-                        for blob in blobs:
-                            at = np.frombuffer(blob, np.uint32)
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at.astype(np.int64) + size, -1)
+                    if blob:
+                        at = np.frombuffer(blob, np.uint32).astype(np.int64)
+                        edge = np.bincount(at, minlength=n + 1) - np.bincount(at + size, minlength=n + 1)
                         stays = np.cumsum(edge)[:n] == 0
                         gone = n - int(stays.sum())
                         got = list(compress(got, stays.tolist()))
