@@ -161,8 +161,8 @@ def dealt(parts: int):  # noqa: ANN201
     return run
 
 
-def sharing(table: pa.Table) -> pa.Table:
-    """Of one part: each node with the grams it shares, and how often each was met."""
+def sharing(table: pa.Table, parts: int) -> pa.Table:
+    """Of one part: nodes with the grams they share and how often each was met, packed by parts of nodes."""
     known, alone, more = (unpack(table, k) for k in (1, 0, 2))
     # rows marked 2 first, so that they stand for a node's gram
     node, gram, often = (np.concatenate([x, y]) for x, y in zip(more, alone, strict=True))
@@ -171,8 +171,17 @@ def sharing(table: pa.Table) -> pa.Table:
     node = np.concatenate([known[0], node[shared]])
     gram = np.concatenate([known[1], gram[shared]])
     often = np.concatenate([known[2], (size * often)[shared]])
-    order = np.lexsort((gram, node))
+    batch = packed_batch(list(pack(node, gram, node % parts, 0, often)))
+    return pa.Table.from_batches([batch])
+
+
+def left_over(table: pa.Table) -> pa.Table:
+    """Of one part of nodes: each node's shared grams and how often each was met."""
+    node, gram, often = unpack(table, 0)
+    order = np.lexsort((-often.astype(np.int64), gram, node))
     node, gram, often = node[order], gram[order], often[order]
+    once = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])) if len(gram) else np.zeros(0, bool)
+    node, gram, often = node[once], gram[once], often[once]
     head = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
     ends = np.append(head[1:], len(node))
     return pa.table({
@@ -189,9 +198,8 @@ def joining(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     for batch in batches:
         nodes, blobs = [], []
         for name, size, grams, often in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "grams", "often")), strict=True):
-            gram, times = np.frombuffer(b"".join(grams), np.uint64), np.frombuffer(b"".join(often), np.uint32)
-            gram, at = np.unique(gram, return_index=True)
-            keep = np.argsort(-times[at].astype(np.int64), kind="stable")[(needed(size) - 1) // 2 :]
+            gram, times = np.frombuffer(grams, np.uint64), np.frombuffer(often, np.uint32)
+            keep = np.argsort(-times.astype(np.int64), kind="stable")[(needed(size) - 1) // 2 :]
             nodes.append(np.full(len(keep), name))
             blobs.append(gram[keep])
         if not nodes:
@@ -343,12 +351,12 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     full = sets.where(F.col("node").isNotNull()).select("node", "n_shingles", "prefix")
     entries = full.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // GROUP_ENTRIES) + 1)
-    shared = full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(sharing, "node long, n long, grams binary, often binary")
+    shared = full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(lambda t: sharing(t, parts), PACKED)
     sizes = full.groupBy("node").agg(F.min("n_shingles").alias("size"))
     least_ = F.ceil(F.col("size") * NUM / DEN)
     level_ = F.greatest(F.lit(1), F.least(F.floor(least_ / 4), F.lit(62)), F.floor(least_ / 10))  # needed()
     left = (
-        shared.groupBy("node").agg(F.sum("n").alias("n"), F.collect_list("grams").alias("grams"), F.collect_list("often").alias("often"))
+        shared.groupBy("part").applyInArrow(left_over, "node long, n long, grams binary, often binary")
         .join(sizes, "node").where(F.col("n") >= level_)
     )
     left = materialise(left.select("node", "size", "grams", "often"), "left")
@@ -373,7 +381,8 @@ def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     chosen = groups.join(weight, "root").select("node", "root", "bands", F.col("rep").alias("doc_id"))
     chosen = chosen.withColumnRenamed("doc_id", "__id")
     text = documents(docs)
-    text = text.join(chosen, F.coalesce(text["doc_id"], F.lit(-(2**63))) == F.coalesce("__id", F.lit(-(2**63))))
+    # the same plan for any number of sets: these grow with the input
+    text = text.join(chosen.hint("merge"), F.coalesce(text["doc_id"], F.lit(-(2**63))) == F.coalesce("__id", F.lit(-(2**63))))
     grams = text.select("node", "root", "bands", "text").mapInArrow(full_sets(n), "node long, root long, bands int, grams binary")
     grams = grams.where(F.col("grams").isNotNull())
     # a group in one band is one task; else each pair of bands is one
