@@ -5,13 +5,123 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphweave.operators import documents as D
+from graphweave.operators import graph as G
+from graphweave.plans import model as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    n, r, t = M.nodes, M.rels, M.table
+
+    def topk(s: SparkSession, d: str) -> DataFrame:
+        v = t(s, d, "embeddings")
+        return G_first(v)
+
+    def G_first(v: DataFrame) -> DataFrame:
+        row = v.orderBy("vec_id").select("embedding").first()
+        return D.cosine_topk(v, list(row[0]) if row else [])
+
+    def found(s: SparkSession, d: str) -> DataFrame:
+        keep = ("candidate_id", "candidate_type", "severity")
+        return G.exact_node_duplicates(n(s, d)).select(*keep).unionByName(G.exact_rel_duplicates(r(s, d)).select(*keep))
+
+    return {
+        "src_nodes": lambda s, d: n(s, d).where(F.col("run_id") == M.RUN).select("dedupe_key", "node_type", "seq"),
+        "src_nodes_by_type": lambda s, d: n(s, d).where("node_type = 'Supplier'").select("dedupe_key", "seq"),
+        "src_rels": lambda s, d: r(s, d).select("dedupe_key", "rel_type"),
+        "agg_node_counts": lambda s, d: n(s, d).groupBy("node_type").agg(F.count("*").alias("n")),
+        "agg_edge_counts": lambda s, d: r(s, d).groupBy("rel_type").agg(F.count("*").alias("n")),
+        "agg_degree": lambda s, d: G.degree(n(s, d), r(s, d)),
+        "agg_degree_outlier": lambda s, d: G.degree_outliers(G.degree(n(s, d), r(s, d))),
+        "join_orphans": lambda s, d: G.orphans(n(s, d), r(s, d)),
+        "join_neighbors": lambda s, d: G.neighbors(r(s, d)),
+        "page_nodes": lambda s, d: n(s, d).select("dedupe_key", "seq").orderBy("dedupe_key", "seq").offset(50).limit(50),
+        "agg_exact_node_dup": lambda s, d: G.exact_node_duplicates(n(s, d)),
+        "agg_exact_rel_dup": lambda s, d: G.exact_rel_duplicates(r(s, d)),
+        "agg_bidir_rel_dup": lambda s, d: G.bidirectional_duplicates(r(s, d)),
+        "gr_canonical_violation": lambda s, d: G.canonical_violations(r(s, d), n(s, d), M.schema_edges(s)),
+        "join_sorted_window": lambda s, d: G.sorted_window_pairs(n(s, d)),
+        "fn_token_scores": lambda s, d: G.window_scores(n(s, d)),
+        "join_token_block": lambda s, d: G.token_pairs(n(s, d).where("node_type in ('Part', 'Nation', 'Region')")),
+        "agg_candidate_groups": lambda s, d: G.candidate_groups(found(s, d)),
+        "dml_merge_nodes": lambda s, d: G.merge_nodes(n(s, d)),
+        "dml_merge_edges": lambda s, d: G.merge_edges(r(s, d), n(s, d)),
+        "ids_documents": lambda s, d: D.identities(t(s, d, "documents")),
+        "fn_text_to_elements": lambda s, d: D.elements(t(s, d, "documents")),
+        "agg_quality_summary": lambda s, d: D.quality_summary(D.elements(t(s, d, "documents"))),
+        "topk_evidence_query": topk,
+        "st_upsert_job_status": lambda s, d: D.latest_status(t(s, d, "events")),
+        "agg_telemetry": lambda s, d: D.telemetry(t(s, d, "events")),
+        "agg_histogram": lambda s, d: D.histogram(t(s, d, "events")),
+    }
+
+
+def _candidates(kind: str, method: str, of: str, column: str) -> str:
+    return f"""SELECT sha256('{{"candidate_type":"{kind}","detection_method":"{method}","involved_element_refs":["' || dedupe_key || '"],"run_id":"run1","schema_version":"v1"}}') AS candidate_id,
+    '{kind}' AS candidate_type, 'high' AS severity, {column}, dedupe_key, count(*) AS duplicate_count FROM {of} GROUP BY {column}, dedupe_key HAVING count(*) >= 2"""
+
+
+_NODE_DUP = _candidates("exact_node_duplicate", "exact_dedupe_key", "nodes", "node_type")
+_REL_DUP = _candidates("exact_rel_duplicate", "exact_rel_dedupe_key", "rels", "rel_type")
+_DEGREE = """SELECT k AS dedupe_key, CAST(coalesce(sum(i), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(o), 0) AS BIGINT) AS out_degree
+  FROM (SELECT DISTINCT dedupe_key AS k FROM nodes) LEFT JOIN (
+    SELECT start_dedupe_key AS k, 0 AS i, 1 AS o FROM (SELECT DISTINCT dedupe_key, start_dedupe_key FROM rels)
+    UNION ALL SELECT end_dedupe_key, 1, 0 FROM (SELECT DISTINCT dedupe_key, end_dedupe_key FROM rels)) USING (k) GROUP BY k"""
+_TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+_WINDOW = """, vals AS (SELECT node_type, dedupe_key, max_by(trim(lower(primary_value)), seq) AS value FROM nodes GROUP BY 1, 2),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY node_type ORDER BY value, dedupe_key) AS k FROM vals WHERE value <> ''),
+  pairs AS (SELECT a.node_type, least(a.dedupe_key, b.dedupe_key) AS key_a, greatest(a.dedupe_key, b.dedupe_key) AS key_b, a.value AS value_a, b.value AS value_b
+    FROM ranked a JOIN ranked b ON a.node_type = b.node_type AND b.k BETWEEN a.k + 1 AND a.k + 4) """
+_ELEMENTS = """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+  els AS (SELECT doc_id, pos, CASE WHEN regexp_matches(trim(line), '^#{1,6} +[^ ]') THEN 'heading' WHEN regexp_matches(trim(line), '^([-*+]|[0-9]+[.)]) +') THEN 'list_item' ELSE 'paragraph' END AS element_type,
+    length(trim(line)) AS chars FROM lines WHERE trim(line) <> '') """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    g = M.SQL
+    return {
+        "src_nodes": g + "SELECT dedupe_key, node_type, seq FROM nodes WHERE run_id = 'run1'",
+        "src_nodes_by_type": g + "SELECT dedupe_key, seq FROM nodes WHERE node_type = 'Supplier'",
+        "src_rels": g + "SELECT dedupe_key, rel_type FROM rels",
+        "agg_node_counts": g + "SELECT node_type, count(*) AS n FROM nodes GROUP BY 1",
+        "agg_edge_counts": g + "SELECT rel_type, count(*) AS n FROM rels GROUP BY 1",
+        "agg_degree": g + _DEGREE,
+        "agg_degree_outlier": g + f"SELECT dedupe_key, total FROM (SELECT dedupe_key, in_degree + out_degree AS total, avg(in_degree + out_degree) OVER () AS m, stddev_pop(in_degree + out_degree) OVER () AS s, count(*) OVER () AS n FROM ({_DEGREE})) WHERE n >= 3 AND s > 0 AND total > m + 3 * s",
+        "join_orphans": g + "SELECT DISTINCT dedupe_key FROM nodes WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels)",
+        "join_neighbors": g + "SELECT start_dedupe_key AS dedupe_key, end_dedupe_key AS neighbor FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels",
+        "page_nodes": g + "SELECT dedupe_key, seq FROM nodes ORDER BY dedupe_key, seq LIMIT 50 OFFSET 50",
+        "agg_exact_node_dup": g + _NODE_DUP,
+        "agg_exact_rel_dup": g + _REL_DUP,
+        "agg_bidir_rel_dup": g + """SELECT sha256('{"candidate_type":"exact_rel_duplicate","detection_method":"bidirectional_rel_duplicate","involved_element_refs":["' || string_agg(k, '","' ORDER BY k) || '"],"run_id":"run1","schema_version":"v1"}') AS candidate_id,
+          rel_type, string_agg(k, ' ' ORDER BY k) AS refs, count(*) AS edges
+          FROM (SELECT DISTINCT rel_type, dedupe_key AS k, least(start_dedupe_key, end_dedupe_key) AS a, greatest(start_dedupe_key, end_dedupe_key) AS b FROM rels
+            WHERE start_dedupe_key <> end_dedupe_key AND dedupe_key NOT IN (SELECT dedupe_key FROM rels GROUP BY 1 HAVING count(*) >= 2)) GROUP BY rel_type, a, b HAVING count(*) >= 2""",
+        "gr_canonical_violation": g + """, kinds AS (SELECT dedupe_key AS k, max_by(node_type, seq) AS kind FROM nodes GROUP BY 1), allowed(a, b, t) AS (VALUES ('Customer', 'Nation', 'LOCATED_IN'), ('Supplier', 'Nation', 'LOCATED_IN'), ('Nation', 'Region', 'PART_OF')),
+          typed AS (SELECT dedupe_key, rel_type, coalesce(x.kind, '') AS start_type, coalesce(y.kind, '') AS end_type FROM rels LEFT JOIN kinds x ON x.k = start_dedupe_key LEFT JOIN kinds y ON y.k = end_dedupe_key)
+          SELECT *, CASE WHEN EXISTS (SELECT 1 FROM allowed WHERE a = end_type AND b = start_type AND t = rel_type) THEN 'inverse' ELSE 'direction' END AS violation,
+            CASE WHEN EXISTS (SELECT 1 FROM allowed WHERE a = end_type AND b = start_type AND t = rel_type) THEN 'high' ELSE 'medium' END AS severity
+          FROM typed WHERE NOT EXISTS (SELECT 1 FROM allowed WHERE a = start_type AND b = end_type AND t = rel_type)""",
+        "join_sorted_window": g + _WINDOW + "SELECT * FROM pairs",
+        "fn_token_scores": g + _WINDOW + f""", tok AS (SELECT *, {_TOK.format('value_a')} AS x, {_TOK.format('value_b')} AS y FROM pairs), met AS (SELECT *, len(list_intersect(x, y)) AS i FROM tok)
+          SELECT node_type, key_a, key_b, round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * i / (len(x) + len(y)) END, 6) AS token_overlap,
+            round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / (len(x) + len(y) - i) END, 6) AS jaccard, len(x) <> len(y) AND least(len(x), len(y)) >= 2 AND i = least(len(x), len(y)) AS containment FROM met""",
+        "join_token_block": g + f""", vals AS (SELECT node_type, dedupe_key, max_by(primary_value, seq) AS v FROM nodes WHERE node_type IN ('Part', 'Nation', 'Region') GROUP BY 1, 2), tok AS (SELECT node_type, dedupe_key, {_TOK.format('v')} AS t FROM vals),
+          one AS (SELECT node_type, dedupe_key, t, unnest(t) AS token FROM tok)
+          SELECT DISTINCT a.node_type, a.dedupe_key AS key_a, b.dedupe_key AS key_b FROM one a JOIN one b ON a.node_type = b.node_type AND a.token = b.token AND a.dedupe_key < b.dedupe_key
+          WHERE length(a.token) > 1 AND len(a.t) <> len(b.t) AND least(len(a.t), len(b.t)) >= 2 AND len(list_intersect(a.t, b.t)) = least(len(a.t), len(b.t))""",
+        "agg_candidate_groups": g + f"SELECT candidate_type, count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, min(candidate_id) AS first_id FROM (SELECT candidate_id, candidate_type, severity FROM ({_NODE_DUP}) UNION ALL SELECT candidate_id, candidate_type, severity FROM ({_REL_DUP})) GROUP BY 1",
+        "dml_merge_nodes": g + "SELECT dedupe_key, min_by(primary_value, seq) AS primary_value, min(seq) AS created_seq, max(seq) AS last_seen_seq, count(*) - 1 AS matched FROM nodes GROUP BY 1",
+        "dml_merge_edges": g + """, keys AS (SELECT DISTINCT dedupe_key AS k FROM nodes WHERE node_type <> 'Region'), seen AS (SELECT rel_type, start_dedupe_key, end_dedupe_key, start_dedupe_key IN (SELECT k FROM keys) AND end_dedupe_key IN (SELECT k FROM keys) AS ok, count(*) AS n FROM rels GROUP BY 1, 2, 3, 4)
+          SELECT count(*) FILTER (ok) AS created, CAST(coalesce(sum(n - 1) FILTER (ok), 0) AS BIGINT) AS matched, CAST(coalesce(sum(n) FILTER (NOT ok), 0) AS BIGINT) AS skipped FROM seen""",
+        "ids_documents": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256('run1' || chr(0) || coalesce(source, '') || chr(0) || sha256(coalesce(text, ''))) AS doc_hash FROM documents",
+        "fn_text_to_elements": _ELEMENTS + "SELECT * FROM els",
+        "agg_quality_summary": _ELEMENTS + "SELECT doc_id, count(*) AS elements, count(*) FILTER (chars < 20) AS low_density FROM els GROUP BY 1",
+        "topk_evidence_query": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 5) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10",
+        "st_upsert_job_status": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1, 2",
+        "agg_telemetry": "SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1",
+        "agg_histogram": "SELECT event_type, len(v) AS n, v[1] AS least, v[-1] AS most, v[greatest(floor(len(v) * 0.5)::INT, 1)] AS p50, v[greatest(floor(len(v) * 0.95)::INT, 1)] AS p95, v[greatest(floor(len(v) * 0.99)::INT, 1)] AS p99 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)",
+    }
