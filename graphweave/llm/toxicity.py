@@ -69,7 +69,7 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha:
     rng = np.random.Generator(np.random.PCG64(1))
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
-            at = np.append(examples[i], n - 1)
+            at = np.append(examples[i], n - 1).astype(np.int64)
             zi, ni = z[at], g2[at]
             wi = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(wi.sum(), -35, 35)))
@@ -82,6 +82,14 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha:
     return w
 
 
+def views(column: pa.Array) -> list[np.ndarray]:
+    """Each row's numbers, in place; no row is null."""
+    _, off, raw = column.buffers()
+    cut = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    numbers = np.frombuffer(raw, np.uint32, int(cut[-1])) if raw is not None else np.zeros(0, np.uint32)
+    return [numbers[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[int, int] = (4, 2)) -> np.ndarray:
     """Weights learned from at most about `most` labelled rows outside the held-out fold.
 
@@ -93,10 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[in
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     )
     chosen = documents(docs).join(sample(known, most), "doc_id").select("doc_id", "text", "label")
-    got = chosen.mapInArrow(feature_rows, "doc_id long, label int, features binary").toPandas().sort_values("doc_id")
-    if not len(got):
+    got = chosen.mapInArrow(feature_rows, "doc_id long, label int, features binary").toArrow().to_batches()
+    if not sum(b.num_rows for b in got):
         return np.zeros((1 << BITS) + 1)
-    return ftrl([np.frombuffer(x, np.uint32).astype(np.int64) for x in got.features], (got.label.to_numpy() > 0).astype(float))
+    # the features stay in the batches' buffers: a pandas copy would need several times their size
+    order = np.argsort(np.concatenate([np.asarray(b.column("doc_id")) for b in got]), kind="stable")
+    examples = [x for b in got for x in views(b.column("features"))]
+    labelled = np.concatenate([np.asarray(b.column("label")) for b in got])
+    return ftrl([examples[i] for i in order], (labelled[order] > 0).astype(float))
 
 
 def scorer(weights):  # noqa: ANN001, ANN201
