@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def tokens(s: Column) -> Column:
@@ -40,3 +42,31 @@ def candidate_id(kind: str, refs: Column, method: str) -> Column:
 def nul_hash(*parts: Column) -> Column:
     """SHA-256 of the parts joined by NUL."""
     return F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256)
+
+
+def jaro_winkler_of(a: str, b: str) -> float:
+    """Jaro similarity, raised by a tenth of what is missing per common leading character, up to four; half
+    transpositions count and every similarity is raised."""
+    if a == b:
+        return 1.0
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    free, left = [True] * len(b), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
+        if j is not None:
+            free[j] = False
+            left.append(c)
+    if not left:
+        return 0.0
+    right = [c for c, f in zip(b, free, strict=True) if not f]
+    moved = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    m = len(left)
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(len(a), len(b), 4))
+    return jaro + same * 0.1 * (1 - jaro)
+
+
+@F.pandas_udf(DoubleType())
+def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Null where either text is."""
+    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

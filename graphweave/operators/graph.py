@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.functions.text import candidate_id, jaccard, token_containment, token_overlap, tokens
+from graphweave.functions.text import candidate_id, jaccard, jaro_winkler, token_containment, token_overlap, tokens
 
 
 def degree(nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -79,12 +79,51 @@ def sorted_window_pairs(nodes: DataFrame, width: int = 4) -> DataFrame:
 
 
 def token_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of distinct keys of a type that share a content token, where one token set contains the other."""
+    """Pairs of keys of a type where one token set contains the other, of two tokens at least, and shares a
+    token of two characters at least.
+
+    The smaller set looks only under its rarest such token, as all of its tokens must be in the larger; so a
+    word that most nodes have makes no pairs unless it is some node's rarest.
+    """
     rows = nodes.groupBy("node_type", "dedupe_key").agg(F.max_by("primary_value", "seq").alias("value")).withColumn("t", tokens(F.col("value")))
     one = rows.select("node_type", F.explode("t").alias("token"), "dedupe_key", "t").where(F.length("token") > 1)
-    a, b = one.alias("a"), one.alias("b")
-    met = a.join(b, (F.col("a.node_type") == F.col("b.node_type")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.dedupe_key") < F.col("b.dedupe_key")) & token_containment(F.col("a.t"), F.col("b.t")))
-    return met.select(F.col("a.node_type").alias("node_type"), F.col("a.dedupe_key").alias("key_a"), F.col("b.dedupe_key").alias("key_b")).distinct()
+    often = one.groupBy("node_type", "token").agg(F.count("*").alias("n"))
+    rare = one.where(F.size("t") >= 2).join(often, ["node_type", "token"]).groupBy("node_type", "dedupe_key").agg(F.min(F.struct("n", "token")).alias("least"), F.first("t").alias("t"))
+    a, b = rare.select("node_type", F.col("least.token").alias("token"), F.col("dedupe_key").alias("a"), F.col("t").alias("s")), one.withColumnRenamed("dedupe_key", "b")
+    met = a.join(b, ["node_type", "token"]).where(token_containment(F.col("s"), F.col("t")) & (F.size("s") < F.size("t")))
+    return met.select("node_type", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+
+
+def context_jaccard(pairs: DataFrame, rels: DataFrame) -> DataFrame:
+    """The pairs with the Jaccard of their neighbours, 0 without any: counted by joins, so that a hub's
+    neighbours are never one row."""
+    near = neighbors(rels)
+    count = near.groupBy("dedupe_key").agg(F.count("*").alias("n"))
+    side = lambda k: count.select(F.col("dedupe_key").alias(f"key_{k}"), F.col("n").alias(f"n_{k}"))
+    of = lambda k: near.select(F.col("dedupe_key").alias(f"key_{k}"), "neighbor")
+    both = pairs.select("key_a", "key_b").join(of("a"), "key_a").join(of("b"), ["key_b", "neighbor"]).groupBy("key_a", "key_b").agg(F.count("*").alias("i"))
+    full = pairs.join(side("a"), "key_a", "left").join(side("b"), "key_b", "left").join(both, ["key_a", "key_b"], "left").fillna(0, ["n_a", "n_b", "i"])
+    total = F.col("n_a") + F.col("n_b") - F.col("i")
+    return full.withColumn("context", F.when(total == 0, 0.0).otherwise(F.round(F.col("i") / total, 6))).drop("n_a", "n_b", "i")
+
+
+def probable_duplicates(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """Pairs of a type that are near in sorted order and alike (Jaro-Winkler of 0.9 with token overlap of 0.5,
+    or 0.95; or token containment), and pairs that token_pairs finds; each pair once.
+
+    The window decides where both find a pair. Nodes with a null or blank value take no part.
+    """
+    value = nodes.groupBy("node_type", "dedupe_key").agg(F.max_by(F.trim(F.lower("primary_value")), "seq").alias("value"))
+    end = lambda k: value.select("node_type", F.col("dedupe_key").alias(f"key_{k}"), F.col("value").alias(f"value_{k}"))
+    found = token_pairs(nodes).join(end("a"), ["node_type", "key_a"]).join(end("b"), ["node_type", "key_b"])
+    near = sorted_window_pairs(nodes).withColumn("method", F.lit("window"))
+    both = near.unionByName(found.withColumn("method", F.lit("token")).select(near.columns))
+    a, b = tokens(F.col("value_a")), tokens(F.col("value_b"))
+    scored = both.withColumns({"similarity": F.round(jaro_winkler("value_a", "value_b"), 6), "overlap": F.round(token_overlap(a, b), 6), "contained": token_containment(a, b)})
+    alike = (F.col("similarity") >= 0.9) & ((F.col("similarity") >= 0.95) | (F.col("overlap") >= 0.5))
+    kept = scored.where(alike & (F.col("method") == "window") | F.col("contained"))
+    one = kept.groupBy("node_type", "key_a", "key_b").agg(F.max(F.struct("method", "similarity", "overlap")).alias("x"))
+    return context_jaccard(one.select("node_type", "key_a", "key_b", "x.*"), rels)
 
 
 def window_scores(nodes: DataFrame) -> DataFrame:

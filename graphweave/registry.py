@@ -46,7 +46,8 @@ def queries() -> dict[str, Query]:
         "gr_canonical_violation": lambda s, d: G.canonical_violations(r(s, d), n(s, d), M.schema_edges(s)),
         "join_sorted_window": lambda s, d: G.sorted_window_pairs(n(s, d)),
         "fn_token_scores": lambda s, d: G.window_scores(n(s, d)),
-        "join_token_block": lambda s, d: G.token_pairs(n(s, d).where("node_type in ('Part', 'Nation', 'Region')")),
+        "join_token_block": lambda s, d: G.token_pairs(n(s, d)),
+        "gr_probable_dup": lambda s, d: G.probable_duplicates(n(s, d), r(s, d)),
         "agg_candidate_groups": lambda s, d: G.candidate_groups(found(s, d)),
         "dml_merge_nodes": lambda s, d: G.merge_nodes(n(s, d)),
         "dml_merge_edges": lambda s, d: G.merge_edges(r(s, d), n(s, d)),
@@ -109,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "fn_token_scores": g + _WINDOW + f""", tok AS (SELECT *, {_TOK.format('value_a')} AS x, {_TOK.format('value_b')} AS y FROM pairs), met AS (SELECT *, len(list_intersect(x, y)) AS i FROM tok)
           SELECT node_type, key_a, key_b, round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * i / (len(x) + len(y)) END, 6) AS token_overlap,
             round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / (len(x) + len(y) - i) END, 6) AS jaccard, len(x) <> len(y) AND least(len(x), len(y)) >= 2 AND i = least(len(x), len(y)) AS containment FROM met""",
-        "join_token_block": g + f""", vals AS (SELECT node_type, dedupe_key, max_by(primary_value, seq) AS v FROM nodes WHERE node_type IN ('Part', 'Nation', 'Region') GROUP BY 1, 2), tok AS (SELECT node_type, dedupe_key, {_TOK.format('v')} AS t FROM vals),
+        "join_token_block": g + f""", vals AS (SELECT node_type, dedupe_key, max_by(primary_value, seq) AS v FROM nodes GROUP BY 1, 2), tok AS (SELECT node_type, dedupe_key, {_TOK.format('v')} AS t FROM vals),
           one AS (SELECT node_type, dedupe_key, t, unnest(t) AS token FROM tok)
           SELECT DISTINCT a.node_type, a.dedupe_key AS key_a, b.dedupe_key AS key_b FROM one a JOIN one b ON a.node_type = b.node_type AND a.token = b.token AND a.dedupe_key < b.dedupe_key
           WHERE length(a.token) > 1 AND len(a.t) <> len(b.t) AND least(len(a.t), len(b.t)) >= 2 AND len(list_intersect(a.t, b.t)) = least(len(a.t), len(b.t))""",
