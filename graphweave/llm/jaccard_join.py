@@ -325,6 +325,7 @@ def trie_group(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").take(pa.array(once)).to_pylist()]
     side = (band != band.min()).astype(int) if len(band) and band.min() != band.max() else None
     found = trie_links(sets, side)
+    H.release()
     return pa.table({"u": pa.array([nodes[i] for i, _ in found], pa.int64()), "v": pa.array([nodes[j] for _, j in found], pa.int64())})
 
 

@@ -7,6 +7,7 @@ then mixed; n-gram hashes combine word hashes by doubling.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw
 
 
+def release() -> None:
+    """Hands freed memory back to the system: workers stay for later tasks, and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text (one text at least), which bounds a task's memory."""
     off, _ = buffers(batch.column(column))
@@ -60,6 +69,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) ->
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def words(off: np.ndarray, raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
