@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave import registry_curation
 from graphweave.operators import documents as D
 from graphweave.operators import graph as G
 from graphweave.plans import model as M
@@ -58,6 +59,7 @@ def queries() -> dict[str, Query]:
         "st_upsert_job_status": lambda s, d: D.latest_status(t(s, d, "events")),
         "agg_telemetry": lambda s, d: D.telemetry(t(s, d, "events")),
         "agg_histogram": lambda s, d: D.histogram(t(s, d, "events")),
+        **registry_curation.queries(),
     }
 
 
@@ -125,4 +127,5 @@ def oracle_sql() -> dict[str, str]:
         "st_upsert_job_status": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1, 2",
         "agg_telemetry": "SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1",
         "agg_histogram": "SELECT event_type, len(v) AS n, v[1] AS least, v[-1] AS most, v[greatest(floor(len(v) * 0.5)::INT, 1)] AS p50, v[greatest(floor(len(v) * 0.95)::INT, 1)] AS p95, v[greatest(floor(len(v) * 0.99)::INT, 1)] AS p99 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)",
+        **registry_curation.oracle_sql(),
     }
