@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.functions.text import nul_hash
+from graphweave.plans.tables import ranged
 
 
 def identities(docs: DataFrame, run: str = "run1") -> DataFrame:
@@ -45,6 +46,18 @@ def telemetry(events: DataFrame) -> DataFrame:
 
 
 def histogram(events: DataFrame) -> DataFrame:
-    """count, min, max and percentiles at the floor index of the sorted values, per type."""
-    at = lambda q: F.element_at("v", F.greatest(F.floor(F.size("v") * F.lit(q)), F.lit(1)).cast("int"))
-    return events.groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("v")).select("event_type", F.size("v").cast("long").alias("n"), F.element_at("v", 1).alias("least"), F.element_at("v", -1).alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """count, min, max and percentiles at the floor index of the sorted values, per type; nulls don't count.
+
+    Equal values are counted first. The distinct values are then cut into ranges in their order: a range's
+    offset is the sum of the counts before it, so no type is sorted or gathered in one task.
+    """
+    counts = events.where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    rows = ranged(counts, "event_type", "value")
+    sums = rows.groupBy("event_type", "__range").agg(F.sum("c").alias("s"), F.min("value").alias("least"), F.max("value").alias("most"))
+    kind = Window.partitionBy("event_type")  # one row per range
+    sums = sums.withColumns({"before": F.sum("s").over(kind.orderBy("__range")) - F.col("s"), "n": F.sum("s").over(kind), "least": F.min("least").over(kind), "most": F.max("most").over(kind)})
+    run = Window.partitionBy("event_type", "__range").orderBy("value")
+    placed = rows.withColumn("to", F.sum("c").over(run)).join(sums, ["event_type", "__range"]).withColumn("to", F.col("to") + F.col("before"))
+    index = lambda q: F.greatest(F.floor(F.col("n") * F.lit(q)), F.lit(1))
+    at = lambda q: F.max(F.when((index(q) <= F.col("to")) & (index(q) > F.col("to") - F.col("c")), F.col("value")))
+    return placed.groupBy("event_type").agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.functions.text import candidate_id, jaccard, jaro_winkler, token_containment, token_overlap, tokens
+from graphweave.plans.tables import ranged
 
 
 def degree(nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -69,12 +70,22 @@ def canonical_violations(rels: DataFrame, nodes: DataFrame, schema: DataFrame) -
         "dedupe_key", "rel_type", "start_type", "end_type", F.when(F.col("inverse"), "inverse").otherwise("direction").alias("violation"), F.when(F.col("inverse"), "high").otherwise("medium").alias("severity"))
 
 
-def sorted_window_pairs(nodes: DataFrame, width: int = 4) -> DataFrame:
-    """Per type in the order of value and key, each row paired with the next `width`: one sort, no self-join."""
+def sorted_window_pairs(nodes: DataFrame, width: int = 4, ranges: int | None = None) -> DataFrame:
+    """Per type in the order of value and key, each row paired with the next `width`: sorts, no self-join.
+
+    A type of any size is cut into ranges, each sorted by a task of its own. What follows a range's last row are
+    the first `width` rows of the ranges after it; a window over those alone (width rows per range and type)
+    hands each range its successors. Nodes with a null or blank value take no part.
+    """
     rows = nodes.withColumn("value", F.trim(F.lower("primary_value"))).where("value <> ''").groupBy("node_type", "dedupe_key").agg(F.max_by("value", "seq").alias("value"))
-    order = Window.partitionBy("node_type").orderBy("value", "dedupe_key")
-    ahead = F.array(*[F.lead(F.struct("dedupe_key", "value"), i).over(order) for i in range(1, width + 1)])
-    pairs = rows.withColumn("ahead", ahead).withColumn("b", F.explode("ahead")).where("b is not null")
+    rows = ranged(rows, "node_type", "value", "dedupe_key", ranges=ranges).withColumn("x", F.struct("dedupe_key", "value"))
+    order = Window.partitionBy("node_type", "__range").orderBy("value", "dedupe_key")
+    leads = lambda w: F.array_compact(F.array(*[F.lead("x", i).over(w) for i in range(1, width + 1)]))
+    heads = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= width)
+    heads = heads.withColumn("after", leads(Window.partitionBy("node_type").orderBy("__range", "r")))
+    after = heads.groupBy("node_type", "__range").agg(F.max_by("after", "r").alias("after"))
+    full = rows.withColumn("ahead", leads(order)).join(after, ["node_type", "__range"], "left")
+    pairs = full.withColumn("b", F.explode(F.slice(F.concat("ahead", "after"), 1, width)))
     return pairs.select("node_type", F.least("dedupe_key", "b.dedupe_key").alias("key_a"), F.greatest("dedupe_key", "b.dedupe_key").alias("key_b"), F.col("value").alias("value_a"), F.col("b.value").alias("value_b"))
 
 

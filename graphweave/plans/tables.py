@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -21,3 +22,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:
+    """df in the order of `by`, cut into ranges of near equal row counts numbered in that order by the column
+    __range; a table, so that all who read it see the same cuts. by should be unique per row, as equal rows
+    share a range. ranges is spark.sql.shuffle.partitions by default."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(n, *by).withColumn("__range", F.spark_partition_id()), "ranged")
