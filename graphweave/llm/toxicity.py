@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[in
     """Weights learned from at most about `most` labelled rows outside the held-out fold.
 
     Labels that are null are left out; of several labels for a doc_id the largest counts. Without any
-    labelled row all weights are 0.
+    labelled row all weights are 0 and the bias is the least there is, so that nothing is rejected.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *fold))
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[in
     chosen = documents(docs).join(sample(known, most), "doc_id").select("doc_id", "text", "label")
     got = chosen.mapInArrow(feature_rows, "doc_id long, label int, features binary").toArrow().to_batches()
     if not sum(b.num_rows for b in got):
-        return np.zeros((1 << BITS) + 1)
+        return np.append(np.zeros(1 << BITS), -35.0)
     # the features stay in the batches' buffers: a pandas copy would need several times their size
     order = np.argsort(np.concatenate([np.asarray(b.column("doc_id")) for b in got]), kind="stable")
     examples = [x for b in got for x in views(b.column("features"))]

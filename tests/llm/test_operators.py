@@ -138,5 +138,7 @@ def test_classifiers(spark, docs, none):
     assert (held.lang_pred == held.lang).mean() >= 0.95
     none_labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, none_labels).count() == len(ROWS) and toxicity.toxicity(none, none_labels).count() == 0
+    assert {r.predicted for r in toxicity.toxicity(docs, none_labels).collect()} == {0}
+    assert toxicity.drop_toxic(docs, none_labels).count() == len(ROWS)
     got = {r.doc_id: r.lang_pred for r in language_id.language_id(docs).collect()}
     assert got[4] == got[5] == "und" and language_id.language_id(none).count() == 0
