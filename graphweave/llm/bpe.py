@@ -29,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LEAF, PART, LONG = 1000, 50_000, 100_000
 _SPLIT = regex.compile(PATTERN)
 _BREAK = regex.compile(r"(?<=\S)(?=\s)")
+#: The same from the end backwards: the last such place.
+_LAST = regex.compile(r"(?r)(?<=\S)(?=\s)")
 _loaded: dict[str, Bpe] = {}
 
 
@@ -91,13 +93,34 @@ class Bpe:
                 out += self.piece(m.group().encode())
             return out
         half = len(text) // 2
-        m = _BREAK.search(text, half) or _BREAK.search(text, 0, half)
-        if m is None or not 0 < m.start() < len(text):
-            out = []
-            for m in _SPLIT.finditer(text):
-                out += self.piece(m.group().encode())
-            return out
-        return self.plain(text[: m.start()]) + self.plain(text[m.start() :])
+        last, following = _LAST.search(text, 1, half + 1), _BREAK.search(text, half)
+        left, right = last.start() if last else 0, following.start() if following else len(text)
+        if right - left < LEAF:
+            return self.plain(text[:right]) + self.plain(text[right:])
+        # the middle has no break: what is on its sides is at most half each, so the tree stays flat
+        out = self.plain(text[:left])
+        for m in _SPLIT.finditer(text[left:right]):
+            out += self.piece(m.group().encode())
+        return out + self.plain(text[right:])
+
+    def unbroken(self, text: str) -> Iterator[tuple[int, str]]:
+        """Text without breaks as rows of about PART code points: 0 and text that ends where a piece of the
+        split pattern does, or 1 and the start of a piece longer than that, then 2 and each of its further parts."""
+        row: list[str] = []
+        size = 0
+        for part in self.cut.split(text) if self.cut else [text]:
+            for unit in [part] if part in self.special else (m.group() for m in _SPLIT.finditer(part)):
+                if row and size + len(unit) > PART:
+                    yield 0, "".join(row)
+                    row, size = [], 0
+                if len(unit) > PART:
+                    for at in range(0, len(unit), PART):
+                        yield 2 if at else 1, unit[at : at + PART]
+                else:
+                    row.append(unit)
+                    size += len(unit)
+        if row:
+            yield 0, "".join(row)
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -130,7 +153,9 @@ def encode_rows(path: str):  # noqa: ANN201
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [np.array(bpe.encode(t), np.uint32).tobytes() for t in part.column("text").to_pylist()]
+                texts = part.column("text").to_pylist()
+                inside = part.column("inside").to_pylist() if "inside" in part.schema.names else [0] * len(texts)
+                ids = [np.array(bpe.piece(t.encode()) if i else bpe.encode(t), np.uint32).tobytes() for t, i in zip(texts, inside, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*[c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"], pa.array(ids, pa.binary())],
                     names=[*[n for n in part.schema.names if n != "text"], "ids"],
@@ -139,28 +164,51 @@ def encode_rows(path: str):  # noqa: ANN201
     return run
 
 
-def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_rows(path: str):  # noqa: ANN201
     """Long texts as parts of about PART code points, each cut before white space that follows ink; where
-    PART code points have no such place, the part grows to the next one."""
-    for batch in batches:
-        for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
-            at, rows = 0, []
-            while at < len(text) or not rows:
-                m = _BREAK.search(text, at + PART) if at + PART < len(text) else None
-                to = m.start() if m else len(text)
-                rows.append((key, doc_id, len(rows), text[at:to]))
-                at = to
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)],
-                names=["key", "doc_id", "part", "text"],
-            )
-
-
-def joined(table: pa.Table) -> pa.Table:
-    """One long document's parts in order."""
-    order = np.argsort(np.asarray(table.column("part")))
-    ids = b"".join(table.column("ids").take(pa.array(order)).to_pylist())
-    return pa.table({"doc_id": table.column("doc_id")[:1], "ids": pa.array([ids], pa.binary())})
+    the next such place is further than PART on, by Bpe.unbroken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
+                at, rows = 0, []
+                while at < len(text) or not rows:
+                    m = _BREAK.search(text, at + PART) if at + PART < len(text) else None
+                    to = m.start() if m else len(text)
+                    for inside, part in [(0, text[at:to])] if to - at <= 2 * PART else bpe.unbroken(text[at:to]):
+                        rows.append((key, doc_id, len(rows), inside, part))
+                    at = to
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)],
+                    names=["key", "doc_id", "part", "inside", "text"],
+                )
+
+    return run
+
+
+def joined(path: str):  # noqa: ANN201
+    """One long document's parts in order; those inside one piece are joined in pairs, up a tree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = pa.array(np.argsort(np.asarray(table.column("part"))))
+        blobs, inside = (table.column(c).take(order).to_pylist() for c in ("ids", "inside"))
+        at, out = 0, []
+        while at < len(blobs):
+            to = at + 1
+            while inside[at] and to < len(blobs) and inside[to] == 2:
+                to += 1
+            level = blobs[at:to]
+            if len(level) > 1:
+                bpe, parts = load(path), [np.frombuffer(b, np.uint32).tolist() for b in level]
+                while len(parts) > 1:
+                    parts = [bpe.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+                level = [np.array(parts[0], np.uint32).tobytes()]
+            out += level
+            at = to
+        return pa.table({"doc_id": table.column("doc_id")[:1], "ids": pa.array([b"".join(out)], pa.binary())})
+
+    return run
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, long: int = LONG) -> DataFrame:
@@ -173,17 +221,17 @@ def bpe_encode(docs: DataFrame, path: str | None = None, long: int = LONG) -> Da
     path = path or default_path()
     rows = documents(docs)
     size = F.char_length("text")
-    # a special token holds no white space, so no cut goes through one
+    # a special token holds no white space and unbroken() keeps it whole, so no cut goes through one
     short = rows.where(size <= long).mapInArrow(encode_rows(path), "doc_id long, ids binary")
     parts = (
         rows.withColumn("key", F.monotonically_increasing_id())
         .where(size > long)
         .select("key", "doc_id", "text")
-        .mapInArrow(cut_rows, "key long, doc_id long, part int, text string")
+        .mapInArrow(cut_rows(path), "key long, doc_id long, part int, inside int, text string")
         .repartition(F.col("key"), F.col("part"))
-        .mapInArrow(encode_rows(path), "key long, doc_id long, part int, ids binary")
+        .mapInArrow(encode_rows(path), "key long, doc_id long, part int, inside int, ids binary")
     )
-    return short.unionByName(parts.groupBy("key").applyInArrow(joined, "doc_id long, ids binary"))
+    return short.unionByName(parts.groupBy("key").applyInArrow(joined(path), "doc_id long, ids binary"))
 
 
 def decode_rows(path: str):  # noqa: ANN201

@@ -95,6 +95,19 @@ def test_bpe(docs, none):
     assert bpe.query(none).count() == 0
 
 
+LONG_RUNS = ["漢字かな交じり文", "漢字、かな。", "'ll", "'", "a!", "12", " ", "\n", "é", "ab<|endoftext|>", "'s<|endo", "x\u0301"]
+
+
+def test_bpe_unbroken_tail(docs):
+    """Leading words before a longer tail without breaks, whole and cut into rows."""
+    rows = [(1, "word " * 2000 + "漢" * 12000), (2, "word " * 4000 + "漢字、" * 14000), (3, "漢" * 12000 + " word" * 2000)]
+    rows += [(10 + i, "some words " * 300 + unit * (230_000 // len(unit)) + " and more" * 9000) for i, unit in enumerate(LONG_RUNS)]
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, bpe.query(frame).collect())) == sorted(bpe.brute_force(rows))
+    parts = [len(t) for _, t in bpe.load(bpe.default_path()).unbroken("漢" * 230_000)]
+    assert max(parts) <= bpe.PART and sum(parts) == 230_000
+
+
 def test_fuzzy_hash(docs, none):
     got = {r.doc_id: r for r in fuzzy_hash.query(docs).collect()}
     for i, n, text in fuzzy_hash.brute_force(text_rows()):
