@@ -400,9 +400,22 @@ def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, n: int = N) -> DataFrame:
-    """The documents, with all their columns, whose doc_id names their class: one of each class stays."""
-    gone = jaccard_join(docs, n).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """The documents, with all their columns, without near copies: one row of each class stays, that with the
+    smallest doc_id (a null one only where the class has no other; of equal ones any).
+
+    Rows are told apart by a number of their own in a written table, so that rows which share a doc_id, or
+    have none, stay or go by their own text.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    linked = jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text"), n)
+    linked = materialise(linked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")), "linked")
+    # a class that is one row has nothing to lose
+    several = linked.groupBy("__class").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__class")
+    placed = materialise(linked.join(several, "__class").join(rows.select("__row", "doc_id"), "__row"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    stays = placed.groupBy("__class").agg(F.min(order)["__row"].alias("__row"))
+    gone = placed.select("__row").join(stays.select("__row"), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").drop("__row")
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int = N) -> list[tuple[int, int, int]]:

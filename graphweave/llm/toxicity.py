@@ -111,21 +111,41 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[in
     return ftrl([examples[i] for i in order], (labelled[order] > 0).astype(float))
 
 
+def scored(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:  # noqa: ANN001
+    """The rows in slices, each with its scores."""
+    at, value, bias = weights.value
+    dense = np.zeros(1 << BITS)
+    dense[at] = value
+    for whole in batches:
+        for batch in H.pieces(whole):
+            text, feature = features(batch)
+            total = np.bincount(text, dense[feature], batch.num_rows) + bias
+            yield batch, 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 def scorer(weights):  # noqa: ANN001, ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, value, bias = weights.value
-        dense = np.zeros(1 << BITS)
-        dense[at] = value
-        for whole in batches:
-            for batch in H.pieces(whole):
-                text, feature = features(batch)
-                total = np.bincount(text, dense[feature], batch.num_rows) + bias
-                score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+        for batch, score in scored(weights, batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+
+    return run
+
+
+def keeper(weights, threshold: float):  # noqa: ANN001, ANN201
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, score in scored(weights, batches):
+            yield batch.filter(pa.array(score < threshold))
 
     return run
 
 
+def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE):  # noqa: ANN201
+    """The weights that are not 0, broadcast: 2**BITS at most."""
+    w = train(docs, labels, most)
+    at = np.flatnonzero(w[:-1])
+    return docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), w[at], float(w[-1])))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document.
 
@@ -133,11 +153,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
     that repeat get equal scores; a null doc_id is scored and never held out. An empty table gives no
     rows; other columns are not read.
     """
-    w = train(docs, labels, most)
-    at = np.flatnonzero(w[:-1])
-    weights = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), w[at], float(w[-1])))  # 2**BITS at most
-    scored = documents(docs).mapInArrow(scorer(weights), "doc_id long, score double")
-    return scored.select(
+    rows = documents(docs).mapInArrow(scorer(learned(docs, labels, most)), "doc_id long, score double")
+    return rows.select(
         "doc_id",
         held_out(F.col("doc_id"), 4, 2).alias("held_out"),
         "score",
@@ -146,9 +163,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that are not predicted toxic."""
-    bad = toxicity(docs, labels, threshold).where("predicted = 1").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    """The documents, with all their columns, that are not predicted toxic.
+
+    Each row is judged by its own text, whatever its doc_id: rows that share one, or have none, stay or go on
+    their own. A null text is scored as empty and stays null.
+    """
+    return docs.mapInArrow(keeper(learned(docs, labels), threshold), docs.schema)
 
 
 def quality(scored: pd.DataFrame, labels: pd.DataFrame) -> dict[str, float]:

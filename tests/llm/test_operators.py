@@ -83,6 +83,19 @@ def test_trie_links(seed):
     assert classes(jaccard_join.trie_links(sets)) == classes(pairs)
 
 
+def test_drop_near_copies_by_row(spark, docs, none):
+    """Rows that share a doc_id, or have none, stay or go by their own text."""
+    other = " ".join(f"other{i}" for i in range(60))
+    third = " ".join(f"third{i}" for i in range(60))
+    rows = [(5, "own text without a copy", "en", "A"), (5, BASE + " more", "en", "B"), (3, BASE, "en", "B'"), (None, BASE + " x", "en", "B''"),
+            (None, other, "en", "C"), (None, other + " x", "en", "C'"), (None, "a text of its own", "en", "D"), (None, None, "en", "E"), (8, None, "en", "F"),
+            (7, third, "en", "G"), (7, third, "en", "G"), (7, third + " x", "en", "G")]
+    got = sorted((r.source[0], r.source) for r in jaccard_join.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [s for _, s in got if s[0] != "C"] == ["A", "B'", "D", "E", "F", "G"] and sum(s[0] == "C" for _, s in got) == 1
+    assert jaccard_join.drop_near_copies(docs).columns == docs.columns
+    assert jaccard_join.drop_near_copies(none).count() == 0
+
+
 def test_substring_dedup(docs, none):
     assert sorted(map(tuple, substring_dedup.query(docs).collect())) == substring_dedup.brute_force(text_rows())
     assert substring_dedup.query(none).count() == 0
@@ -140,6 +153,21 @@ def test_source_mix(spark, docs, none):
     assert source_mix.source_mix(docs).count() == len(ROWS) and source_mix.source_mix(none).count() == 0
 
 
+def test_drop_toxic_by_row(spark, none):
+    """With labels: clean rows stay, whoever shares their doc_id or has none either."""
+    clean, bad = "a quiet walk along the river today", "vile hateful insult scum idiot"
+    rows = [(i, bad if i % 2 else clean, "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    more = [(None, bad, "en", "bad"), (None, clean, "en", "1"), (900, bad, "en", "bad"), (900, clean, "en", "2")]
+    frame = spark.createDataFrame(rows + more, SCHEMA).withColumn("score", F.lit(1))
+    got = toxicity.drop_toxic(frame, labels)
+    assert got.columns == frame.columns
+    kept = got.collect()
+    assert sorted(r.source for r in kept if r.source != "s") == ["1", "2"]
+    assert {r.text for r in kept} == {clean} and sum(r.source == "s" for r in kept) == 200
+    assert toxicity.drop_toxic(none, labels).count() == 0
+
+
 def test_classifiers(spark, docs, none):
     d = "/root/testdata/sf0.01"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
