@@ -51,7 +51,7 @@ def queries() -> dict[str, Query]:
         "gr_probable_dup": lambda s, d: G.probable_duplicates(n(s, d), r(s, d)),
         "agg_candidate_groups": lambda s, d: G.candidate_groups(found(s, d)),
         "dml_merge_nodes": lambda s, d: G.merge_nodes(n(s, d)),
-        "dml_merge_edges": lambda s, d: G.merge_edges(r(s, d), n(s, d)),
+        "dml_merge_edges": lambda s, d: G.merge_edges(r(s, d), n(s, d).where("node_type <> 'Region'")),  # as its SQL: no Region was written yet
         "ids_documents": lambda s, d: D.identities(t(s, d, "documents")),
         "fn_text_to_elements": lambda s, d: D.elements(t(s, d, "documents")),
         "agg_quality_summary": lambda s, d: D.quality_summary(D.elements(t(s, d, "documents"))),

@@ -68,6 +68,14 @@ def test_structural_and_scope(spark):
     assert sorted((r.dedupe_key, r.method) for r in C.scoped_detection(full, rels, schema, focus).collect()) == [("b", "orphan_node"), ("c", "exact_dedupe_key")]
 
 
+def test_merge_edges(spark):
+    """Only edges with an end that is missing are skipped, whatever the type of the ends."""
+    nodes = spark.createDataFrame([("n", "Nation", "v", None), ("r", "Region", "v", None)], NODES)
+    rels = spark.createDataFrame([("1", "PART_OF", "n", "r", "", ""), ("1", "PART_OF", "n", "r", "", ""), ("2", "PART_OF", "n", "gone", "", ""), ("3", "R", None, "r", "", "")], RELS)
+    assert tuple(G.merge_edges(rels, nodes).first()) == (1, 1, 2)
+    assert tuple(G.merge_edges(rels, nodes.where("node_type <> 'Region'")).first()) == (0, 0, 4)
+
+
 def test_collapse_and_update(spark):
     rels = spark.createDataFrame([("1", "R", "a", "b", "", ""), ("2", "R", "o", "b", "", ""), ("3", "R", "o", "a", "", ""), ("4", "R", "x", "x", "", ""), ("5", "R", "c", "o", "", "")], RELS)
     merges = spark.createDataFrame([("o", "a")], "obsolete string, survivor string")
