@@ -61,6 +61,33 @@ def scoped_detection(nodes: DataFrame, rels: DataFrame, schema: DataFrame, focus
     return found.distinct()
 
 
+def scoped_candidates(nodes: DataFrame, rels: DataFrame, schema: DataFrame, focus: DataFrame, properties: DataFrame, qualifiers: dict[str, str]) -> DataFrame:
+    """Findings of all detectors that concern the focus: dedupe_key, other, method, each once.
+
+    Beside those of scoped_detection: probable duplicates that the window finds (key_a, key_b) and bidirectional
+    duplicates (all keys in dedupe_key), with an end in the focus; missing provenance and qualifiers of its nodes, read from
+    `properties`. Orphans that are duplicates of either kind are left out.
+    """
+    keys = focus.select("dedupe_key").distinct()
+    mine, near = nodes.join(keys, "dedupe_key", "left_semi"), touching(rels, focus)
+    pick = lambda df, method, key="dedupe_key": df.select(F.col(key).alias("dedupe_key"), F.lit(None).cast("string").alias("other"), F.lit(method).alias("method"))
+    window = G.probable_duplicates(nodes, rels).where("method = 'window'")
+    alike = materialise(touching(window.select(F.col("key_a").alias("start_dedupe_key"), F.col("key_b").alias("end_dedupe_key")), focus), "alike")
+    doubled = G.exact_node_duplicates(mine)
+    named = doubled.select("dedupe_key").unionByName(alike.select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("dedupe_key")))
+    found = structural(properties, rels, qualifiers).join(keys, "dedupe_key", "left_semi")
+    found = suppress_orphans(found, named).select("dedupe_key", F.lit(None).cast("string").alias("other"), "method")
+    for df in (
+        pick(doubled, "exact_dedupe_key"),
+        alike.select(F.col("start_dedupe_key").alias("dedupe_key"), F.col("end_dedupe_key").alias("other"), F.lit("probable_duplicate").alias("method")),
+        pick(G.exact_rel_duplicates(near), "exact_rel_dedupe_key"),
+        pick(G.bidirectional_duplicates(near), "bidirectional_rel_duplicate", "refs"),
+        pick(G.canonical_violations(near, nodes, schema), "canonical_violation"),
+    ):
+        found = found.unionByName(df)
+    return found.distinct()
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """dedupe_key, root: the least key that pairs (key_a, key_b) reach.
 

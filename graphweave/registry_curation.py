@@ -124,6 +124,7 @@ def queries() -> dict[str, Query]:
         "set_suppress_orphans": suppressed,
         "flt_touches_focus": lambda s, d: C.touching(r(s, d), suppliers(s, d)).select("dedupe_key", "rel_type"),
         "gr_scoped_detection": scoped,
+        "gr_scoped_candidates": lambda s, d: C.scoped_candidates(n(s, d), r(s, d), M.schema_edges(s), suppliers(s, d), marked(s, d), {"Part": "brand"}),
         "gr_components": lambda s, d: C.components(r(s, d).select(F.col("start_dedupe_key").alias("key_a"), F.col("end_dedupe_key").alias("key_b"))),
         "gr_enrich": lambda s, d: enriched(s, d).select("node_type", "key_a", "key_b", "property_overlap", F.array_join("conflicts", ",").alias("conflicts"), "composite", "band"),
         "gr_cluster_validate": lambda s, d: C.validate_clusters(enriched(s, d).where("node_type = 'Part' and overlap >= 0.5")).select("key_a", "key_b", "cluster", "keys", "suspect", "band"),

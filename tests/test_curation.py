@@ -68,6 +68,18 @@ def test_structural_and_scope(spark):
     assert sorted((r.dedupe_key, r.method) for r in C.scoped_detection(full, rels, schema, focus).collect()) == [("b", "orphan_node"), ("c", "exact_dedupe_key")]
 
 
+def test_scoped_candidates(spark):
+    """All detectors, for focus nodes only; an orphan that is a probable duplicate is no orphan finding."""
+    rows = [("a", "red steel bolt", "v", {"q": "1"}), ("b", "red steel bolts", "v", {"q": "1"}), ("c", "omega", " ", {"q": " "}), ("d", "zulu", "v", {"q": "1"}), ("e", "yankee", "v", {}), ("f", "kilo one", "v", {"q": "1"}), ("g", "kilo ones", "v", {"q": "1"})]
+    nodes = spark.createDataFrame([(k, "T", v, "run1", "v", i, s, p) for i, (k, v, s, p) in enumerate(rows)], "dedupe_key string, node_type string, primary_value string, run_id string, schema_version string, seq long, s string, properties map<string,string>")
+    marked = nodes.select("dedupe_key", "node_type", "seq", F.col("s").alias("schema_version"), "properties")
+    rels = spark.createDataFrame([("1", "R", "d", "e", "run1", "v"), ("2", "R", "e", "d", "run1", "v")], RELS)
+    schema = spark.createDataFrame([("T", "T", "R")], "start_type string, end_type string, rel_type string")
+    focus = spark.createDataFrame([("a",), ("c",), ("d",), (None,)], "dedupe_key string")
+    got = sorted((r.dedupe_key, r.other or "", r.method) for r in C.scoped_candidates(nodes.drop("s", "properties"), rels, schema, focus, marked, {"T": "q"}).collect())
+    assert got == [("1 2", "", "bidirectional_rel_duplicate"), ("a", "b", "probable_duplicate"), ("c", "", "missing_provenance_node"), ("c", "", "orphan_node"), ("c", "", "qualifier_missing")]
+
+
 def test_merge_edges(spark):
     """Only edges with an end that is missing are skipped, whatever the type of the ends."""
     nodes = spark.createDataFrame([("n", "Nation", "v", None), ("r", "Region", "v", None)], NODES)
