@@ -119,6 +119,11 @@ def context_jaccard(pairs: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def probable_duplicates(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """The pairs of probable_pairs without whether one's tokens contain the other's."""
+    return probable_pairs(nodes, rels).drop("contained")
+
+
+def probable_pairs(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """Pairs of a type that are near in sorted order and alike (Jaro-Winkler of 0.9 with token overlap of 0.5,
     or 0.95; or token containment), and pairs that token_pairs finds; each pair once.
 
@@ -133,7 +138,7 @@ def probable_duplicates(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     scored = both.withColumns({"similarity": F.round(jaro_winkler("value_a", "value_b"), 6), "overlap": F.round(token_overlap(a, b), 6), "contained": token_containment(a, b)})
     alike = (F.col("similarity") >= 0.9) & ((F.col("similarity") >= 0.95) | (F.col("overlap") >= 0.5))
     kept = scored.where(alike & (F.col("method") == "window") | F.col("contained"))
-    one = kept.groupBy("node_type", "key_a", "key_b").agg(F.max(F.struct("method", "similarity", "overlap")).alias("x"))
+    one = kept.groupBy("node_type", "key_a", "key_b").agg(F.max(F.struct("method", "similarity", "overlap", "contained")).alias("x"))
     return context_jaccard(one.select("node_type", "key_a", "key_b", "x.*"), rels)
 
 

@@ -50,6 +50,12 @@ def enriched(s: SparkSession, d: str) -> DataFrame:
     return C.enrich(G.context_jaccard(pairs, M.rels(s, d)), props)
 
 
+def probable(s: SparkSession, d: str) -> DataFrame:
+    """The probable duplicates of all types, enriched."""
+    props = marked(s, d).groupBy("dedupe_key").agg(F.min_by("properties", "seq").alias("properties"))
+    return C.enrich(G.probable_pairs(M.nodes(s, d), M.rels(s, d)), props)
+
+
 def merges(s: SparkSession, d: str) -> DataFrame:
     c = M.nodes(s, d).where("node_type = 'Customer' and seq % 10 < 2").withColumn("g", F.floor(F.col("seq") / 10))
     return c.where("seq % 10 = 1").select("g", F.col("dedupe_key").alias("obsolete")).join(c.where("seq % 10 = 0").select("g", F.col("dedupe_key").alias("survivor")), "g").drop("g")
@@ -127,7 +133,7 @@ def queries() -> dict[str, Query]:
         "gr_scoped_candidates": lambda s, d: C.scoped_candidates(n(s, d), r(s, d), M.schema_edges(s), suppliers(s, d), marked(s, d), {"Part": "brand"}),
         "gr_components": lambda s, d: C.components(r(s, d).select(F.col("start_dedupe_key").alias("key_a"), F.col("end_dedupe_key").alias("key_b"))),
         "gr_enrich": lambda s, d: enriched(s, d).select("node_type", "key_a", "key_b", "property_overlap", F.array_join("conflicts", ",").alias("conflicts"), "composite", "band"),
-        "gr_cluster_validate": lambda s, d: C.validate_clusters(enriched(s, d).where("node_type = 'Part' and overlap >= 0.5")).select("key_a", "key_b", "cluster", "keys", "suspect", "band"),
+        "gr_cluster_validate": lambda s, d: C.validate_clusters(probable(s, d)).select("key_a", "key_b", "cluster", "keys", "suspect", "band"),
         "gr_neighbourhood_annotate": lambda s, d: C.other_partners(G.sorted_window_pairs(n(s, d)).select("key_a", "key_b")),
         "fn_sufficiency": sufficient,
         "fn_risk": lambda s, d: events(s, d).withColumn("risk", S.risk(F.col("kind"), F.when(F.col("class") != "none", F.col("class")))).select("event_id", "risk", S.budget(F.col("value") * 100, F.col("risk")).alias("budget")),

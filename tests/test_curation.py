@@ -50,6 +50,15 @@ def test_validate_clusters(spark):
     assert got == {f"n{i}": (True, "medium") for i in range(9)} | {"a": (False, "high"), "c": (True, "medium"), "d": (True, "low"), "g": (True, "medium"), "h": (True, "medium")}
 
 
+def test_cluster_query_takes_all_types(spark):
+    from graphweave import registry
+
+    d = "/root/testdata/sf0.001"
+    ends = {(r.key_a, r.key_b) for r in registry.queries()["gr_cluster_validate"](spark, d).collect()}
+    assert ends == {(r.key_a, r.key_b) for r in registry.queries()["gr_probable_dup"](spark, d).collect()}
+    assert len({a.split("|")[0] for a, _ in ends}) > 1
+
+
 def test_enrich(spark):
     pairs = spark.createDataFrame([("a", "b", 0.92, 0.5, 0.0, False), ("a", "c", 0.92, 0.5, 0.4, False), ("a", "b", 0.5, 0.5, 1.0, True), ("x", "y", 0.0, 0.0, 0.0, False)], "key_a string, key_b string, similarity double, overlap double, context double, contained boolean")
     props = spark.createDataFrame([("a", {"p": " 1", "q": "2", "run_id": "r"}), ("b", {"p": "1", "q": "3"}), ("c", None)], "dedupe_key string, properties map<string,string>")
