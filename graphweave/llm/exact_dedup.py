@@ -9,7 +9,7 @@ take an ordinary shuffle on the digest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm.common import ascii_lower, documents, materialise
@@ -27,11 +27,11 @@ def heavy_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     heavy = rows.freqItems(["text_sha256"], support).select(
         F.explode("text_sha256_freqItems").alias("text_sha256")
     )
-    return (
-        rows.join(F.broadcast(heavy), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    )
+    return winners_of(rows.join(F.broadcast(heavy), "text_sha256"))
+
+
+def winners_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -46,10 +46,9 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     rows = materialise(digests(docs), "digests")
     winners = materialise(heavy_winners(rows, support), "winners")
     known = rows.join(F.broadcast(winners), "text_sha256", "left")
-    group = Window.partitionBy("text_sha256")
-    light = known.where(F.col("group_size").isNull()).withColumns(
-        {"keep_id": F.max("doc_id").over(group), "group_size": F.count("*").over(group)}
-    )
+    light = known.where(F.col("group_size").isNull()).select("doc_id", "text_sha256")
+    # counted with a map-side combine; the join streams each digest's rows and holds none of them
+    light = light.join(winners_of(light).hint("merge"), "text_sha256")
     return (
         known.where(F.col("group_size").isNotNull())
         .unionByName(light)
@@ -59,10 +58,22 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The documents, with all their columns, without copies: one row of equal texts stays, that with the largest
+    doc_id (a null one only where no other row has the text; of equal ones any).
+
+    Rows are told apart by a number of their own in a written table, so that rows which share a doc_id, or
+    have none, stay or go by their own text.
+    """
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    slim = materialise(digests(numbered.select(F.struct("doc_id", "__row").alias("doc_id"), "text")), "digests")
+    # the largest (doc_id, row) of each text; a null doc_id is the smallest
+    winners = materialise(heavy_winners(slim, support), "winners")
+    known = slim.join(F.broadcast(winners), "text_sha256", "left")
+    light = winners_of(known.where(F.col("group_size").isNull()).select("doc_id", "text_sha256"))
+    stays = winners.unionByName(light).where(F.col("group_size") > 1).select("text_sha256", F.col("keep_id.__row").alias("__stays"))
+    gone = slim.join(stays, "text_sha256").where("doc_id.__row <> __stays").select(F.col("doc_id.__row").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").drop("__row")
 
 
 SQL = """

@@ -1,17 +1,19 @@
 """N-gram Jaccard join with prefix trees.
 
-1. Each text becomes its set of distinct n-gram hashes. Texts with equal sets are one node.
+1. Each text becomes its set of distinct n-gram hashes. Texts with equal sets are one node: 64 bits name it and
+   64 more, of other hashes, tell sets of one name apart.
 2. With sets in one global order, linked sets share at least L(n) grams among their first
    n - ceil(t n) + L(n). Nodes whose own prefix shares fewer grams than any partner would need are out;
-   prefix grams travel as packed arrays, and grams that repeat within a batch are settled there, so that the
-   most frequent gram costs one entry per batch.
+   prefix grams travel as packed arrays, and grams that repeat within a slice of a batch are settled there, so
+   that the most frequent gram costs one entry per slice.
 3. What is left falls into groups connected by shared prefix grams. Where linked nodes share k at least, each
    node first leaves out its (k - 1) // 2 most frequent, such as those of passages that many texts share;
-   one common gram is left to any linked pair. A group is joined by a trie: its sets in
-   the group's own order (rarest gram first), traversed depth first with one array of partial overlaps that
-   sets with a common path share, and left where the remaining length can't reach the needed overlap.
-   Groups too large for a task are cut into bands, and each pair of bands is joined by a task of its own.
-4. Links found (one per set and class, not all pairs) give the classes; copies join by their node.
+   one common gram is left to any linked pair. A group too large for a task is cut by set size (linked sets are
+   in one size class or in neighbouring ones), and a size class still too large into bands, of which each
+   pair is a task.
+4. A task's sets stand in a trie in the task's own order, rarest gram first. It is walked depth first; sets below
+   one node share its overlaps, and subtrees whose size or remaining length can't reach the overlap are cut.
+5. Links found (enough to connect what is linked, not all pairs) give the classes; copies join by their node.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from graphweave.llm.common import documents, materialise
 N = 5
 #: The threshold as a fraction: a link has DEN * intersection >= NUM * union.
 NUM, DEN = 4, 5
-#: Prefix entries in a packed group, and set entries in one band of a trie group.
-GROUP_ENTRIES, BAND_ENTRIES = 1_500_000, 1_000_000
-SETS = "doc_id long, n_shingles long, node long, prefix binary"
+#: Prefix entries in a packed group, set entries in one task's trie, and bytes of arrays in one slice.
+GROUP_ENTRIES, TASK_ENTRIES, SLICE = 500_000, 500_000, 4 << 20
+SETS = "doc_id long, n_shingles long, node long, check long, prefix binary"
 PACKED = "part int, nodes binary, counts binary, grams binary, often binary, done int"
 
 
@@ -74,10 +76,14 @@ def prefix_length(n: int) -> int:
     return min(n, n - least(n) + level(n))
 
 
-def node_of(s: np.ndarray) -> int:
-    """A 64-bit name of the set."""
-    total = H.mix(np.array([np.bitwise_xor.reduce(H.mix(s)), s.sum(dtype=np.uint64)], np.uint64) + H.U(len(s)))
-    return int(H.mix(total[:1] * H.U(3) + total[1:])[0].astype(np.int64))
+def names_of(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of the set."""
+    out = []
+    for salt in (0, 0x9E3779B97F4A7C15):
+        x = H.mix(s ^ H.U(salt))
+        total = H.mix(np.array([np.bitwise_xor.reduce(x), x.sum(dtype=np.uint64)], np.uint64) + H.U(len(s)))
+        out.append(int(H.mix(total[:1] * H.U(3) + total[1:])[0].astype(np.int64)))
+    return out[0], out[1]
 
 
 def set_rows(n: int):  # noqa: ANN201
@@ -85,14 +91,16 @@ def set_rows(n: int):  # noqa: ANN201
         for whole in batches:
             for batch in H.pieces(whole):
                 sets = sets_of(batch, n)
+                names = [names_of(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([k for k, _ in names], pa.int64()),
+                        pa.array([c for _, c in names], pa.int64()),
                         pa.array([s[: prefix_length(len(s))].tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "prefix"],
+                    names=["doc_id", "n_shingles", "node", "check", "prefix"],
                 )
 
     return run
@@ -145,10 +153,12 @@ def dealt(parts: int):  # noqa: ANN201
     are known to share it and go to parts by node; the least goes on, marked (2) if it shares it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, at = np.unique(np.asarray(batch.column("node")), return_index=True)
+        for batch in (x for whole in batches for x in H.pieces(whole, "prefix", SLICE)):
+            names = np.stack([np.asarray(batch.column(c)) for c in ("node", "check")])
+            # sets of one name that differ all stay: their node then stands for the grams of both
+            _, at = np.unique(names, axis=1, return_index=True)
             blobs = batch.column("prefix").take(pa.array(at)).to_pylist()
-            node, gram = np.repeat(names, [len(x) // 8 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint64)
+            node, gram = np.repeat(names[0, at], [len(x) // 8 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint64)
             node, head, gram, size, _ = met(node, gram)
             part = (gram % H.U(parts)).astype(np.int64)
             alone, rest, least_ = size == 1, node != head, (size > 1) & (node == head)
@@ -172,6 +182,7 @@ def sharing(table: pa.Table, parts: int) -> pa.Table:
     gram = np.concatenate([known[1], gram[shared]])
     often = np.concatenate([known[2], (size * often)[shared]])
     batch = packed_batch(list(pack(node, gram, node % parts, 0, often)))
+    H.release()
     return pa.Table.from_batches([batch])
 
 
@@ -195,7 +206,7 @@ def left_over(table: pa.Table) -> pa.Table:
 def joining(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Shared grams of the nodes left, without each node's most frequent, to packed parts; edges to the
     least node of the batch are done."""
-    for batch in batches:
+    for batch in (x for whole in batches for x in H.pieces(whole, "grams", SLICE)):
         nodes, blobs = [], []
         for name, size, grams, often in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "grams", "often")), strict=True):
             gram, times = np.frombuffer(grams, np.uint64), np.frombuffer(often, np.uint32)
@@ -219,18 +230,21 @@ def edges_of(table: pa.Table) -> pa.Table:
     known = np.stack([np.frombuffer(b"".join(take(c, done == 1)), np.int64) for c in ("nodes", "grams")])
     node, head, _, _, _ = met(*unpack(table, 0)[:2])
     edge = np.unique(np.concatenate([known, np.stack([head[node != head], node[node != head]])], axis=1), axis=1)
+    H.release()
     return pa.table({"u": pa.array(edge[0], pa.int64()), "v": pa.array(edge[1], pa.int64())})
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node reachable by the edges (u, v); alternating large and small stars.
 
     Each round joins the edges with the least neighbour of each node, found with a map-side combine; the
     edges are written to the shared folder each round, and the driver sees only their count and checksum.
+    Rounds end when nothing changes, which they do after about the logarithm of the longest path squared.
     """
     edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    seen, now = None, ()
+    while now != seen:
+        seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -240,103 +254,175 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = small.select(F.col("m").alias("u"), "v").unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v")))
         edges = materialise(small.where("u <> v").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
     pairs = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return pairs.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
 class Classes:
-    """Which sets are known to be linked, directly or not."""
+    """Which sets are known to be linked, directly or not; the smaller class takes the larger one's number."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
-def trie_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between sets, enough of them to connect all that are linked. side: 0 and 1 for two bands, of
-    which only pairs across count."""
+        self.of = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+
+    def link(self, i: int, j: int) -> None:
+        a, b = int(self.of[i]), int(self.of[j])
+        x, y = (self.members.pop(k, [k]) for k in (a, b))
+        if len(x) < len(y):
+            a, x, y = b, y, x
+        self.of[y] = a
+        x += y
+        self.members[a] = x
+
+
+class Trie:
+    """The heads of sets, sorted, as nodes numbered in depth-first order: each with its token, depth, the sets
+    below it (places first to last - 1), and the least and most size and the most length below it."""
+
+    def __init__(self, heads: list[tuple[int, ...]], size: np.ndarray, length: np.ndarray) -> None:
+        token, depth, first, last, low, high, long = [], [], [], [], [], [], []
+        open_: list[int] = []
+        self.path: list[list[int]] = []
+
+        def close(to: int, at: int) -> None:
+            while len(open_) > to:
+                v = open_.pop()
+                last[v] = at
+                if open_:
+                    p = open_[-1]
+                    low[p], high[p], long[p] = min(low[p], low[v]), max(high[p], high[v]), max(long[p], long[v])
+
+        for i, head in enumerate(heads):
+            common = 0
+            while common < len(open_) and common < len(head) and token[open_[common]] == head[common]:
+                common += 1
+            close(common, i)
+            s, n = int(size[i]), int(length[i])
+            if open_:
+                p = open_[-1]
+                low[p], high[p], long[p] = min(low[p], s), max(high[p], s), max(long[p], n)
+            self.path.append(list(range(len(token), len(token) + len(head) - common)))
+            for d in range(common, len(head)):
+                open_.append(len(token))
+                for column, x in zip((token, depth, first, last, low, high, long), (head[d], d, i, 0, s, s, n), strict=True):
+                    column.append(x)
+        close(0, len(heads))
+        self.token, self.depth, self.first, self.last, self.low, self.high, self.long = (
+            np.array(c, np.int64) for c in (token, depth, first, last, low, high, long)
+        )
+
+    def uniform(self, of: np.ndarray) -> np.ndarray:
+        """Whether all sets below a node are of one class."""
+        change = np.append(0, np.cumsum(of[1:] != of[:-1]))
+        return change[self.first] == change[self.last - 1] if len(self.first) else np.zeros(0, bool)
+
+
+def trie_links(sets: list[np.ndarray], own: np.ndarray | None = None, band: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets, enough of them to connect all that are linked.
+
+    own: pairs of two sets that are not own don't count; band: where there are two, only pairs across count.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(m), size)
     _, code, df = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
-    # the global order: rare grams first; grams that one set alone has can't overlap and stay out
+    # the order: rare grams first; grams that one set alone has can't overlap and stay out
     rank = np.empty(len(df), np.int64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(df))
     use = df[code] > 1
     by = np.lexsort((rank[code[use]], owner[use]))
     tokens, owner = rank[code[use]][by], owner[use][by]
     cut = np.searchsorted(owner, np.arange(m + 1))
+    # a head: beyond it, two sets that meet for the first time can't reach the overlap that any link needs
+    head = np.maximum(0, np.diff(cut) + (-NUM * size // DEN) + 1)
     rows = [tokens[cut[i] : cut[i + 1]] for i in range(m)]
-    back = np.argsort(tokens, kind="stable")
-    post_at, post = np.searchsorted(tokens[back], np.arange(len(df) + 1)), owner[back]
-    want = -(-NUM * size // DEN)
-    #: How much of each row is posted: beyond it, a set met for the first time can't reach the overlap.
-    head = np.maximum(0, np.array([len(r) for r in rows], np.int64) - want + 1)
-    order = sorted((i for i in range(m) if head[i] > 0), key=lambda i: tuple(rows[i][: head[i]].tolist()))
-    overlap, classes, links = np.zeros(m, np.int32), Classes(m), []
-    path: list[int] = []
-
-    def leave(depth: int) -> None:
-        while len(path) > depth:
-            t = path.pop()
-            overlap[post[post_at[t] : post_at[t + 1]]] -= 1
-
-    for i in order:
-        mine = rows[i][: head[i]].tolist()
-        depth = 0
-        while depth < len(path) and depth < len(mine) and path[depth] == mine[depth]:
-            depth += 1
-        leave(depth)  # the common path's overlaps stay
-        for t in mine[depth:]:
-            overlap[post[post_at[t] : post_at[t + 1]]] += 1
-            path.append(t)
-        rest = len(rows[i]) - len(mine)
-        near = np.flatnonzero(overlap)
-        need = -(-(NUM * (size[near] + size[i])) // (NUM + DEN))
-        near = near[(overlap[near] + np.minimum(rest, size[near] - 1) >= need) & (near != i)]
-        if side is not None:
-            near = near[side[near] != side[i]]
-        # likeliest first: once in a class, its other sets need no check
-        for j in near[np.argsort(-overlap[near], kind="stable")].tolist():
-            a, b = classes.root(i), classes.root(j)
-            if a != b:
-                x, y = rows[i], rows[j]
-                at = np.searchsorted(y, x)
-                same = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
-                if DEN * same >= NUM * (size[i] + size[j] - same):
-                    classes.up[max(a, b)] = min(a, b)
-                    links.append((i, j))
+    heads = [tuple(r[:h].tolist()) for r, h in zip(rows, head.tolist(), strict=True)]
+    order = sorted(np.flatnonzero(head > 0).tolist(), key=heads.__getitem__)
+    if len(order) < 2:
+        return []
+    heads, rows, size = [heads[i] for i in order], [rows[i] for i in order], size[order]
+    length = np.array([len(r) for r in rows], np.int64)
+    rest = length - np.array([len(h) for h in heads])
+    end = np.array([h[-1] for h in heads], np.int64)
+    own = np.ones(len(order), bool) if own is None else own[order]
+    band = np.zeros(len(order), np.int64) if band is None else band[order]
+    across = band.min() != band.max()
+    trie, classes, links = Trie(heads, size, length), Classes(len(order)), []
+
+    def try_link(i: int, j: int) -> None:
+        x, y = (rows[i], rows[j]) if length[i] < length[j] else (rows[j], rows[i])
+        same = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+        if DEN * same >= NUM * (size[i] + size[j] - same):
+            classes.link(i, j)
+            links.append((order[i], order[j]))
+
+    def counts(i: int, j: np.ndarray) -> np.ndarray:
+        return (own[i] | own[j]) & ((band[j] != band[i]) | (not across)) & (classes.of[j] != classes.of[i])
+
+    # postings: of each token its nodes, in depth-first order
+    back = np.argsort(trie.token, kind="stable")
+    labels, at = np.unique(trie.token[back], return_index=True)
+    posted = dict(zip(labels.tolist(), np.split(back, at[1:]), strict=True))
+    # neighbours first, in the trie and along each token's nodes: most of what is linked then is of one class
+    near = [np.stack([np.arange(1, len(order)), np.arange(len(order) - 1)])]
+    near += [np.stack([trie.first[v[1:]], trie.first[v[:-1]]]) for v in posted.values() if len(v) > 1]
+    for i, j in np.concatenate(near, axis=1).T.tolist():
+        if classes.of[i] != classes.of[j] and counts(i, np.array([j]))[0]:
+            try_link(i, j)
+    flat = trie.uniform(classes.of)
+    touched: list[np.ndarray] = []
+    nothing = np.zeros(0, np.int64)
+    for i in range(len(order)):
+        depth = len(heads[i]) - len(trie.path[i])
+        del touched[depth:]
+        for v in trie.path[i]:
+            # nodes of this token up to this one: those further on meet it from their side
+            others = posted[int(trie.token[v])]
+            others = others[: int(np.searchsorted(others, v, "right"))]
+            if len(others) == 1 and trie.last[v] - trie.first[v] == 1:
+                touched.append(nothing)
+                continue
+            p, q = trie.depth[v], trie.depth[others]
+            most = np.minimum(p, q) + np.minimum(trie.long[v] - p, trie.long[others] - q)
+            stays = (NUM + DEN) * most >= NUM * (trie.low[v] + trie.low[others])
+            stays &= (DEN * trie.high[others] >= NUM * trie.low[v]) & (DEN * trie.high[v] >= NUM * trie.low[others])
+            stays &= ~(flat[v] & flat[others] & (classes.of[trie.first[v]] == classes.of[trie.first[others]]))
+            others = others[stays]  # the other subtrees are cut
+            n = trie.last[others] - trie.first[others]
+            touched.append(np.repeat(trie.first[others] - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+        if not any(map(len, touched)):
+            continue
+        found, overlap = np.unique(np.concatenate(touched), return_counts=True)
+        ok = (found < i) & counts(i, found)
+        found, overlap = found[ok], overlap[ok]
+        more = np.where(end[i] <= end[found], rest[i], rest[found])
+        ok = (NUM + DEN) * (overlap + more) >= NUM * (size[i] + size[found])
+        found, overlap = found[ok], overlap[ok]
+        for j in found[np.argsort(-overlap, kind="stable")].tolist():
+            if classes.of[i] != classes.of[j]:
+                try_link(i, j)
     return links
 
 
 def trie_group(table: pa.Table) -> pa.Table:
-    """Of one task: links (u, v) between the nodes whose sets it holds."""
-    nodes, band = np.asarray(table.column("node")), np.asarray(table.column("band"))
-    _, once = np.unique(nodes, return_index=True)  # a doc_id that repeats brings its set again
-    nodes, band = nodes[once], band[once]
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").take(pa.array(once)).to_pylist()]
-    side = (band != band.min()).astype(int) if len(band) and band.min() != band.max() else None
-    found = trie_links(sets, side)
+    """Of one task: links (u, v) between the sets it holds."""
+    sets, own, band = (np.asarray(table.column(c)) for c in ("set", "own", "band"))
+    _, once = np.unique(sets, return_index=True)  # a doc_id that repeats brings its set again
+    sets, own, band = sets[once], own[once], band[once]
+    found = trie_links([np.frombuffer(x, np.uint64) for x in table.column("grams").take(pa.array(once)).to_pylist()], own, band)
     H.release()
-    return pa.table({"u": pa.array([nodes[i] for i, _ in found], pa.int64()), "v": pa.array([nodes[j] for _, j in found], pa.int64())})
+    return pa.table({"u": pa.array([sets[i] for i, _ in found], pa.int64()), "v": pa.array([sets[j] for _, j in found], pa.int64())})
 
 
 def full_sets(n: int):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in H.pieces(whole):
-                # of rows that share a doc_id, those whose set is the node's
-                blobs = [s.tobytes() if len(s) and node_of(s) == k else None for s, k in zip(sets_of(batch, n), batch.column("node").to_pylist(), strict=True)]
-                keep = [batch.column(c) for c in ("node", "root", "bands")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(blobs, pa.binary())], names=["node", "root", "bands", "grams"])
+                # of rows that share a doc_id, those whose set it is
+                names = zip(batch.column("node").to_pylist(), batch.column("check").to_pylist(), strict=True)
+                blobs = [s.tobytes() if len(s) and names_of(s) == k else None for s, k in zip(sets_of(batch, n), names, strict=True)]
+                keep = [batch.column(c) for c in ("set", "root", "places")]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(blobs, pa.binary())], names=["set", "root", "places", "grams"])
 
     return run
 
@@ -349,7 +435,7 @@ def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """node, root: groups of nodes that may be linked; linked nodes are in one group."""
     spark = sets.sparkSession
-    full = sets.where(F.col("node").isNotNull()).select("node", "n_shingles", "prefix")
+    full = sets.where(F.col("node").isNotNull()).select("node", "check", "n_shingles", "prefix")
     entries = full.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // GROUP_ENTRIES) + 1)
     shared = full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(lambda t: sharing(t, parts), PACKED)
@@ -365,6 +451,35 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     return components(edges)
 
 
+def dealt_tasks(groups: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """root, class, a, b, set, own, band, grams: the sets that each task's trie holds.
+
+    A group of at most TASK_ENTRIES is one task. A larger one has a task per size class (powers of 1 / t), with
+    the next class beside it, whose sets (not own) are linked among themselves elsewhere; so a set is in two
+    tasks. A class too large is cut into bands by hash, and each pair of bands is a task.
+    """
+    whole = groups.groupBy("root").agg((F.sum("n") > TASK_ENTRIES).alias("large"))
+    level_ = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
+    placed = groups.join(whole, "root").withColumn("size", F.when(F.col("large"), level_).otherwise(0))
+    both = F.when(F.col("large"), F.array(F.col("size"), F.col("size") - 1)).otherwise(F.array(F.lit(0)))
+    placed = placed.withColumn("class", F.explode(both))
+    bands = placed.groupBy("root", "class").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / TASK_ENTRIES)).cast("int").alias("bands"))
+    placed = placed.join(bands, ["root", "class"])
+    where = F.struct("class", "bands", (F.col("size") == F.col("class")).alias("own"))
+    chosen = placed.groupBy("set", "root", "node", "check", F.col("rep").alias("__id")).agg(F.collect_list(where).alias("places"))
+    text = documents(docs)
+    # the same plan for any number of sets: these grow with the input
+    text = text.join(chosen.hint("merge"), F.coalesce(text["doc_id"], F.lit(-(2**63))) == F.coalesce("__id", F.lit(-(2**63))))
+    keys = ["node", "check", "set", "root", "places"]
+    grams = text.select(*keys, "text").mapInArrow(
+        full_sets(n), "set long, root long, places array<struct<class:int,bands:int,own:boolean>>, grams binary"
+    )
+    tasks = grams.where(F.col("grams").isNotNull()).withColumn("place", F.explode("places")).select("set", "root", "grams", "place.*")
+    tasks = tasks.withColumn("band", F.pmod(F.xxhash64("set"), F.col("bands")).cast("int"))
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
+    return tasks.withColumns({"a": F.least("band", "other"), "b": F.greatest("band", "other")}).drop("other", "bands")
+
+
 def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document.
 
@@ -376,26 +491,18 @@ def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     are linked. An empty table gives no rows; other columns are not read.
     """
     sets = shingle_sets(docs, n)
-    reps = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
-    groups = materialise(candidate_groups(sets).join(reps, "node"), "groups")
-    weight = groups.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BAND_ENTRIES)).cast("int").alias("bands"))
-    chosen = groups.join(weight, "root").select("node", "root", "bands", F.col("rep").alias("doc_id"))
-    chosen = chosen.withColumnRenamed("doc_id", "__id")
-    text = documents(docs)
-    # the same plan for any number of sets: these grow with the input
-    text = text.join(chosen.hint("merge"), F.coalesce(text["doc_id"], F.lit(-(2**63))) == F.coalesce("__id", F.lit(-(2**63))))
-    grams = text.select("node", "root", "bands", "text").mapInArrow(full_sets(n), "node long, root long, bands int, grams binary")
-    grams = grams.where(F.col("grams").isNotNull())
-    # a group in one band is one task; else each pair of bands is one
-    band = F.pmod(F.xxhash64("node"), F.col("bands")).cast("int")
-    tasks = grams.withColumn("band", band).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
-    tasks = tasks.withColumns({"a": F.least("band", "other"), "b": F.greatest("band", "other")}).drop("other", "bands")
-    links = tasks.groupBy("root", "a", "b").applyInArrow(lambda t: trie_group(t), "u long, v long")
-    classes = components(links).join(reps, "node")
+    names = ["node", "check"]
+    reps = sets.where(F.col("node").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
+    groups = candidate_groups(sets).join(reps, "node").withColumn("set", F.monotonically_increasing_id())
+    groups = materialise(groups, "groups")
+    tasks = dealt_tasks(groups, docs, n)
+    links = tasks.groupBy("root", "class", "a", "b").applyInArrow(lambda t: trie_group(t), "u long, v long")
+    classes = components(links).withColumnRenamed("node", "set").join(groups.select("set", *names, "rep"), "set")
     least_ = classes.groupBy("root").agg(F.min("rep").alias("least"))
-    named = classes.join(least_, "root").select("node", "least")
-    marked = sets.drop("prefix").join(reps.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("least")), "node", "left")
-    out = marked.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    named = classes.join(least_, "root").select(*names, "least")
+    marked = reps.join(named, names, "left").select(*names, F.coalesce("least", "rep").alias("least"))
+    out = sets.drop("prefix").join(marked, names, "left")
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id")
 
 
@@ -416,31 +523,3 @@ def drop_near_copies(docs: DataFrame, n: int = N) -> DataFrame:
     stays = placed.groupBy("__class").agg(F.min(order)["__row"].alias("__row"))
     gone = placed.select("__row").join(stays.select("__row"), "__row", "left_anti")
     return rows.join(gone, "__row", "left_anti").drop("__row")
-
-
-def brute_force(rows: list[tuple[int, str | None]], n: int = N) -> list[tuple[int, int, int]]:
-    """doc_id, n_shingles, component_id in plain Python, for tests."""
-    import re
-
-    sets = []
-    for _, text in rows:
-        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-        w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
-    up = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            same = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
-                a, b = root(i), root(j)
-                up[max(a, b)] = min(a, b)
-    least_: dict[int, int] = {}
-    for i, r in enumerate(rows):
-        least_[root(i)] = min(least_.get(root(i), r[0]), r[0])
-    return [(r[0], len(sets[i]), least_[root(i)]) for i, r in enumerate(rows)]

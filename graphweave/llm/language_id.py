@@ -22,7 +22,7 @@ from graphweave.llm.common import documents
 from graphweave.llm.toxicity import held_out, sample
 
 BITS, WIDTH = 14, 12
-#: Rows learned from, at most about this many, chosen by a hash of doc_id.
+#: Rows learned from, at most about this many, chosen by a hash of doc_id (their gram counts are bounded by 2**BITS each).
 SAMPLE = 4000
 #: The share of accepted predictions that may be wrong.
 ERROR = 0.01
@@ -58,7 +58,7 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = np.unique(text.astype(np.int64) << BITS | gram, return_counts=True)
             cut = np.searchsorted(key >> BITS, np.arange(batch.num_rows + 1))
             g = (key & ((1 << BITS) - 1)).astype(np.uint16)
-            n = np.minimum(n, 65535).astype(np.uint16)
+            n = n.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"),
                  pa.array([g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
@@ -114,7 +114,7 @@ def train(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray, f
     langs = sorted(set(got.lang))
     if not langs:
         return ["und"], np.zeros((1 << BITS, 1)), 1.0, 0.0
-    rows = [(np.frombuffer(g, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(float), langs.index(x)) for g, n, x in zip(got.grams, got.counts, got.lang, strict=True)]
+    rows = [(np.frombuffer(g, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32).astype(float), langs.index(x)) for g, n, x in zip(got.grams, got.counts, got.lang, strict=True)]
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(rows))
     return langs, *fit([rows[i] for i in order], len(langs))
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +18,9 @@ from graphweave.llm import wordhash as H
 from graphweave.llm.common import documents
 
 BITS = 18
-#: Labelled rows learned from, at most about this many, chosen by a hash of doc_id.
-SAMPLE = 12_000
+#: Labelled rows learned from, at most about this many, chosen by a hash of doc_id; and the longest text learned
+#: from, in bytes, which bounds what the driver holds.
+SAMPLE, LONGEST = 12_000, 1 << 15
 THRESHOLD = 0.3
 _MARKS = np.array([35, 36, 37, 38, 42, 44, 46, 33, 63, 58, 59, 34, 39, 40, 41], np.uint8)
 
@@ -56,10 +56,14 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
-    """About `most` rows of all, chosen by a hash of doc_id (all of them where there are no more)."""
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of all, chosen by a 63-bit hash of doc_id (all of them where there are no more). Rows that
+    share a chosen doc_id are cut off at twice `most`, so that a repeated row can't flood the driver."""
     share = most / max(1, rows.count())
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    if share >= 1:
+        return rows
+    drawn = F.call_function("shiftrightunsigned", F.xxhash64("doc_id", F.lit(7)), F.lit(1)) < F.lit(int(share * 2**63))
+    return rows.where(drawn).limit(2 * most)
 
 
 def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 0.4, beta: float = 1.0, l1: float = 8.0, l2: float = 0.3) -> np.ndarray:
@@ -91,7 +95,7 @@ def views(column: pa.Array) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[int, int] = (4, 2)) -> np.ndarray:
-    """Weights learned from at most about `most` labelled rows outside the held-out fold.
+    """Weights learned from at most about `most` labelled rows outside the held-out fold, of LONGEST bytes at most.
 
     Labels that are null are left out; of several labels for a doc_id the largest counts. Without any
     labelled row all weights are 0 and the bias is the least there is, so that nothing is rejected.
@@ -100,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[in
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *fold))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     )
-    chosen = documents(docs).join(sample(known, most), "doc_id").select("doc_id", "text", "label")
+    learnable = documents(docs).where(F.octet_length("text") <= LONGEST)
+    chosen = learnable.join(sample(known, most), "doc_id").select("doc_id", "text", "label").limit(2 * most)
     got = chosen.mapInArrow(feature_rows, "doc_id long, label int, features binary").toArrow().to_batches()
     if not sum(b.num_rows for b in got):
         return np.append(np.zeros(1 << BITS), -35.0)
@@ -169,11 +174,3 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     their own. A null text is scored as empty and stays null.
     """
     return docs.mapInArrow(keeper(learned(docs, labels), threshold), docs.schema)
-
-
-def quality(scored: pd.DataFrame, labels: pd.DataFrame) -> dict[str, float]:
-    """Precision, recall and F1 at the threshold on held-out labelled rows, for tests."""
-    m = scored[scored.held_out].merge(labels, on="doc_id")
-    hit = int(((m.predicted == 1) & (m.toxic == 1)).sum())
-    p, r = hit / max(1, int((m.predicted == 1).sum())), hit / max(1, int((m.toxic == 1).sum()))
-    return {"precision": p, "recall": r, "f1": 2 * p * r / max(1e-9, p + r), "n": len(m)}

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -62,11 +63,12 @@ def release() -> None:
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `most` bytes of text (one text at least), which bounds a task's memory."""
-    off, _ = buffers(batch.column(column))
+    """The batch in slices of about `most` bytes of a column (one value at least), which bounds a task's memory."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
     release()

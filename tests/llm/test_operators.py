@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from graphweave.llm import (
     bpe,
     exact_dedup,
@@ -59,7 +60,7 @@ def test_line_dedup(docs, none):
 
 
 def test_jaccard_join(docs, none):
-    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect())) == sorted(jaccard_join.brute_force(text_rows()))
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect())) == sorted(brute.jaccard_join(text_rows()))
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
@@ -172,7 +173,7 @@ def test_classifiers(spark, docs, none):
     d = "/root/testdata/sf0.01"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     tox = toxicity.toxicity(real, labels)
-    q = toxicity.quality(tox.toPandas(), labels.toPandas())
+    q = brute.quality(tox.toPandas(), labels.toPandas())
     assert q["precision"] >= 0.7
     lang = language_id.language_id(real).toPandas().merge(real.select("doc_id", "lang").toPandas(), on="doc_id")
     held = lang[lang.held_out]
