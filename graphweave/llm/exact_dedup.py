@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphweave.llm.common import ascii_lower, documents, materialise
 
-SUPPORT = 1 / 2000
+SUPPORT = 1 / 10_000
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -12,16 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.llm import wordhash as H
-from graphweave.llm.common import documents
+from graphweave.llm.common import documents, materialise
 
 LENGTH, LEAST = 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-#: Ranges that the documents are dealt into by doc_id.
-RANGES = 256
+#: Bytes of text in a range of documents that one task walks, and the most ranges: their bounds are one literal.
+RANGE_BYTES, RANGES = 16 << 20, 1 << 15
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def rolling(raw: np.ndarray) -> np.ndarray:
         out[back:] += w[:-back] * H.U(pow(0x2545F4914F6CDD1D, back, 2**64))
     out ^= out >> H.U(33)
     out *= H.U(0xFF51AFD7ED558CCD)
-    return (out >> H.U(40)).astype(np.uint32)
+    return out
 
 
 def fingerprints(texts: list[bytes]) -> list[str]:
@@ -42,16 +42,18 @@ def fingerprints(texts: list[bytes]) -> list[str]:
     off = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
     if not len(raw):
         return [f"{LEAST}::"] * len(texts)
-    roll = rolling(raw)
+    bits = rolling(raw)
+    roll = (bits >> H.U(40)).astype(np.uint32)
     for back in range(6):  # the first bytes of a text see no bytes of the one before
         at = off[:-1] + back
         roll[at[(at < off[1:])]] = 0
     # level of a byte: how many doublings of the least block size its hash is a boundary for
     edge = np.flatnonzero(roll % np.uint32(LEAST) == LEAST - 1)
-    value = (roll[edge] // np.uint32(LEAST)).astype(np.int64)
+    # 21 bits of what is left of the upper part, then those of the lower part, for texts of any length
+    value = (roll[edge] // np.uint32(LEAST)).astype(np.int64) & 0x1FFFFF | (bits[edge] & H.U(0xFFFFFF)).astype(np.int64) << 21
     level = np.zeros(len(edge), np.int8)
     open_ = np.ones(len(edge), bool)
-    for k in range(1, 22):
+    for k in range(1, 30):
         open_ &= (value >> (k - 1)) & 1 == 1
         level += open_
     up, down = H.powers(len(raw) + 1)
@@ -75,7 +77,7 @@ def fingerprints(texts: list[bytes]) -> list[str]:
             continue
         at, lv = edge[first[i] : first[i + 1]], level[first[i] : first[i + 1]]
         k = 0
-        while (LEAST << k) * LENGTH < b - a and k < 20:
+        while (LEAST << k) * LENGTH < b - a and k < 28:
             k += 1
         while k and np.count_nonzero(lv >= k) < LENGTH // 2 - 1:
             k -= 1
@@ -182,44 +184,56 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def cuts_of(rows: DataFrame, ranges: int) -> list[int]:
+    """At most ranges - 1 ascending doc_ids that part the bytes about evenly: quantiles of a sample in which a
+    document's chance is its size. They steer only how the work is dealt."""
+    total = rows.agg(F.sum("bytes")).first()[0]
+    if not total or ranges < 2:
+        return []
+    chance = F.col("bytes") * F.lit(min(1.0, 64 * ranges / total) * 2.0**63)
+    drawn = rows.where(F.call_function("shiftrightunsigned", F.xxhash64("doc_id", F.lit(5)), F.lit(1)) < chance)
+    at = [i / ranges for i in range(1, ranges)]
+    return sorted(set(drawn.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []))
+
+
+def place_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are less than doc_id, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    table, steps = F.array(*map(F.lit, cuts)), F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < doc_id, at + step).otherwise(at))
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """range, doc_id, text, borrowed: each document in the range of its doc_id, and at the end of each
     range a copy of the document that comes next (after the last range: the first document), so that
     every task finds each document's successor beside it."""
     rows = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []))
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
-    rows = rows.withColumn("range", where)
-    # the first document of each range, and the range before it in the order of descending doc_id
-    heads = sorted((r for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect()), key=lambda r: -r["range"])
-    if not heads:
-        return rows.withColumn("borrowed", F.lit(False))
-    to = {heads[(i + 1) % len(heads)]["head"]: heads[i]["range"] for i in range(len(heads))}  # at most `ranges`
-    lend = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
+    slim = materialise(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("bytes")), "sizes")
+    ranges = min(RANGES, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))
+    cuts = cuts_of(slim, ranges)
+    rows = rows.withColumn("range", place_of(F.col("doc_id"), cuts))
+    # the first document of each range belongs behind the range before it in the order of descending doc_id
+    heads = slim.groupBy(place_of(F.col("doc_id"), cuts).alias("range")).agg(F.max("doc_id").alias("doc_id"))
+    turn = Window.orderBy(F.desc("range"))  # one row per range
+    heads = heads.select("doc_id", F.coalesce(F.lag("range").over(turn), F.min("range").over(Window.partitionBy())).alias("to"))
     # of rows that share that doc_id, the one that sorts first
-    first = rows.where(F.col("doc_id").isin(list(to))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    lent = first.select("doc_id", "text", lend[F.col("doc_id")].alias("range"))
+    lent = rows.join(F.broadcast(heads), "doc_id").groupBy("doc_id", "to").agg(F.min("text").alias("text"))
+    lent = lent.select("doc_id", "text", F.col("to").alias("range"))
     return rows.withColumn("borrowed", F.lit(False)).unionByName(lent.withColumn("borrowed", F.lit(True)))
 
 
-def query(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def query(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A null text counts as empty. Rows that share a doc_id are ordered by text; a null doc_id comes last and
     is returned as null. A single document follows itself. An empty table gives no rows; other columns are
     not read.
     """
-    rows = with_next(docs, ranges)
+    rows = with_next(docs, range_bytes)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "range").sortWithinPartitions("range", "borrowed", F.desc("doc_id"), "text")
     out = dealt.select("range", "doc_id", "text", "borrowed").mapInArrow(
         pair_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
-
-
-def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, str]]:
-    """doc_id, n_chars, edited text of each, for tests."""
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1]))
-    return [(i, len(t), edited(t, order[(k + 1) % len(order)][1])) for k, (i, t) in enumerate(order)]

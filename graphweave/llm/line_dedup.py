@@ -2,9 +2,9 @@
 
 Each line of at least `min_chars` becomes (hash, doc_id, position). Hashes that more than `support` of all
 lines have (at most 1/support, found by a Misra-Gries pass) are counted with a map-side combine and settled
-by a broadcast of their winners. All others are partitioned by ranges of the hash and sorted within by
-document (largest first) and position, so that one streaming pass meets the first occurrence of each line
-before its repeats. What returns is not text but a compressed bitmap per document of the lines to drop:
+by a broadcast of their winners. All others that enough documents have are partitioned by ranges of the hash and
+sorted within by document (largest first) and position, so that one streaming pass meets the first occurrence
+of each line before its repeats. What returns is not text but a compressed bitmap per document of the lines to drop:
 64-line words, those without a dropped line left out.
 """
 
@@ -17,7 +17,7 @@ from graphweave.llm.common import SPACE, ascii_lower, documents, materialise
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SUPPORT = 1 / 2000
+SUPPORT = 1 / 10_000
 BITMAP = "array<struct<word:int,bits:bigint>>"
 
 
@@ -48,13 +48,14 @@ def dropped_lines(rows: DataFrame, min_docs: int = MIN_DOCS, support: float = SU
     known = rows.join(F.broadcast(winners), "hash", "left")
     settled = known.where((F.col("docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("last")))
     light = known.where(F.col("docs").isNull()).select("hash", "doc_id", "pos")
-    line = Window.partitionBy("hash")
-    ranked = (
-        light.repartitionByRange("hash")
-        .withColumn("nth", F.dense_rank().over(line.orderBy(F.desc_nulls_last("doc_id"))))
-        .withColumn("docs", F.max("nth").over(line))
-    )
-    repeats = ranked.where((F.col("nth") > 1) & (F.col("docs") >= min_docs))
+    # how many documents have a line is counted with a map-side combine; lines of fewer go no further
+    docs = light.groupBy("hash", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("docs"))
+    several = light.join(docs.where(F.col("docs") >= min_docs).select("hash"), "hash", "left_semi")
+    # one pass in the order of document and position: what differs from the line before is an occurrence in a
+    # document of its own, and those of the first document stay
+    order = Window.partitionBy("hash").orderBy(F.desc_nulls_last("doc_id"), "pos")
+    ranged = several.repartitionByRange("hash").withColumn("first", F.first(F.struct("doc_id")).over(order))
+    repeats = ranged.where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     return settled.select("doc_id", "pos").unionByName(repeats.select("doc_id", "pos"))
 
 
@@ -126,7 +127,8 @@ def apply_bitmaps(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256, drop_bitmap as a hex string."""
+    """doc_id, n_lines, n_dropped, kept_sha256, drop_bitmap as a hex string; nulls, repeats and empty tables as in
+    line_dedup."""
     found = bitmaps(dropped_lines(materialise(line_hashes(docs), "linehash")))
     hexed = F.array_join(
         F.transform("drop_bitmap", lambda w: F.format_string("%d:%016x", w["word"], w["bits"])), ","

@@ -1,18 +1,21 @@
 """Substring dedup: suffixes by prefix group, cut at the depth of a window.
 
 A window of `size` words is the path from the root to depth `size` of the suffix tree over all texts; two
-occurrences of a repeat share that node. Suffixes are split by a prefix of variable place: the smallest
-hash among the window's `size // 2`-word grams (equal windows have equal smallest grams), and neighbouring
-suffixes with the same gram travel as one run, with 4 bytes of path hash each, so a suffix costs about six
-bytes instead of its words. Groups are sized to a task's memory. In each, suffixes are sorted by path, the
-deep nodes are the runs of equal paths (64 bits of gram and 32 of path), and each occurrence after the first
-is a repeat. Repeats within one batch of texts are settled at once and send a single occurrence on, so
-the most frequent passage costs each group one row per batch.
+occurrences of a repeat share that node. Suffixes are split by a prefix of variable length: the smallest hash
+among the window's `size // 2`-word grams (equal windows have equal smallest grams), and neighbouring suffixes
+with the same gram travel as one run. Where a count of all windows shows that a gram's bucket would outgrow a
+task, as with a phrase that many texts share, the prefix of its windows is extended to the whole window, by a
+second hash. In each group suffixes are sorted by path, the deep nodes are the runs of equal paths, and each
+occurrence after the first is a repeat. Repeats within one slice of texts are settled at once and send a single
+occurrence on, so the most frequent passage costs each group one row per slice.
+
+Windows are equal when 128 bits are: 64 of the prefix and 64 of the path. Of windows that share a gram only the
+path tells them apart, but at most BUCKET_WINDOWS of them meet so; those of larger buckets have two
+hashes of the whole window.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -25,20 +28,23 @@ from graphweave.llm import wordhash as H
 from graphweave.llm.common import documents, materialise
 
 WINDOW = 20
-#: Windows in a group: about 100 MB of arrays in the task.
-GROUP_WINDOWS = 3_000_000
+#: Windows in a group, which are about 100 MB of arrays in the task; and in a bucket of grams before their prefix
+#: is extended. There are eight buckets to a group.
+GROUP_WINDOWS, BUCKET_WINDOWS = 1_500_000, 500_000
+SALT = 0x9E3779B97F4A7C15
 RUNS = "group int, doc_id binary, seq binary, runs binary, gram binary, first binary, length binary, path binary, kind int"
 PACKED_MARKS = "part int, doc_id binary, seq binary, runs binary, starts binary"
 MARKS = "doc_id long, seq long, starts binary"
 
 
 def windows(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
-    """Text number, start word, smallest gram and 32-bit path of every window."""
+    """Text number, start word, smallest gram and path of every window, and the hashes of all words with the number
+    of the word that each window begins at."""
     off, raw = H.buffers(batch.column("text"))
     _, _, text, h = H.words(off, raw, lower=False)
     if len(h) < size:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint32), np.zeros(batch.num_rows, np.int64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), h, none
     counts = np.bincount(text, minlength=batch.num_rows)
     begin = np.cumsum(counts) - counts
     k = size // 2
@@ -46,10 +52,10 @@ def windows(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
     while width < size - k + 1:  # smallest of all size - k + 1 grams of the window
         step = min(width, size - k + 1 - width)
         low, width = np.minimum(low[:-step], low[step:]), width + step
-    path = (H.ngrams(h, size) >> H.U(32)).astype(np.uint32)
+    path = H.ngrams(h, size)
     whole = text[: len(path)] == text[size - 1 :]
     at = np.flatnonzero(whole)
-    return text[at], at - begin[text[at]], low[at], path[at], counts
+    return text[at], at - begin[text[at]], low[at], path[at], h, at
 
 
 def ranks(ids: np.ndarray, seqs: np.ndarray) -> np.ndarray:
@@ -70,7 +76,7 @@ def repeated(g: np.ndarray, p: np.ndarray, rank: np.ndarray, start: np.ndarray)
 
 def later(text: np.ndarray, start: np.ndarray, gram: np.ndarray, path: np.ndarray, ids: np.ndarray, seqs: np.ndarray) -> np.ndarray:
     """Which windows equal one of this batch that starts earlier."""
-    key = gram ^ (path.astype(np.uint64) * H.U(0x9E3779B97F4A7C15))
+    key = gram ^ (path * H.U(SALT))
     ordered = np.sort(key)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     out = np.zeros(len(key), bool)
@@ -83,49 +89,67 @@ def later(text: np.ndarray, start: np.ndarray, gram: np.ndarray, path: np.ndarra
     return out
 
 
-def runs_of(size: int, groups: int):  # noqa: ANN201
+def unsettled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """Per slice of the batches: ids and seqs of its texts, what windows() gives, and which windows equal one of
+    the slice that starts earlier."""
+    for whole in batches:
+        for batch in H.pieces(whole):
+            found = windows(batch, size)
+            if len(found[0]):
+                ids, seqs = np.asarray(batch.column("doc_id").fill_null(-(2**63))), np.asarray(batch.column("seq"))
+                yield ids, seqs, *found, later(*found[:4], ids, seqs)
+
+
+def bucket_counts(size: int, buckets: int):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in H.pieces(whole):
-                ids = np.asarray(batch.column("doc_id").fill_null(-(2**63)))
-                seqs = np.asarray(batch.column("seq"))
-                text, start, gram, path, _ = windows(batch, size)
-                if not len(text):
-                    continue
-                again = later(text, start, gram, path, ids, seqs)
-                rows: list[tuple] = []
-                if again.any():
-                    t, at = text[again], start[again]
-                    cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                    n = np.diff(np.append(cut, len(t))).astype(np.uint32)
-                    rows.append((int(gram[0] % H.U(groups)), ids[t[cut]].tobytes(), seqs[t[cut]].tobytes(), n.tobytes(), b"", at.astype(np.uint32).tobytes(), b"", b"", 1))
-                left = np.flatnonzero(~again)
-                text, start, gram, path = text[left], start[left], gram[left], path[left]
-                # runs: consecutive starts of one text with the same gram
-                new = np.ones(len(left), bool)
-                new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (gram[1:] != gram[:-1])
-                head = np.flatnonzero(new)
+        for _, _, _, _, gram, _, _, _, again in unsettled(batches, size):
+            bucket, n = np.unique(gram[~again] % H.U(buckets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n, pa.int64())], names=["bucket", "n"])
+
+    return run
+
+
+def runs_of(size: int, groups: int, buckets: int, large):  # noqa: ANN001, ANN201
+    """Packed runs by group. large: a broadcast of the sorted buckets whose windows are told apart by a second hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, seqs, text, start, gram, path, h, at, again in unsettled(batches, size):
+            rows: list[tuple] = []
+            if again.any():
+                t, begins = text[again], start[again]
+                cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                n = np.diff(np.append(cut, len(t))).astype(np.uint32)
+                rows.append((int(gram[0] % H.U(groups)), ids[t[cut]].tobytes(), seqs[t[cut]].tobytes(), n.tobytes(), b"", begins.astype(np.uint32).tobytes(), b"", b"", 1))
+            left = np.flatnonzero(~again)
+            text, start, gram, path, at = text[left], start[left], gram[left], path[left], at[left]
+            if len(large.value):
+                bucket = (gram % H.U(buckets)).astype(np.int64)
+                back = np.minimum(np.searchsorted(large.value, bucket), len(large.value) - 1)
+                gram = np.where(large.value[back] == bucket, H.ngrams(H.mix(h ^ H.U(SALT)), size)[at], gram)
+            # runs: consecutive starts of one text with the same prefix
+            new = np.ones(len(left), bool)
+            new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1) | (gram[1:] != gram[:-1])
+            head = np.flatnonzero(new)
+            length = np.diff(np.append(head, len(left)))
+            if len(length) and length.max() > 255:  # a gram that repeats itself: more runs
+                head = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(head, length, strict=True)])
                 length = np.diff(np.append(head, len(left)))
-                if len(length) and length.max() > 255:  # a gram that repeats itself: more runs
-                    head = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(head, length, strict=True)])
-                    length = np.diff(np.append(head, len(left)))
-                group = (gram[head] % H.U(groups)).astype(np.int64)
-                by = np.lexsort((head, group))  # heads are in the order of texts and starts
-                head, length, group = head[by], length[by], group[by]
-                expand = np.repeat(head - np.cumsum(length) + length, length) + np.arange(length.sum())
-                path, ends = path[expand], np.append(0, np.cumsum(length))
-                owner, gram, start = text[head], gram[head], start[head].astype(np.uint32)
-                short = length.astype(np.uint8)
-                cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(head) else []
-                for a, b in zip(cut, np.append(cut[1:], len(head)), strict=True) if len(head) else []:
-                    own = owner[a:b]
-                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    rows.append((
-                        int(group[a]), ids[own[first]].tobytes(), seqs[own[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(),
-                        gram[a:b].tobytes(), start[a:b].tobytes(), short[a:b].tobytes(), path[ends[a] : ends[b]].tobytes(), 0,
-                    ))
-                if not rows:
-                    continue
+            group = (gram[head] % H.U(groups)).astype(np.int64)
+            by = np.lexsort((head, group))  # heads are in the order of texts and starts
+            head, length, group = head[by], length[by], group[by]
+            expand = np.repeat(head - np.cumsum(length) + length, length) + np.arange(length.sum())
+            path, ends = path[expand], np.append(0, np.cumsum(length))
+            owner, gram, start = text[head], gram[head], start[head].astype(np.uint32)
+            short = length.astype(np.uint8)
+            cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(head) else []
+            for a, b in zip(cut, np.append(cut[1:], len(head)), strict=True) if len(head) else []:
+                own = owner[a:b]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                rows.append((
+                    int(group[a]), ids[own[first]].tobytes(), seqs[own[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(),
+                    gram[a:b].tobytes(), start[a:b].tobytes(), short[a:b].tobytes(), path[ends[a] : ends[b]].tobytes(), 0,
+                ))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN_TYPES, strict=True)], names=RUN_NAMES)
 
     return run
@@ -146,7 +170,7 @@ def repeats(table: pa.Table, parts: int) -> pa.Table:
     if len(open_):
         ids, seqs, runs = column("doc_id", np.int64, open_), column("seq", np.int64, open_), column("runs", np.uint32, open_)
         gram, first = column("gram", np.uint64, open_), column("first", np.uint32, open_)
-        length, path = column("length", np.uint8, open_).astype(np.int64), column("path", np.uint32, open_)
+        length, path = column("length", np.uint8, open_).astype(np.int64), column("path", np.uint64, open_)
         row = np.repeat(np.arange(len(ids)), runs)
         ends = np.cumsum(length)
         # a gram met once has no repeat
@@ -176,6 +200,7 @@ def repeats(table: pa.Table, parts: int) -> pa.Table:
             n = np.diff(np.append(head, b - a)).astype(np.uint32)
             rows.append((int(part[a]), i[head].tobytes(), q[head].tobytes(), n.tobytes(), starts[a:b].tobytes()))
     types = [pa.int32(), *[pa.binary()] * 4]
+    H.release()
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["part", "doc_id", "seq", "runs", "starts"])
 
 
@@ -200,14 +225,19 @@ def numbered(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("seq", F.xxhash64("text"))
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = WINDOW, group_windows: int = GROUP_WINDOWS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """doc_id, seq, starts: little-endian 32-bit word numbers where a window starts that also starts
     earlier (a smaller doc_id, or the same document and an earlier start)."""
     rows = numbered(docs)
     bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(parts, -(-bytes_ // (6 * GROUP_WINDOWS)))
-    found = rows.mapInArrow(runs_of(size, groups), RUNS).groupBy("group").applyInArrow(lambda t: repeats(t, groups), PACKED_MARKS)
+    groups = max(parts, -(-bytes_ // (6 * group_windows)))
+    buckets = 8 * groups
+    counts = rows.mapInArrow(bucket_counts(size, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # one for bucket_windows windows at most, in practice a few
+    large = sorted(r.bucket for r in counts.where(F.col("n") > bucket_windows).select("bucket").collect())
+    large = rows.sparkSession.sparkContext.broadcast(np.array(large, np.int64))
+    found = rows.mapInArrow(runs_of(size, groups, buckets, large), RUNS).groupBy("group").applyInArrow(lambda t: repeats(t, groups), PACKED_MARKS)
     return materialise(found.groupBy("part").applyInArrow(by_document, MARKS), "repeats")
 
 
@@ -255,22 +285,5 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256; nulls, repeats and empty tables as in substring_dedup."""
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int, str | None]], size: int = WINDOW) -> list[tuple[int, int, int, str]]:
-    """The same in plain Python, for tests."""
-    import re
-
-    seen, out = set(), []
-    for doc_id, text in sorted(rows):
-        got = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        gone = set()
-        for i in range(len(got) - size + 1):
-            w = tuple(got[i : i + size])
-            if w in seen:
-                gone.update(range(i, i + size))
-            seen.add(w)
-        kept = " ".join(w for i, w in enumerate(got) if i not in gone)
-        out.append((doc_id, len(got), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return out

@@ -49,3 +49,109 @@ def quality(scored, labels):
     m = scored[scored.held_out].merge(labels, on="doc_id")
     hit = int(((m.predicted == 1) & (m.toxic == 1)).sum())
     return {"precision": hit / max(1, int((m.predicted == 1).sum())), "recall": hit / max(1, int((m.toxic == 1).sum()))}
+
+
+def substring_dedup(rows, size=20):
+    """doc_id, n_words, n_removed, kept text; rows are in the order of doc_id."""
+    seen, out = set(), []
+    for doc_id, text in rows:
+        got, gone = words(text), set()
+        for i in range(len(got) - size + 1):
+            w = tuple(got[i : i + size])
+            if w in seen:
+                gone.update(range(i, i + size))
+            seen.add(w)
+        out.append((doc_id, len(got), len(gone), " ".join(w for i, w in enumerate(got) if i not in gone)))
+    return out
+
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+M64 = 2**64 - 1
+
+
+def rolling(raw, i):
+    """The rolling hash at byte i, from the seven bytes up to it."""
+    out = 0
+    for back in range(min(7, i + 1)):
+        w = (raw[i - back] + 1) * 0x9E3779B97F4A7C15 & M64
+        w ^= w >> 31
+        out = (out + w * pow(0x2545F4914F6CDD1D, back, 2**64)) & M64
+    out ^= out >> 33
+    return out * 0xFF51AFD7ED558CCD & M64
+
+
+def fingerprint(raw):
+    """The piecewise hash byte by byte; chunk characters come from the same hash of the chunk's bytes."""
+    from graphweave.llm import wordhash as H
+
+    if not raw:
+        return "3::"
+    levels = []
+    for i in range(len(raw)):
+        h = rolling(raw, i)
+        top = h >> 40 if i >= 6 else 0
+        if top % 3 == 2:
+            value, k = top // 3 & 0x1FFFFF | (h & 0xFFFFFF) << 21, 0
+            while k < 29 and value >> k & 1:
+                k += 1
+            levels.append((i, k))
+
+    powers = [1]
+
+    def character(a, b):
+        total, power = 0, powers[0]
+        for byte in raw[a:b]:
+            total = (total + int(H._BYTE[byte]) * power) & M64
+            power = power * 0x9E3779B97F4A7C15 & M64
+        import numpy as np
+
+        return ALPHABET[int(H.mix(np.array([total], np.uint64))[0] >> np.uint64(58))]
+
+    def signature(k, most):
+        ends = [i + 1 for i, lv in levels if lv >= k][: most - 1]
+        if not ends or ends[-1] != len(raw):
+            ends.append(len(raw))
+        return "".join(character(a, b) for a, b in zip([0, *ends], ends, strict=False))
+
+    k = 0
+    while (3 << k) * 64 < len(raw):
+        k += 1
+    while k and sum(lv >= k for _, lv in levels) < 31:
+        k -= 1
+    return f"{3 << k}:{signature(k, 64)}:{signature(k + 1, 32)}"
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def likeness(x, y):
+    if x == y:
+        return 1.0
+    (p, p1, p2), (q, q1, q2) = x.split(":"), y.split(":")
+    p, q, best = int(p), int(q), 0.0
+    for s, t in [(p1, q1), (p2, q2)] if p == q else [(p1, q2)] if p == 2 * q else [(p2, q1)] if q == 2 * p else []:
+        need = min(7, max(len(s), len(t)))
+        if any(s[i : i + need] in t for i in range(len(s) - need + 1)):
+            best = max(best, 1 - edit_distance(s, t) / max(len(s), len(t)))
+    return best
+
+
+def fuzzy_hash(rows):
+    """As the query: the next document is the next smaller doc_id, null last, ties by text."""
+    import hashlib
+
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    out = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        new = t[: len(t) - half] + after[:half]
+        own, changed, following = (fingerprint(x.encode()) for x in (t, new, after))
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, following)))
+    return out

@@ -97,11 +97,33 @@ def test_drop_near_copies_by_row(spark, docs, none):
     assert jaccard_join.drop_near_copies(none).count() == 0
 
 
+def substring_rows(frame, **limits):
+    return sorted(map(tuple, substring_dedup.substring_dedup(frame, **limits).collect()))
+
+
 def test_substring_dedup(docs, none):
-    assert sorted(map(tuple, substring_dedup.query(docs).collect())) == substring_dedup.brute_force(text_rows())
+    want = brute.substring_dedup(text_rows())
+    assert substring_rows(docs) == want
+    hashed = [(i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, n, g, t in want]
+    assert sorted(map(tuple, substring_dedup.query(docs).collect())) == hashed
     assert substring_dedup.query(none).count() == 0
 
 
+def test_substring_dedup_shared_phrase(spark):
+    """A phrase of ten words in many texts is no repeat of twenty, however often it occurs; one of twenty-two is."""
+    phrase = " ".join(f"p{i}" for i in range(10))
+    full = " ".join(f"q{i}" for i in range(22))
+    text = lambda i: " ".join(f"w{(i * 31 + k * 17) % 9973}x{k}" for k in range(12))
+    rows = [(i, f"{text(i)} {phrase} {text(i + 5000)}" + (f" {full} {text(i + 1)}" if i % 50 == 0 else "")) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.substring_dedup(rows)
+    assert sum(n for _, _, n, _ in want) < 22 * 60 + 1
+    for limit in (10, 500_000):  # with prefixes extended, and without
+        marks = substring_dedup.repeated_windows(frame, bucket_windows=limit)
+        assert sum(len(r.starts) // 4 for r in marks.collect()) == 59 * 3
+    assert substring_rows(frame) == want
+
+
 def test_bpe(docs, none):
     rows = [*text_rows(), (12, "abc" * 9000), (13, " <|endoftext|> x" * 20), (14, "many words " * 12000)]
     frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
@@ -122,12 +144,20 @@ def test_bpe_unbroken_tail(docs):
     assert max(parts) <= bpe.PART and sum(parts) == 230_000
 
 
-def test_fuzzy_hash(docs, none):
-    got = {r.doc_id: r for r in fuzzy_hash.query(docs).collect()}
-    for i, n, text in fuzzy_hash.brute_force(text_rows()):
-        assert (got[i].n_chars, got[i].edited_sha256) == (n, hashlib.sha256(text.encode()).hexdigest())
-    assert got[4].fingerprint == got[5].fingerprint and got[4].near_next >= 0
-    assert fuzzy_hash.query(none).count() == 0
+@pytest.mark.parametrize("range_bytes", [1, 300, 1 << 24])
+def test_fuzzy_hash(docs, none, range_bytes):
+    """Each document's own, edited and next fingerprint, compared by a plain edit distance, however the rows are dealt."""
+    rows = [*text_rows(), (None, "a null id comes last " * 9), (3, BASE + " twice"), (3, BASE + " twice")]
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    show = lambda out: sorted(out, key=str)
+    assert show(map(tuple, fuzzy_hash.query(frame, range_bytes).collect())) == show(brute.fuzzy_hash(rows))
+    assert fuzzy_hash.query(none, range_bytes).count() == 0
+
+
+def test_places():
+    assert fuzzy_hash.fingerprints([b""]) == ["3::"]
+    long = np.random.default_rng(5).integers(97, 123, 300_000, dtype=np.uint8).tobytes()
+    assert fuzzy_hash.fingerprints([long, long[:150_000] + b"x" + long[150_000:]]) == [brute.fingerprint(t) for t in (long, long[:150_000] + b"x" + long[150_000:])]
 
 
 def test_hilbert(docs, none):
@@ -143,6 +173,23 @@ def test_hilbert(docs, none):
     assert hilbert_shards.hilbert_shards(none).count() == 0
 
 
+def test_hilbert_brute(spark):
+    """Slots follow the curve; strings that begin alike still part the curve; cells of many buckets stay whole."""
+    rows = [(i, "w " * (1 + i * 37 % 101), "en" if i % 3 else None, f"https://www.example.org/{i % 16:02}") for i in range(900)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    slim = frame.select("doc_id", (F.octet_length("text") + 1).alias("size"), F.crc32("text").alias("text_crc32"), "source")
+    spread, axes = hilbert_shards.curve(slim, ["source", "size"], 4)
+    cells = spread.toPandas()
+    assert cells[axes[0]].nunique() >= 14 and cells[axes[1]].nunique() >= 15
+    assert (cells.sort_values("source")[axes[0]].diff().dropna() >= 0).all()
+    placed = hilbert_shards.ranked(slim.withColumn("x", (F.col("doc_id") % 4 * 4 % 16).cast("int")).withColumn("y", F.lit(1)), ["x", "y"], 4, 7).toPandas()
+    assert sorted(placed["rank"]) == list(range(900))
+    assert (placed.sort_values("rank").hilbert.diff().dropna() >= 0).all()
+    got = hilbert_shards.hilbert_shards(frame, shards=7).toPandas()
+    order = got.sort_values(["shard", "slot"])
+    assert (order.hilbert.diff().dropna() >= 0).all() and sorted(got.groupby("shard").size()) == [128] * 3 + [129] * 4
+
+
 def test_source_mix(spark, docs, none):
     rows = [(i, "w " * 10, "en", "big" if i < 80 else "small") for i in range(100)]
     got = source_mix.source_mix(spark.createDataFrame(rows, SCHEMA), max_repeats=2.0).toPandas()
