@@ -10,7 +10,6 @@ exactly when each neighbouring pair is, and then each pair lies in one of three
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -21,6 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.llm import wordhash as H
 from graphweave.llm.common import documents
 
 #: The byte-level split pattern of this vocabulary's family (a fixed value).
@@ -55,8 +55,6 @@ class Bpe:
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        #: The same ranks without a split pattern, for the inside of one long piece.
-        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
 
     def join(self, left: list[int], right: list[int], window: int = 8) -> list[int]:
@@ -147,19 +145,25 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def encode_rows(path: str):  # noqa: ANN201
+def coded(batch: pa.RecordBatch, columns: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """The batch without some columns and with others."""
+    kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in drop} | columns
+    return pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
+
+
+def encode_rows(path: str, decode: bool = False):  # noqa: ANN201
+    """ids in the place of text; with decode the text that the ids give stands beside them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part.column("text").to_pylist()
-                inside = part.column("inside").to_pylist() if "inside" in part.schema.names else [0] * len(texts)
-                ids = [np.array(bpe.piece(t.encode()) if i else bpe.encode(t), np.uint32).tobytes() for t, i in zip(texts, inside, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "text"], pa.array(ids, pa.binary())],
-                    names=[*[n for n in part.schema.names if n != "text"], "ids"],
-                )
+        for part in (x for batch in batches for x in H.pieces(batch)):
+            texts = part.column("text").to_pylist()
+            inside = part.column("inside").to_pylist() if "inside" in part.schema.names else [0] * len(texts)
+            ids = [bpe.piece(t.encode()) if i else bpe.encode(t) for t, i in zip(texts, inside, strict=True)]
+            out = {"ids": pa.array([np.array(x, np.uint32).tobytes() for x in ids], pa.binary())}
+            if decode:
+                out["text"] = pa.array([bpe.decode(x) for x in ids], pa.string())
+            yield coded(part, out, ("text",))
 
     return run
 
@@ -187,7 +191,7 @@ def cut_rows(path: str):  # noqa: ANN201
     return run
 
 
-def joined(path: str):  # noqa: ANN201
+def joined(path: str, decode: bool = False):  # noqa: ANN201
     """One long document's parts in order; those inside one piece are joined in pairs, up a tree."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -206,13 +210,17 @@ def joined(path: str):  # noqa: ANN201
                 level = [np.array(parts[0], np.uint32).tobytes()]
             out += level
             at = to
-        return pa.table({"doc_id": table.column("doc_id")[:1], "ids": pa.array([b"".join(out)], pa.binary())})
+        got = {"doc_id": table.column("doc_id")[:1], "ids": pa.array([b"".join(out)], pa.binary())}
+        if decode:
+            got["text"] = pa.array([load(path).decode(np.frombuffer(b"".join(out), np.uint32).tolist())])
+        return pa.table(got)
 
     return run
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, long: int = LONG) -> DataFrame:
-    """doc_id, ids: little-endian unsigned 32-bit token ids of each whole text, one row per document.
+def bpe_encode(docs: DataFrame, path: str | None = None, long: int = LONG, decode: bool = False) -> DataFrame:
+    """doc_id, ids: little-endian unsigned 32-bit token ids of each whole text, one row per document; with decode
+    also text, what the ids give back, in the same pass of a worker.
 
     A null text counts as empty and has no tokens. Special tokens in a text are encoded as such and none
     is added. Rows that repeat are encoded each; a null doc_id stays null; an empty table gives no
@@ -221,8 +229,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, long: int = LONG) -> Da
     path = path or default_path()
     rows = documents(docs)
     size = F.char_length("text")
+    schema = "doc_id long, ids binary" + ", text string" * decode
     # a special token holds no white space and unbroken() keeps it whole, so no cut goes through one
-    short = rows.where(size <= long).mapInArrow(encode_rows(path), "doc_id long, ids binary")
+    short = rows.where(size <= long).mapInArrow(encode_rows(path, decode), schema)
     parts = (
         rows.withColumn("key", F.monotonically_increasing_id())
         .where(size > long)
@@ -231,18 +240,15 @@ def bpe_encode(docs: DataFrame, path: str | None = None, long: int = LONG) -> Da
         .repartition(F.col("key"), F.col("part"))
         .mapInArrow(encode_rows(path), "key long, doc_id long, part int, inside int, ids binary")
     )
-    return short.unionByName(parts.groupBy("key").applyInArrow(joined(path), "doc_id long, ids binary"))
+    return short.unionByName(parts.groupBy("key").applyInArrow(joined(path, decode), schema))
 
 
 def decode_rows(path: str):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                blobs = part.column("ids").to_pylist()
-                text = [bpe.decode(np.frombuffer(b or b"", np.uint32).tolist()) for b in blobs]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(text)], names=["doc_id", "ids", "text"])
+        for part in (x for batch in batches for x in H.pieces(batch, "ids")):
+            text = [bpe.decode(np.frombuffer(b or b"", np.uint32).tolist()) for b in part.column("ids").to_pylist()]
+            yield coded(part, {"text": pa.array(text, pa.string())})
 
     return run
 
@@ -253,22 +259,10 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe_decode(bpe_encode(docs, path), path).select(
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; nulls, repeats and empty tables as in bpe_encode."""
+    return bpe_encode(docs, path, decode=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
-
-
-def brute_force(rows: list[tuple[int, str | None]], path: str | None = None) -> list[tuple[int, int, str, str]]:
-    """The same with the tokenizers library, for tests."""
-    from tokenizers import Tokenizer
-
-    t, out = Tokenizer.from_file(path or default_path()), []
-    for doc_id, text in rows:
-        ids = t.encode(text or "", add_special_tokens=False).ids
-        back = t.decode(ids, skip_special_tokens=False)
-        out.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-    return out

@@ -155,3 +155,19 @@ def fuzzy_hash(rows):
         own, changed, following = (fingerprint(x.encode()) for x in (t, new, after))
         out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, following)))
     return out
+
+
+def bpe(rows):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 with the tokenizers library."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, out = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), []
+    for doc_id, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        back = t.decode(ids, skip_special_tokens=False)
+        out.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    return out

@@ -127,8 +127,18 @@ def test_substring_dedup_shared_phrase(spark):
 def test_bpe(docs, none):
     rows = [*text_rows(), (12, "abc" * 9000), (13, " <|endoftext|> x" * 20), (14, "many words " * 12000)]
     frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, bpe.query(frame).collect())) == sorted(bpe.brute_force(rows))
+    assert sorted(map(tuple, bpe.query(frame).collect())) == sorted(brute.bpe(rows))
     assert bpe.query(none).count() == 0
+    back = bpe.bpe_decode(bpe.bpe_encode(frame))
+    assert sorted(tuple(r) for r in back.select("doc_id", "text").collect()) == [(i, t or "") for i, t in rows]
+
+
+def test_bpe_long_unsplit(docs):
+    """Two million letters without white space: rows of their own, encoded in parallel and joined up the tree."""
+    rng = np.random.default_rng(3)
+    rows = [(1, "".join(map(chr, rng.integers(97, 123, 2_000_000)))), (2, "ab" * 1_000_000)]
+    frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, bpe.query(frame).collect())) == sorted(brute.bpe(rows))
 
 
 LONG_RUNS = ["漢字かな交じり文", "漢字、かな。", "'ll", "'", "a!", "12", " ", "\n", "é", "ab<|endoftext|>", "'s<|endo", "x\u0301"]
@@ -139,7 +149,7 @@ def test_bpe_unbroken_tail(docs):
     rows = [(1, "word " * 2000 + "漢" * 12000), (2, "word " * 4000 + "漢字、" * 14000), (3, "漢" * 12000 + " word" * 2000)]
     rows += [(10 + i, "some words " * 300 + unit * (230_000 // len(unit)) + " and more" * 9000) for i, unit in enumerate(LONG_RUNS)]
     frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, bpe.query(frame).collect())) == sorted(bpe.brute_force(rows))
+    assert sorted(map(tuple, bpe.query(frame).collect())) == sorted(brute.bpe(rows))
     parts = [len(t) for _, t in bpe.load(bpe.default_path()).unbroken("漢" * 230_000)]
     assert max(parts) <= bpe.PART and sum(parts) == 230_000
 
