@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The properties that the engine itself writes, which take no part in comparisons.
-GOVERNANCE = ["run_id", "schema_version", "dedupe_key", "_run_id", "_last_seen_at", "_schema_version"]
+GOVERNANCE = ["_dedupe_key", "_schema_version", "_chunk_id", "_primary_value", "run_id", "schema_version"]
 # Risk of a finding's type and of a proposal's class.
 TYPE_RISK = {"exact_node_duplicate": "medium", "exact_rel_duplicate": "medium", "probable_duplicate": "high", "canonical_violation": "medium", "structural_anomaly": "low"}
 CLASS_RISK = {"merge": "high", "delete": "high", "rename": "medium", "normalize": "medium", "canonicalize": "low", "defer": "low"}
@@ -66,3 +66,53 @@ def risk(kind: Column, proposal_class: Column) -> Column:
 def budget(tokens: Column, level: Column) -> Column:
     """Half, once or one and a half times the tokens, truncated."""
     return (tokens * F.when(level == "low", 0.5).when(level == "high", 1.5).otherwise(1.0)).cast("long")
+
+
+def cost(prompt_chars: Column, completion_chars: Column) -> Column:
+    """A thousandth per thousand characters."""
+    return (prompt_chars + completion_chars) / 1000 * 0.001
+
+
+def _duplicate_advice(a: Column, b: Column, similarity: Column, overlap: Column, context: Column, contained: Column) -> list[tuple[Column, str, Column]]:
+    """Of two alike values, in order: condition, action and confidence."""
+    words = lambda s: F.array_distinct(F.filter(F.split(F.lower(s), r"(?U)\s+"), lambda w: w != ""))
+    x, y = words(a), words(b)
+    inside = (F.size(x) != F.size(y)) & (F.size(F.array_intersect(x, y)) == F.least(F.size(x), F.size(y)))
+    named, near = (a != "") & (b != ""), context > 0
+    sure, likely = similarity >= 0.95, similarity >= 0.9
+    level = F.lit
+    return [
+        (named & (F.lower(a) == F.lower(b)), "merge", F.least(F.lit(0.95), F.greatest(similarity, F.lit(0.9)))),
+        (contained & near, "merge", level(0.8)), (contained, "defer", level(0.55)),
+        (sure & near, "merge", level(0.9)), (sure, "merge", level(0.85)),
+        (named & likely & inside & near, "merge", level(0.8)), (named & likely & inside, "defer", level(0.5)),
+        (likely & near, "merge", F.round(0.75 + F.least(context, F.lit(0.15)), 2)),
+        (likely & (overlap >= 0.8), "merge", level(0.65)), (likely, "defer", level(0.45)), (F.lit(True), "defer", level(0.3)),
+    ]
+
+
+# What is advised for a finding's type and method (any other method: None), with its confidence.
+ADVICE = {
+    ("exact_node_duplicate", None): ("merge", 0.95),
+    ("exact_rel_duplicate", "bidirectional_rel_duplicate"): ("delete", 0.9),
+    ("exact_rel_duplicate", None): ("merge", 0.95),
+    ("canonical_violation", "canonical_inverse_violation"): ("normalize", 0.9),
+    ("canonical_violation", None): ("normalize", 0.5),
+    ("structural_anomaly", "orphan_node"): ("delete", 0.7),
+    ("structural_anomaly", "degree_outlier"): ("defer", 0.3),
+    ("structural_anomaly", "missing_provenance_node"): ("normalize", 0.9),
+    ("structural_anomaly", "missing_provenance_rel"): ("normalize", 0.9),
+    ("structural_anomaly", "qualifier_missing"): ("normalize", 0.8),
+    ("structural_anomaly", None): ("defer", 0.25),
+}
+
+
+def advice(kind: Column, method: Column, a: Column, b: Column, similarity: Column, overlap: Column, context: Column, contained: Column) -> tuple[Column, Column]:
+    """Action and confidence for a finding; null values and scores count as empty and 0. Unknown types are deferred."""
+    a, b = (F.coalesce(c, F.lit("")) for c in (a, b))
+    similarity, overlap, context = (F.coalesce(c, F.lit(0.0)) for c in (similarity, overlap, context))
+    pairs = _duplicate_advice(a, b, similarity, overlap, context, F.coalesce(contained, F.lit(False)))
+    leaves = [((kind == "probable_duplicate") & when, act, sure) for when, act, sure in pairs]
+    leaves += [((kind == k) & (F.lit(True) if m is None else method.eqNullSafe(F.lit(m))), act, F.lit(sure)) for (k, m), (act, sure) in ADVICE.items()]
+    first = lambda pick, rest: reduce(lambda later, leaf: F.when(leaf[0], pick(leaf)).otherwise(later), reversed(leaves), rest)
+    return first(lambda x: F.lit(x[1]), F.lit("defer")), first(lambda x: x[2], F.lit(0.2))

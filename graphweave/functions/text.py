@@ -1,13 +1,48 @@
-"""Token functions and identities as column expressions."""
+"""Text, token and identity functions as column expressions."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+# Words that carry no content in names.
+STOPWORDS = """
+a an and are as at be but by for from had has have he her his how i if in into is it its may my no nor not of on or our
+out own per she so than that the their them then there these they this to too up us was we were what when which who why
+will with would you your
+""".split()
+# Text that no rationale may hold, graph mutations and executable snippets.
+MUTATION = r"(?i)\b(?:MATCH\s*\(|CREATE\s*\(|MERGE\s*\(|DETACH\s+DELETE\b|SET\s+\w+\.\w+|REMOVE\s+\w+\.\w+|FOREACH\s*\()"
+EXECUTABLE = r"(?i)(?:```|\bexec\s*\(|\beval\s*\(|\b__import__\s*\(|\bsubprocess\.\w+|\bos\.system\s*\()"
+# The names that types and properties may have.
+IDENTIFIER, PROPERTY_NAME = r"^[A-Za-z][A-Za-z0-9_]*$", r"^[A-Za-z_][A-Za-z0-9_]*$"
+
+
+def strip(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
+def primary_value(s: Column) -> Column:
+    """Lower-cased and stripped; an absent value is empty."""
+    return strip(F.lower(F.coalesce(s, F.lit(""))))
+
+
+def sanitize(s: Column) -> Column:
+    """Separators of any script become spaces; runs of white space become one, and none stays at the ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(s, r"\p{Z}", " "), r"(?U)\s+", " "))
+
+
+def guard(*texts: Column) -> Column:
+    """The first kind of forbidden content in the texts, or null."""
+    kinds = [F.when(F.rlike(t, F.lit(MUTATION)), "mutation").when(F.rlike(t, F.lit(EXECUTABLE)), "executable") for t in texts]
+    return F.coalesce(*kinds)
+
+
 def tokens(s: Column) -> Column:
     """Distinct lower-case runs of a-z and 0-9."""
     return F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), F.lit(0)))
@@ -25,10 +60,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / total)
 
 
-def token_containment(a: Column, b: Column, least: int = 2) -> Column:
-    """The smaller token set lies in the larger, has at least `least` tokens, and the sizes differ."""
-    small = F.least(F.size(a), F.size(b))
-    return (F.size(a) != F.size(b)) & (small >= least) & (F.size(F.array_intersect(a, b)) == small)
+def content_tokens(s: Column) -> Column:
+    """Tokens of two characters at least that are no stopwords."""
+    return F.filter(F.array_except(tokens(s), F.array(*map(F.lit, STOPWORDS))), lambda t: F.length(t) > 1)
+
+
+def contained(a: Column, b: Column, x: Column, y: Column, least: int = 2, length: int = 3) -> Column:
+    """Whether the smaller of the content token sets x and y, of the values a and b, lies in the larger: it has at
+    least `least` tokens, its value at least `length` characters, and the sizes differ."""
+    small = F.least(F.size(x), F.size(y))
+    shorter = F.when(F.size(x) < F.size(y), a).otherwise(b)
+    return (F.size(x) != F.size(y)) & (small >= least) & (F.char_length(strip(shorter)) >= length) & (F.size(F.array_intersect(x, y)) == small)
+
+
+def token_containment(a: Column, b: Column, least: int = 2, length: int = 3) -> Column:
+    """contained() of two values."""
+    return contained(a, b, content_tokens(a), content_tokens(b), least, length)
 
 
 def candidate_id(kind: str, refs: Column, method: str) -> Column:
@@ -45,7 +92,7 @@ def nul_hash(*parts: Column) -> Column:
 
 
 def jaro_winkler_of(a: str, b: str) -> float:
-    """Jaro similarity, raised by a tenth of what is missing per common leading character, up to four; half
+    """Of one pair: Jaro similarity, raised by a tenth of what is missing per common leading character, up to four; half
     transpositions count and every similarity is raised."""
     if a == b:
         return 1.0
@@ -66,7 +113,50 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
+def jaro_winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler_of for many pairs at once: one step per character of the longest text, over all pairs."""
+    n = len(a)
+    la, lb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    wide, high = int(la.max(initial=0)), int(lb.max(initial=0))
+    x, y = np.full((n, wide), -1, np.int32), np.full((n, high), -2, np.int32)
+    for rows, texts in ((x, a), (y, b)):
+        for i, s in enumerate(texts):
+            rows[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    at, free, left = np.arange(high)[None], np.ones((n, high), bool), np.zeros((n, wide), bool)
+    for i in range(wide):
+        fits = free & (y == x[:, i : i + 1]) & (at >= i - reach) & (at <= i + reach)
+        left[:, i] = hit = fits.any(1)
+        free[hit, fits[hit].argmax(1)] = False
+    m = left.sum(1)
+    order = lambda chars, taken: np.take_along_axis(chars, np.argsort(~taken, axis=1, kind="stable"), 1)
+    k = min(wide, high)
+    differ = (order(x, left)[:, :k] != order(y, ~free & (y >= 0))[:, :k]) & (np.arange(k)[None] < m[:, None])
+    moved = differ.sum(1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - moved) / m) / 3, 0.0)
+    same = np.zeros(n, np.int64)
+    for i in range(min(4, k)):
+        same += (same == i) & (x[:, i] == y[:, i])
+    equal = np.array([s == t for s, t in zip(a, b, strict=True)], bool)
+    return np.where(equal, 1.0, jaro + same * 0.1 * (1 - jaro))
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Null where either text is."""
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    rows = np.flatnonzero(known)
+    x, y = a.to_numpy()[rows], b.to_numpy()[rows]
+    # pairs of like length together, in slices of bounded size
+    length = np.array([max(len(s), len(t)) for s, t in zip(x, y, strict=True)], np.int64)
+    order, begin = np.argsort(length, kind="stable"), 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and (end + 1 - begin) * length[order[end]] <= 1 << 20:
+            end += 1
+        take = order[begin:end]
+        out[rows[take]] = jaro_winkler_batch(x[take].tolist(), y[take].tolist())
+        begin = end
+    return pd.Series(out).where(known)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.operators.documents import elements
+
 CHUNK = "doc_id long, chunk_index long, elements long, start_page int, end_page int, chars long, text string, flags array<string>, error string"
 
 
@@ -41,7 +43,7 @@ def fold(types: list[str], texts: list[str], most_chars: int, most_tokens: int)
     return [*chunks, pending] if pending else chunks
 
 
-def chunks(elements: DataFrame, most_chars: int = 1000, most_tokens: int = 250) -> DataFrame:
+def chunks(parts: DataFrame, most_chars: int = 1000, most_tokens: int = 250) -> DataFrame:
     """One row per chunk of each document's elements (doc_id, pos, element_type, text, page, confidence).
 
     The elements of one document are one group. flags: low_ocr_confidence (least confidence under 0.7),
@@ -52,6 +54,7 @@ def chunks(elements: DataFrame, most_chars: int = 1000, most_tokens: int = 250)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos", kind="stable")
+        fallback = ["raw_fallback"] if rows["raw"].fillna(False).any() else []
         types, texts = rows["element_type"].tolist(), rows["text"].fillna("").tolist()
         pages, sure = rows["page"].tolist(), rows["confidence"].tolist()
         out = []
@@ -59,18 +62,17 @@ def chunks(elements: DataFrame, most_chars: int = 1000, most_tokens: int = 250)
             text = "\n\n".join(texts[i] for i in at if texts[i].strip())
             page = [int(pages[i]) for i in at if not pd.isna(pages[i])]
             known = [sure[i] for i in at if not pd.isna(sure[i])]
-            flags = (["low_ocr_confidence"] if known and min(known) < 0.7 else []) + (["low_text_density"] if len(text.strip()) < 20 else [])
+            flags = (["low_ocr_confidence"] if known and min(known) < 0.7 else []) + (["low_text_density"] if len(text.strip()) < 20 else []) + fallback
             error = None if page else "missing_page_info"
             out.append((key[0], n, len(at), min(page, default=None), max(page, default=None), len(text), text, flags, error))
         if not out:
             out.append((key[0], None, 0, None, None, 0, None, [], "empty_document"))
         return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")]).astype({"chunk_index": "Int64", "start_page": "Int32", "end_page": "Int32"})
 
-    return elements.select("doc_id", "pos", "element_type", "text", "page", "confidence").groupBy("doc_id").applyInPandas(run, CHUNK)
+    raw = F.col("raw") if "raw" in parts.columns else F.lit(False)
+    return parts.select("doc_id", "pos", "element_type", "text", "page", "confidence", raw.alias("raw")).groupBy("doc_id").applyInPandas(run, CHUNK)
 
 
 def line_elements(docs: DataFrame) -> DataFrame:
-    """The lines of documents as elements on page 0: headings, list items and paragraphs. Blank lines are left out."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("text", F.btrim("line")).where("text <> ''")
-    kind = F.when(F.col("text").rlike(r"^#{1,6} +[^ ]"), "heading").when(F.col("text").rlike(r"^([-*+]|[0-9]+[.)]) +"), "list_item").otherwise("paragraph")
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("element_type"), "text", F.lit(0).alias("page"), F.lit(None).cast("double").alias("confidence"))
+    """The lines of documents as elements without a confidence, for texts that have no blank lines."""
+    return elements(docs, "\n").withColumn("confidence", F.lit(None).cast("double"))

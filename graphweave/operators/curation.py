@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.functions import scores as S
+from graphweave.functions.text import strip
 from graphweave.operators import graph as G
 from graphweave.plans.tables import materialise
 
 
 def provenance(nodes: DataFrame, rels: DataFrame) -> DataFrame:
-    """Nodes and relationships without a schema version: null or blank."""
-    blank = F.trim(F.coalesce("schema_version", F.lit(""))) == ""
+    """Nodes and relationships whose schema version is blank. A null one reads as the text of a null, which isn't."""
+    blank = strip(F.col("schema_version")) == ""
     pick = lambda df, what: df.where(blank).select("dedupe_key", F.lit(f"missing_provenance_{what}").alias("method"), F.lit("critical").alias("severity"))
     return pick(nodes, "node").unionByName(pick(rels, "rel"))
 
@@ -22,7 +23,7 @@ def qualifier_missing(nodes: DataFrame, qualifiers: dict[str, str]) -> DataFrame
     # a schema has at most 50 node types, so this map is a literal
     name = F.create_map(*[F.lit(x) for kv in qualifiers.items() for x in kv])[F.col("node_type")]
     value = F.element_at("properties", name)
-    lacks = name.isNotNull() & (F.trim(F.coalesce(value, F.lit(""))) == "")
+    lacks = name.isNotNull() & (strip(F.coalesce(value, F.lit(""))) == "")
     return nodes.where(lacks).select("dedupe_key", F.lit("qualifier_missing").alias("method"), F.lit("medium").alias("severity"))
 
 
@@ -71,8 +72,8 @@ def scoped_candidates(nodes: DataFrame, rels: DataFrame, schema: DataFrame, focu
     keys = focus.select("dedupe_key").distinct()
     mine, near = nodes.join(keys, "dedupe_key", "left_semi"), touching(rels, focus)
     pick = lambda df, method, key="dedupe_key": df.select(F.col(key).alias("dedupe_key"), F.lit(None).cast("string").alias("other"), F.lit(method).alias("method"))
-    window = G.probable_duplicates(nodes, rels).where("method = 'window'")
-    alike = materialise(touching(window.select(F.col("key_a").alias("start_dedupe_key"), F.col("key_b").alias("end_dedupe_key")), focus), "alike")
+    window = G.probable_pairs(nodes, rels, focus=focus)
+    alike = materialise(window.select(F.col("key_a").alias("start_dedupe_key"), F.col("key_b").alias("end_dedupe_key")), "alike")
     doubled = G.exact_node_duplicates(mine)
     named = doubled.select("dedupe_key").unionByName(alike.select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("dedupe_key")))
     found = structural(properties, rels, qualifiers).join(keys, "dedupe_key", "left_semi")
@@ -140,17 +141,21 @@ def validate_clusters(enriched: DataFrame, most: int = 8) -> DataFrame:
 
 
 def other_partners(pairs: DataFrame, most: int = 10) -> DataFrame:
-    """Per pair end: how many other partners it has in pairs, and the first `most` of them in order.
+    """Per end of each pair (key_a, key_b, value_a, value_b): how many values its other partners have in all pairs, and
+    the first `most` of them in order. Partners of equal value count once.
 
-    Ranks come from one window per end, so a hub's partners are never one row: only the first most + 1 are
-    gathered, which leaves enough after the pair's own partner goes.
+    A hub's partners are never one row: values are counted with a combine, and only the first most + 1 of an end
+    are gathered, which leaves enough after the values that only the pair's own partner has are gone.
     """
-    from pyspark.sql import Window
-
-    ends = pairs.select("key_a", "key_b", F.explode(F.array(F.struct(F.col("key_a").alias("k"), F.col("key_b").alias("p")), F.struct(F.col("key_b").alias("k"), F.col("key_a").alias("p")))).alias("e")).select("key_a", "key_b", F.col("e.k").alias("dedupe_key"), F.col("e.p").alias("partner")).distinct()
-    links = ends.select("dedupe_key", "partner").distinct()
-    count = links.groupBy("dedupe_key").agg(F.count("*").alias("n"))
-    first = links.withColumn("r", F.row_number().over(Window.partitionBy("dedupe_key").orderBy("partner"))).where(F.col("r") <= most + 1)
-    first = first.groupBy("dedupe_key").agg(F.array_sort(F.collect_list("partner")).alias("first"))
-    rest = F.slice(F.array_except("first", F.array("partner")), 1, most)
-    return ends.join(count, "dedupe_key").join(first, "dedupe_key").select("key_a", "key_b", "dedupe_key", (F.col("n") - 1).alias("others"), F.array_join(rest, ",").alias("first_others"))
+    side = lambda k, p: F.struct(F.col(f"key_{k}").alias("k"), F.col(f"key_{p}").alias("p"), F.col(f"value_{p}").alias("v"))
+    ends = pairs.select("key_a", "key_b", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e"))
+    ends = ends.select("key_a", "key_b", F.col("e.k").alias("dedupe_key"), F.col("e.p").alias("partner"), F.col("e.v").alias("value")).distinct()
+    # a value goes from a pair's list where its partner alone has it
+    values = ends.groupBy("dedupe_key", "value").agg(F.count_distinct("partner").alias("holders"))
+    count = values.groupBy("dedupe_key").agg(F.count("*").alias("n"))
+    first = values.withColumn("r", F.row_number().over(Window.partitionBy("dedupe_key").orderBy("value"))).where(F.col("r") <= most + 1)
+    first = first.groupBy("dedupe_key").agg(F.array_sort(F.collect_list("value")).alias("first"))
+    own = ends.join(values, ["dedupe_key", "value"]).withColumn("alone", F.col("holders") == 1)
+    rest = F.when(F.col("alone"), F.array_except("first", F.array("value"))).otherwise(F.col("first"))
+    return own.join(count, "dedupe_key").join(first, "dedupe_key").select(
+        "key_a", "key_b", "dedupe_key", (F.col("n") - F.col("alone").cast("int")).alias("others"), F.array_join(F.slice(rest, 1, most), ",").alias("first_others"))

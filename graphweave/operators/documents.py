@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.functions.text import nul_hash
-from graphweave.plans.tables import ranged
+from graphweave.functions.text import nul_hash, strip
 
 
 def identities(docs: DataFrame, run: str = "run1") -> DataFrame:
@@ -15,20 +14,37 @@ def identities(docs: DataFrame, run: str = "run1") -> DataFrame:
     return docs.select("doc_id", content.alias("content_hash"), nul_hash(F.lit(run), F.coalesce("source", F.lit("")), content).alias("doc_hash"))
 
 
-def elements(docs: DataFrame) -> DataFrame:
-    """Lines of each document, stripped, blank ones left out, with their kind."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("line", F.btrim("line")).where("line <> ''")
-    kind = F.when(F.col("line").rlike(r"^#{1,6} +[^ ]"), "heading").when(F.col("line").rlike(r"^([-*+]|[0-9]+[.)]) +"), "list_item").otherwise("paragraph")
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("element_type"), F.char_length("line").cast("long").alias("chars"))
+def classify(block: Column) -> Column:
+    """heading, table, list_item or paragraph: by the first line, but a table by a separator line anywhere."""
+    first = strip(F.element_at(F.split(block, "\n", -1), 1))
+    return (
+        F.when(first.rlike(r"(?U)^#{1,6}\s+\S"), "heading")
+        .when(block.rlike(r"(?Um)^\|?[\s\-:]+(\|[\s\-:]+)+\|?\s*$"), "table")
+        .when(first.rlike(r"(?U)^([-*+]\s+|\d+[.)]\s+)"), "list_item")
+        .otherwise("paragraph")
+    )
 
 
-def quality_summary(parts: DataFrame, least: int = 20) -> DataFrame:
-    """Per document: elements, and those under `least` characters."""
-    return parts.groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if(F.col("chars") < least).alias("low_density"))
+def elements(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """doc_id, pos, element_type, text, page: the blocks of each document between blank lines, stripped, blank ones left
+    out, on page 0. separator is for sources whose paragraphs are parted otherwise, such as by single line ends."""
+    blocks = docs.select("doc_id", F.posexplode(F.split("text", separator, -1)).alias("pos", "block")).withColumn("text", strip(F.col("block"))).where("text <> ''")
+    return blocks.select("doc_id", F.col("pos").cast("long").alias("pos"), classify(F.col("text")).alias("element_type"), "text", F.lit(0).alias("page"))
 
 
-def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
-    """The k nearest by cosine to one query vector; k is at most 50."""
+# The flags that a chunk may have.
+FLAGS = ["low_ocr_confidence", "low_text_density", "raw_fallback"]
+
+
+def quality_summary(chunks: DataFrame) -> DataFrame:
+    """Per document: chunks with each flag (array flags), chunks with any, and all."""
+    each = [F.count_if(F.array_contains("flags", f)).alias(f) for f in FLAGS]
+    return chunks.groupBy("doc_id").agg(*each, F.count_if(F.size("flags") > 0).alias("flagged_chunks"), F.count("*").alias("total_chunks"))
+
+
+def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10, run: str | None = None) -> DataFrame:
+    """The k nearest by cosine to one query vector, of one run if named; k is at most 50."""
+    vectors = vectors if run is None else vectors.where(F.col("run_id") == run)
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col("embedding")
@@ -41,23 +57,36 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
 
 
-def telemetry(events: DataFrame) -> DataFrame:
-    return events.groupBy("event_type").agg(F.count("*").alias("calls"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+def telemetry(records: DataFrame) -> DataFrame:
+    """Per agent: tokens in and out, cost and count, of the last record of each run, candidate and agent (by ts and seq)."""
+    last = records.groupBy("run_id", "candidate_id", "agent").agg(F.max_by(F.struct("tokens_in", "tokens_out", "cost"), F.struct("ts", "seq")).alias("x"))
+    sums = [F.sum("x.tokens_in").alias("tokens_in"), F.sum("x.tokens_out").alias("tokens_out"), F.round(F.sum("x.cost"), 4).alias("cost")]
+    return last.groupBy("agent").agg(*sums, F.count("*").alias("invocations")).orderBy("agent")
+
+
+def telemetry_of_run(records: DataFrame, run: str) -> DataFrame:
+    """The last record of each candidate and agent of a run."""
+    last = records.where(F.col("run_id") == run).groupBy("candidate_id", "agent").agg(F.max_by(F.struct("tokens_in", "tokens_out", "cost"), F.struct("ts", "seq")).alias("x"))
+    return last.select("candidate_id", "agent", "x.*").orderBy("candidate_id", "agent")
 
 
-def histogram(events: DataFrame) -> DataFrame:
-    """count, min, max and percentiles at the floor index of the sorted values, per type; nulls don't count.
+def histogram(samples: DataFrame, names: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+    """Per name (columns name, value, ts, seq): count, sum, least, most, mean and percentiles at the floor index of the
+    sorted values, over the last `most` samples; nulls don't count. A name in names without samples has zeros.
 
-    Equal values are counted first. The distinct values are then cut into ranges in their order: a range's
-    offset is the sum of the counts before it, so no type is sorted or gathered in one task.
+    The buffer of `most` samples is the feature: a window ranks from the newest and drops the rest early, and what
+    is left of a name is bounded.
     """
-    counts = events.where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    rows = ranged(counts, "event_type", "value")
-    sums = rows.groupBy("event_type", "__range").agg(F.sum("c").alias("s"), F.min("value").alias("least"), F.max("value").alias("most"))
-    kind = Window.partitionBy("event_type")  # one row per range
-    sums = sums.withColumns({"before": F.sum("s").over(kind.orderBy("__range")) - F.col("s"), "n": F.sum("s").over(kind), "least": F.min("least").over(kind), "most": F.max("most").over(kind)})
-    run = Window.partitionBy("event_type", "__range").orderBy("value")
-    placed = rows.withColumn("to", F.sum("c").over(run)).join(sums, ["event_type", "__range"]).withColumn("to", F.col("to") + F.col("before"))
-    index = lambda q: F.greatest(F.floor(F.col("n") * F.lit(q)), F.lit(1))
-    at = lambda q: F.max(F.when((index(q) <= F.col("to")) & (index(q) > F.col("to") - F.col("c")), F.col("value")))
-    return placed.groupBy("event_type").agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    newest = Window.partitionBy("name").orderBy(F.desc("ts"), F.desc("seq"))
+    kept = samples.where("value is not null").withColumn("r", F.row_number().over(newest)).where(F.col("r") <= most)
+    got = kept.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("v"), F.sum("value").alias("sum"))
+    if names is not None:
+        got = names.select("name").distinct().join(got, "name", "left")
+    n = F.coalesce(F.size("v"), F.lit(0))
+    n = F.when(F.col("v").isNull(), 0).otherwise(n)
+    at = lambda i: F.coalesce(F.get("v", i), F.lit(0.0))
+    percentile = lambda q: at(F.greatest(F.floor(n * F.lit(q)) - 1, F.lit(0)).cast("int"))
+    total = F.round(F.coalesce("sum", F.lit(0.0)), 4)
+    mean = F.round(F.when(n > 0, F.col("sum") / n).otherwise(0.0), 6)
+    return got.select("name", n.cast("long").alias("n"), total.alias("total"), at(F.lit(0)).alias("least"), at(n - 1).alias("most"), mean.alias("mean"),
+                      percentile(0.5).alias("p50"), percentile(0.95).alias("p95"), percentile(0.99).alias("p99"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.functions.text import strip
+
 # The moves between proposal states that are allowed.
 TRANSITIONS = [
     ("pending", "approved"), ("pending", "rejected"), ("pending", "deferred"), ("pending", "excluded"),
@@ -23,11 +27,17 @@ def move(requests: DataFrame, proposals: DataFrame) -> DataFrame:
     return both.select("proposal_id", "state", "wanted", F.when(F.col("state").isNull(), "unknown").when(F.col("ok"), "moved").otherwise("illegal").alias("outcome"))
 
 
+# Classes of proposals that need a second confirmation.
+HIGH_RISK = ["merge", "delete"]
+
+
 def approve(proposals: DataFrame) -> DataFrame:
-    """What an approval does to each proposal: none where approved already, conflict where the move is not
-    allowed, token (a second confirmation) where the risk is high, else approve."""
-    outcome = F.when(F.col("state") == "approved", "none").when(F.coalesce("state", F.lit("")) != "pending", "conflict").when(F.col("risk") == "high", "token").otherwise("approve")
-    return proposals.select("proposal_id", "state", "risk", outcome.alias("outcome"))
+    """What an approval does to each proposal (proposal_id, state, proposal_class, override): none where approved already,
+    conflict where the move is not allowed, token (a second confirmation) for a high-risk class or where the proposal
+    says so itself, else approve."""
+    risky = F.col("proposal_class").isin(HIGH_RISK) | F.coalesce("override", F.lit(False))
+    outcome = F.when(F.col("state") == "approved", "none").when(F.coalesce("state", F.lit("")) != "pending", "conflict").when(risky, "token").otherwise("approve")
+    return proposals.select("proposal_id", "state", "proposal_class", outcome.alias("outcome"))
 
 
 def confirm(requests: DataFrame, tokens: DataFrame, hours: int = 1) -> DataFrame:
@@ -39,30 +49,49 @@ def confirm(requests: DataFrame, tokens: DataFrame, hours: int = 1) -> DataFrame
         "token", "proposal_id", F.when(F.col("__of").isNull(), "unknown").when(F.col("__of") != F.col("proposal_id"), "mismatch").when(late, "expired").otherwise("confirmed").alias("outcome"))
 
 
-def plan_steps(targets: DataFrame) -> DataFrame:
-    """proposal_id, step, operation, dedupe_key: the ordered plan of each proposal.
+def plan_steps(targets: DataFrame, version: str = "v1") -> DataFrame:
+    """proposal_id, step, operation, dedupe_key, merge_keys, rel_type, start_key, end_key: the ordered plan of each proposal.
 
-    targets has proposal_id, proposal_class, pos, element_type (node or relationship) and dedupe_key; rows of
-    another element_type are left out. Renames and the like update each target in the order of keys; a
-    merge of nodes is one step on the first, a merge of relationships alone deletes all but the first; a delete
-    takes relationships before nodes; a deferral has no step. A proposal's targets are few.
+    targets has proposal_id, proposal_class, pos, element_type (node or relationship), dedupe_key and, for relationships
+    that get another type, new_type, start_key and end_key; rows of another element_type are left out. Renames
+    and the like update each target in the order of keys. A normalisation with retyped relationships consists of
+    those alone, in the order of pos: the old one is deleted and one with the new type and key created, if both
+    ends are known. A merge of nodes is one step on the first with all keys in order; a merge of relationships alone
+    deletes all but the first; a delete takes relationships before nodes; a deferral has no step. A
+    proposal's targets are few.
     """
     known = targets.where(F.col("element_type").isin("node", "relationship"))
-    got = known.groupBy("proposal_id", "proposal_class").agg(F.array_sort(F.collect_list(F.struct("pos", "element_type", "dedupe_key"))).alias("t"))
+    row = F.struct("pos", "element_type", "dedupe_key", "new_type", "start_key", "end_key")
+    got = known.groupBy("proposal_id", "proposal_class").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    none = F.lit(None).cast("string")
+
+    def step(operation, key, keys=None, kind=none, start=none, end=none):  # noqa: ANN001, ANN202
+        keys = F.lit(None).cast("array<string>") if keys is None else keys
+        operation = F.lit(operation) if isinstance(operation, str) else operation
+        return F.struct(operation.alias("operation"), key.alias("dedupe_key"), keys.alias("merge_keys"), kind.alias("rel_type"), start.alias("start_key"), end.alias("end_key"))
+
     nodes, edges = F.filter("t", lambda x: x.element_type == "node"), F.filter("t", lambda x: x.element_type == "relationship")
-    step = lambda op: lambda x: F.struct(F.lit(op).alias("operation"), x.dedupe_key.alias("dedupe_key"))
     keyed = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x.dedupe_key.alias("dedupe_key"), x.element_type.alias("element_type"))))
-    update = F.transform(keyed(F.col("t")), lambda x: F.struct(F.when(x.element_type == "node", "update_node").otherwise("update_edge").alias("operation"), x.dedupe_key.alias("dedupe_key")))
-    none = F.filter(update, lambda _: F.lit(False))
+    deleted = lambda a: F.transform(keyed(a), lambda x: step(F.concat(F.lit("delete_"), F.when(x.element_type == "node", "node").otherwise("edge")), x.dedupe_key))
+    update = F.transform(keyed(F.col("t")), lambda x: step(F.concat(F.lit("update_"), F.when(x.element_type == "node", "node").otherwise("edge")), x.dedupe_key))
+    nothing = F.filter(update, lambda _: F.lit(False))
+    retyped = F.filter(edges, lambda x: F.coalesce(x.new_type, F.lit("")) != "")
+    ended = F.filter(retyped, lambda x: (F.coalesce(x.start_key, F.lit("")) != "") & (F.coalesce(x.end_key, F.lit("")) != ""))
+    again = F.flatten(F.transform(ended, lambda x: F.array(
+        step("delete_edge", x.dedupe_key),
+        step("create_edge", F.concat_ws("::", x.new_type, x.start_key, x.end_key, F.lit(version)), None, x.new_type, x.start_key, x.end_key))))
+    rest = F.slice(edges, 2, F.greatest(F.size(edges), F.lit(1)))
     merge = (
-        F.when(F.size(nodes) >= 2, F.transform(F.slice(nodes, 1, 1), step("merge_nodes")))
-        .when((F.size(nodes) == 0) & (F.size(edges) >= 2), F.transform(F.expr("slice(filter(t, x -> x.element_type = 'relationship'), 2, greatest(size(t), 1))"), step("delete_edge")))
-        .otherwise(none)
+        F.when(F.size(nodes) >= 2, F.array(step("merge_nodes", F.get(nodes, 0)["dedupe_key"], F.transform(nodes, lambda x: x.dedupe_key))))
+        .when((F.size(nodes) == 0) & (F.size(edges) >= 2), F.transform(rest, lambda x: step("delete_edge", x.dedupe_key)))
+        .otherwise(nothing)
     )
-    delete = F.concat(F.transform(keyed(edges), step("delete_edge")), F.transform(keyed(nodes), step("delete_node")))
     kind = F.col("proposal_class")
-    steps = F.when(kind.isin("canonicalize", "rename", "normalize"), update).when(kind == "merge", merge).when(kind == "delete", delete).otherwise(none)
-    return got.select("proposal_id", F.posexplode(steps).alias("step", "s")).select("proposal_id", F.col("step").cast("long").alias("step"), "s.operation", "s.dedupe_key")
+    steps = (
+        F.when((kind == "normalize") & (F.size(retyped) > 0), again).when(kind.isin("canonicalize", "rename", "normalize"), update)
+        .when(kind == "merge", merge).when(kind == "delete", F.concat(deleted(edges), deleted(nodes))).otherwise(nothing)
+    )
+    return got.select("proposal_id", F.posexplode(steps).alias("step", "s")).select("proposal_id", F.col("step").cast("long").alias("step"), "s.*")
 
 
 def delete_nodes(nodes: DataFrame, rels: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,16 +116,32 @@ def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("properties", F.map_concat(own, kept)).drop("__put", "__cut")
 
 
-def collapse(rels: DataFrame, merges: DataFrame, version: str = "v1") -> DataFrame:
-    """Relationships after the nodes in merges (obsolete, survivor) were merged: ends that are obsolete become
-    their survivor; loops that this makes go; of relationships with equal type and ends one stays, and
-    moved says whether none of them was there before. A survivor must not be obsolete itself; obsolete keys are unique."""
+def collapse(rels: DataFrame, merges: DataFrame, version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """Relationships after the nodes in merges (obsolete, survivor, nth: the order) were merged, and the keys that this
+    affects.
+
+    Ends that are obsolete become their survivor; loops that this makes go, and so do loops of obsolete nodes and
+    relationships between two of them. Of relationships with equal type and ends one stays: one that was there
+    before, else that of the first obsolete node; it keeps its own properties without those that begin with _,
+    its chunk and its run, and gets a new key. moved says that none was there before. A survivor must not be obsolete
+    itself; obsolete keys are unique. Affected are survivors, obsolete nodes, and the other ends.
+    """
     for end in ("start", "end"):
-        rels = rels.join(merges.select(F.col("obsolete").alias(f"{end}_dedupe_key"), F.col("survivor").alias(f"__{end}")), f"{end}_dedupe_key", "left")
+        rels = rels.join(merges.select(F.col("obsolete").alias(f"{end}_dedupe_key"), F.col("survivor").alias(f"__{end}"), F.col("nth").alias(f"__{end}_nth")), f"{end}_dedupe_key", "left")
     start, end = F.coalesce("__start", "start_dedupe_key"), F.coalesce("__end", "end_dedupe_key")
     moved = F.col("__start").isNotNull() | F.col("__end").isNotNull()
-    new = rels.where(~moved | (start != end)).groupBy("rel_type", start.alias("start_dedupe_key"), end.alias("end_dedupe_key")).agg(F.min(moved).alias("moved"))
-    return new.withColumn("dedupe_key", F.concat_ws("::", "rel_type", "start_dedupe_key", "end_dedupe_key", F.lit(version)))
+    both = F.col("__start").isNotNull() & F.col("__end").isNotNull()
+    nth = F.coalesce(F.least("__start_nth", "__end_nth"), F.lit(-1))
+    kept = rels.withColumns({"__moved": moved, "__order": F.struct(nth, "dedupe_key"), "__a": start, "__b": end}).where(~moved | ((start != end) & ~both))
+    own = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, _: ~F.startswith(k, F.lit("_")))
+    first = F.min_by(F.struct("run_id", "chunk_id", "schema_version", F.when(moved, own).otherwise(F.col("properties")).alias("properties"), "dedupe_key"), "__order").alias("x")
+    new = kept.groupBy("rel_type", F.col("__a").alias("start_dedupe_key"), F.col("__b").alias("end_dedupe_key")).agg(F.min("__moved").alias("moved"), first)
+    key = F.concat_ws("::", "rel_type", "start_dedupe_key", "end_dedupe_key", F.lit(version))
+    out = new.select("rel_type", "start_dedupe_key", "end_dedupe_key", "moved", "x.run_id", "x.chunk_id", "x.schema_version", "x.properties",
+                     F.when(F.col("moved"), key).otherwise(F.col("x.dedupe_key")).alias("dedupe_key"))
+    hit = rels.where(moved).select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("dedupe_key"))
+    keys = merges.select(F.explode(F.array("obsolete", "survivor")).alias("dedupe_key"))
+    return out, hit.unionByName(keys).distinct()
 
 
 def invariants(nodes: DataFrame, rels: DataFrame, present: DataFrame, absent: DataFrame) -> DataFrame:
@@ -119,30 +164,44 @@ def append_once(log: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, Da
     return new.join(have, key, "left_anti"), new.join(have, key, "left_semi")
 
 
-def archive(proposals: DataFrame) -> DataFrame:
-    """Whether each proposal stays (executed) or goes to the archive."""
-    return proposals.select("proposal_id", "state", F.when(F.col("state") == "executed", "kept").otherwise("archived").alias("place"))
+def archive(proposals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The proposals that stay (executed ones), those that go to the archive, and its manifest: archived ids in order
+    with their number, per run."""
+    kept, gone = proposals.where("state = 'executed'"), proposals.where("state <> 'executed' or state is null")
+    return kept, gone, gone.groupBy("run_id").agg(F.count("*").alias("archived"), F.min("proposal_id").alias("first_id"), F.max("proposal_id").alias("last_id"))
+
 
+# The classes that a node type may have.
+NODE_CLASSES = ["Entity", "Event", "Concept", "Document", "Location", "Asset", "Metric", "Role"]
 
-def schema_issues(types: DataFrame, edges: DataFrame) -> DataFrame:
+
+def schema_issues(types: DataFrame, edges: DataFrame, locked: DataFrame | None = None) -> DataFrame:
     """Rule and subject of each breach in a proposed schema: types (type, node_class, primary_property) and edges
-    (type, start_node_type, end_node_type)."""
-    # The classes that a node type may have.
-    classes = ["Entity", "Event", "Concept", "Document", "Location", "Asset", "Metric", "Role"]
-    ends = edges.select(F.explode(F.array("start_node_type", "end_node_type")).alias("type")).distinct()
+    (type, start_node_type, end_node_type). Where locked has a row, that is the only breach; blank fields of types and
+    edges are breaches where there is no other."""
+    blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
     pick = lambda df, rule, subject="type": df.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
     size = lambda df, rule, most: pick(df.agg(F.count("*").alias("type")).where(~F.col("type").between(1, most)), rule)
+    undefined = lambda end: pick(edges.join(types.select(F.col("type").alias(end)).distinct(), end, "left_anti"), f"undefined_{end}", end)
+    ends = edges.select(F.explode(F.array("start_node_type", "end_node_type")).alias("type")).distinct()
+    repeat = F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("nth")
     issues = [
         size(types, "node_count", 50), size(edges, "edge_count", 100),
-        pick(types.groupBy("type").count().where("count > 1"), "duplicate_type"),
-        pick(types.where(~F.coalesce("node_class", F.lit("")).isin(classes)), "node_class"),
+        pick(types.groupBy("type").agg(F.count("*").alias("n")).where("n > 1").select("type", repeat), "duplicate_type"),
+        pick(types.where(~F.coalesce("node_class", F.lit("")).isin(NODE_CLASSES)), "node_class"),
         pick(types.where(~F.coalesce("type", F.lit("")).rlike(r"^\p{Lu}[^_]*$")), "pascal_case"),
         pick(edges.where(~F.coalesce("type", F.lit("")).rlike(r"^(?=.*\p{L})[\p{L}_]+$") | (F.upper("type") != F.col("type"))), "screaming_snake_case"),
-        pick(ends.join(types, "type", "left_anti"), "undefined_type"),
+        undefined("start_node_type"), undefined("end_node_type"),
         pick(types.select("type").distinct().join(ends, "type", "left_anti"), "orphan_type"),
         pick(types.where((F.lower("primary_property") != F.col("primary_property")) | F.contains("primary_property", F.lit(" "))), "snake_case"),
     ]
-    found = issues[0]
-    for df in issues[1:]:
-        found = found.unionByName(df)
-    return found
+    found = reduce(DataFrame.unionByName, issues)
+    fields = pick(types.where(blank(F.col("type")) | blank(F.col("primary_property"))), "blank_field")
+    # blank fields count only where nothing else was found: one row says so
+    any_ = found.agg((F.count("*") > 0).alias("any"))
+    found = found.unionByName(fields.crossJoin(F.broadcast(any_.where("not any"))).drop("any"))
+    if locked is None:
+        return found
+    held = locked.agg(F.max("version_hash").alias("version_hash"))
+    return found.crossJoin(F.broadcast(held.where("version_hash is null"))).drop("version_hash").unionByName(
+        held.where("version_hash is not null").select(F.lit("locked").alias("rule"), F.col("version_hash").alias("subject")))

@@ -19,9 +19,10 @@ def logs(events: DataFrame, least: str = "info", most: int = 1000) -> DataFrame:
     return events.where(level_rank(F.col("level")) >= LEVELS.index(least)).orderBy(F.desc("ts"), F.desc("event_id")).limit(min(most, 1000))
 
 
-def activity(events: DataFrame, names: list[str], most: int = 100) -> DataFrame:
-    """The newest rows that are warnings or worse, or whose name is listed."""
-    return events.where((level_rank(F.col("level")) >= LEVELS.index("warning")) | F.col("event_type").isin(names)).orderBy(F.desc("ts"), F.desc("event_id")).limit(min(most, 100))
+def activity(events: DataFrame, names: list[str], most: int = 100, run: str | None = None) -> DataFrame:
+    """The newest rows that are warnings or worse, or whose name is listed; with a run, those of the run or of none."""
+    rows = events if run is None else events.where((F.col("run_id") == run) | F.col("run_id").isNull())
+    return rows.where((level_rank(F.col("level")) >= LEVELS.index("warning")) | F.col("event_type").isin(names)).orderBy(F.desc("ts"), F.desc("event_id")).limit(min(most, 100))
 
 
 def status_counts(jobs: DataFrame, by: str) -> DataFrame:

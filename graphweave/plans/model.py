@@ -58,6 +58,49 @@ def schema_edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCHEMA_EDGES, "start_type string, end_type string, rel_type string")
 
 
+#: An edge that was added to the locked schema later.
+AMENDED = ("Supplier", "Nation", "SERVES")
+
+
+def amended(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([AMENDED], "start_type string, end_type string, rel_type string")
+
+
+def more_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rels, and a second relationship of some customers and suppliers to their nation."""
+    base = rels(spark, sf_dir)
+    extra = base.where("rel_type = 'LOCATED_IN' and start_dedupe_key not like 'Nation|%' and length(end_dedupe_key) = 18").distinct()
+    key = F.concat_ws("::", F.lit("SERVES"), "start_dedupe_key", "end_dedupe_key", F.lit(VERSION))
+    return base.unionByName(extra.withColumns({"rel_type": F.lit("SERVES"), "dedupe_key": key}))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under longer and shorter names, as texts give them."""
+    p = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", F.lower("p_type"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("The "), "p_name")).otherwise(F.concat(F.lit("a "), F.initcap("p_name"), F.lit(" of "), "p_type"))
+    return p.select(
+        node_key("Label", name).alias("dedupe_key"), F.lit("Label").alias("node_type"), name.alias("primary_value"), F.lit(RUN).alias("run_id"), F.lit(VERSION).alias("schema_version"), F.col("p_partkey").alias("seq"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, every other with blank lines between its lines, every fifth with a list and a table at its end."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    more = F.when(F.col("doc_id") % 5 == 0, F.lit("\n\n- item\n\n| a | b |\n|---|:-:|\n| 1 | 2 |")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(text, more).alias("text"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what agents used."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.concat(F.lit("run"), (F.col("user_id") % 2).cast("string")).alias("run_id"), (F.col("event_id") % 100).alias("candidate_id"), F.col("event_type").alias("agent"),
+        F.floor(F.col("value") * 10).alias("tokens_in"), F.floor("value").alias("tokens_out"), (F.col("value") / 1000).alias("cost"), "ts", F.col("event_id").alias("seq"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value", "ts", F.col("event_id").alias("seq"))
+
+
 _NODE = "SELECT '{k}|' || {n} || '|v1' AS dedupe_key, '{k}' AS node_type, {n} AS primary_value, 'run1' AS run_id, 'v1' AS schema_version, CAST({i} AS BIGINT) AS seq FROM {t}"
 SQL = "WITH nodes AS (" + " UNION ALL ".join(
     _NODE.format(k=k, t=t, n=n, i=i) for k, t, n, i in (("Part", "part", "p_name", "p_partkey"), ("Customer", "customer", "c_name", "c_custkey"), ("Supplier", "supplier", "s_name", "s_suppkey"), ("Nation", "nation", "n_name", "n_nationkey"), ("Region", "region", "r_name", "r_regionkey"))
@@ -70,3 +113,8 @@ SQL = "WITH nodes AS (" + " UNION ALL ".join(
 ), rels AS (
   SELECT rel_type || '::' || a || '::' || b || '::v1' AS dedupe_key, rel_type, a AS start_dedupe_key, b AS end_dedupe_key, 'run1' AS run_id, 'v1' AS schema_version FROM ends
 ) """
+LABELLED = """WITH labelled AS (SELECT 'Label|' || name || '|v1' AS dedupe_key, 'Label' AS node_type, name AS primary_value, seq FROM (
+  SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || lower(p_type) WHEN 1 THEN 'The ' || p_name
+    ELSE 'a ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' of ' || p_type END AS name FROM part)) """
+MORE_RELS_SQL = """, more_rels AS (SELECT * FROM rels UNION ALL SELECT DISTINCT 'SERVES::' || start_dedupe_key || '::' || end_dedupe_key || '::v1', 'SERVES', start_dedupe_key, end_dedupe_key, run_id, schema_version
+  FROM rels WHERE rel_type = 'LOCATED_IN' AND start_dedupe_key NOT LIKE 'Nation|%' AND length(end_dedupe_key) = 18) """

@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back, which cuts its lineage. Where the setting is unset, a
-    local master gets a temporary folder and a cluster an error."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where the setting is unset, a local master gets a temporary folder and a
+    cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='graphweave-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:

@@ -70,7 +70,7 @@ def test_structural_and_scope(spark):
     nodes = spark.createDataFrame([("a", "T", None, None), ("b", "T", "v", {"q": " "}), ("c", "U", "v", {}), ("c", "U", "v", {}), ("d", "T", "v", {"q": "1"})], NODES)
     rels = spark.createDataFrame([("r", "R", "a", "d", "run1", "")], RELS)
     got = sorted((r.dedupe_key, r.method) for r in C.structural(nodes, rels, {"T": "q"}).collect())
-    assert got == [("a", "missing_provenance_node"), ("a", "qualifier_missing"), ("b", "orphan_node"), ("b", "qualifier_missing"), ("c", "orphan_node"), ("r", "missing_provenance_rel")]
+    assert got == [("a", "qualifier_missing"), ("b", "orphan_node"), ("b", "qualifier_missing"), ("c", "orphan_node"), ("r", "missing_provenance_rel")]  # a null version is no blank one
     full = nodes.withColumns({"run_id": F.lit("run1"), "seq": F.lit(1)})
     schema = spark.createDataFrame([("T", "T", "R")], "start_type string, end_type string, rel_type string")
     focus = spark.createDataFrame([("c",), ("b",), (None,)], "dedupe_key string")
@@ -98,10 +98,13 @@ def test_merge_edges(spark):
 
 
 def test_collapse_and_update(spark):
-    rels = spark.createDataFrame([("1", "R", "a", "b", "", ""), ("2", "R", "o", "b", "", ""), ("3", "R", "o", "a", "", ""), ("4", "R", "x", "x", "", ""), ("5", "R", "c", "o", "", "")], RELS)
-    merges = spark.createDataFrame([("o", "a")], "obsolete string, survivor string")
-    got = sorted((r.start_dedupe_key, r.end_dedupe_key, r.moved) for r in V.collapse(rels, merges).collect())
-    assert got == [("a", "b", False), ("c", "a", True), ("x", "x", False)]
+    rows = [("1", "R", "a", "b"), ("2", "R", "o", "b"), ("3", "R", "o", "a"), ("4", "R", "x", "x"), ("5", "R", "c", "o"), ("6", "R", "o", "o"), ("7", "R", "o", "q"), ("8", "R", "c", "q"), ("9", "S", "o", "gone")]
+    rels = spark.createDataFrame([(*r, "run1", "v1", f"chunk{r[0]}", {"p": r[0], "_k": "x"}) for r in rows], RELS + ", chunk_id string, properties map<string,string>")
+    merges = spark.createDataFrame([("o", "a", 1), ("q", "a", 2)], "obsolete string, survivor string, nth int")
+    new, keys = V.collapse(rels, merges)
+    got = sorted((r.rel_type, r.start_dedupe_key, r.end_dedupe_key, r.moved, r.chunk_id, r.dedupe_key, r.properties["p"], "_k" in r.properties) for r in new.collect())
+    assert got == [("R", "a", "b", False, "chunk1", "1", "1", True), ("R", "c", "a", True, "chunk5", "R::c::a::v1", "5", False), ("R", "x", "x", False, "chunk4", "4", "4", True), ("S", "a", "gone", True, "chunk9", "S::a::gone::v1", "9", False)]
+    assert {r.dedupe_key for r in keys.collect()} == {"o", "a", "b", "c", "q", "gone"}
     nodes = spark.createDataFrame([("a", "T", "v", {"p": "1", "q": "2"}), ("b", "T", "v", None)], NODES)
     changes = spark.createDataFrame([("a", {"p": "9", "z": "1"}, ["q"])], "dedupe_key string, put map<string,string>, cut array<string>")
     assert {r.dedupe_key: r.properties for r in V.update_nodes(nodes, changes).collect()} == {"a": {"p": "9", "z": "1"}, "b": None}
