@@ -7,8 +7,9 @@
    prefix grams travel as packed arrays, and grams that repeat within a slice of a batch are settled there, so
    that the most frequent gram costs one entry per slice.
 3. What is left falls into groups connected by shared prefix grams. Where linked nodes share k at least, each
-   node first leaves out its (k - 1) // 2 most frequent, such as those of passages that many texts share;
-   one common gram is left to any linked pair. A group too large for a task is cut by set size (linked sets are
+   node first leaves out up to k - 1 of the grams that are most frequent of all, such as those of passages that
+   many texts share. As all nodes have one order of those, the common gram that comes last in it has k - 1 before it
+   in either node, and so is left to both. A group too large for a task is cut by set size (linked sets are
    in one size class or in neighbouring ones), and a size class still too large into bands, of which each
    pair is a task.
 4. A task's sets stand in a trie in the task's own order, rarest gram first. It is walked depth first; sets below
@@ -32,7 +33,11 @@ N = 5
 #: The threshold as a fraction: a link has DEN * intersection >= NUM * union.
 NUM, DEN = 4, 5
 #: Prefix entries in a packed group, set entries in one task's trie, and bytes of arrays in one slice.
-GROUP_ENTRIES, TASK_ENTRIES, SLICE = 500_000, 500_000, 4 << 20
+GROUP_ENTRIES, TASK_ENTRIES, SLICE = 500_000, 1_000_000, 4 << 20
+#: Pairs of trie nodes that are compared at once.
+BLOCK = 500_000
+#: How often a gram is met to be frequent, and how many of the most frequent are told to all tasks (12 bytes each).
+FREQUENT, MOST_FREQUENT = 8, 500_000
 SETS = "doc_id long, n_shingles long, node long, check long, prefix binary"
 PACKED = "part int, nodes binary, counts binary, grams binary, often binary, done int"
 
@@ -128,16 +133,17 @@ def unpack(table: pa.Table, done: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def met(node: np.ndarray, gram: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Sorted by gram and node, each once: node, the least node with the same gram, gram, how many nodes
-    have it, and what the first of equal rows had as often."""
+    """Sorted by gram and node, each once: node, the least node with the same gram, gram, and how often all rows of
+    the gram were met."""
     order = np.lexsort((node, gram))
     node, gram = node[order], gram[order]
-    once = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])) if len(gram) else np.zeros(0, bool)
-    node, gram = node[once], gram[once]
     first = np.append(True, gram[1:] != gram[:-1]) if len(gram) else np.zeros(0, bool)
-    head = np.flatnonzero(first)
-    size = np.diff(np.append(head, len(gram)))
-    return node, np.repeat(node[head], size), gram, np.repeat(size, size), None if often is None else often[order][once]
+    once = first | np.append(True, node[1:] != node[:-1]) if len(gram) else first
+    weight = np.ones(len(gram), np.int64) if often is None else often[order].astype(np.int64)
+    total = np.add.reduceat(np.where(once, weight, 0), np.flatnonzero(first)) if len(gram) else weight
+    node, gram, first = node[once], gram[once], first[once]
+    size = np.diff(np.append(np.flatnonzero(first), len(gram)))
+    return node, np.repeat(node[first], size), gram, np.repeat(total, size)
 
 
 PACKED_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
@@ -159,12 +165,12 @@ def dealt(parts: int):  # noqa: ANN201
             _, at = np.unique(names, axis=1, return_index=True)
             blobs = batch.column("prefix").take(pa.array(at)).to_pylist()
             node, gram = np.repeat(names[0, at], [len(x) // 8 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint64)
-            node, head, gram, size, _ = met(node, gram)
+            node, head, gram, size = met(node, gram)
             part = (gram % H.U(parts)).astype(np.int64)
             alone, rest, least_ = size == 1, node != head, (size > 1) & (node == head)
             yield packed_batch([
                 *pack(node[alone], gram[alone], part[alone], 0),
-                *pack(node[rest], gram[rest], node[rest] % parts, 1, size[rest]),
+                *pack(node[rest], gram[rest], node[rest] % parts, 1),
                 *pack(node[least_], gram[least_], part[least_], 2, size[least_]),
             ])
 
@@ -172,50 +178,74 @@ def dealt(parts: int):  # noqa: ANN201
 
 
 def sharing(table: pa.Table, parts: int) -> pa.Table:
-    """Of one part: nodes with the grams they share and how often each was met, packed by parts of nodes."""
+    """Of one part: nodes with the grams they share, packed by parts of nodes, and a row (3) of the grams that were met
+    FREQUENT times at least, with how often."""
     known, alone, more = (unpack(table, k) for k in (1, 0, 2))
     # rows marked 2 first, so that they stand for a node's gram
     node, gram, often = (np.concatenate([x, y]) for x, y in zip(more, alone, strict=True))
-    node, _, gram, size, often = met(node, gram, often)
-    shared = (size > 1) | (often > 1)
-    node = np.concatenate([known[0], node[shared]])
-    gram = np.concatenate([known[1], gram[shared]])
-    often = np.concatenate([known[2], (size * often)[shared]])
-    batch = packed_batch(list(pack(node, gram, node % parts, 0, often)))
+    node, head, gram, total = met(node, gram, often)
+    shared, hot = total > 1, (total >= FREQUENT) & (node == head)
+    rows = list(pack(np.concatenate([known[0], node[shared]]), np.concatenate([known[1], gram[shared]]), np.concatenate([known[0], node[shared]]) % parts, 0))
+    if hot.any():
+        rows.append((0, b"", b"", gram[hot].tobytes(), total[hot].astype(np.uint32).tobytes(), 3))
+    batch = packed_batch(rows)
     H.release()
     return pa.Table.from_batches([batch])
 
 
+def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for grams, often in zip(batch.column("grams").to_pylist(), batch.column("often").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(grams, np.int64)), pa.array(np.frombuffer(often, np.uint32).astype(np.int64))], names=["gram", "often"]
+            )
+
+
+def frequent_grams(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The MOST_FREQUENT most frequent grams, sorted, and the rank of each. Any part of them would do, as long as all
+    nodes order their grams by the same: what is not in it just is not left out."""
+    rows = shared.where("done = 3").select("grams", "often").mapInArrow(frequent_rows, "gram long, often long")
+    got = rows.orderBy(F.desc("often"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
+    gram = np.asarray(got.column("gram")).view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], order
+
+
 def left_over(table: pa.Table) -> pa.Table:
-    """Of one part of nodes: each node's shared grams and how often each was met."""
-    node, gram, often = unpack(table, 0)
-    order = np.lexsort((-often.astype(np.int64), gram, node))
-    node, gram, often = node[order], gram[order], often[order]
+    """Of one part of nodes: each node's shared grams."""
+    node, gram, _ = unpack(table, 0)
+    order = np.lexsort((gram, node))
+    node, gram = node[order], gram[order]
     once = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])) if len(gram) else np.zeros(0, bool)
-    node, gram, often = node[once], gram[once], often[once]
+    node, gram = node[once], gram[once]
     head = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
     ends = np.append(head[1:], len(node))
+    H.release()
     return pa.table({
         "node": pa.array(node[head], pa.int64()),
         "n": pa.array((ends - head), pa.int64()),
         "grams": pa.array([gram[a:b].tobytes() for a, b in zip(head, ends, strict=True)], pa.binary()),
-        "often": pa.array([often[a:b].astype(np.uint32).tobytes() for a, b in zip(head, ends, strict=True)], pa.binary()),
     })
 
 
-def joining(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def joining(batches: Iterator[pa.RecordBatch], parts: int, frequent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """Shared grams of the nodes left, without each node's most frequent, to packed parts; edges to the
-    least node of the batch are done."""
+    least node of the slice are done."""
+    hot, rank = frequent.value
     for batch in (x for whole in batches for x in H.pieces(whole, "grams", SLICE)):
         nodes, blobs = [], []
-        for name, size, grams, often in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "grams", "often")), strict=True):
-            gram, times = np.frombuffer(grams, np.uint64), np.frombuffer(often, np.uint32)
-            keep = np.argsort(-times.astype(np.int64), kind="stable")[(needed(size) - 1) // 2 :]
-            nodes.append(np.full(len(keep), name))
-            blobs.append(gram[keep])
+        for name, size, grams in zip(*(batch.column(c).to_pylist() for c in ("node", "size", "grams")), strict=True):
+            gram = np.frombuffer(grams, np.uint64)
+            if len(hot) and needed(size) > 1:
+                back = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
+                place = np.where(hot[back] == gram, rank[back], len(hot))
+                out = np.argsort(place, kind="stable")[: needed(size) - 1]
+                gram = np.delete(gram, out[place[out] < len(hot)])
+            nodes.append(np.full(len(gram), name))
+            blobs.append(gram)
         if not nodes:
             continue
-        node, head, gram, _, _ = met(np.concatenate(nodes), np.concatenate(blobs))
+        node, head, gram, _ = met(np.concatenate(nodes), np.concatenate(blobs))
         edge = np.unique(np.stack([head[node != head], node[node != head]]), axis=1)
         least_ = node == head
         rows = list(pack(node[least_], gram[least_], (gram[least_] % H.U(parts)).astype(np.int64), 0))
@@ -228,7 +258,7 @@ def edges_of(table: pa.Table) -> pa.Table:
     done = np.asarray(table.column("done"))
     take = lambda c, which: table.column(c).take(pa.array(np.flatnonzero(which))).to_pylist()
     known = np.stack([np.frombuffer(b"".join(take(c, done == 1)), np.int64) for c in ("nodes", "grams")])
-    node, head, _, _, _ = met(*unpack(table, 0)[:2])
+    node, head, _, _ = met(*unpack(table, 0)[:2])
     edge = np.unique(np.concatenate([known, np.stack([head[node != head], node[node != head]])], axis=1), axis=1)
     H.release()
     return pa.table({"u": pa.array(edge[0], pa.int64()), "v": pa.array(edge[1], pa.int64())})
@@ -346,7 +376,7 @@ def trie_links(sets: list[np.ndarray], own: np.ndarray | None = None, band: np.n
     end = np.array([h[-1] for h in heads], np.int64)
     own = np.ones(len(order), bool) if own is None else own[order]
     band = np.zeros(len(order), np.int64) if band is None else band[order]
-    across = band.min() != band.max()
+    across, m = band.min() != band.max(), len(order)
     trie, classes, links = Trie(heads, size, length), Classes(len(order)), []
 
     def try_link(i: int, j: int) -> None:
@@ -356,43 +386,54 @@ def trie_links(sets: list[np.ndarray], own: np.ndarray | None = None, band: np.n
             classes.link(i, j)
             links.append((order[i], order[j]))
 
-    def counts(i: int, j: np.ndarray) -> np.ndarray:
-        return (own[i] | own[j]) & ((band[j] != band[i]) | (not across)) & (classes.of[j] != classes.of[i])
+    def counts(i, j):  # noqa: ANN001, ANN202
+        """Whether pairs count and are not linked yet."""
+        ok = (own[i] | own[j]) & (classes.of[i] != classes.of[j])
+        return ok & (band[i] != band[j]) if across else ok
 
-    # postings: of each token its nodes, in depth-first order
+    # postings: of each token its nodes, in depth-first order; a node's own place in them
     back = np.argsort(trie.token, kind="stable")
-    labels, at = np.unique(trie.token[back], return_index=True)
-    posted = dict(zip(labels.tolist(), np.split(back, at[1:]), strict=True))
+    new = np.append(True, trie.token[back[1:]] != trie.token[back[:-1]])
+    begin, place = np.empty(len(back), np.int64), np.empty(len(back), np.int64)
+    begin[back], place[back] = np.maximum.accumulate(np.where(new, np.arange(len(back)), 0)), np.arange(len(back))
     # neighbours first, in the trie and along each token's nodes: most of what is linked then is of one class
-    near = [np.stack([np.arange(1, len(order)), np.arange(len(order) - 1)])]
-    near += [np.stack([trie.first[v[1:]], trie.first[v[:-1]]]) for v in posted.values() if len(v) > 1]
-    for i, j in np.concatenate(near, axis=1).T.tolist():
-        if classes.of[i] != classes.of[j] and counts(i, np.array([j]))[0]:
+    near = np.concatenate([np.stack([np.arange(1, m), np.arange(m - 1)]), trie.first[np.stack([back[1:], back[:-1]])][:, ~new[1:]]], axis=1)
+    near = np.unique(near.max(0) * m + near.min(0))
+    near = np.stack([near // m, near % m])
+    near = near[:, counts(*near) & (DEN * size[near].min(0) >= NUM * size[near].max(0))]
+    for i, j in near.T.tolist():
+        if classes.of[i] != classes.of[j]:
             try_link(i, j)
     flat = trie.uniform(classes.of)
+    cut = np.append(0, np.cumsum([len(p) for p in trie.path]))  # nodes are numbered by set
+    reach = place - begin + 1
+    work = np.append(0, np.cumsum(reach))[cut]
     touched: list[np.ndarray] = []
-    nothing = np.zeros(0, np.int64)
-    for i in range(len(order)):
-        depth = len(heads[i]) - len(trie.path[i])
-        del touched[depth:]
-        for v in trie.path[i]:
-            # nodes of this token up to this one: those further on meet it from their side
-            others = posted[int(trie.token[v])]
-            others = others[: int(np.searchsorted(others, v, "right"))]
-            if len(others) == 1 and trie.last[v] - trie.first[v] == 1:
-                touched.append(nothing)
-                continue
-            p, q = trie.depth[v], trie.depth[others]
-            most = np.minimum(p, q) + np.minimum(trie.long[v] - p, trie.long[others] - q)
-            stays = (NUM + DEN) * most >= NUM * (trie.low[v] + trie.low[others])
-            stays &= (DEN * trie.high[others] >= NUM * trie.low[v]) & (DEN * trie.high[v] >= NUM * trie.low[others])
-            stays &= ~(flat[v] & flat[others] & (classes.of[trie.first[v]] == classes.of[trie.first[others]]))
-            others = others[stays]  # the other subtrees are cut
-            n = trie.last[others] - trie.first[others]
-            touched.append(np.repeat(trie.first[others] - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
-        if not any(map(len, touched)):
+    done = 0
+    for i in range(m):
+        if i >= done:  # a block of sets: what their new nodes meet, up to themselves, as the others meet them from their side
+            start, done = i, max(i + 1, int(np.searchsorted(work, work[i] + BLOCK, "right")) - 1)
+            v = np.arange(cut[start], cut[done])
+            v = v[(reach[v] > 1) | (trie.last[v] - trie.first[v] > 1)]
+            n = reach[v]
+            w = back[np.repeat(begin[v] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            v = np.repeat(v, n)
+            p, q = trie.depth[v], trie.depth[w]
+            most = np.minimum(p, q) + np.minimum(trie.long[v] - p, trie.long[w] - q)
+            stays = (NUM + DEN) * most >= NUM * (trie.low[v] + trie.low[w])
+            stays &= (DEN * trie.high[w] >= NUM * trie.low[v]) & (DEN * trie.high[v] >= NUM * trie.low[w])
+            stays &= ~(flat[v] & flat[w] & (classes.of[trie.first[v]] == classes.of[trie.first[w]]))
+            v, w = v[stays], w[stays]  # the other subtrees are cut
+            n = trie.last[w] - trie.first[w]
+            met_ = np.repeat(trie.first[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            split = np.searchsorted(np.repeat(v, n), np.arange(cut[start], cut[done] + 1))
+        fresh = trie.path[i]
+        del touched[len(heads[i]) - len(fresh) :]
+        touched += [met_[split[v - cut[start]] : split[v - cut[start] + 1]] for v in fresh]
+        found = np.concatenate(touched)
+        if not len(found):
             continue
-        found, overlap = np.unique(np.concatenate(touched), return_counts=True)
+        found, overlap = np.unique(found, return_counts=True)
         ok = (found < i) & counts(i, found)
         found, overlap = found[ok], overlap[ok]
         more = np.where(end[i] <= end[found], rest[i], rest[found])
@@ -438,16 +479,17 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     full = sets.where(F.col("node").isNotNull()).select("node", "check", "n_shingles", "prefix")
     entries = full.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries // GROUP_ENTRIES) + 1)
-    shared = full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(lambda t: sharing(t, parts), PACKED)
+    shared = materialise(full.mapInArrow(dealt(parts), PACKED).groupBy("part").applyInArrow(lambda t: sharing(t, parts), PACKED), "shared")
+    frequent = spark.sparkContext.broadcast(frequent_grams(shared))  # MOST_FREQUENT at most
     sizes = full.groupBy("node").agg(F.min("n_shingles").alias("size"))
     least_ = F.ceil(F.col("size") * NUM / DEN)
     level_ = F.greatest(F.lit(1), F.least(F.floor(least_ / 4), F.lit(62)), F.floor(least_ / 10))  # needed()
     left = (
-        shared.groupBy("part").applyInArrow(left_over, "node long, n long, grams binary, often binary")
+        shared.where("done = 0").groupBy("part").applyInArrow(left_over, "node long, n long, grams binary")
         .join(sizes, "node").where(F.col("n") >= level_)
     )
-    left = materialise(left.select("node", "size", "grams", "often"), "left")
-    edges = left.mapInArrow(lambda b: joining(b, parts), PACKED).groupBy("part").applyInArrow(edges_of, "u long, v long")
+    left = materialise(left.select("node", "size", "grams"), "left")
+    edges = left.mapInArrow(lambda b: joining(b, parts, frequent), PACKED).groupBy("part").applyInArrow(edges_of, "u long, v long")
     return components(edges)
 
 

@@ -65,7 +65,7 @@ def test_jaccard_join(docs, none):
 
 
 @pytest.mark.parametrize("seed", range(30))
-def test_trie_links(seed):
+def test_trie_links(seed, monkeypatch):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 60, 25)
     sets = []
@@ -82,6 +82,9 @@ def test_trie_links(seed):
 
     pairs = [(i, j) for i in range(40) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
     assert classes(jaccard_join.trie_links(sets)) == classes(pairs)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    own, band = rng.random(40) < 0.6, rng.integers(0, 2, 40)
+    assert classes(jaccard_join.trie_links(sets, own, band)) == classes([(i, j) for i, j in pairs if (own[i] or own[j]) and band[i] != band[j]])
 
 
 def test_drop_near_copies_by_row(spark, docs, none):
@@ -231,7 +234,7 @@ def test_classifiers(spark, docs, none):
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     tox = toxicity.toxicity(real, labels)
     q = brute.quality(tox.toPandas(), labels.toPandas())
-    assert q["precision"] >= 0.7
+    assert q["precision"] >= 0.7 and q["recall"] >= 0.5  # of few labels
     lang = language_id.language_id(real).toPandas().merge(real.select("doc_id", "lang").toPandas(), on="doc_id")
     held = lang[lang.held_out]
     assert (held.lang_pred == held.lang).mean() >= 0.95
