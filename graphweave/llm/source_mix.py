@@ -87,7 +87,7 @@ def source_weights(rows: DataFrame, max_repeats: float | None = MAX_REPEATS, ent
     sums = sums.withColumn("place", place(F.col("block"), F.col("source"), F.col("whole")))
     run = Window.partitionBy("source").orderBy("place")  # at most BLOCKS rows
     held = (
-        sums.withColumn("sum", F.sum("n").over(run)).where(F.col("sum") <= F.col("part"))
+        sums.withColumn("sum", F.sum("n").over(run)).where("part > 0 and sum <= part")
         .groupBy("source").agg((F.max("place") + 1).alias("places")).withColumnRenamed("source", "__s")
     )
     out = named.join(held, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
