@@ -171,3 +171,141 @@ def bpe(rows):
         back = t.decode(ids, skip_special_tokens=False)
         out.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     return out
+
+
+def spark_hash(*values):
+    """xxhash64 of Spark: each value hashed with the hash before it as seed; int is 4 bytes, ("long", x) 8."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is None or v == ("long", None):
+            continue
+        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[1]) if isinstance(v, tuple) else struct.pack("<i", v)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def mix_copies(rows, max_repeats, blocks=4096, seed=17):
+    """copies per row of (doc_id, text, source): weights by temperature, budget as the largest source seen once whole."""
+    size = lambda t: len(words(t))
+    totals = {}
+    for _, text, source in rows:
+        totals[source] = totals.get(source, 0) + size(text)
+    most = max(totals.values(), default=0)
+    least = min((n for n in totals.values() if n), default=0)
+    # the smallest exponent at which the least source is seen max_repeats times at most, by bisection
+    low, high = 0.0, 1.0
+    if not most or (least / most) ** -1 <= max_repeats:
+        high = 0.0 if most else 1.0
+    else:
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (least / most) ** (mid - 1) <= max_repeats else (mid, high)
+    epochs = {s: (n / most) ** (high - 1) if n else 1.0 for s, n in totals.items()}
+    block = lambda d: spark_hash(seed, ("long", d)) % blocks
+
+    def place(b, source, epoch):
+        a = spark_hash(seed + 1, source, ("long", epoch)) % (blocks // 2) * 2 + 1
+        return (b * a + spark_hash(seed + 2, source, ("long", epoch)) % blocks) % blocks
+
+    places = {}
+    for s, n in totals.items():
+        whole = int(epochs[s] + 1e-9)
+        held, last = 0, 0
+        by_place = {}
+        for d, text, source in rows:
+            if source == s:
+                p = place(block(d), s, whole)
+                by_place[p] = by_place.get(p, 0) + size(text)
+        for p in sorted(by_place):
+            held += by_place[p]
+            if held <= (epochs[s] - whole) * n - 1e-3:  # token counts are whole; the exponent is found to 3e-8 from above
+                last = p + 1
+        places[s] = last
+    return [int(epochs[s] + 1e-9) + (place(block(d), s, int(epochs[s] + 1e-9)) < places[s]) for d, _, s in rows], epochs
+
+
+def ftrl(examples, labels, epochs=4, alpha=0.4, beta=1.0, l1=8.0, l2=0.3):
+    """Weights of each coordinate by a plain loop, the bias under None."""
+    import math
+
+    import numpy as np
+
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[k]) - z[k]) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    for _ in range(epochs):
+        for i in rng.permutation(len(examples)):
+            keys = [*examples[i], None]
+            w = {k: weight(k) for k in keys}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values())))))
+            g = p - labels[i]
+            for k in keys:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z}
+
+
+def toxic_features(text):
+    """The distinct hashed words, pairs and pairs with a gap of a text, by the same hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphweave.llm import toxicity
+
+    batch = pa.RecordBatch.from_arrays([pa.array([text or ""])], names=["text"])
+    return sorted(set(toxicity.features(batch)[1].tolist())) if text else np.zeros(0, int).tolist()
+
+
+def toxic_scores(rows, labels, fold=(4, 2)):
+    """The score of each text: learned from labelled rows outside the fold, in the order of doc_id."""
+    import math
+    import zlib
+
+    known = {d: t for d, t in labels if t is not None and d is not None and zlib.crc32(str(d).encode()) % fold[0] != fold[1]}
+    learn = sorted((d, text or "") for d, text in rows if d in known)
+    w = ftrl([toxic_features(t) for _, t in learn], [float(known[d] > 0) for d, _ in learn])
+    score = lambda t: 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.get(k, 0.0) for k in [*toxic_features(t), None])))))
+    return [score(t) for _, t in rows]
+
+
+def softmax_fit(rows, n_classes, bits, width, epochs=6, rate=0.8):
+    """Table times weights by plain loops over rows of (grams, counts, label), trained on the first four fifths."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    table, out = rng.normal(0, 0.1, (1 << bits, width)).tolist(), [[0.0] * n_classes for _ in range(width)]
+    cut = max(1, len(rows) * 4 // 5)
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(cut):
+            grams, counts, label = rows[i]
+            lr = rate * (1 - done / (epochs * cut))
+            done += 1
+            total = sum(counts)
+            if not total:
+                continue
+            mean = [sum(table[g][d] * c / total for g, c in zip(grams, counts, strict=True)) for d in range(width)]
+            logit = [sum(mean[d] * out[d][k] for d in range(width)) for k in range(n_classes)]
+            top = max(logit)
+            e = [math.exp(x - top) for x in logit]
+            err = [x / sum(e) - (k == label) for k, x in enumerate(e)]
+            back = [sum(out[d][k] * err[k] for k in range(n_classes)) for d in range(width)]
+            for d in range(width):
+                for k in range(n_classes):
+                    out[d][k] -= lr * mean[d] * err[k]
+            for g, c in zip(grams, counts, strict=True):
+                for d in range(width):
+                    table[g][d] -= lr * c / total * back[d] * 10
+    return [[sum(table[g][d] * out[d][k] for d in range(width)) for k in range(n_classes)] for g in range(1 << bits)]
