@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import wordhash as H
-from graphweave.llm.common import documents, materialise
+from graphweave.llm.common import discard, documents, materialise, tables
 
 N = 5
 #: The threshold as a fraction: a link has DEN * intersection >= NUM * union.
@@ -268,8 +268,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node reachable by the edges (u, v); alternating large and small stars.
 
     Each round joins the edges with the least neighbour of each node, found with a map-side combine; the
-    edges are written to the shared folder each round, and the driver sees only their count and checksum.
-    Rounds end when nothing changes, which they do after about the logarithm of the longest path squared.
+    edges are written to the shared folder each round (and those of the round before deleted), and the driver sees
+    only their count and checksum. Rounds end when nothing changes, which they do after about the logarithm of the longest path squared.
     """
     edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     seen, now = None, ()
@@ -282,7 +282,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("m").alias("u"), "v").unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v")))
+        before = tables()[-1:]
         edges = materialise(small.where("u <> v").distinct(), "edges")
+        discard(edges.sparkSession, before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     pairs = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return pairs.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
