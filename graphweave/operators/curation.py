@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.functions import scores as S
 from graphweave.functions.text import strip
 from graphweave.operators import graph as G
-from graphweave.plans.tables import materialise
+from graphweave.plans.tables import discard, materialise, tables
 
 
 def provenance(nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def scoped_detection(nodes: DataFrame, rels: DataFrame, schema: DataFrame, focus
     keys = focus.select("dedupe_key").distinct()
     mine, near = nodes.join(keys, "dedupe_key", "left_semi"), touching(rels, focus)
     pick = lambda df, method: df.select("dedupe_key", F.lit(method).alias("method"))
-    doubled = pick(G.exact_node_duplicates(mine), "exact_dedupe_key")
+    doubled = pick(G.exact_node_duplicates(mine), "exact_node_dedupe_key")
     orphan = pick(G.orphans(mine, rels), "orphan_node")
     rest = [pick(G.exact_rel_duplicates(near), "exact_rel_dedupe_key"), pick(G.canonical_violations(near, nodes, schema), "canonical_violation")]
     found = doubled.unionByName(suppress_orphans(orphan, doubled))
@@ -79,7 +79,7 @@ def scoped_candidates(nodes: DataFrame, rels: DataFrame, schema: DataFrame, focu
     found = structural(properties, rels, qualifiers).join(keys, "dedupe_key", "left_semi")
     found = suppress_orphans(found, named).select("dedupe_key", F.lit(None).cast("string").alias("other"), "method")
     for df in (
-        pick(doubled, "exact_dedupe_key"),
+        pick(doubled, "exact_node_dedupe_key"),
         alike.select(F.col("start_dedupe_key").alias("dedupe_key"), F.col("end_dedupe_key").alias("other"), F.lit("probable_duplicate").alias("method")),
         pick(G.exact_rel_duplicates(near), "exact_rel_dedupe_key"),
         pick(G.bidirectional_duplicates(near), "bidirectional_rel_duplicate", "refs"),
@@ -93,8 +93,8 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """dedupe_key, root: the least key that pairs (key_a, key_b) reach.
 
     Each round lowers a key's root to the least root among its neighbours and then follows that root's own
-    root, so that long chains halve; a round's roots are a table in the shared folder, and the driver
-    sees one count. Keys that take part in no pair are not returned.
+    root, so that long chains halve; a round's roots are a table in the shared folder (the round before's is deleted),
+    and the driver sees one count. Keys that take part in no pair are not returned.
     """
     edges = pairs.select(F.col("key_a").alias("k"), F.col("key_b").alias("other"))
     edges = materialise(edges.unionByName(edges.select(F.col("other").alias("k"), F.col("k").alias("other"))).where("k is not null and other is not null").distinct(), "edges")
@@ -103,8 +103,10 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         seen = edges.join(roots.withColumnRenamed("k", "other"), "other").groupBy("k").agg(F.min("root").alias("near"))
         lower = roots.join(seen, "k").select("k", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = roots.select(F.col("k").alias("root"), F.col("root").alias("far"))
+        before = tables()[-1:]
         now = materialise(lower.join(jump, "root", "left").select("k", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
         roots = now.select("k", "root")
+        discard(now.sparkSession, before)
         if now.where("root <> old").isEmpty():
             break
     else:

@@ -118,3 +118,9 @@ LABELLED = """WITH labelled AS (SELECT 'Label|' || name || '|v1' AS dedupe_key,
     ELSE 'a ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' of ' || p_type END AS name FROM part)) """
 MORE_RELS_SQL = """, more_rels AS (SELECT * FROM rels UNION ALL SELECT DISTINCT 'SERVES::' || start_dedupe_key || '::' || end_dedupe_key || '::v1', 'SERVES', start_dedupe_key, end_dedupe_key, run_id, schema_version
   FROM rels WHERE rel_type = 'LOCATED_IN' AND start_dedupe_key NOT LIKE 'Nation|%' AND length(end_dedupe_key) = 18) """
+
+
+def both_sql() -> str:
+    """The graph's CTEs with the labelled parts among the nodes."""
+    labelled = LABELLED.removeprefix("WITH ")
+    return SQL.replace("WITH nodes AS (", f"WITH {labelled}, nodes AS (SELECT dedupe_key, node_type, primary_value, 'run1' AS run_id, 'v1' AS schema_version, seq FROM labelled UNION ALL ", 1)

@@ -21,13 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables that this process wrote, the newest last.
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage."""
+    """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and a
+    lost executor costs a reread, not a rerun of what led to the table."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """The tables that materialise wrote and discard has not deleted."""
+    return list(_made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more: what was built on them is written."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+
+
 def ranged(df: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:
     """df in the order of `by`, cut into ranges of near equal row counts numbered in that order by the column
     __range; a table, so that all who read it see the same cuts. by should be unique per row, as equal rows

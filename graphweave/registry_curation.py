@@ -247,7 +247,7 @@ def oracle_sql() -> dict[str, str]:
         "set_suppress_orphans": g + _MARK + "SELECT * FROM structural WHERE method <> 'orphan_node' OR dedupe_key NOT IN (SELECT dedupe_key FROM nodes GROUP BY 1 HAVING count(*) >= 2)",
         "flt_touches_focus": g + _FOCUS + "SELECT dedupe_key, rel_type FROM near",
         "gr_scoped_detection": g + _FOCUS + """, dup AS (SELECT dedupe_key FROM nodes WHERE dedupe_key IN (SELECT dedupe_key FROM focus) GROUP BY 1 HAVING count(*) >= 2)
-          SELECT dedupe_key, 'exact_dedupe_key' AS method FROM dup UNION SELECT dedupe_key, 'orphan_node' FROM focus WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels) AND dedupe_key NOT IN (SELECT dedupe_key FROM dup)
+          SELECT dedupe_key, 'exact_node_dedupe_key' AS method FROM dup UNION SELECT dedupe_key, 'orphan_node' FROM focus WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels) AND dedupe_key NOT IN (SELECT dedupe_key FROM dup)
           UNION SELECT dedupe_key, 'exact_rel_dedupe_key' FROM near GROUP BY 1 HAVING count(*) >= 2 UNION SELECT dedupe_key, 'canonical_violation' FROM near WHERE start_dedupe_key LIKE 'Nation|%' AND rel_type = 'LOCATED_IN'""",
         "gr_components": g.replace("WITH nodes", "WITH RECURSIVE nodes") + ", links AS (SELECT start_dedupe_key AS a, end_dedupe_key AS b FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels), reach AS (SELECT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b) SELECT a AS dedupe_key, min(b) AS root FROM reach GROUP BY 1",
         "gr_enrich": g + _ENRICH + "SELECT node_type, key_a, key_b, property_overlap, conflicts, composite, CASE WHEN composite >= 0.8 AND conflicts = '' THEN 'high' WHEN composite >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM enriched",

@@ -159,8 +159,90 @@ _PACKETS = """, e AS (SELECT DISTINCT *, length(start_dedupe_key) + length(end_d
     CASE WHEN again THEN target END AS new_type, CASE WHEN again THEN CASE WHEN inverse THEN end_dedupe_key ELSE start_dedupe_key END END AS start_key, CASE WHEN again THEN CASE WHEN inverse THEN start_dedupe_key ELSE end_dedupe_key END END AS end_key FROM w"""
 
 
+def alike_sql(pairs: str) -> str:
+    """CTEs walk, jw, scored: Jaro-Winkler and token scores of the distinct value pairs of a table with value_a and
+    value_b, by walking the first value's characters: mask marks the characters of the second that are taken."""
+    from graphweave import registry as Q
+
+    held = Q.contained_sql("value_a", "value_b", Q.content_sql("value_a"), Q.content_sql("value_b"))
+    x, y = (Q._TOK.format(v) for v in ("value_a", "value_b"))
+    return f""", words AS (SELECT DISTINCT value_a AS a, value_b AS b FROM {pairs}),
+  walk AS (SELECT a, b, 0 AS i, repeat('0', length(b)) AS mask, '' AS taken, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM words
+    UNION ALL SELECT a, b, i + 1, CASE WHEN j IS NULL THEN mask ELSE substr(mask, 1, j - 1) || '1' || substr(mask, j + 1) END, CASE WHEN j IS NULL THEN taken ELSE taken || substr(a, i + 1, 1) END, reach
+      FROM (SELECT *, list_filter(range(greatest(i + 1 - reach, 1), least(i + 1 + reach, length(b)) + 1), lambda k: substr(mask, k, 1) = '0' AND substr(b, k, 1) = substr(a, i + 1, 1))[1] AS j
+        FROM walk WHERE i < length(a))),
+  ended AS (SELECT a, b, taken, array_to_string(list_transform(list_filter(range(1, length(b) + 1), lambda k: substr(mask, k, 1) = '1'), lambda k: substr(b, k, 1)), '') AS other FROM walk WHERE i = length(a)),
+  jaro AS (SELECT a, b, length(taken)::DOUBLE AS m, len(list_filter(range(1, length(taken) + 1), lambda k: substr(taken, k, 1) <> substr(other, k, 1)))::DOUBLE / 2 AS moved,
+    len(list_filter(range(1, 5), lambda k: k <= least(length(a), length(b)) AND substr(a, 1, k) = substr(b, 1, k)))::DOUBLE AS same FROM ended),
+  jw AS (SELECT a, b, CASE WHEN a = b THEN 1::DOUBLE WHEN m = 0 THEN 0::DOUBLE ELSE (m / length(a) + m / length(b) + (m - moved) / m) / 3 + same * 0.1::DOUBLE * (1 - (m / length(a) + m / length(b) + (m - moved) / m) / 3) END AS jw FROM jaro),
+  scored AS (SELECT p.*, jw, {x} AS x, {y} AS y, {held} AS held FROM {pairs} p JOIN jw ON a = value_a AND b = value_b),
+  lapped AS (SELECT *, CASE WHEN len(x) + len(y) = 0 THEN 0::DOUBLE ELSE 2::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END AS overlap FROM scored),
+  links AS (SELECT start_dedupe_key AS k, end_dedupe_key AS o FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels), near_of AS (SELECT k, list(o) AS os FROM links GROUP BY 1),
+  likely AS (SELECT node_type, key_a, key_b, value_a, value_b, alike, NOT alike AS contained, CASE WHEN alike THEN 'jaro_winkler_0.90' ELSE 'token_containment' END AS method, round(jw, 6) AS similarity, round(overlap, 6) AS overlap,
+      CASE WHEN cn = 0 THEN 0::DOUBLE ELSE round(ci::DOUBLE / (cn - ci), 6) END AS context
+    FROM (SELECT l.*, windowed AND jw >= 0.9::DOUBLE AND (jw >= 0.95::DOUBLE OR overlap >= 0.5::DOUBLE) AS alike, len(list_intersect(coalesce(n.os, []), coalesce(m.os, []))) AS ci, len(coalesce(n.os, [])) + len(coalesce(m.os, [])) AS cn
+      FROM lapped l LEFT JOIN near_of n ON n.k = key_a LEFT JOIN near_of m ON m.k = key_b) WHERE alike OR held) """
+
+
+def compared_sql(types: str = "") -> str:
+    """CTE compared: the pairs that the window compares, and those of the token blocks that it doesn't."""
+    from graphweave import registry as Q
+
+    held = Q.contained_sql("v.value", "w.value", Q.content_sql("v.value"), Q.content_sql("w.value"))
+    return Q.WINDOW.replace("FROM nodes GROUP BY 1, 2)", f"FROM nodes {types} GROUP BY 1, 2)") + f""", compared AS (SELECT *, true AS windowed FROM pairs UNION ALL
+    SELECT v.node_type, v.dedupe_key, w.dedupe_key, v.value, w.value, false FROM vals v JOIN vals w ON v.node_type = w.node_type AND v.dedupe_key < w.dedupe_key AND v.value <> '' AND w.value <> ''
+    WHERE {held} AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.node_type = v.node_type AND p.key_a = v.dedupe_key AND p.key_b = w.dedupe_key)) """
+
+
+_LIKELY_ID = """CASE WHEN alike THEN {one} ELSE {two} END"""
+
+
+def likely_id() -> str:
+    from graphweave.registry import candidate_sql
+
+    refs = """'"' || key_a || '","' || key_b || '"'"""
+    return _LIKELY_ID.format(one=candidate_sql("probable_duplicate", "jaro_winkler_0.90", refs), two=candidate_sql("probable_duplicate", "token_containment", refs))
+
+
+def scoped_sql() -> str:
+    """All detectors on the focus."""
+    from graphweave import registry as Q
+    from graphweave.registry_curation import _FOCUS, _MARK
+
+    mine = ", mine AS (SELECT *, true AS windowed FROM pairs WHERE key_a IN (SELECT dedupe_key FROM focus) OR key_b IN (SELECT dedupe_key FROM focus)) "
+    dup = ", dup AS (SELECT dedupe_key FROM nodes WHERE dedupe_key IN (SELECT dedupe_key FROM focus) GROUP BY 1 HAVING count(*) >= 2) "
+    return recursive(M.SQL + _FOCUS + Q.WINDOW + mine + alike_sql("mine") + _MARK + Q.violations_sql(Q.ALLOWED, "near") + dup) + f"""SELECT dedupe_key, NULL AS other, method FROM structural
+        WHERE dedupe_key IN (SELECT dedupe_key FROM focus) AND (method <> 'orphan_node' OR dedupe_key NOT IN (SELECT dedupe_key FROM dup UNION SELECT key_a FROM likely UNION SELECT key_b FROM likely))
+      UNION SELECT dedupe_key, NULL, 'exact_node_dedupe_key' FROM dup UNION SELECT key_a, key_b, 'probable_duplicate' FROM likely
+      UNION SELECT dedupe_key, NULL, 'exact_rel_dedupe_key' FROM near GROUP BY 1 HAVING count(*) >= 2
+      UNION SELECT refs, NULL, 'bidirectional_rel_duplicate' FROM ({Q.BIDIRECTIONAL.replace("FROM rels", "FROM near")}) UNION SELECT dedupe_key, NULL, 'canonical_violation' FROM bad"""
+
+
+def clusters_sql() -> str:
+    """The probable duplicates with their clusters, enriched by the properties of the nodes that have any."""
+    from graphweave.registry_curation import _MARK
+
+    return recursive(M.both_sql() + compared_sql() + alike_sql("compared") + _MARK.replace("FROM nodes LEFT JOIN part", "FROM (SELECT * FROM nodes WHERE node_type <> 'Label') nodes LEFT JOIN part")) + """,
+      one AS (SELECT dedupe_key, arg_min(struct_pack(b := brand, k := kind, s := size), seq) AS p FROM mark GROUP BY 1),
+      both_ AS (SELECT l.*, (x.p.b = y.p.b)::INT AS sb, (x.p.k = y.p.k)::INT AS sk, (x.p.s = y.p.s)::INT AS ss, (coalesce(x.p.b, y.p.b) IS NOT NULL)::INT + (coalesce(x.p.k, y.p.k) IS NOT NULL)::INT + (coalesce(x.p.s, y.p.s) IS NOT NULL)::INT AS names
+        FROM likely l LEFT JOIN one x ON x.dedupe_key = key_a LEFT JOIN one y ON y.dedupe_key = key_b),
+      rated AS (SELECT *, coalesce(sb = 0 OR sk = 0 OR ss = 0, false) OR coalesce(sb, 1) = 0 OR coalesce(sk, 1) = 0 OR coalesce(ss, 1) = 0 AS conflict,
+        CASE WHEN names = 0 THEN 0::DOUBLE ELSE round((coalesce(sb, 0) + coalesce(sk, 0) + coalesce(ss, 0))::DOUBLE / names, 6) END AS po FROM both_),
+      graded AS (SELECT *, round(CASE WHEN contained THEN 0.7::DOUBLE + least(context * 0.15::DOUBLE + po * 0.1::DOUBLE, 0.25::DOUBLE) WHEN context = 0 THEN 0.65::DOUBLE * similarity + 0.25::DOUBLE * overlap + 0.1::DOUBLE * po
+        ELSE 0.5::DOUBLE * similarity + 0.25::DOUBLE * overlap + 0.15::DOUBLE * context + 0.1::DOUBLE * po END, 4) AS composite FROM rated),
+      pairs_of AS (SELECT key_a AS a, key_b AS b FROM likely UNION SELECT key_b, key_a FROM likely), reach AS (SELECT a, a AS b FROM pairs_of UNION SELECT reach.a, pairs_of.b FROM reach JOIN pairs_of ON pairs_of.a = reach.b),
+      roots AS (SELECT a AS k, min(b) AS cluster FROM reach GROUP BY 1), sizes AS (SELECT cluster, count(*) AS keys FROM roots GROUP BY 1),
+      facts AS (SELECT cluster, keys > 8 OR min(node_type) <> max(node_type) OR bool_or(conflict) AS suspect, keys FROM graded JOIN roots ON k = key_a JOIN sizes USING (cluster) GROUP BY cluster, keys)
+      SELECT key_a, key_b, cluster, keys, suspect, CASE WHEN composite >= 0.8::DOUBLE AND NOT conflict THEN CASE WHEN suspect THEN 'medium' ELSE 'high' END WHEN composite >= 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS band
+      FROM graded JOIN roots ON k = key_a JOIN facts USING (cluster)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def generated_sql(stages: tuple[int, ...]) -> str:
-    """The findings of stages 1 and 3; orphans that are exact duplicates are left out where stage 1 is there."""
+    """The findings of the stages; orphans that a duplicate of these names are left out."""
     from graphweave import registry as Q
     from graphweave.registry_curation import _MARK
 
@@ -173,23 +255,35 @@ def generated_sql(stages: tuple[int, ...]) -> str:
             "SELECT candidate_id, 'exact_rel_duplicate', 'relationship', 'high', 'bidirectional_rel_duplicate', refs, 1 FROM (" + Q.BIDIRECTIONAL.replace("FROM rels", "FROM more_rels") + ")",
             "SELECT DISTINCT candidate_id, 'canonical_violation', 'relationship', severity, 'canonical_' || violation || '_violation', dedupe_key || ' ' || start_dedupe_key || ' ' || end_dedupe_key, 1 FROM bad",
         ]
+    if 2 in stages:
+        parts.append(f"SELECT {likely_id()}, 'probable_duplicate', 'node', 'medium', method, key_a || ' ' || key_b, 2 FROM likely")
     if 3 in stages:
         ident = "CASE method " + " ".join(f"WHEN '{m}' THEN {Q.candidate_sql('structural_anomaly', m, one)}" for m in ("orphan_node", "missing_provenance_node", "missing_provenance_rel", "qualifier_missing")) + " END"
-        keep = "WHERE method <> 'orphan_node' OR dedupe_key NOT IN (SELECT dedupe_key FROM nodes GROUP BY 1 HAVING count(*) >= 2)" if 1 in stages else ""
+        named = ["SELECT dedupe_key FROM nodes GROUP BY 1 HAVING count(*) >= 2"] * (1 in stages) + ["SELECT key_a FROM likely", "SELECT key_b FROM likely"] * (2 in stages)
+        keep = f"WHERE method <> 'orphan_node' OR dedupe_key NOT IN ({' UNION '.join(named)})" if named else ""
         parts.append(f"SELECT DISTINCT {ident} AS candidate_id, 'structural_anomaly' AS candidate_type, 'structural' AS lane, severity, method, dedupe_key AS refs, 3 AS stage FROM structural {keep}")
     bad = Q.violations_sql(Q.ALLOWED + ", " + str(M.AMENDED), "more_rels")
-    return M.SQL + M.MORE_RELS_SQL + bad + _MARK + " UNION ALL ".join(parts)
+    likely = compared_sql() + alike_sql("compared") if 2 in stages else ""
+    return recursive(M.SQL + M.MORE_RELS_SQL + likely.replace("FROM rels", "FROM more_rels") + bad + _MARK + " UNION ALL ".join(parts))
 
 
 def oracle_sql() -> dict[str, str]:
-    from graphweave.registry import candidate_sql
+    from graphweave.registry import WINDOW, candidate_sql
 
     g = M.SQL
     degree = """, deg AS (SELECT k AS dedupe_key, CAST(coalesce(sum(i), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(o), 0) AS BIGINT) AS out_degree FROM (SELECT DISTINCT dedupe_key AS k FROM nodes) LEFT JOIN (
       SELECT start_dedupe_key AS k, 0 AS i, 1 AS o FROM (SELECT DISTINCT dedupe_key, start_dedupe_key FROM rels) UNION ALL SELECT end_dedupe_key, 1, 0 FROM (SELECT DISTINCT dedupe_key, end_dedupe_key FROM rels)) USING (k) GROUP BY k) """
     ident = candidate_sql("probable_duplicate", "cluster_merge", "json")
     return {
+        "gr_generate": generated_sql((1, 2, 3)),
+        "gr_scoped_candidates": scoped_sql(),
+        "gr_cluster_validate": clusters_sql(),
         "gr_generate_stage1": generated_sql((1,)),
+        "gr_probable_dup": recursive(M.both_sql() + compared_sql() + alike_sql("compared")) + f"SELECT {likely_id()} AS candidate_id, * EXCLUDE (alike, contained), 'medium' AS severity FROM likely",
+        "gr_probable_dup_typed": recursive(g + compared_sql("WHERE node_type IN ('Part', 'Nation')") + alike_sql("compared"))
+        + f"SELECT {likely_id()} AS candidate_id, 'probable_duplicate' AS candidate_type, 'node' AS lane, 'medium' AS severity, method, key_a || ' ' || key_b AS refs, 2 AS stage FROM likely",
+        "gr_probable_dup_scoped": recursive(g + WINDOW + """, focus AS (SELECT DISTINCT dedupe_key FROM nodes WHERE node_type = 'Part' AND seq % 3 = 0 OR node_type = 'Supplier'),
+          mine AS (SELECT *, true AS windowed FROM pairs WHERE key_a IN (SELECT dedupe_key FROM focus) OR key_b IN (SELECT dedupe_key FROM focus)) """ + alike_sql("mine")) + "SELECT key_a, key_b, method, similarity, context FROM likely",
         "gr_generate_stage3": generated_sql((3,)),
         "win_dedupe_by_id": "SELECT p_partkey % 700 AS candidate_id, min(p_partkey % 4) AS stage, arg_min(lpad(CAST(p_partkey AS VARCHAR), 8, '0'), (p_partkey % 4, p_partkey)) AS ref FROM part GROUP BY 1",
         "fn_structural_recommendation": _SCORED + _ADVICE,

@@ -74,7 +74,7 @@ def test_structural_and_scope(spark):
     full = nodes.withColumns({"run_id": F.lit("run1"), "seq": F.lit(1)})
     schema = spark.createDataFrame([("T", "T", "R")], "start_type string, end_type string, rel_type string")
     focus = spark.createDataFrame([("c",), ("b",), (None,)], "dedupe_key string")
-    assert sorted((r.dedupe_key, r.method) for r in C.scoped_detection(full, rels, schema, focus).collect()) == [("b", "orphan_node"), ("c", "exact_dedupe_key")]
+    assert sorted((r.dedupe_key, r.method) for r in C.scoped_detection(full, rels, schema, focus).collect()) == [("b", "orphan_node"), ("c", "exact_node_dedupe_key")]
 
 
 def test_scoped_candidates(spark):
