@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.plans.tables import discard, materialise, shared_dir, tables
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "discard", "documents", "materialise", "read", "shared_dir", "tables"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space of every word and line rule here: space and \x09-\x0D.
@@ -15,49 +16,6 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a local master gets a temporary folder (as in tests); a cluster gets an error,
-    because a machine-local folder would not be seen by other executors.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    where = f"file://{tempfile.mkdtemp(prefix='graphweave-')}"
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-#: Tables that this process wrote, the newest last.
-_made: list[str] = []
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and a
-    lost executor costs a reread, not a rerun of what led to the table."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def tables() -> list[str]:
-    """The tables that materialise wrote and discard has not deleted."""
-    return list(_made)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that nothing reads any more: what was built on them is written."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _made:
-            _made.remove(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() is the fast way for texts without other letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
