@@ -101,26 +101,33 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value", "ts", F.col("event_id").alias("seq"))
 
 
-_NODE = "SELECT '{k}|' || {n} || '|v1' AS dedupe_key, '{k}' AS node_type, {n} AS primary_value, 'run1' AS run_id, 'v1' AS schema_version, CAST({i} AS BIGINT) AS seq FROM {t}"
+_NODE = """SELECT '{k}|' || {n} || '|v1' AS dedupe_key, '{k}' AS node_type, {n} AS primary_value, 'run1' AS run_id, 'v1' AS schema_version,
+  CAST({i} AS BIGINT) AS seq FROM {t}"""
 SQL = "WITH nodes AS (" + " UNION ALL ".join(
     _NODE.format(k=k, t=t, n=n, i=i) for k, t, n, i in (("Part", "part", "p_name", "p_partkey"), ("Customer", "customer", "c_name", "c_custkey"), ("Supplier", "supplier", "s_name", "s_suppkey"), ("Nation", "nation", "n_name", "n_nationkey"), ("Region", "region", "r_name", "r_regionkey"))
 ) + """), ends AS (
-  SELECT 'LOCATED_IN' AS rel_type, 'Customer|' || c_name || '|v1' AS a, 'Nation|' || n_name || '|v1' AS b FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL SELECT 'LOCATED_IN', 'Nation|' || n_name || '|v1', 'Customer|' || c_name || '|v1' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 0
+  SELECT 'LOCATED_IN' AS rel_type, 'Customer|' || c_name || '|v1' AS a, 'Nation|' || n_name || '|v1' AS b FROM customer
+    JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'LOCATED_IN', 'Nation|' || n_name || '|v1', 'Customer|' || c_name || '|v1' FROM customer JOIN nation ON c_nationkey = n_nationkey
+    WHERE c_custkey % 7 = 0
   UNION ALL SELECT 'LOCATED_IN', 'Supplier|' || s_name || '|v1', 'Nation|' || n_name || '|v1' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  UNION ALL SELECT 'LOCATED_IN', 'Supplier|' || s_name || '|v1', 'Nation|' || n_name || '|v1' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0
+  UNION ALL SELECT 'LOCATED_IN', 'Supplier|' || s_name || '|v1', 'Nation|' || n_name || '|v1' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    WHERE s_suppkey % 5 = 0
   UNION ALL SELECT 'PART_OF', 'Nation|' || n_name || '|v1', 'Region|' || r_name || '|v1' FROM nation JOIN region ON n_regionkey = r_regionkey
 ), rels AS (
-  SELECT rel_type || '::' || a || '::' || b || '::v1' AS dedupe_key, rel_type, a AS start_dedupe_key, b AS end_dedupe_key, 'run1' AS run_id, 'v1' AS schema_version FROM ends
+  SELECT rel_type || '::' || a || '::' || b || '::v1' AS dedupe_key, rel_type, a AS start_dedupe_key, b AS end_dedupe_key, 'run1' AS run_id,
+    'v1' AS schema_version FROM ends
 ) """
 LABELLED = """WITH labelled AS (SELECT 'Label|' || name || '|v1' AS dedupe_key, 'Label' AS node_type, name AS primary_value, seq FROM (
   SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN p_name || ' ' || lower(p_type) WHEN 1 THEN 'The ' || p_name
     ELSE 'a ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' of ' || p_type END AS name FROM part)) """
-MORE_RELS_SQL = """, more_rels AS (SELECT * FROM rels UNION ALL SELECT DISTINCT 'SERVES::' || start_dedupe_key || '::' || end_dedupe_key || '::v1', 'SERVES', start_dedupe_key, end_dedupe_key, run_id, schema_version
+MORE_RELS_SQL = """, more_rels AS (SELECT * FROM rels UNION ALL SELECT DISTINCT 'SERVES::' || start_dedupe_key || '::' || end_dedupe_key || '::v1',
+  'SERVES', start_dedupe_key, end_dedupe_key, run_id, schema_version
   FROM rels WHERE rel_type = 'LOCATED_IN' AND start_dedupe_key NOT LIKE 'Nation|%' AND length(end_dedupe_key) = 18) """
 
 
 def both_sql() -> str:
     """The graph's CTEs with the labelled parts among the nodes."""
     labelled = LABELLED.removeprefix("WITH ")
-    return SQL.replace("WITH nodes AS (", f"WITH {labelled}, nodes AS (SELECT dedupe_key, node_type, primary_value, 'run1' AS run_id, 'v1' AS schema_version, seq FROM labelled UNION ALL ", 1)
+    return SQL.replace("WITH nodes AS (", f"""WITH {labelled}, nodes AS (SELECT dedupe_key, node_type, primary_value, 'run1' AS run_id,
+      'v1' AS schema_version, seq FROM labelled UNION ALL """, 1)

@@ -99,8 +99,10 @@ def violations_sql(allowed: str, rels: str = "rels") -> str:
 
 BIDIRECTIONAL = """SELECT sha256('{"candidate_type":"exact_rel_duplicate","detection_method":"bidirectional_rel_duplicate","involved_element_refs":["' || string_agg(k, '","' ORDER BY k) || '"],"run_id":"run1","schema_version":"v1"}') AS candidate_id,
           rel_type, string_agg(k, ' ' ORDER BY k) AS refs, count(*) AS edges
-          FROM (SELECT DISTINCT rel_type, dedupe_key AS k, least(start_dedupe_key, end_dedupe_key) AS a, greatest(start_dedupe_key, end_dedupe_key) AS b FROM rels
-            WHERE start_dedupe_key <> end_dedupe_key AND dedupe_key NOT IN (SELECT dedupe_key FROM rels GROUP BY 1 HAVING count(*) >= 2)) GROUP BY rel_type, a, b HAVING count(*) >= 2"""
+          FROM (SELECT DISTINCT rel_type, dedupe_key AS k, least(start_dedupe_key, end_dedupe_key) AS a, greatest(start_dedupe_key,
+            end_dedupe_key) AS b FROM rels
+            WHERE start_dedupe_key <> end_dedupe_key AND dedupe_key NOT IN (SELECT dedupe_key FROM rels GROUP BY 1 HAVING count(*) >= 2))
+              GROUP BY rel_type, a, b HAVING count(*) >= 2"""
 ALLOWED = ", ".join(map(str, M.SCHEMA_EDGES))
 BAD = violations_sql(ALLOWED)
 _FOUND = f""", found AS (SELECT candidate_id, candidate_type, severity FROM ({_NODE_DUP}) UNION ALL SELECT candidate_id, candidate_type, severity FROM ({_REL_DUP})
@@ -131,8 +133,10 @@ WINDOW = """, vals AS (SELECT node_type, dedupe_key, max_by(trim(lower(primary_v
       CASE WHEN a.dedupe_key > b.dedupe_key THEN b.value ELSE a.value END AS value_a, CASE WHEN a.dedupe_key > b.dedupe_key THEN a.value ELSE b.value END AS value_b
     FROM ranked a JOIN ranked b ON a.node_type = b.node_type AND b.k BETWEEN a.k + 1 AND a.k + 4) """
 _ELEMENTS = """WITH src AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END
-    || CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || '- item' || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' ELSE '' END AS text FROM documents),
-  cut AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS block, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS pos FROM src),
+    || CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || '- item' || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |'
+      ELSE '' END AS text FROM documents),
+  cut AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS block, generate_subscripts(string_split(text, chr(10) || chr(10)),
+    1) - 1 AS pos FROM src),
   els AS (SELECT doc_id, pos, regexp_replace(block, '^\\s+|\\s+$', '', 'g') AS text FROM cut) """
 _KIND = """CASE WHEN regexp_matches(trim(string_split(text, chr(10))[1]), '^#{1,6}\\s+\\S') THEN 'heading'
   WHEN regexp_matches(text, '(?m)^\\|?[\\s\\-:]+(\\|[\\s\\-:]+)+\\|?\\s*$') THEN 'table'
@@ -140,9 +144,11 @@ _KIND = """CASE WHEN regexp_matches(trim(string_split(text, chr(10))[1]), '^#{1,
 _RECORDS = """WITH rec AS (SELECT 'run' || (user_id % 2) AS run_id, event_id % 100 AS candidate_id, event_type AS agent, CAST(floor(value * 10) AS BIGINT) AS tokens_in,
     CAST(floor(value) AS BIGINT) AS tokens_out, value / 1000 AS cost, ts, event_id AS seq FROM events),
   last AS (SELECT run_id, candidate_id, agent, arg_max(struct_pack(i := tokens_in, o := tokens_out, c := cost), (ts, seq)) AS x FROM rec GROUP BY 1, 2, 3) """
-_SORTED = """WITH kept AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value IS NOT NULL),
+_SORTED = """WITH kept AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r
+  FROM events WHERE value IS NOT NULL),
   got AS (SELECT name, list_sort(list(value)) AS v FROM kept WHERE r <= 10000 GROUP BY 1),
-  named AS (SELECT name, coalesce(v, []) AS v, len(coalesce(v, [])) AS n FROM (SELECT DISTINCT event_type AS name FROM events WHERE value IS NOT NULL UNION SELECT 'view' UNION SELECT 'never') LEFT JOIN got USING (name)) """
+  named AS (SELECT name, coalesce(v, []) AS v, len(coalesce(v, [])) AS n FROM (SELECT DISTINCT event_type AS name FROM events WHERE value IS NOT NULL
+    UNION SELECT 'view' UNION SELECT 'never') LEFT JOIN got USING (name)) """
 _AT = "coalesce(v[greatest(CAST(floor(n * {q}::DOUBLE) AS INT), 1)], 0)"
 
 
@@ -155,7 +161,9 @@ def oracle_sql() -> dict[str, str]:
         "agg_node_counts": g + "SELECT node_type, count(*) AS n FROM nodes GROUP BY 1",
         "agg_edge_counts": g + "SELECT rel_type, count(*) AS n FROM rels GROUP BY 1",
         "agg_degree": g + _DEGREE,
-        "agg_degree_outlier": g + f"SELECT dedupe_key, total FROM (SELECT dedupe_key, in_degree + out_degree AS total, avg(in_degree + out_degree) OVER () AS m, stddev_pop(in_degree + out_degree) OVER () AS s, count(*) OVER () AS n FROM ({_DEGREE})) WHERE n >= 3 AND s > 0 AND total > m + 3 * s",
+        "agg_degree_outlier": g + f"""SELECT dedupe_key, total FROM (SELECT dedupe_key, in_degree + out_degree AS total,
+          avg(in_degree + out_degree) OVER () AS m, stddev_pop(in_degree + out_degree) OVER () AS s, count(*) OVER () AS n FROM ({_DEGREE}))
+          WHERE n >= 3 AND s > 0 AND total > m + 3 * s""",
         "join_orphans": g + "SELECT DISTINCT dedupe_key FROM nodes WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels)",
         "join_neighbors": g + "SELECT start_dedupe_key AS dedupe_key, end_dedupe_key AS neighbor FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels",
         "page_nodes": g + "SELECT dedupe_key, seq FROM nodes ORDER BY dedupe_key, seq LIMIT 50 OFFSET 50",
@@ -165,28 +173,42 @@ def oracle_sql() -> dict[str, str]:
         "gr_canonical_violation": g + BAD + "SELECT * FROM bad",
         "gr_canonical_violation_amended": g + M.MORE_RELS_SQL + violations_sql(ALLOWED + ", " + str(M.AMENDED), "more_rels") + "SELECT * FROM bad",
         "join_sorted_window": g + WINDOW + "SELECT * FROM pairs",
-        "fn_token_scores": g + WINDOW + f""", tok AS (SELECT *, {_TOK.format('value_a')} AS x, {_TOK.format('value_b')} AS y, {content_sql('value_a')} AS cx, {content_sql('value_b')} AS cy FROM pairs),
+        "fn_token_scores": g + WINDOW + f""", tok AS (SELECT *, {_TOK.format('value_a')} AS x, {_TOK.format('value_b')} AS y,
+          {content_sql('value_a')} AS cx, {content_sql('value_b')} AS cy FROM pairs),
           met AS (SELECT *, len(list_intersect(x, y)) AS i FROM tok)
-          SELECT node_type, key_a, key_b, round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * i / (len(x) + len(y)) END, 6) AS token_overlap,
-            round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / (len(x) + len(y) - i) END, 6) AS jaccard, {contained_sql('value_a', 'value_b', 'cx', 'cy')} AS containment FROM met""",
-        "join_token_block": M.LABELLED + f""", vals AS (SELECT node_type, dedupe_key, max_by(trim(lower(primary_value)), seq) AS v FROM labelled GROUP BY 1, 2),
+          SELECT node_type, key_a, key_b, round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * i / (len(x) + len(y)) END,
+            6) AS token_overlap,
+            round(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE i::DOUBLE / (len(x) + len(y) - i) END, 6) AS jaccard,
+              {contained_sql('value_a', 'value_b', 'cx', 'cy')} AS containment FROM met""",
+        "join_token_block": M.LABELLED + f""", vals AS (SELECT node_type, dedupe_key, max_by(trim(lower(primary_value)), seq) AS v FROM labelled
+          GROUP BY 1, 2),
           tok AS (SELECT *, {content_sql('v')} AS t FROM vals)
-          SELECT a.node_type, a.dedupe_key AS key_a, b.dedupe_key AS key_b, a.v AS value_a, b.v AS value_b FROM tok a JOIN tok b ON a.node_type = b.node_type AND a.dedupe_key < b.dedupe_key
+          SELECT a.node_type, a.dedupe_key AS key_a, b.dedupe_key AS key_b, a.v AS value_a, b.v AS value_b FROM tok a
+            JOIN tok b ON a.node_type = b.node_type AND a.dedupe_key < b.dedupe_key
           WHERE {contained_sql('a.v', 'b.v', 'a.t', 'b.t')}""",
-        "agg_candidate_groups": g + BAD + _FOUND + """SELECT candidate_type, CASE candidate_type WHEN 'exact_node_duplicate' THEN 'node' ELSE 'relationship' END AS lane, count(*) AS total,
-          count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
-          min_by(candidate_id, (CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, candidate_id)) AS first_id FROM found GROUP BY 1""",
+        "agg_candidate_groups": g + BAD + _FOUND + """SELECT candidate_type, CASE candidate_type WHEN 'exact_node_duplicate' THEN 'node'
+          ELSE 'relationship' END AS lane, count(*) AS total,
+          count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
+            count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+          min_by(candidate_id, (CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, candidate_id)) AS first_id
+            FROM found GROUP BY 1""",
         "agg_candidate_members": g + BAD + _FOUND + """SELECT candidate_type, candidate_id, row_number() OVER (PARTITION BY candidate_type
           ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, candidate_id) AS place FROM found""",
-        "dml_merge_nodes": g + "SELECT dedupe_key, min_by(primary_value, seq) AS primary_value, min(seq) AS created_seq, max(seq) AS last_seen_seq, count(*) - 1 AS matched FROM nodes GROUP BY 1",
-        "ids_documents": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256('run1' || chr(0) || coalesce(source, '') || chr(0) || sha256(coalesce(text, ''))) AS doc_hash FROM documents",
+        "dml_merge_nodes": g + """SELECT dedupe_key, min_by(primary_value, seq) AS primary_value, min(seq) AS created_seq, max(seq) AS last_seen_seq,
+          count(*) - 1 AS matched FROM nodes GROUP BY 1""",
+        "ids_documents": """SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256('run1' || chr(0) || coalesce(source,
+          '') || chr(0) || sha256(coalesce(text, ''))) AS doc_hash FROM documents""",
         "fn_text_to_elements": _ELEMENTS + f"SELECT doc_id, pos, {_KIND} AS element_type, sha256(text) AS text_sha256 FROM els WHERE text <> ''",
-        "topk_evidence_query": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 5) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10",
+        "topk_evidence_query": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[])
+          FROM embeddings ORDER BY vec_id LIMIT 1)), 5) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""",
         "st_upsert_job_status": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1, 2",
-        "agg_telemetry": _RECORDS + """SELECT agent, CAST(sum(x.i) AS BIGINT) AS tokens_in, CAST(sum(x.o) AS BIGINT) AS tokens_out, round(sum(x.c), 4) AS cost, count(*) AS invocations FROM last GROUP BY 1""",
+        "agg_telemetry": _RECORDS + """SELECT agent, CAST(sum(x.i) AS BIGINT) AS tokens_in, CAST(sum(x.o) AS BIGINT) AS tokens_out, round(sum(x.c),
+          4) AS cost, count(*) AS invocations FROM last GROUP BY 1""",
         "st_telemetry_run": _RECORDS + "SELECT candidate_id, agent, x.i AS tokens_in, x.o AS tokens_out, x.c AS cost FROM last WHERE run_id = 'run1'",
-        "agg_histogram": _SORTED + f"""SELECT name, n, round(coalesce(list_sum(v), 0), 4) AS total, coalesce(v[1], 0) AS least, coalesce(v[-1], 0) AS most,
-          round(CASE WHEN n > 0 THEN list_sum(v) / n ELSE 0 END, 6) AS mean, {_AT.format(q=0.5)} AS p50, {_AT.format(q=0.95)} AS p95, {_AT.format(q=0.99)} AS p99 FROM named""",
+        "agg_histogram": _SORTED + f"""SELECT name, n, round(coalesce(list_sum(v), 0), 4) AS total, coalesce(v[1], 0) AS least, coalesce(v[-1],
+          0) AS most,
+          round(CASE WHEN n > 0 THEN list_sum(v) / n ELSE 0 END, 6) AS mean, {_AT.format(q=0.5)} AS p50, {_AT.format(q=0.95)} AS p95,
+            {_AT.format(q=0.99)} AS p99 FROM named""",
         **registry_curation.oracle_sql(),
         **registry_documents.oracle_sql(),
         **registry_governed.oracle_sql(),

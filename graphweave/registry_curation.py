@@ -178,26 +178,41 @@ def queries() -> dict[str, Query]:
 
 
 _AT = lambda key, *names: "CASE " + key + " % " + str(len(names)) + " " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(names)) + " END"
-_EV = f"""WITH ev AS (SELECT *, event_id AS proposal_id, CASE event_type WHEN 'view' THEN 'debug' WHEN 'signup' THEN 'warning' WHEN 'error' THEN 'error' ELSE 'info' END AS level,
-  CASE event_type WHEN 'view' THEN 'complete' WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'cancelled' END AS status,
-  {_AT('user_id', 'pending', 'approved', 'executed', 'rejected', 'deferred', 'excluded')} AS state, {_AT('event_id', 'approved', 'rejected', 'executed', 'pending', 'deferred')} AS wanted,
-  {_AT('user_id', 'medium', 'medium', 'high', 'medium', 'low', 'medium')} AS r1, {_AT('event_id', 'high', 'high', 'medium', 'medium', 'low', 'low', 'low')} AS r2 FROM events),
+_EV = f"""WITH ev AS (SELECT *, event_id AS proposal_id, CASE event_type WHEN 'view' THEN 'debug' WHEN 'signup' THEN 'warning'
+  WHEN 'error' THEN 'error' ELSE 'info' END AS level,
+  CASE event_type WHEN 'view' THEN 'complete' WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running'
+    ELSE 'cancelled' END AS status,
+  {_AT('user_id', 'pending', 'approved', 'executed', 'rejected', 'deferred', 'excluded')} AS state,
+    {_AT('event_id', 'approved', 'rejected', 'executed', 'pending', 'deferred')} AS wanted,
+  {_AT('user_id', 'medium', 'medium', 'high', 'medium', 'low', 'medium')} AS r1,
+    {_AT('event_id', 'high', 'high', 'medium', 'medium', 'low', 'low', 'low')} AS r2 FROM events),
   risky AS (SELECT *, CASE WHEN 'high' IN (r1, r2) THEN 'high' WHEN 'medium' IN (r1, r2) THEN 'medium' ELSE 'low' END AS risk FROM ev) """
-_MARK = """, mark AS (SELECT nodes.dedupe_key, nodes.node_type, nodes.seq, CASE WHEN nodes.seq % 50 = 0 THEN ' ' ELSE nodes.schema_version END AS schema_version, CASE WHEN p_partkey % 20 <> 0 THEN p_brand END AS brand, p_type AS kind, CAST(p_size AS VARCHAR) AS size
+_MARK = """, mark AS (SELECT nodes.dedupe_key, nodes.node_type, nodes.seq, CASE WHEN nodes.seq % 50 = 0 THEN ' '
+  ELSE nodes.schema_version END AS schema_version, CASE WHEN p_partkey % 20 <> 0 THEN p_brand END AS brand, p_type AS kind,
+  CAST(p_size AS VARCHAR) AS size
   FROM nodes LEFT JOIN part ON node_type = 'Part' AND seq = p_partkey),
-  structural AS (SELECT DISTINCT dedupe_key, 'orphan_node' AS method, 'medium' AS severity FROM mark WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels)
+  structural AS (SELECT DISTINCT dedupe_key, 'orphan_node' AS method, 'medium' AS severity FROM mark WHERE dedupe_key NOT IN (SELECT start_dedupe_key
+    FROM rels UNION SELECT end_dedupe_key FROM rels)
     UNION ALL SELECT dedupe_key, 'missing_provenance_node', 'critical' FROM mark WHERE trim(schema_version) = ''
     UNION ALL SELECT dedupe_key, 'qualifier_missing', 'medium' FROM mark WHERE node_type = 'Part' AND brand IS NULL) """
-_FOCUS = ", focus AS (SELECT DISTINCT dedupe_key FROM nodes WHERE node_type = 'Supplier' OR node_type = 'Part' AND seq % 2 = 0), near AS (SELECT * FROM rels WHERE start_dedupe_key IN (SELECT dedupe_key FROM focus) OR end_dedupe_key IN (SELECT dedupe_key FROM focus)) "
+_FOCUS = """, focus AS (SELECT DISTINCT dedupe_key FROM nodes WHERE node_type = 'Supplier' OR node_type = 'Part' AND seq % 2 = 0), near AS (SELECT *
+  FROM rels WHERE start_dedupe_key IN (SELECT dedupe_key FROM focus) OR end_dedupe_key IN (SELECT dedupe_key FROM focus)) """
 _ENRICH_PARTS = """, one AS (SELECT dedupe_key, arg_min(struct_pack(b := brand, k := kind, s := size), seq) AS p FROM mark GROUP BY 1),
-  links AS (SELECT start_dedupe_key AS k, end_dedupe_key AS o FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels), near AS (SELECT k, list(o) AS os FROM links GROUP BY 1),
-  split AS (SELECT pairs.*, list_distinct(regexp_extract_all(value_a, '[a-z0-9]+')) AS x, list_distinct(regexp_extract_all(value_b, '[a-z0-9]+')) AS y FROM pairs),
-  met AS (SELECT split.*, len(list_intersect(x, y)) AS i, len(list_intersect(coalesce(n.os, []), coalesce(m.os, []))) AS ci, len(coalesce(n.os, [])) + len(coalesce(m.os, [])) AS cn, a.p AS pa, b.p AS pb
-    FROM split LEFT JOIN near n ON n.k = key_a LEFT JOIN near m ON m.k = key_b LEFT JOIN one a ON a.dedupe_key = key_a LEFT JOIN one b ON b.dedupe_key = key_b),
-  scored AS (SELECT node_type, key_a, key_b, CASE WHEN len(x) + len(y) = 0 THEN 0::DOUBLE ELSE i::DOUBLE / (len(x) + len(y) - i) END AS similarity, CASE WHEN len(x) + len(y) = 0 THEN 0::DOUBLE ELSE 2::DOUBLE * i / (len(x) + len(y)) END AS overlap,
+  links AS (SELECT start_dedupe_key AS k, end_dedupe_key AS o FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels), near AS (SELECT k,
+    list(o) AS os FROM links GROUP BY 1),
+  split AS (SELECT pairs.*, list_distinct(regexp_extract_all(value_a, '[a-z0-9]+')) AS x, list_distinct(regexp_extract_all(value_b, '[a-z0-9]+')) AS y
+    FROM pairs),
+  met AS (SELECT split.*, len(list_intersect(x, y)) AS i, len(list_intersect(coalesce(n.os, []), coalesce(m.os, []))) AS ci, len(coalesce(n.os,
+    [])) + len(coalesce(m.os, [])) AS cn, a.p AS pa, b.p AS pb
+    FROM split LEFT JOIN near n ON n.k = key_a LEFT JOIN near m ON m.k = key_b LEFT JOIN one a ON a.dedupe_key = key_a LEFT
+      JOIN one b ON b.dedupe_key = key_b),
+  scored AS (SELECT node_type, key_a, key_b, CASE WHEN len(x) + len(y) = 0 THEN 0::DOUBLE ELSE i::DOUBLE / (len(x) + len(y) - i) END AS similarity,
+    CASE WHEN len(x) + len(y) = 0 THEN 0::DOUBLE ELSE 2::DOUBLE * i / (len(x) + len(y)) END AS overlap,
     {contained} AS contained, CASE WHEN cn = 0 THEN 0::DOUBLE ELSE round(ci::DOUBLE / (cn - ci), 6) END AS context,
-    coalesce((pa.b = pb.b)::INT, 0) + coalesce((pa.k = pb.k)::INT, 0) + coalesce((pa.s = pb.s)::INT, 0) AS same, (coalesce(pa.b, pb.b) IS NOT NULL)::INT + (coalesce(pa.k, pb.k) IS NOT NULL)::INT + (coalesce(pa.s, pb.s) IS NOT NULL)::INT AS names,
-    concat_ws(',', CASE WHEN pa.b <> pb.b THEN 'brand' END, CASE WHEN pa.k <> pb.k THEN 'kind' END, CASE WHEN pa.s <> pb.s THEN 'size' END) AS conflicts FROM met),
+    coalesce((pa.b = pb.b)::INT, 0) + coalesce((pa.k = pb.k)::INT, 0) + coalesce((pa.s = pb.s)::INT, 0) AS same, (coalesce(pa.b,
+      pb.b) IS NOT NULL)::INT + (coalesce(pa.k, pb.k) IS NOT NULL)::INT + (coalesce(pa.s, pb.s) IS NOT NULL)::INT AS names,
+    concat_ws(',', CASE WHEN pa.b <> pb.b THEN 'brand' END, CASE WHEN pa.k <> pb.k THEN 'kind' END, CASE
+      WHEN pa.s <> pb.s THEN 'size' END) AS conflicts FROM met),
   props AS (SELECT *, CASE WHEN names = 0 THEN 0::DOUBLE ELSE round(same::DOUBLE / names, 6) END AS property_overlap FROM scored),
   enriched AS (SELECT *, round(CASE WHEN contained THEN 0.7::DOUBLE + least(context * 0.15::DOUBLE + property_overlap * 0.1::DOUBLE, 0.25::DOUBLE)
     WHEN context = 0 THEN 0.65::DOUBLE * similarity + 0.25::DOUBLE * overlap + 0.1::DOUBLE * property_overlap
@@ -211,84 +226,141 @@ def enrich_sql() -> str:
     return _MARK + R.WINDOW + _ENRICH_PARTS.replace("{contained}", contained)
 
 
-_TARGETS = f"""WITH t AS (SELECT event_id // 4 AS proposal_id, {_AT('(event_id // 4)', 'merge', 'delete', 'rename', 'normalize', 'canonicalize', 'defer')} AS class, event_id % 4 AS pos,
-    CASE WHEN event_type IN ('view', 'click') THEN 'node' ELSE 'relationship' END AS kind, 'k' || (event_id * 7 % 1000) AS dedupe_key, event_id % 3 = 0 AS retype,
+_TARGETS = f"""WITH t AS (SELECT event_id // 4 AS proposal_id,
+  {_AT('(event_id // 4)', 'merge', 'delete', 'rename', 'normalize', 'canonicalize', 'defer')} AS class, event_id % 4 AS pos,
+    CASE WHEN event_type IN ('view', 'click') THEN 'node' ELSE 'relationship' END AS kind, 'k' || (event_id * 7 % 1000) AS dedupe_key,
+      event_id % 3 = 0 AS retype,
     CASE WHEN event_id % 5 > 0 THEN 's' || (event_id % 50) END AS start_key FROM events WHERE event_type <> 'signup'),
   c AS (SELECT *, count(*) FILTER (kind = 'node') OVER p AS n, row_number() OVER (PARTITION BY proposal_id, kind ORDER BY pos) AS nth,
-    bool_or(kind = 'relationship' AND retype) OVER p AND class = 'normalize' AS again, string_agg(CASE WHEN kind = 'node' THEN dedupe_key END, ',') OVER (p ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS nodes
+    bool_or(kind = 'relationship' AND retype) OVER p AND class = 'normalize' AS again, string_agg(CASE WHEN kind = 'node' THEN dedupe_key END,
+      ',') OVER (p ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS nodes
     FROM t WINDOW p AS (PARTITION BY proposal_id)),
-  s AS (SELECT proposal_id, CASE WHEN kind = 'node' THEN 'update_node' ELSE 'update_edge' END AS operation, dedupe_key, 0 AS a, dedupe_key AS b, NULL AS merge_keys, NULL AS rel_type, NULL AS start_key, NULL AS end_key
+  s AS (SELECT proposal_id, CASE WHEN kind = 'node' THEN 'update_node' ELSE 'update_edge' END AS operation, dedupe_key, 0 AS a, dedupe_key AS b,
+    NULL AS merge_keys, NULL AS rel_type, NULL AS start_key, NULL AS end_key
       FROM c WHERE class IN ('rename', 'normalize', 'canonicalize') AND NOT again
-    UNION ALL SELECT proposal_id, 'delete_edge', dedupe_key, pos * 2, '', NULL, NULL, NULL, NULL FROM c WHERE again AND kind = 'relationship' AND retype AND start_key IS NOT NULL
-    UNION ALL SELECT proposal_id, 'create_edge', 'FIXED::' || start_key || '::e::v1', pos * 2 + 1, '', NULL, 'FIXED', start_key, 'e' FROM c WHERE again AND kind = 'relationship' AND retype AND start_key IS NOT NULL
-    UNION ALL SELECT proposal_id, 'merge_nodes', dedupe_key, 0, '', nodes, NULL, NULL, NULL FROM c WHERE class = 'merge' AND n >= 2 AND kind = 'node' AND nth = 1
+    UNION ALL SELECT proposal_id, 'delete_edge', dedupe_key, pos * 2, '', NULL, NULL, NULL, NULL FROM c WHERE again AND kind = 'relationship'
+      AND retype AND start_key IS NOT NULL
+    UNION ALL SELECT proposal_id, 'create_edge', 'FIXED::' || start_key || '::e::v1', pos * 2 + 1, '', NULL, 'FIXED', start_key, 'e' FROM c
+      WHERE again AND kind = 'relationship' AND retype AND start_key IS NOT NULL
+    UNION ALL SELECT proposal_id, 'merge_nodes', dedupe_key, 0, '', nodes, NULL, NULL, NULL FROM c WHERE class = 'merge' AND n >= 2 AND kind = 'node'
+      AND nth = 1
     UNION ALL SELECT proposal_id, 'delete_edge', dedupe_key, pos, '', NULL, NULL, NULL, NULL FROM c WHERE class = 'merge' AND n = 0 AND nth > 1
-    UNION ALL SELECT proposal_id, CASE WHEN kind = 'node' THEN 'delete_node' ELSE 'delete_edge' END, dedupe_key, (kind = 'node')::INT, dedupe_key, NULL, NULL, NULL, NULL FROM c WHERE class = 'delete') """
-_GONE = ", gone AS (SELECT dedupe_key AS k FROM nodes WHERE node_type = 'Nation' AND seq % 5 = 0), edges_left AS (SELECT * FROM rels WHERE start_dedupe_key NOT IN (SELECT k FROM gone) AND end_dedupe_key NOT IN (SELECT k FROM gone)) "
-_MOVED = """, m AS (SELECT a.dedupe_key AS o, b.dedupe_key AS s, a.seq AS nth FROM nodes a JOIN nodes b ON a.node_type = 'Customer' AND b.node_type = 'Customer' AND a.seq % 10 = 1 AND b.seq = a.seq - 1),
-  x AS (SELECT rel_type, dedupe_key AS k, start_dedupe_key, end_dedupe_key, coalesce(p.s, start_dedupe_key) AS a, coalesce(q.s, end_dedupe_key) AS b, p.o IS NOT NULL OR q.o IS NOT NULL AS moved,
-    p.o IS NOT NULL AND q.o IS NOT NULL AS both_gone, coalesce(least(p.nth, q.nth), -1) AS nth FROM rels LEFT JOIN m p ON p.o = start_dedupe_key LEFT JOIN m q ON q.o = end_dedupe_key) """
-_CHUNKS = """WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-  els AS (SELECT doc_id, trim(line) AS text, regexp_matches(trim(line), '^#{1,6} +[^ ]') AS heading, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM lines WHERE trim(line) <> ''),
+    UNION ALL SELECT proposal_id, CASE WHEN kind = 'node' THEN 'delete_node' ELSE 'delete_edge' END, dedupe_key, (kind = 'node')::INT, dedupe_key,
+      NULL, NULL, NULL, NULL FROM c WHERE class = 'delete') """
+_GONE = """, gone AS (SELECT dedupe_key AS k FROM nodes WHERE node_type = 'Nation' AND seq % 5 = 0), edges_left AS (SELECT * FROM rels
+  WHERE start_dedupe_key NOT IN (SELECT k FROM gone) AND end_dedupe_key NOT IN (SELECT k FROM gone)) """
+_MOVED = """, m AS (SELECT a.dedupe_key AS o, b.dedupe_key AS s, a.seq AS nth FROM nodes a JOIN nodes b ON a.node_type = 'Customer'
+  AND b.node_type = 'Customer' AND a.seq % 10 = 1 AND b.seq = a.seq - 1),
+  x AS (SELECT rel_type, dedupe_key AS k, start_dedupe_key, end_dedupe_key, coalesce(p.s, start_dedupe_key) AS a, coalesce(q.s, end_dedupe_key) AS b,
+    p.o IS NOT NULL OR q.o IS NOT NULL AS moved,
+    p.o IS NOT NULL AND q.o IS NOT NULL AS both_gone, coalesce(least(p.nth, q.nth), -1) AS nth FROM rels LEFT JOIN m p ON p.o = start_dedupe_key LEFT
+      JOIN m q ON q.o = end_dedupe_key) """
+_CHUNKS = """WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)),
+  1) AS pos FROM documents),
+  els AS (SELECT doc_id, trim(line) AS text, regexp_matches(trim(line), '^#{1,6} +[^ ]') AS heading, row_number() OVER (PARTITION BY doc_id
+    ORDER BY pos) AS k FROM lines WHERE trim(line) <> ''),
   step AS (SELECT doc_id, k, 0 AS chunk_index, length(text) AS chars FROM els WHERE k = 1
-    UNION ALL SELECT e.doc_id, e.k, s.chunk_index + (e.heading OR s.chars + 2 + length(e.text) > 1000)::INT, CASE WHEN e.heading OR s.chars + 2 + length(e.text) > 1000 THEN length(e.text) ELSE s.chars + 2 + length(e.text) END
+    UNION ALL SELECT e.doc_id, e.k, s.chunk_index + (e.heading OR s.chars + 2 + length(e.text) > 1000)::INT, CASE WHEN e.heading
+      OR s.chars + 2 + length(e.text) > 1000 THEN length(e.text) ELSE s.chars + 2 + length(e.text) END
       FROM step s JOIN els e ON e.doc_id = s.doc_id AND e.k = s.k + 1)
-  SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, count(*) AS elements, CAST(max(step.chars) AS BIGINT) AS chars, sha256(string_agg(text, chr(10) || chr(10) ORDER BY k)) AS text_sha256, max(step.chars) < 20 AS thin FROM step JOIN els USING (doc_id, k) GROUP BY 1, 2"""
+  SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, count(*) AS elements, CAST(max(step.chars) AS BIGINT) AS chars, sha256(string_agg(text,
+    chr(10) || chr(10) ORDER BY k)) AS text_sha256, max(step.chars) < 20 AS thin FROM step JOIN els USING (doc_id, k) GROUP BY 1, 2"""
 
 
 def oracle_sql() -> dict[str, str]:
     from graphweave.registry import WINDOW
 
     g, _ENRICH = M.SQL, enrich_sql()
-    degree = "SELECT k AS dedupe_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM (SELECT DISTINCT dedupe_key AS k FROM nodes) LEFT JOIN (SELECT start_dedupe_key AS k, 1 AS n FROM (SELECT DISTINCT dedupe_key, start_dedupe_key FROM rels) UNION ALL SELECT end_dedupe_key, 1 FROM (SELECT DISTINCT dedupe_key, end_dedupe_key FROM rels)) USING (k) GROUP BY 1"
+    degree = """SELECT k AS dedupe_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM (SELECT DISTINCT dedupe_key AS k FROM nodes) LEFT
+      JOIN (SELECT start_dedupe_key AS k, 1 AS n FROM (SELECT DISTINCT dedupe_key, start_dedupe_key FROM rels) UNION ALL SELECT end_dedupe_key, 1
+      FROM (SELECT DISTINCT dedupe_key, end_dedupe_key FROM rels)) USING (k) GROUP BY 1"""
     moves = " OR ".join(f"(e.state = '{a}' AND q.wanted = '{b}')" for a, b in V.TRANSITIONS)
     return {
         "gr_structural": g + _MARK + "SELECT * FROM structural",
-        "set_suppress_orphans": g + _MARK + "SELECT * FROM structural WHERE method <> 'orphan_node' OR dedupe_key NOT IN (SELECT dedupe_key FROM nodes GROUP BY 1 HAVING count(*) >= 2)",
+        "set_suppress_orphans": g + _MARK + """SELECT * FROM structural WHERE method <> 'orphan_node' OR dedupe_key NOT IN (SELECT dedupe_key
+          FROM nodes GROUP BY 1 HAVING count(*) >= 2)""",
         "flt_touches_focus": g + _FOCUS + "SELECT dedupe_key, rel_type FROM near",
-        "gr_scoped_detection": g + _FOCUS + """, dup AS (SELECT dedupe_key FROM nodes WHERE dedupe_key IN (SELECT dedupe_key FROM focus) GROUP BY 1 HAVING count(*) >= 2)
-          SELECT dedupe_key, 'exact_node_dedupe_key' AS method FROM dup UNION SELECT dedupe_key, 'orphan_node' FROM focus WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels) AND dedupe_key NOT IN (SELECT dedupe_key FROM dup)
-          UNION SELECT dedupe_key, 'exact_rel_dedupe_key' FROM near GROUP BY 1 HAVING count(*) >= 2 UNION SELECT dedupe_key, 'canonical_violation' FROM near WHERE start_dedupe_key LIKE 'Nation|%' AND rel_type = 'LOCATED_IN'""",
-        "gr_components": g.replace("WITH nodes", "WITH RECURSIVE nodes") + ", links AS (SELECT start_dedupe_key AS a, end_dedupe_key AS b FROM rels UNION SELECT end_dedupe_key, start_dedupe_key FROM rels), reach AS (SELECT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b) SELECT a AS dedupe_key, min(b) AS root FROM reach GROUP BY 1",
-        "gr_enrich": g + _ENRICH + "SELECT node_type, key_a, key_b, property_overlap, conflicts, composite, CASE WHEN composite >= 0.8 AND conflicts = '' THEN 'high' WHEN composite >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM enriched",
-        "gr_neighbourhood_annotate": g + WINDOW + """, sides AS (SELECT key_a, key_b, key_a AS dedupe_key, key_b AS partner, value_b AS value FROM pairs UNION SELECT key_a, key_b, key_b, key_a, value_a FROM pairs),
-          others AS (SELECT s.key_a, s.key_b, s.dedupe_key, list_sort(list_distinct(list(o.value) FILTER (o.partner <> s.partner))) AS vs FROM sides s JOIN sides o USING (dedupe_key) GROUP BY 1, 2, 3)
-          SELECT key_a, key_b, dedupe_key, len(coalesce(vs, [])) AS others, array_to_string(list_slice(coalesce(vs, []), 1, 10), ',') AS first_others FROM others""",
-        "fn_sufficiency": g + _ENRICH + """SELECT node_type, key_a, key_b, round(least(1::DOUBLE, CASE WHEN overlap >= 0.95 THEN 0.5::DOUBLE WHEN overlap >= 0.9 THEN 0.4::DOUBLE WHEN overlap >= 0.85 THEN 0.3::DOUBLE ELSE 0::DOUBLE END + least(context, 0.2::DOUBLE)
-          + CASE WHEN similarity >= 0.5 THEN 0.05::DOUBLE ELSE 0::DOUBLE END + 0.3::DOUBLE * (length(key_a) % 2) + 0.15::DOUBLE * (length(key_a) % 3)), 4) AS sufficiency FROM enriched""",
-        "fn_risk": _EV + "SELECT event_id, risk, CAST(trunc(value * 100 * CASE risk WHEN 'low' THEN 0.5::DOUBLE WHEN 'high' THEN 1.5::DOUBLE ELSE 1::DOUBLE END) AS BIGINT) AS budget FROM risky",
-        "gov_transition": _EV + f"SELECT q.id AS proposal_id, e.state, q.wanted, CASE WHEN e.state IS NULL THEN 'unknown' WHEN {moves} THEN 'moved' ELSE 'illegal' END AS outcome FROM (SELECT event_id + CASE WHEN event_id % 10 = 0 THEN 1000000000 ELSE 0 END AS id, wanted FROM ev) q LEFT JOIN ev e ON e.event_id = q.id",
+        "gr_scoped_detection": g + _FOCUS + """, dup AS (SELECT dedupe_key FROM nodes WHERE dedupe_key IN (SELECT dedupe_key FROM focus) GROUP BY 1
+          HAVING count(*) >= 2)
+          SELECT dedupe_key, 'exact_node_dedupe_key' AS method FROM dup UNION SELECT dedupe_key, 'orphan_node' FROM focus
+            WHERE dedupe_key NOT IN (SELECT start_dedupe_key FROM rels UNION SELECT end_dedupe_key FROM rels) AND dedupe_key NOT IN (SELECT dedupe_key
+            FROM dup)
+          UNION SELECT dedupe_key, 'exact_rel_dedupe_key' FROM near GROUP BY 1 HAVING count(*) >= 2 UNION SELECT dedupe_key, 'canonical_violation'
+            FROM near WHERE start_dedupe_key LIKE 'Nation|%' AND rel_type = 'LOCATED_IN'""",
+        "gr_components": g.replace("WITH nodes", "WITH RECURSIVE nodes") + """, links AS (SELECT start_dedupe_key AS a, end_dedupe_key AS b FROM rels
+          UNION SELECT end_dedupe_key, start_dedupe_key FROM rels), reach AS (SELECT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach
+          JOIN links ON links.a = reach.b) SELECT a AS dedupe_key, min(b) AS root FROM reach GROUP BY 1""",
+        "gr_enrich": g + _ENRICH + """SELECT node_type, key_a, key_b, property_overlap, conflicts, composite, CASE WHEN composite >= 0.8
+          AND conflicts = '' THEN 'high' WHEN composite >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM enriched""",
+        "gr_neighbourhood_annotate": g + WINDOW + """, sides AS (SELECT key_a, key_b, key_a AS dedupe_key, key_b AS partner, value_b AS value
+          FROM pairs UNION SELECT key_a, key_b, key_b, key_a, value_a FROM pairs),
+          others AS (SELECT s.key_a, s.key_b, s.dedupe_key, list_sort(list_distinct(list(o.value) FILTER (o.partner <> s.partner))) AS vs FROM sides s
+            JOIN sides o USING (dedupe_key) GROUP BY 1, 2, 3)
+          SELECT key_a, key_b, dedupe_key, len(coalesce(vs, [])) AS others, array_to_string(list_slice(coalesce(vs, []), 1, 10), ',') AS first_others
+            FROM others""",
+        "fn_sufficiency": g + _ENRICH + """SELECT node_type, key_a, key_b, round(least(1::DOUBLE, CASE WHEN overlap >= 0.95 THEN 0.5::DOUBLE
+          WHEN overlap >= 0.9 THEN 0.4::DOUBLE WHEN overlap >= 0.85 THEN 0.3::DOUBLE ELSE 0::DOUBLE END + least(context, 0.2::DOUBLE)
+          + CASE WHEN similarity >= 0.5 THEN 0.05::DOUBLE
+            ELSE 0::DOUBLE END + 0.3::DOUBLE * (length(key_a) % 2) + 0.15::DOUBLE * (length(key_a) % 3)), 4) AS sufficiency FROM enriched""",
+        "fn_risk": _EV + """SELECT event_id, risk, CAST(trunc(value * 100 * CASE risk WHEN 'low' THEN 0.5::DOUBLE WHEN 'high' THEN 1.5::DOUBLE
+          ELSE 1::DOUBLE END) AS BIGINT) AS budget FROM risky""",
+        "gov_transition": _EV + f"""SELECT q.id AS proposal_id, e.state, q.wanted, CASE WHEN e.state IS NULL THEN 'unknown' WHEN {moves} THEN 'moved'
+          ELSE 'illegal' END AS outcome FROM (SELECT event_id + CASE WHEN event_id % 10 = 0 THEN 1000000000 ELSE 0 END AS id, wanted FROM ev) q LEFT
+          JOIN ev e ON e.event_id = q.id""",
         "gov_approve": _EV + f"""SELECT proposal_id, state, {_AT('event_id', 'merge', 'delete', 'rename', 'normalize', 'canonicalize', 'defer', 'none')} AS proposal_class,
-          CASE WHEN state = 'approved' THEN 'none' WHEN state <> 'pending' THEN 'conflict' WHEN event_id % 7 < 2 OR event_id % 9 = 0 THEN 'token' ELSE 'approve' END AS outcome FROM ev""",
-        "gov_confirm": _EV + "SELECT event_id AS token, event_id - event_id % 2 AS proposal_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' WHEN event_id % 4 > 1 THEN 'mismatch' WHEN user_id % 90 >= 60 THEN 'expired' ELSE 'confirmed' END AS outcome FROM ev",
-        "gr_diff_build": _TARGETS + "SELECT proposal_id, row_number() OVER (PARTITION BY proposal_id ORDER BY a, b) - 1 AS step, operation, dedupe_key, merge_keys, rel_type, start_key, end_key FROM s",
-        "dml_delete_node": g + _GONE + "SELECT dedupe_key, 'node' AS what FROM nodes WHERE dedupe_key NOT IN (SELECT k FROM gone) UNION ALL SELECT dedupe_key, 'rel' FROM edges_left",
+          CASE WHEN state = 'approved' THEN 'none' WHEN state <> 'pending' THEN 'conflict' WHEN event_id % 7 < 2 OR event_id % 9 = 0 THEN 'token'
+            ELSE 'approve' END AS outcome FROM ev""",
+        "gov_confirm": _EV + """SELECT event_id AS token, event_id - event_id % 2 AS proposal_id, CASE WHEN event_id % 3 = 0 THEN 'unknown'
+          WHEN event_id % 4 > 1 THEN 'mismatch' WHEN user_id % 90 >= 60 THEN 'expired' ELSE 'confirmed' END AS outcome FROM ev""",
+        "gr_diff_build": _TARGETS + """SELECT proposal_id, row_number() OVER (PARTITION BY proposal_id ORDER BY a, b) - 1 AS step, operation,
+          dedupe_key, merge_keys, rel_type, start_key, end_key FROM s""",
+        "dml_delete_node": g + _GONE + """SELECT dedupe_key, 'node' AS what FROM nodes WHERE dedupe_key NOT IN (SELECT k FROM gone) UNION ALL
+          SELECT dedupe_key, 'rel' FROM edges_left""",
         "dml_delete_edge": g + "SELECT dedupe_key FROM rels WHERE rel_type <> 'PART_OF'",
-        "dml_update_node": g + _MARK + ", hit AS (SELECT dedupe_key AS k FROM mark GROUP BY 1 HAVING min(seq) % 3 = 0) SELECT dedupe_key, seq, CASE WHEN k IS NULL THEN kind ELSE 'NEW' END AS kind, CASE WHEN k IS NOT NULL THEN 'yes' END AS checked, CASE WHEN k IS NULL THEN size END AS size, brand FROM mark LEFT JOIN hit ON k = dedupe_key",
-        "dml_merge_nodes_collapse": g + _MOVED + """SELECT rel_type, a AS start_dedupe_key, b AS end_dedupe_key, bool_and(moved) AS moved, 'run1' AS run_id, arg_min(sha256(k), (nth, k)) AS chunk_id,
+        "dml_update_node": g + _MARK + """, hit AS (SELECT dedupe_key AS k FROM mark GROUP BY 1 HAVING min(seq) % 3 = 0) SELECT dedupe_key, seq, CASE
+          WHEN k IS NULL THEN kind ELSE 'NEW' END AS kind, CASE WHEN k IS NOT NULL THEN 'yes' END AS checked, CASE
+          WHEN k IS NULL THEN size END AS size, brand FROM mark LEFT JOIN hit ON k = dedupe_key""",
+        "dml_merge_nodes_collapse": g + _MOVED + """SELECT rel_type, a AS start_dedupe_key, b AS end_dedupe_key, bool_and(moved) AS moved,
+          'run1' AS run_id, arg_min(sha256(k), (nth, k)) AS chunk_id,
           arg_min('from ' || start_dedupe_key, (nth, k)) AS note, CASE WHEN NOT bool_and(moved) THEN arg_min(k, (nth, k)) END AS old,
-          CASE WHEN bool_and(moved) THEN rel_type || '::' || a || '::' || b || '::v1' ELSE arg_min(k, (nth, k)) END AS dedupe_key FROM x WHERE NOT moved OR (a <> b AND NOT both_gone) GROUP BY 1, 2, 3""",
-        "dml_merge_affected_keys": g + _MOVED + "SELECT start_dedupe_key AS dedupe_key FROM x WHERE moved UNION SELECT end_dedupe_key FROM x WHERE moved UNION SELECT o FROM m UNION SELECT s FROM m",
-        "gr_invariants": g + _GONE + """SELECT 'missing' AS name, 0::BIGINT AS broken UNION ALL SELECT 'left over', 0 UNION ALL SELECT 'dangling end', 0 UNION ALL SELECT 'before: missing', count(*) FROM gone UNION ALL SELECT 'before: left over', 0
-          UNION ALL SELECT 'before: dangling end', count(*) FROM (SELECT start_dedupe_key AS k FROM rels UNION SELECT end_dedupe_key FROM rels) WHERE k IN (SELECT k FROM gone)""",
+          CASE WHEN bool_and(moved) THEN rel_type || '::' || a || '::' || b || '::v1' ELSE arg_min(k, (nth, k)) END AS dedupe_key FROM x
+            WHERE NOT moved OR (a <> b AND NOT both_gone) GROUP BY 1, 2, 3""",
+        "dml_merge_affected_keys": g + _MOVED + """SELECT start_dedupe_key AS dedupe_key FROM x WHERE moved UNION SELECT end_dedupe_key FROM x
+          WHERE moved UNION SELECT o FROM m UNION SELECT s FROM m""",
+        "gr_invariants": g + _GONE + """SELECT 'missing' AS name, 0::BIGINT AS broken UNION ALL SELECT 'left over', 0 UNION ALL SELECT 'dangling end',
+          0 UNION ALL SELECT 'before: missing', count(*) FROM gone UNION ALL SELECT 'before: left over', 0
+          UNION ALL SELECT 'before: dangling end', count(*) FROM (SELECT start_dedupe_key AS k FROM rels UNION SELECT end_dedupe_key FROM rels)
+            WHERE k IN (SELECT k FROM gone)""",
         "dml_append_audit": "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'conflict' ELSE 'appended' END AS outcome FROM events",
         "dml_proposal_archive": _EV + """SELECT proposal_id, CASE WHEN state = 'executed' THEN 'kept' ELSE 'archived' END AS place FROM ev
-          UNION ALL SELECT count(*), 'manifest run' || (event_id % 3) || ' ' || min(event_id) || ' ' || max(event_id) FROM ev WHERE state <> 'executed' GROUP BY event_id % 3""",
+          UNION ALL SELECT count(*), 'manifest run' || (event_id % 3) || ' ' || min(event_id) || ' ' || max(event_id) FROM ev
+            WHERE state <> 'executed' GROUP BY event_id % 3""",
         "dml_cancel_jobs": _EV + "SELECT CASE WHEN status IN ('queued', 'running') THEN 'cancelled' ELSE status END AS status, count(*) AS n FROM ev GROUP BY 1",
-        "val_schema_proposal": """WITH t AS (SELECT replace(p_brand, '#', CASE WHEN p_size % 2 = 0 THEN '_' ELSE '' END) AS type, CASE WHEN p_size < 40 THEN 'Asset' ELSE p_type END AS class,
+        "val_schema_proposal": """WITH t AS (SELECT replace(p_brand, '#', CASE WHEN p_size % 2 = 0 THEN '_' ELSE '' END) AS type, CASE
+          WHEN p_size < 40 THEN 'Asset' ELSE p_type END AS class,
             replace(p_name, ' ', CASE WHEN p_size % 3 = 0 THEN ' ' ELSE '_' END) AS prop FROM part),
-          e AS (SELECT n_name AS type, 'Brand' || n_nationkey AS a, 'Brand_1' AS b FROM nation), ends AS (SELECT a AS type FROM e UNION SELECT b FROM e)
-          SELECT 'node_count' AS rule, CAST(count(*) AS VARCHAR) AS subject FROM t HAVING count(*) NOT BETWEEN 1 AND 50 UNION ALL SELECT 'edge_count', CAST(count(*) AS VARCHAR) FROM e HAVING count(*) NOT BETWEEN 1 AND 100
+          e AS (SELECT n_name AS type, 'Brand' || n_nationkey AS a, 'Brand_1' AS b FROM nation), ends AS (SELECT a AS type FROM e UNION SELECT b
+            FROM e)
+          SELECT 'node_count' AS rule, CAST(count(*) AS VARCHAR) AS subject FROM t HAVING count(*) NOT BETWEEN 1 AND 50 UNION ALL SELECT 'edge_count',
+            CAST(count(*) AS VARCHAR) FROM e HAVING count(*) NOT BETWEEN 1 AND 100
           UNION ALL SELECT 'duplicate_type', type FROM (SELECT type, unnest(range(1, count(*))) FROM t GROUP BY type)
-          UNION ALL SELECT 'node_class', type FROM t WHERE class NOT IN ('Entity', 'Event', 'Concept', 'Document', 'Location', 'Asset', 'Metric', 'Role')
-          UNION ALL SELECT 'pascal_case', type FROM t WHERE NOT regexp_matches(type, '^[A-Z][^_]*$') UNION ALL SELECT 'screaming_snake_case', type FROM e WHERE NOT regexp_matches(type, '^[A-Z_]*[A-Z][A-Z_]*$')
-          UNION ALL SELECT 'undefined_start_node_type', a FROM e WHERE a NOT IN (SELECT type FROM t) UNION ALL SELECT 'undefined_end_node_type', b FROM e WHERE b NOT IN (SELECT type FROM t)
-          UNION ALL SELECT DISTINCT 'orphan_type', type FROM t WHERE type NOT IN (SELECT type FROM ends) UNION ALL SELECT 'snake_case', type FROM t WHERE lower(prop) <> prop OR contains(prop, ' ')""",
-        "gr_manifest_reuse": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'content_changed' WHEN doc_id % 4 <> doc_id % 2 THEN 'parser_changed' ELSE 'reuse' END AS outcome FROM documents",
+          UNION ALL SELECT 'node_class', type FROM t WHERE class NOT IN ('Entity', 'Event', 'Concept', 'Document', 'Location', 'Asset', 'Metric',
+            'Role')
+          UNION ALL SELECT 'pascal_case', type FROM t WHERE NOT regexp_matches(type, '^[A-Z][^_]*$') UNION ALL SELECT 'screaming_snake_case', type
+            FROM e WHERE NOT regexp_matches(type, '^[A-Z_]*[A-Z][A-Z_]*$')
+          UNION ALL SELECT 'undefined_start_node_type', a FROM e WHERE a NOT IN (SELECT type FROM t) UNION ALL SELECT 'undefined_end_node_type', b
+            FROM e WHERE b NOT IN (SELECT type FROM t)
+          UNION ALL SELECT DISTINCT 'orphan_type', type FROM t WHERE type NOT IN (SELECT type FROM ends) UNION ALL SELECT 'snake_case', type FROM t
+            WHERE lower(prop) <> prop OR contains(prop, ' ')""",
+        "gr_manifest_reuse": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'content_changed'
+          WHEN doc_id % 4 <> doc_id % 2 THEN 'parser_changed' ELSE 'reuse' END AS outcome FROM documents""",
         "fn_chunk_document": _CHUNKS,
         "limit_logs": _EV + "SELECT event_id, level FROM ev WHERE level IN ('warning', 'error') ORDER BY ts DESC, event_id DESC LIMIT 1000",
-        "flt_activity": _EV + "SELECT event_id, event_type FROM ev WHERE level IN ('warning', 'error') OR event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 100",
-        "agg_extraction_status": _EV + "SELECT user_id, count(*) AS total, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status IN ('queued', 'running')) AS pending FROM ev GROUP BY 1",
+        "flt_activity": _EV + """SELECT event_id, event_type FROM ev WHERE level IN ('warning', 'error') OR event_type = 'purchase' ORDER BY ts DESC,
+          event_id DESC LIMIT 100""",
+        "agg_extraction_status": _EV + """SELECT user_id, count(*) AS total, count(*) FILTER (status = 'complete') AS complete,
+          count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status IN ('queued',
+          'running')) AS pending FROM ev GROUP BY 1""",
         "agg_counters": "SELECT event_type AS name, user_id % 3 AS label, round(sum(value), 4) AS total, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1, 2",
         "page_edges": g + "SELECT dedupe_key, rel_type FROM rels ORDER BY dedupe_key LIMIT 50 OFFSET 100",
         "sort_degrees": g + degree,

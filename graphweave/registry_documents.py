@@ -168,22 +168,31 @@ def queries() -> dict[str, Query]:
     }
 
 
-_CH = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-  chunk AS (SELECT doc_id, 'run' || (doc_id % 2 + 1) AS run_id, pos AS chunk_index, pos // 3 AS start_page, trim(line) AS text, sha256(doc_id || chr(0) || (pos // 3) || chr(0) || pos) AS chunk_id,
-    'p' || (pos // 3) || ':c' || pos AS locator, pos % 7 = 0 AS ocr, length(trim(line)) < 20 AS thin, doc_id % 3 = 0 AS raw FROM lines WHERE trim(line) <> ''),
-  job AS (SELECT run_id, doc_id, chunk_id, CASE (doc_id + chunk_index) % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'running' END AS status, chunk_index AS created,
+_CH = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+  chunk AS (SELECT doc_id, 'run' || (doc_id % 2 + 1) AS run_id, pos AS chunk_index, pos // 3 AS start_page, trim(line) AS text,
+    sha256(doc_id || chr(0) || (pos // 3) || chr(0) || pos) AS chunk_id,
+    'p' || (pos // 3) || ':c' || pos AS locator, pos % 7 = 0 AS ocr, length(trim(line)) < 20 AS thin, doc_id % 3 = 0 AS raw FROM lines
+      WHERE trim(line) <> ''),
+  job AS (SELECT run_id, doc_id, chunk_id, CASE (doc_id + chunk_index) % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'running' END AS status,
+    chunk_index AS created,
     CASE WHEN chunk_index % 2 = 0 THEN 1 END AS matched FROM chunk WHERE (doc_id + chunk_index) % 4 <> 2) """
 _C = "WITH " + _CH
 _NAMES = "['a.txt', 'b.pdf', 'c', 'd.MD', 'e.docx', 'f.xlsx', 'g.tar.gz', '.txt', 'h.', 'dir.x/i']"
 _TYPE = f"""CASE WHEN doc_id % 10 IN (0, 3) THEN 'text' WHEN doc_id % 10 = 1 THEN 'pdf' WHEN doc_id % 10 = 4 THEN 'docx' WHEN doc_id % 10 IN (5, 6) THEN 'unknown'
   WHEN doc_id % 13 = 2 THEN 'pdf' WHEN doc_id % 5 = 0 AND regexp_matches(text, '[^\\x00-\\x7F]') THEN 'unknown' ELSE 'text' END"""
-_RAW = f"""WITH f AS (SELECT doc_id, {_TYPE} AS t, CASE WHEN doc_id % 13 = 2 THEN '%PDF' ELSE '' END || CASE WHEN doc_id % 5 <> 0 AND doc_id % 11 = 0 THEN '  ' ELSE text END AS body FROM documents)
-  SELECT doc_id, CASE WHEN t = 'text' AND trim(body) <> '' THEN sha256(body) END AS text_sha256, CASE WHEN t <> 'text' THEN 'unsupported_type' WHEN trim(body) = '' THEN 'empty_text' END AS error FROM f"""
-_EX = """WITH x AS (SELECT p_partkey AS seq, p_partkey // 8 AS chunk_id, CASE WHEN p_partkey % 97 = 0 THEN 'Gadget' WHEN p_partkey % 101 = 0 THEN '' ELSE 'Part' END AS node_type,
-  CASE WHEN p_partkey % 103 = 0 THEN '' ELSE p_name || ' no ' || p_partkey END AS primary_value, CASE WHEN p_partkey % 89 = 0 THEN 'MADE_BY' ELSE 'PART_OF' END AS rel_type FROM part) """
+_RAW = f"""WITH f AS (SELECT doc_id, {_TYPE} AS t, CASE WHEN doc_id % 13 = 2 THEN '%PDF' ELSE '' END || CASE WHEN doc_id % 5 <> 0
+  AND doc_id % 11 = 0 THEN '  ' ELSE text END AS body FROM documents)
+  SELECT doc_id, CASE WHEN t = 'text' AND trim(body) <> '' THEN sha256(body) END AS text_sha256, CASE WHEN t <> 'text' THEN 'unsupported_type'
+    WHEN trim(body) = '' THEN 'empty_text' END AS error FROM f"""
+_EX = """WITH x AS (SELECT p_partkey AS seq, p_partkey // 8 AS chunk_id, CASE WHEN p_partkey % 97 = 0 THEN 'Gadget' WHEN p_partkey % 101 = 0 THEN ''
+  ELSE 'Part' END AS node_type,
+  CASE WHEN p_partkey % 103 = 0 THEN '' ELSE p_name || ' no ' || p_partkey END AS primary_value, CASE WHEN p_partkey % 89 = 0 THEN 'MADE_BY'
+    ELSE 'PART_OF' END AS rel_type FROM part) """
 _PEND = """, left_ AS (SELECT c.doc_id, c.chunk_id, coalesce(j.status, 'new') AS status, row_number() OVER (PARTITION BY c.doc_id ORDER BY c.chunk_index) - 1 AS nth
   FROM chunk c LEFT JOIN job j USING (chunk_id) WHERE coalesce(j.status, '') <> 'complete') """
-_NEAR = """WITH q AS (SELECT vec_id AS pos, CASE vec_id WHEN 3 THEN 'small ring 3' WHEN 14 THEN 'a 14' ELSE 'no bars 15' END AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (3, 14, 15)),
+_NEAR = """WITH q AS (SELECT vec_id AS pos, CASE vec_id WHEN 3 THEN 'small ring 3' WHEN 14 THEN 'a 14' ELSE 'no bars 15' END AS query,
+  CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (3, 14, 15)),
   s AS (SELECT pos, query, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 5) AS score FROM embeddings, q WHERE {where}),
   near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= {k}) """
 
@@ -195,39 +204,55 @@ def oracle_sql() -> dict[str, str]:
         "src_raw_text": _RAW,
         "fn_locator": _C + "SELECT run_id, doc_id, chunk_index, chunk_id, locator FROM chunk",
         "src_chunks_by_doc": _C + "SELECT doc_id, chunk_id, locator, length(text) AS text_length FROM chunk WHERE run_id = 'run1' AND doc_id % 4 = 0",
-        "src_chunk_text": _C + """, asked AS (SELECT CASE chunk_index % 5 WHEN 0 THEN upper(chunk_id) WHEN 1 THEN reverse(chunk_id) ELSE chunk_id END AS chunk_id FROM chunk)
-          SELECT a.chunk_id, sha256(c.text) AS text_sha256, CASE WHEN NOT regexp_full_match(a.chunk_id, '[0-9a-f]{64}') THEN 'INVALID_CHUNK_ID' WHEN c.chunk_id IS NULL THEN 'CHUNK_NOT_FOUND' ELSE 'found' END AS outcome
+        "src_chunk_text": _C + """, asked AS (SELECT CASE chunk_index % 5 WHEN 0 THEN upper(chunk_id) WHEN 1 THEN reverse(chunk_id)
+          ELSE chunk_id END AS chunk_id FROM chunk)
+          SELECT a.chunk_id, sha256(c.text) AS text_sha256, CASE WHEN NOT regexp_full_match(a.chunk_id, '[0-9a-f]{64}') THEN 'INVALID_CHUNK_ID'
+            WHEN c.chunk_id IS NULL THEN 'CHUNK_NOT_FOUND' ELSE 'found' END AS outcome
           FROM asked a LEFT JOIN chunk c USING (chunk_id)""",
-        "src_manifests": _C + """SELECT doc_id, coalesce(source, '') AS source, sha256(coalesce(documents.text, '')) AS content_hash, count(*) AS n_chunks, arg_min(chunk_id, chunk_index) AS first_chunk
+        "src_manifests": _C + """SELECT doc_id, coalesce(source, '') AS source, sha256(coalesce(documents.text, '')) AS content_hash,
+          count(*) AS n_chunks, arg_min(chunk_id, chunk_index) AS first_chunk
           FROM chunk JOIN documents USING (doc_id) WHERE run_id = 'run1' GROUP BY 1, 2, 3""",
-        "src_collection_stats": _C + "SELECT r AS run_id, count(chunk_id) > 0 AS found, count(chunk_id) AS points FROM (VALUES ('run1'), ('run2'), ('run3')) v(r) LEFT JOIN chunk ON run_id = r GROUP BY 1",
-        "dml_store_manifest": _C + "SELECT run_id, doc_id, coalesce(source, '') AS source, sha256(coalesce(documents.text, '')) AS content_hash, count(*) AS n_chunks FROM chunk JOIN documents USING (doc_id) WHERE run_id = 'run2' GROUP BY 1, 2, 3, 4",
-        "dml_delete_document": _C + """, asked AS (SELECT i * 50 - 100 AS doc_id FROM range(40) r(i)), gone AS (SELECT DISTINCT doc_id FROM chunk JOIN asked USING (doc_id))
+        "src_collection_stats": _C + """SELECT r AS run_id, count(chunk_id) > 0 AS found, count(chunk_id) AS points FROM (VALUES ('run1'), ('run2'),
+          ('run3')) v(r) LEFT JOIN chunk ON run_id = r GROUP BY 1""",
+        "dml_store_manifest": _C + """SELECT run_id, doc_id, coalesce(source, '') AS source, sha256(coalesce(documents.text, '')) AS content_hash,
+          count(*) AS n_chunks FROM chunk JOIN documents USING (doc_id) WHERE run_id = 'run2' GROUP BY 1, 2, 3, 4""",
+        "dml_delete_document": _C + """, asked AS (SELECT i * 50 - 100 AS doc_id FROM range(40) r(i)), gone AS (SELECT DISTINCT doc_id FROM chunk
+          JOIN asked USING (doc_id))
           SELECT doc_id AS n, CASE WHEN doc_id IN (SELECT doc_id FROM gone) THEN 'deleted' ELSE 'not_found' END AS outcome FROM asked
           UNION ALL SELECT count(DISTINCT doc_id), 'manifests left' FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM gone)
-          UNION ALL SELECT count(*), 'chunks left' FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT count(*), 'jobs left' FROM job WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
+          UNION ALL SELECT count(*), 'chunks left' FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT count(*), 'jobs left'
+            FROM job WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
         "dml_delete_chunks": _C + "SELECT run_id, count(*) AS n FROM chunk WHERE chunk_index % 2 = 1 GROUP BY 1",
         "join_manifest_chunks_jobs": _C + _PEND + "SELECT doc_id, chunk_id, status, nth // 5 AS batch FROM left_",
         "limit_batches": _C + _PEND + "SELECT doc_id, nth // 8 AS batch, count(*) AS n FROM left_ GROUP BY 1, 2",
         "join_semi_text": _C + "SELECT chunk_id, sha256(text) AS text_sha256 FROM chunk JOIN job USING (chunk_id) WHERE status = 'running'",
-        "agg_quality_summary": _C + "SELECT doc_id, count(*) FILTER (ocr) AS low_ocr_confidence, count(*) FILTER (thin) AS low_text_density, count(*) FILTER (raw) AS raw_fallback, count(*) FILTER (ocr OR thin OR raw) AS flagged_chunks, count(*) AS total_chunks FROM chunk GROUP BY 1",
-        "st_doc_chunks": _C + "SELECT count(*) FILTER (ocr) AS low_ocr_confidence, count(*) FILTER (thin) AS low_text_density, count(*) FILTER (raw) AS raw_fallback FROM chunk WHERE run_id = 'run2'",
-        "agg_jobs": _C + "SELECT run_id, count(*) AS total, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS pending FROM job GROUP BY 1",
+        "agg_quality_summary": _C + """SELECT doc_id, count(*) FILTER (ocr) AS low_ocr_confidence, count(*) FILTER (thin) AS low_text_density,
+          count(*) FILTER (raw) AS raw_fallback, count(*) FILTER (ocr OR thin OR raw) AS flagged_chunks, count(*) AS total_chunks FROM chunk
+          GROUP BY 1""",
+        "st_doc_chunks": _C + """SELECT count(*) FILTER (ocr) AS low_ocr_confidence, count(*) FILTER (thin) AS low_text_density,
+          count(*) FILTER (raw) AS raw_fallback FROM chunk WHERE run_id = 'run2'""",
+        "agg_jobs": _C + """SELECT run_id, count(*) AS total, count(*) FILTER (status = 'complete') AS complete,
+          count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS pending FROM job GROUP BY 1""",
         "agg_entity_yield": _C + "SELECT CAST(sum(created + coalesce(matched, 0)) FILTER (status = 'complete') AS BIGINT) AS entities FROM job",
         "prj_chunk_out": _C + "SELECT chunk_id, locator, doc_id FROM chunk WHERE chunk_index > 0",
         "flt_payload_complete": _C + "SELECT doc_id, count(*) AS n FROM chunk WHERE chunk_index % 3 > 0 GROUP BY 1",
-        "flt_schema_conformance": _EX + """, bad AS (SELECT chunk_id, 0 AS k, node_type AS type FROM x WHERE node_type <> 'Part' UNION ALL SELECT chunk_id, 1, rel_type FROM x WHERE rel_type <> 'PART_OF')
+        "flt_schema_conformance": _EX + """, bad AS (SELECT chunk_id, 0 AS k, node_type AS type FROM x WHERE node_type <> 'Part' UNION ALL
+          SELECT chunk_id, 1, rel_type FROM x WHERE rel_type <> 'PART_OF')
           SELECT chunk_id, CASE WHEN min(k) = 0 THEN 'node' ELSE 'edge' END AS kind, arg_min(type, (k, type)) AS type FROM bad GROUP BY 1
           UNION ALL SELECT chunk_id, 'kept', CAST(count(*) AS VARCHAR) FROM x WHERE chunk_id NOT IN (SELECT chunk_id FROM bad) GROUP BY 1""",
         "ag_promote": _EX + """, bad AS (SELECT DISTINCT chunk_id FROM x WHERE node_type = '' OR primary_value = '')
-          SELECT seq, node_type || '|' || primary_value || '|v1' AS dedupe_key FROM x WHERE chunk_id NOT IN (SELECT chunk_id FROM bad) UNION ALL SELECT -chunk_id - 1, 'rejected' FROM bad""",
+          SELECT seq, node_type || '|' || primary_value || '|v1' AS dedupe_key FROM x WHERE chunk_id NOT IN (SELECT chunk_id FROM bad) UNION ALL
+            SELECT -chunk_id - 1, 'rejected' FROM bad""",
         "fn_sanitize_unicode": _EX + "SELECT seq, primary_value AS clean FROM x",
-        "val_models": _C + """, e AS (SELECT chunk_id, concat_ws(',', CASE WHEN chunk_index % 6 = 0 THEN 'doc_hash' END, CASE WHEN chunk_index NOT BETWEEN 3 AND 23 THEN 'score' END, CASE WHEN regexp_matches(text, '^[A-M]') THEN 'text' END) AS errors FROM chunk)
+        "val_models": _C + """, e AS (SELECT chunk_id, concat_ws(',', CASE WHEN chunk_index % 6 = 0 THEN 'doc_hash' END, CASE
+          WHEN chunk_index NOT BETWEEN 3 AND 23 THEN 'score' END, CASE WHEN regexp_matches(text, '^[A-M]') THEN 'text' END) AS errors FROM chunk)
           SELECT chunk_id, errors FROM e WHERE errors <> ''""",
-        "fn_safety_guard": "SELECT item_id, CASE WHEN item_id % 8 IN (1, 2, 5, 7) THEN 'mutation' WHEN item_id % 8 IN (3, 4, 6) THEN 'executable' END AS kind FROM benchmark",
+        "fn_safety_guard": """SELECT item_id, CASE WHEN item_id % 8 IN (1, 2, 5, 7) THEN 'mutation' WHEN item_id % 8 IN (3, 4,
+          6) THEN 'executable' END AS kind FROM benchmark""",
         "fn_cost": "SELECT doc_id, round((length(text) + 40)::DOUBLE / 1000 * 0.001::DOUBLE, 6) AS cost FROM documents",
         "topk_by_key": near(10, "vec_id % 2 = 1") + "SELECT query, vec_id, score FROM near",
-        "topk_evidence_run": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 5) AS score
+        "topk_evidence_run": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[])
+          FROM embeddings ORDER BY vec_id LIMIT 1)), 5) AS score
           FROM embeddings WHERE vec_id % 2 = 1 ORDER BY score DESC, vec_id LIMIT 50""",
         "topk_candidate_evidence": near() + "SELECT vec_id, max(score) AS score FROM near GROUP BY 1",
         "win_best_score": near(50) + "SELECT vec_id, max(score) AS score FROM near GROUP BY 1",

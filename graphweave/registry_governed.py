@@ -201,14 +201,19 @@ def queries() -> dict[str, Query]:
 
 
 _KEYS = ", one AS (SELECT dedupe_key AS k, min(seq) AS least, max(seq) AS last, count(*) AS n FROM nodes GROUP BY 1) "
-_EDGES = M.MORE_RELS_SQL + """, held AS (SELECT DISTINCT dedupe_key AS k, rel_type AS t, start_dedupe_key AS a, end_dedupe_key AS b FROM rels WHERE length(start_dedupe_key) % 2 = 0),
+_EDGES = M.MORE_RELS_SQL + """, held AS (SELECT DISTINCT dedupe_key AS k, rel_type AS t, start_dedupe_key AS a, end_dedupe_key AS b FROM rels
+  WHERE length(start_dedupe_key) % 2 = 0),
   keys AS (SELECT DISTINCT dedupe_key AS k FROM nodes WHERE node_type <> 'Region'),
-  seen AS (SELECT rel_type, start_dedupe_key, end_dedupe_key, min(dedupe_key) AS dedupe_key, count(*) AS n, start_dedupe_key IN (SELECT k FROM keys) AND end_dedupe_key IN (SELECT k FROM keys) AS ok,
+  seen AS (SELECT rel_type, start_dedupe_key, end_dedupe_key, min(dedupe_key) AS dedupe_key, count(*) AS n, start_dedupe_key IN (SELECT k FROM keys)
+    AND end_dedupe_key IN (SELECT k FROM keys) AS ok,
     EXISTS (SELECT 1 FROM held WHERE t = rel_type AND a = start_dedupe_key AND b = end_dedupe_key) AS old FROM more_rels GROUP BY 1, 2, 3) """
 _PLANS = """WITH p AS (SELECT c_custkey AS k, 'run' || (c_custkey % 3) AS run_id, c_name,
-    CASE WHEN c_custkey % 10 = 1 THEN 'approval_not_found' WHEN c_custkey % 10 = 3 THEN 'approval_mismatch' WHEN c_custkey % 10 = 4 THEN 'proposal_not_found'
-      WHEN c_custkey % 10 = 5 THEN 'proposal_not_approved' WHEN c_custkey % 3 = 2 THEN 'schema_not_locked' WHEN c_custkey % 10 = 7 THEN 'schema_version_mismatch' END AS code FROM customer) """
-_STATE = """WITH pr AS (SELECT event_id AS proposal_id, event_id, event_id % 500 AS candidate_id, 'run' || (event_id % 3) AS run_id, ['pending', 'approved', 'executed', 'rejected', 'deferred', 'excluded'][user_id % 6 + 1] AS state,
+    CASE WHEN c_custkey % 10 = 1 THEN 'approval_not_found' WHEN c_custkey % 10 = 3 THEN 'approval_mismatch'
+      WHEN c_custkey % 10 = 4 THEN 'proposal_not_found'
+      WHEN c_custkey % 10 = 5 THEN 'proposal_not_approved' WHEN c_custkey % 3 = 2 THEN 'schema_not_locked'
+        WHEN c_custkey % 10 = 7 THEN 'schema_version_mismatch' END AS code FROM customer) """
+_STATE = """WITH pr AS (SELECT event_id AS proposal_id, event_id, event_id % 500 AS candidate_id, 'run' || (event_id % 3) AS run_id, ['pending',
+  'approved', 'executed', 'rejected', 'deferred', 'excluded'][user_id % 6 + 1] AS state,
     ['merge', 'delete', 'rename', 'normalize', 'canonicalize', 'defer', 'none'][event_id % 7 + 1] AS proposal_class FROM events) """
 
 
@@ -220,54 +225,78 @@ def _executed(done: str, gone: str, new: str) -> str:
     return _PLANS + f""", c AS (SELECT *, {gone} AS gone, {new} AS renamed FROM p)
       SELECT CAST(k AS VARCHAR) AS id, {done} AS what FROM c
       UNION ALL SELECT 'Customer|' || c_name || '|v1', 'node ' || CASE WHEN renamed THEN 'NEW' ELSE c_name || '1' END FROM c WHERE NOT gone
-      UNION ALL SELECT 'LOCATED_IN::Customer|' || c.c_name || '|v1::Nation|' || n_name || '|v1::v1', 'rel' FROM c JOIN customer ON c_custkey = k JOIN nation ON c_nationkey = n_nationkey WHERE NOT gone"""
+      UNION ALL SELECT 'LOCATED_IN::Customer|' || c.c_name || '|v1::Nation|' || n_name || '|v1::v1', 'rel' FROM c JOIN customer ON c_custkey = k
+        JOIN nation ON c_nationkey = n_nationkey WHERE NOT gone"""
 
 
 def oracle_sql() -> dict[str, str]:
     g = M.SQL
     return {
-        "dml_merge_nodes_snapshot": g + _KEYS + """SELECT k AS dedupe_key, 'run2' AS run_id, CASE WHEN least % 2 = 0 THEN 'yes' END AS old, CASE WHEN least % 2 = 1 THEN CAST(least AS VARCHAR) END AS seen,
+        "dml_merge_nodes_snapshot": g + _KEYS + """SELECT k AS dedupe_key, 'run2' AS run_id, CASE WHEN least % 2 = 0 THEN 'yes' END AS old, CASE
+          WHEN least % 2 = 1 THEN CAST(least AS VARCHAR) END AS seen,
           CAST(NULL AS VARCHAR) AS _x, least % 2 AS created, n - least % 2 AS matched FROM one""",
-        "dml_merge_edges": g + _EDGES + """SELECT rel_type || ' ' || start_dedupe_key || ' ' || end_dedupe_key AS what, (ok AND NOT old)::BIGINT AS created, CASE WHEN ok THEN n - (NOT old)::INT ELSE 0 END AS matched,
+        "dml_merge_edges": g + _EDGES + """SELECT rel_type || ' ' || start_dedupe_key || ' ' || end_dedupe_key AS what, (ok
+          AND NOT old)::BIGINT AS created, CASE WHEN ok THEN n - (NOT old)::INT ELSE 0 END AS matched,
             CASE WHEN ok THEN 0 ELSE n END AS skipped FROM seen
           UNION ALL SELECT k || ' run1 old', 0, 0, 0 FROM held UNION ALL SELECT dedupe_key || ' run2 new', 0, 0, 0 FROM seen WHERE ok AND NOT old""",
-        "dml_write_result": g + _KEYS.replace("FROM nodes", "FROM nodes WHERE node_type <> 'Region'") + _EDGES + """SELECT 'node' AS element, 'created' AS action, CAST(sum(least % 2) AS BIGINT) AS n FROM one
-          UNION ALL SELECT 'node', 'matched', CAST(sum(n - least % 2) AS BIGINT) FROM one UNION ALL SELECT 'edge', 'created', count(*) FROM seen WHERE ok AND NOT old
-          UNION ALL SELECT 'edge', 'matched', CAST(coalesce(sum(n - (NOT old)::INT), 0) AS BIGINT) FROM seen WHERE ok UNION ALL SELECT 'edge', 'skipped', CAST(coalesce(sum(n), 0) AS BIGINT) FROM seen WHERE NOT ok""",
-        "dml_update_edge": g + "SELECT DISTINCT CASE WHEN length(dedupe_key) % 5 = 0 THEN dedupe_key || 'x' ELSE dedupe_key END AS dedupe_key, CASE WHEN length(dedupe_key) % 5 = 0 THEN 'missing' ELSE 'updated' END AS outcome FROM rels",
-        "dml_create_edge": g + M.MORE_RELS_SQL + """SELECT DISTINCT dedupe_key, CASE WHEN length(dedupe_key) % 7 = 0 THEN 'incomplete' WHEN end_dedupe_key LIKE 'Region|%' THEN 'missing_endpoint'
+        "dml_write_result": g + _KEYS.replace("FROM nodes", "FROM nodes WHERE node_type <> 'Region'") + _EDGES + """SELECT 'node' AS element, 'created' AS action,
+          CAST(sum(least % 2) AS BIGINT) AS n FROM one
+          UNION ALL SELECT 'node', 'matched', CAST(sum(n - least % 2) AS BIGINT) FROM one UNION ALL SELECT 'edge', 'created', count(*) FROM seen
+            WHERE ok AND NOT old
+          UNION ALL SELECT 'edge', 'matched', CAST(coalesce(sum(n - (NOT old)::INT), 0) AS BIGINT) FROM seen WHERE ok UNION ALL SELECT 'edge',
+            'skipped', CAST(coalesce(sum(n), 0) AS BIGINT) FROM seen WHERE NOT ok""",
+        "dml_update_edge": g + """SELECT DISTINCT CASE WHEN length(dedupe_key) % 5 = 0 THEN dedupe_key || 'x' ELSE dedupe_key END AS dedupe_key, CASE
+          WHEN length(dedupe_key) % 5 = 0 THEN 'missing' ELSE 'updated' END AS outcome FROM rels""",
+        "dml_create_edge": g + M.MORE_RELS_SQL + """SELECT DISTINCT dedupe_key, CASE WHEN length(dedupe_key) % 7 = 0 THEN 'incomplete'
+          WHEN end_dedupe_key LIKE 'Region|%' THEN 'missing_endpoint'
           WHEN rel_type = 'SERVES' THEN 'created' ELSE 'matched' END AS outcome FROM more_rels""",
-        "flt_identifier_guard": """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '_') ELSE CASE WHEN p_partkey % 3 = 0 THEN '_' ELSE '9' END || p_type END AS name FROM part)
-          SELECT p_partkey, regexp_full_match(name, '[A-Za-z][A-Za-z0-9_]*') AS type_ok, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') AS property_ok FROM n""",
+        "flt_identifier_guard": """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '_') ELSE CASE
+          WHEN p_partkey % 3 = 0 THEN '_' ELSE '9' END || p_type END AS name FROM part)
+          SELECT p_partkey, regexp_full_match(name, '[A-Za-z][A-Za-z0-9_]*') AS type_ok, regexp_full_match(name,
+            '[A-Za-z_][A-Za-z0-9_]*') AS property_ok FROM n""",
         "join_approval": _PLANS + "SELECT k AS plan_id, code FROM p",
         "gov_execute": _executed("CASE WHEN code IS NOT NULL THEN 'rejected 0 ' || code WHEN k % 4 = 1 THEN 'failed 0 no_such_element' ELSE 'applied 1' END", "code IS NULL AND k % 4 = 3", "code IS NULL AND k % 2 = 0"),
         "dml_dry_run": _executed("CASE WHEN code IS NOT NULL THEN 'rejected 0 ' || code ELSE 'applied 0' END", "false", "false"),
-        "gov_audit_make": """WITH a AS (SELECT c_custkey AS k, 'run' || (c_custkey % 3) AS run_id, sha256('d' || c_custkey) AS d, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'a' || c_custkey END AS approval,
-            CASE WHEN c_custkey % 9 > 0 THEN strftime(TIMESTAMP '2024-05-06 07:08:09' + to_seconds(c_custkey), '%Y-%m-%dT%H:%M:%S.%f+00:00') END AS ts FROM customer),
+        "gov_audit_make": """WITH a AS (SELECT c_custkey AS k, 'run' || (c_custkey % 3) AS run_id, sha256('d' || c_custkey) AS d, CASE
+          WHEN c_custkey % 6 = 0 THEN '' ELSE 'a' || c_custkey END AS approval,
+            CASE WHEN c_custkey % 9 > 0 THEN strftime(TIMESTAMP '2024-05-06 07:08:09' + to_seconds(c_custkey), '%Y-%m-%dT%H:%M:%S.%f+00:00') END AS ts
+              FROM customer),
           b AS (SELECT *, CASE WHEN k % 8 = 0 THEN d[1:8] ELSE d END AS diff FROM a)
-          SELECT k AS plan_id, ts AS timestamp_utc, sha256('{"approval_id":"' || approval || '","diff_id":"' || diff || '","proposal_id":"' || d || '","run_id":"' || run_id || '"' || coalesce(',"timestamp_utc":"' || ts || '"', '') || '}') AS record_id,
-            concat_ws(',', CASE WHEN approval = '' THEN 'approval_id' END, CASE WHEN length(diff) <> 64 THEN 'diff_id' END, CASE WHEN ts IS NULL THEN 'timestamp' END) AS errors FROM b""",
-        "gov_schema_lock": """SELECT 'run' || (c_custkey % 40) AS run_id, c_custkey AS seq, CASE WHEN c_custkey < 40 AND c_custkey >= 5 THEN 'locked' ELSE 'already_locked' END AS outcome FROM customer
+          SELECT k AS plan_id, ts AS timestamp_utc,
+            sha256('{"approval_id":"' || approval || '","diff_id":"' || diff || '","proposal_id":"' || d || '","run_id":"' || run_id || '"' || coalesce(',"timestamp_utc":"' || ts || '"', '') || '}') AS record_id,
+            concat_ws(',', CASE WHEN approval = '' THEN 'approval_id' END, CASE WHEN length(diff) <> 64 THEN 'diff_id' END, CASE
+              WHEN ts IS NULL THEN 'timestamp' END) AS errors FROM b""",
+        "gov_schema_lock": """SELECT 'run' || (c_custkey % 40) AS run_id, c_custkey AS seq, CASE WHEN c_custkey < 40 AND c_custkey >= 5 THEN 'locked'
+          ELSE 'already_locked' END AS outcome FROM customer
           UNION ALL SELECT 'run' || c_custkey, -1, CASE WHEN c_custkey < 5 THEN 'old' ELSE sha256(c_name) END FROM customer WHERE c_custkey < 40""",
-        "gov_schema_amend": f"""WITH a AS (SELECT p_partkey AS seq, 'run' || (p_partkey % 3) AS run_id, ['LOCATED_IN', 'SERVES', 'PART_OF', 'NEAR', 'OWNS'][p_partkey % 5 + 1] AS rel_type,
-            ['Customer', 'Nation', 'Supplier', 'Planet'][p_partkey % 4 + 1] AS start_type, ['Nation', 'Region', 'Nation', 'Customer', 'Nation', 'Region', 'Supplier'][p_partkey % 7 + 1] AS end_type FROM part),
+        "gov_schema_amend": f"""WITH a AS (SELECT p_partkey AS seq, 'run' || (p_partkey % 3) AS run_id, ['LOCATED_IN', 'SERVES', 'PART_OF', 'NEAR',
+          'OWNS'][p_partkey % 5 + 1] AS rel_type,
+            ['Customer', 'Nation', 'Supplier', 'Planet'][p_partkey % 4 + 1] AS start_type, ['Nation', 'Region', 'Nation', 'Customer', 'Nation',
+              'Region', 'Supplier'][p_partkey % 7 + 1] AS end_type FROM part),
           o AS (SELECT *, CASE WHEN run_id = 'run2' THEN 'schema_not_locked' WHEN start_type = 'Planet' THEN 'undefined_node_type'
             WHEN (start_type, end_type, rel_type) IN ({", ".join(map(str, M.SCHEMA_EDGES))}) THEN 'edge_already_in_schema'
-            WHEN (run_id, rel_type, start_type, end_type) = ('run0', 'NEAR', 'Nation', 'Nation') OR seq > min(seq) OVER (PARTITION BY run_id, rel_type, start_type, end_type) THEN 'existing' ELSE 'amended' END AS outcome FROM a)
-          SELECT run_id, rel_type, start_type, end_type, seq, outcome, CASE WHEN outcome IN ('existing', 'amended') THEN sha256(run_id || chr(0) || rel_type || chr(0) || start_type || chr(0) || end_type) END AS amendment_id FROM o""",
+            WHEN (run_id, rel_type, start_type, end_type) = ('run0', 'NEAR', 'Nation', 'Nation') OR seq > min(seq) OVER (PARTITION BY run_id,
+              rel_type, start_type, end_type) THEN 'existing' ELSE 'amended' END AS outcome FROM a)
+          SELECT run_id, rel_type, start_type, end_type, seq, outcome, CASE WHEN outcome IN ('existing',
+            'amended') THEN sha256(run_id || chr(0) || rel_type || chr(0) || start_type || chr(0) || end_type) END AS amendment_id FROM o""",
         "dml_exclude": _STATE + "SELECT DISTINCT candidate_id FROM pr WHERE (candidate_id < 40 OR state = 'excluded') AND candidate_id % 7 <> 0",
-        "gov_propose_manual": """WITH p AS (SELECT 'run' || (c_custkey % 3) AS run_id, 'c' || c_custkey AS candidate_id, 'merge' AS proposal_class FROM customer)
-          SELECT *, sha256('{"candidate_id":"' || candidate_id || '","proposal_class":"merge","run_id":"' || run_id || '"}') AS proposal_id, CASE run_id WHEN 'run0' THEN 'v1' WHEN 'run1' THEN 'v2' END AS schema_version,
+        "gov_propose_manual": """WITH p AS (SELECT 'run' || (c_custkey % 3) AS run_id, 'c' || c_custkey AS candidate_id, 'merge' AS proposal_class
+          FROM customer)
+          SELECT *, sha256('{"candidate_id":"' || candidate_id || '","proposal_class":"merge","run_id":"' || run_id || '"}') AS proposal_id,
+            CASE run_id WHEN 'run0' THEN 'v1' WHEN 'run1' THEN 'v2' END AS schema_version,
             CASE WHEN run_id = 'run2' THEN 'schema_not_locked' WHEN length(candidate_id) = 3 THEN 'existing' ELSE 'created' END AS outcome FROM p""",
         "dml_proposal_create": "SELECT event_id AS proposal_id, CASE WHEN event_id % 4 = 0 THEN 'existing' ELSE 'created' END AS outcome FROM events",
-        "gov_clear_run": _STATE + "SELECT 'proposals' AS name, count(*) AS removed FROM pr WHERE run_id = 'run1' UNION ALL SELECT 'candidates', count(DISTINCT candidate_id) FROM pr WHERE run_id = 'run1' UNION ALL SELECT 'excluded', count(*) FROM pr WHERE run_id = 'run1' AND state = 'excluded'",
+        "gov_clear_run": _STATE + """SELECT 'proposals' AS name, count(*) AS removed FROM pr WHERE run_id = 'run1' UNION ALL SELECT 'candidates',
+          count(DISTINCT candidate_id) FROM pr WHERE run_id = 'run1' UNION ALL SELECT 'excluded', count(*) FROM pr WHERE run_id = 'run1'
+          AND state = 'excluded'""",
         "dml_proposal_clear": _STATE + "SELECT run_id, count(*) AS n FROM pr WHERE run_id <> 'run1' GROUP BY 1",
         "gov_reject": _moves("pending"), "gov_defer": _moves("pending"), "gov_exclude": _moves("pending"), "gov_restore": _moves("deferred", "excluded"),
         "gov_list_proposals": _STATE + "SELECT proposal_id, state FROM pr WHERE run_id = 'run1'",
         "gov_list_excluded": _STATE + "SELECT proposal_id, candidate_id FROM pr WHERE run_id = 'run1' AND state = 'excluded'",
         "src_proposals": _STATE + "SELECT proposal_id, proposal_class FROM pr WHERE run_id = 'run2'",
         "src_audit": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'",
-        "agg_ui_rollups": _STATE + "SELECT 'state' AS dimension, state AS value, count(*) AS n FROM pr GROUP BY 2 UNION ALL SELECT 'class', proposal_class, count(*) FROM pr GROUP BY 2",
+        "agg_ui_rollups": _STATE + """SELECT 'state' AS dimension, state AS value, count(*) AS n FROM pr GROUP BY 2 UNION ALL SELECT 'class',
+          proposal_class, count(*) FROM pr GROUP BY 2""",
         "agg_unique_candidates": _STATE + "SELECT count(DISTINCT candidate_id) AS n FROM pr",
         "prj_proposal_out": _STATE + "SELECT proposal_id, candidate_id, proposal_class, state FROM pr",
         "st_agent_stages": "SELECT event_id % 1000 AS candidate_id, arg_max(event_type, (ts, event_id)) AS stage, max(ts) AS updated_at FROM events GROUP BY 1",
