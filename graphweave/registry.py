@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave import registry_curation, registry_documents, registry_findings, registry_governed
+from graphweave import registry_curation, registry_documents, registry_findings, registry_functions, registry_governed
 from graphweave.functions.text import STOPWORDS
 from graphweave.operators import documents as D
 from graphweave.operators import graph as G
@@ -67,6 +67,7 @@ def queries() -> dict[str, Query]:
         **registry_documents.queries(),
         **registry_governed.queries(),
         **registry_findings.queries(),
+        **registry_functions.queries(),
     }
 
 
@@ -213,4 +214,5 @@ def oracle_sql() -> dict[str, str]:
         **registry_documents.oracle_sql(),
         **registry_governed.oracle_sql(),
         **registry_findings.oracle_sql(),
+        **registry_functions.oracle_sql(),
     }

@@ -75,9 +75,13 @@ def targets(s: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, "FIXED").alias("new_type"), F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("s"), (F.col("event_id") % 50).cast("string"))).alias("start_key"), F.lit("e").alias("end_key"))
 
 
+def suppliers(s: SparkSession, d: str) -> DataFrame:
+    """What scoped detection looks at: all suppliers and every other part."""
+    return M.nodes(s, d).where("node_type = 'Supplier' or node_type = 'Part' and seq % 2 = 0")
+
+
 def queries() -> dict[str, Query]:
     n, r, t = M.nodes, M.rels, M.table
-    suppliers = lambda s, d: n(s, d).where("node_type = 'Supplier' or node_type = 'Part' and seq % 2 = 0")
     nation = lambda s, d: n(s, d).where("node_type = 'Nation' and seq % 5 = 0")
 
     def scoped(s: SparkSession, d: str) -> DataFrame:
