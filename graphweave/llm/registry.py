@@ -43,4 +43,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL}
+    return {
+        "op3_line_dedup": line_dedup.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL,
+    }

@@ -287,3 +287,18 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; nulls, repeats and empty tables as in substring_dedup."""
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM split WHERE len(ws) >= 20),
+windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS w FROM starts),
+again AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM again),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(w, ' ' ORDER BY words.i) FILTER (gone.i IS NULL) AS text
+  FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
