@@ -43,7 +43,9 @@ def neighbors(rels: DataFrame) -> DataFrame:
 def exact_node_duplicates(nodes: DataFrame) -> DataFrame:
     """Keys that several extracted nodes of a type share."""
     found = nodes.groupBy("run_id", "schema_version", "node_type", "dedupe_key").agg(F.count("*").alias("duplicate_count")).where("duplicate_count >= 2")
-    return found.select(candidate_id("exact_node_duplicate", F.array("dedupe_key"), "exact_node_dedupe_key").alias("candidate_id"), F.lit("exact_node_duplicate").alias("candidate_type"), F.lit("high").alias("severity"), "node_type", "dedupe_key", "duplicate_count")
+    return found.select(
+        candidate_id("exact_node_duplicate", F.array("dedupe_key"), "exact_node_dedupe_key").alias("candidate_id"),
+        F.lit("exact_node_duplicate").alias("candidate_type"), F.lit("high").alias("severity"), "node_type", "dedupe_key", "duplicate_count")
 
 
 def exact_rel_duplicates(rels: DataFrame) -> DataFrame:
@@ -60,8 +62,12 @@ def bidirectional_duplicates(rels: DataFrame) -> DataFrame:
     """Edges of one type between the same two nodes, whatever their direction, that are not exact duplicates."""
     exact = rels.groupBy("dedupe_key").count().where("count >= 2").select("dedupe_key")
     rest = rels.join(exact, "dedupe_key", "left_anti").where("start_dedupe_key <> end_dedupe_key")
-    found = rest.groupBy("run_id", "schema_version", "rel_type", F.least("start_dedupe_key", "end_dedupe_key").alias("a"), F.greatest("start_dedupe_key", "end_dedupe_key").alias("b")).agg(F.array_sort(F.collect_set("dedupe_key")).alias("refs")).where(F.size("refs") >= 2)
-    return found.select(candidate_id("exact_rel_duplicate", F.col("refs"), "bidirectional_rel_duplicate").alias("candidate_id"), "rel_type", F.array_join("refs", " ").alias("refs"), F.size("refs").cast("long").alias("edges"))
+    ends = [f("start_dedupe_key", "end_dedupe_key").alias(name) for f, name in ((F.least, "a"), (F.greatest, "b"))]
+    found = rest.groupBy("run_id", "schema_version", "rel_type", *ends).agg(F.array_sort(F.collect_set("dedupe_key")).alias("refs"))
+    found = found.where(F.size("refs") >= 2)
+    return found.select(
+        candidate_id("exact_rel_duplicate", F.col("refs"), "bidirectional_rel_duplicate").alias("candidate_id"),
+        "rel_type", F.array_join("refs", " ").alias("refs"), F.size("refs").cast("long").alias("edges"))
 
 
 def effective_edges(schema: DataFrame, amendments: DataFrame | None = None) -> DataFrame:
@@ -205,7 +211,9 @@ def window_scores(nodes: DataFrame) -> DataFrame:
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
     """MERGE by key: the first row's properties stay, the last row's run stamps; and how many matched."""
-    return nodes.groupBy("dedupe_key").agg(F.min_by("primary_value", "seq").alias("primary_value"), F.min("seq").alias("created_seq"), F.max("seq").alias("last_seen_seq"), (F.count("*") - 1).alias("matched"))
+    return nodes.groupBy("dedupe_key").agg(
+        F.min_by("primary_value", "seq").alias("primary_value"), F.min("seq").alias("created_seq"),
+        F.max("seq").alias("last_seen_seq"), (F.count("*") - 1).alias("matched"))
 
 
 def merge_edges(rels: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -214,7 +222,9 @@ def merge_edges(rels: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("start", "end"):
         rels = rels.join(keys.select(F.col("dedupe_key").alias(f"{end}_dedupe_key"), F.lit(1).alias(f"{end}_ok")), f"{end}_dedupe_key", "left")
     seen = rels.groupBy("rel_type", "start_dedupe_key", "end_dedupe_key", (F.col("start_ok").isNotNull() & F.col("end_ok").isNotNull()).alias("ok")).count()
-    return seen.agg(F.count_if("ok").alias("created"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("count") - 1)), F.lit(0)).alias("matched"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("count"))), F.lit(0)).alias("skipped"))
+    total = lambda ok, n, name: F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).alias(name)
+    ok, n = F.col("ok"), F.col("count")
+    return seen.agg(F.count_if("ok").alias("created"), total(ok, n - 1, "matched"), total(~ok, n, "skipped"))
 
 
 # Severities from the gravest, and types of findings in their order.

@@ -69,7 +69,8 @@ def flag_summary(chunks: DataFrame) -> DataFrame:
 def job_summary(jobs: DataFrame) -> DataFrame:
     """Jobs of each run: all, complete, failed, and the rest as pending."""
     rest = ~F.coalesce(F.col("status").isin("complete", "failed"), F.lit(False))
-    return jobs.groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "complete").alias("complete"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(rest).alias("pending"))
+    each = [F.count_if(F.col("status") == s).alias(s) for s in ("complete", "failed")]
+    return jobs.groupBy("run_id").agg(F.count("*").alias("total"), *each, F.count_if(rest).alias("pending"))
 
 
 def entity_yield(jobs: DataFrame) -> DataFrame:

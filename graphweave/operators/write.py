@@ -54,7 +54,8 @@ def merge_edges(snapshot: DataFrame, incoming: DataFrame, nodes: DataFrame) -> t
     both = seen.join(same, match, "left").drop(*[f"__{c}" for c in ends])
     new = both.where("held and old is null").select(*ends, "first.*")
     created = F.when(F.col("held") & F.col("old").isNull(), 1).otherwise(0).cast("long")
-    actions = both.select(*ends, created.alias("created"), F.when(F.col("held"), F.col("n") - created).otherwise(0).alias("matched"), F.when(F.col("held"), 0).otherwise(F.col("n")).cast("long").alias("skipped"))
+    held, n = F.col("held"), F.col("n")
+    actions = both.select(*ends, created.alias("created"), F.when(held, n - created).otherwise(0).alias("matched"), F.when(held, 0).otherwise(n).cast("long").alias("skipped"))
     return old.select(*ends, "old.*").unionByName(new), actions
 
 
@@ -113,9 +114,12 @@ def applied(nodes: DataFrame, rels: DataFrame, steps: DataFrame, version: str =
     change = lambda op: of(op).select("dedupe_key", "put", "cut").dropDuplicates(["dedupe_key"])
     nodes = V.update_nodes(nodes, change("update_node"))
     rels = V.update_nodes(rels, change("update_edge"))
-    made = of("create_edge").select(F.col("dedupe_key"), "rel_type", F.col("start_key").alias("start_dedupe_key"), F.col("end_key").alias("end_dedupe_key"), F.lit(version).alias("schema_version"), F.lit(None).cast(MAP).alias("properties"), F.lit(0).alias("seq"), "run_id")
+    made = of("create_edge").select(
+        "dedupe_key", "rel_type", F.col("start_key").alias("start_dedupe_key"), F.col("end_key").alias("end_dedupe_key"), "run_id",
+        F.lit(version).alias("schema_version"), F.lit(None).cast(MAP).alias("properties"), F.lit(0).alias("seq"))
     rels, _ = merge_edges(rels, made, nodes)
-    merges = of("merge_nodes").select(F.col("dedupe_key").alias("survivor"), F.posexplode(F.slice("merge_keys", 2, F.greatest(F.size("merge_keys"), F.lit(1)))).alias("nth", "obsolete")).dropDuplicates(["obsolete"])
+    others = F.slice("merge_keys", 2, F.greatest(F.size("merge_keys"), F.lit(1)))
+    merges = of("merge_nodes").select(F.col("dedupe_key").alias("survivor"), F.posexplode(others).alias("nth", "obsolete")).dropDuplicates(["obsolete"])
     rels, _ = V.collapse(rels.withColumn("chunk_id", F.lit(None).cast("string")), merges, version)
     gone = of("delete_node").select("dedupe_key").unionByName(merges.select(F.col("obsolete").alias("dedupe_key")))
     nodes, rels = V.delete_nodes(nodes, rels, gone)

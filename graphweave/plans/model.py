@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN, VERSION = "run1", "v1"
+#: Type, table, primary value and number of the nodes.
+KINDS = [
+    ("Part", "part", "p_name", "p_partkey"), ("Customer", "customer", "c_name", "c_custkey"), ("Supplier", "supplier", "s_name", "s_suppkey"),
+    ("Nation", "nation", "n_name", "n_nationkey"), ("Region", "region", "r_name", "r_regionkey"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +27,11 @@ def node_key(kind: str, value) -> object:  # noqa: ANN001
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dedupe_key, node_type, primary_value, run_id, schema_version, seq: one row per extracted node, so
     parts that share a name repeat a key."""
-    kinds = (("Part", "part", "p_name", "p_partkey"), ("Customer", "customer", "c_name", "c_custkey"), ("Supplier", "supplier", "s_name", "s_suppkey"), ("Nation", "nation", "n_name", "n_nationkey"), ("Region", "region", "r_name", "r_regionkey"))
     return reduce(DataFrame.unionByName, [
         table(spark, sf_dir, t).select(
             node_key(kind, F.col(name)).alias("dedupe_key"), F.lit(kind).alias("node_type"), F.col(name).alias("primary_value"),
             F.lit(RUN).alias("run_id"), F.lit(VERSION).alias("schema_version"), F.col(key).cast("long").alias("seq"),
-        ) for kind, t, name, key in kinds
+        ) for kind, t, name, key in KINDS
     ])
 
 
@@ -77,9 +81,12 @@ def more_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts under longer and shorter names, as texts give them."""
     p = table(spark, sf_dir, "part")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_name", F.lower("p_type"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("The "), "p_name")).otherwise(F.concat(F.lit("a "), F.initcap("p_name"), F.lit(" of "), "p_type"))
+    k = F.col("p_partkey") % 3
+    long = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    name = F.when(k == 0, long).when(k == 1, F.concat(F.lit("The "), "p_name")).otherwise(F.concat(F.lit("a "), F.initcap("p_name"), F.lit(" of "), "p_type"))
     return p.select(
-        node_key("Label", name).alias("dedupe_key"), F.lit("Label").alias("node_type"), name.alias("primary_value"), F.lit(RUN).alias("run_id"), F.lit(VERSION).alias("schema_version"), F.col("p_partkey").alias("seq"))
+        node_key("Label", name).alias("dedupe_key"), F.lit("Label").alias("node_type"), name.alias("primary_value"),
+        F.lit(RUN).alias("run_id"), F.lit(VERSION).alias("schema_version"), F.col("p_partkey").alias("seq"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +111,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODE = """SELECT '{k}|' || {n} || '|v1' AS dedupe_key, '{k}' AS node_type, {n} AS primary_value, 'run1' AS run_id, 'v1' AS schema_version,
   CAST({i} AS BIGINT) AS seq FROM {t}"""
 SQL = "WITH nodes AS (" + " UNION ALL ".join(
-    _NODE.format(k=k, t=t, n=n, i=i) for k, t, n, i in (("Part", "part", "p_name", "p_partkey"), ("Customer", "customer", "c_name", "c_custkey"), ("Supplier", "supplier", "s_name", "s_suppkey"), ("Nation", "nation", "n_name", "n_nationkey"), ("Region", "region", "r_name", "r_regionkey"))
+    _NODE.format(k=k, t=t, n=n, i=i) for k, t, n, i in KINDS
 ) + """), ends AS (
   SELECT 'LOCATED_IN' AS rel_type, 'Customer|' || c_name || '|v1' AS a, 'Nation|' || n_name || '|v1' AS b FROM customer
     JOIN nation ON c_nationkey = n_nationkey

@@ -7,7 +7,7 @@ import pytest
 from graphweave import registry
 
 DATA = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
