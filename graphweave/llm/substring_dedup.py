@@ -241,6 +241,9 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, group_windows: int = G
     return materialise(found.groupBy("part").applyInArrow(by_document, MARKS), "repeats")
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
+
+
 def cut_out(size: int):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -249,26 +252,29 @@ def cut_out(size: int):  # noqa: ANN201
                 out: list[tuple] = []
                 for text, blob in zip(texts, marks, strict=True):
                     got = text.encode().split()  # at space and \x09-\x0D
-                    n = len(got)
-                    gone = 0
+                    n, gone, spans = len(got), 0, []
                     if blob:
                         at = np.frombuffer(blob, np.uint32).astype(np.int64)
                         edge = np.bincount(at, minlength=n + 1) - np.bincount(at + size, minlength=n + 1)
                         stays = np.cumsum(edge)[:n] == 0
                         gone = n - int(stays.sum())
+                        # maximal runs of words that go
+                        turn = np.flatnonzero(np.diff(np.concatenate([[1], stays.astype(np.int8), [1]])))
+                        spans = [{"start": int(i), "words": int(j - i)} for i, j in zip(turn[::2], turn[1::2], strict=True)]
                         got = list(compress(got, stays.tolist()))
-                    out.append((n, gone, b" ".join(got).decode()))
-                n, gone, kept = zip(*out, strict=True)
+                    out.append((n, gone, b" ".join(got).decode(), spans))
+                n, gone, kept, spans = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_text"],
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, SPANS)],
+                    names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
                 )
 
     return run
 
 
 def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text: each document without the words of repeated windows.
+    """doc_id, n_words, n_removed, kept_text, spans: each document without the words of repeated windows, and the
+    maximal passages (start word, words) that went.
 
     Words are runs without space and \\x09-\\x0D; a null or empty text has none. Windows are judged on the
     input. A null doc_id counts as the smallest, and rows that share a doc_id are ordered by a hash of
@@ -280,7 +286,7 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     id_ = F.coalesce(rows["doc_id"], F.lit(-(2**63)))
     both = rows.join(marks, (id_ == marks["__id"]) & (rows["seq"] == marks["__seq"]), "left")
     return both.select("doc_id", "text", "starts").mapInArrow(
-        cut_out(size), "doc_id long, n_words long, n_removed long, kept_text string"
+        cut_out(size), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,words:int>>"
     )
 
 
