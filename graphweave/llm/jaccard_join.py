@@ -14,7 +14,7 @@
    pair is a task.
 4. A task's sets stand in a trie in the task's own order, rarest gram first. It is walked depth first; sets below
    one node share its overlaps, and subtrees whose size or remaining length can't reach the overlap are cut.
-5. Links found (enough to connect what is linked, not all pairs) give the classes; copies join by their node.
+5. Links found (each set and the least of its class, not all pairs) give the classes; copies join by their node.
 """
 
 from __future__ import annotations
@@ -208,7 +208,7 @@ def frequent_grams(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = rows.orderBy(F.desc("often"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
     gram = np.asarray(got.column("gram")).view(np.uint64)
     order = np.argsort(gram)
-    return gram[order], order
+    return gram[order], order.astype(np.int32)
 
 
 def left_over(table: pa.Table) -> pa.Table:
@@ -254,14 +254,36 @@ def joining(batches: Iterator[pa.RecordBatch], parts: int, frequent) -> Iterator
         yield packed_batch(rows)
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges: the least node that each other node reaches by them, and that node."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root, before = at[: len(u)], at[len(u) :], np.arange(len(names)), None
+    while before is None or (before != root).any():
+        before, low = root.copy(), np.minimum(root[a], root[b])
+        for side in (a, b, before[a], before[b]):
+            np.minimum.at(root, side, low)
+        root = root[root]
+    other = root != np.arange(len(names))
+    return names[root[other]], names[other]
+
+
 def edges_of(table: pa.Table) -> pa.Table:
+    """Of one part: each node with the least that it reaches by the part's grams and edges."""
     done = np.asarray(table.column("done"))
     take = lambda c, which: table.column(c).take(pa.array(np.flatnonzero(which))).to_pylist()
     known = np.stack([np.frombuffer(b"".join(take(c, done == 1)), np.int64) for c in ("nodes", "grams")])
     node, head, _, _ = met(*unpack(table, 0)[:2])
-    edge = np.unique(np.concatenate([known, np.stack([head[node != head], node[node != head]])], axis=1), axis=1)
+    u, v = stars(np.concatenate([known[0], head[node != head]]), np.concatenate([known[1], node[node != head]]))
     H.release()
-    return pa.table({"u": pa.array(edge[0], pa.int64()), "v": pa.array(edge[1], pa.int64())})
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one node that hangs on none."""
+    each = edges.select(F.col("u").alias("k"), F.lit(1).alias("top"), F.lit(0).alias("low"))
+    each = each.unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("top"), F.lit(1).alias("low")))
+    count = each.groupBy("k").agg(F.max("top").alias("top"), F.sum("low").alias("low"))
+    return count.where("low > 1 or (top > 0 and low > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,12 +291,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins the edges with the least neighbour of each node, found with a map-side combine; the
     edges are written to the shared folder each round (and those of the round before deleted), and the driver sees
-    only their count and checksum. Rounds end when nothing changes, which they do after about the logarithm of the longest path squared.
+    only whether they are settled. Rounds end when all edges are stars, which they are after about the logarithm of
+    the longest path squared.
     """
     edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    seen, now = None, ()
-    while now != seen:
-        seen = now
+    while not settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -282,12 +303,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("m").alias("u"), "v").unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v")))
+        small = small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         before = tables()[-1:]
-        edges = materialise(small.where("u <> v").distinct(), "edges")
+        edges = materialise(small.distinct(), "edges")
         discard(edges.sparkSession, before)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    pairs = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    return pairs.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
 class Classes:
@@ -448,13 +468,15 @@ def trie_links(sets: list[np.ndarray], own: np.ndarray | None = None, band: np.n
 
 
 def trie_group(table: pa.Table) -> pa.Table:
-    """Of one task: links (u, v) between the sets it holds."""
+    """Of one task: each set with the least set (u) that the links it holds connect it with."""
     sets, own, band = (np.asarray(table.column(c)) for c in ("set", "own", "band"))
     _, once = np.unique(sets, return_index=True)  # a doc_id that repeats brings its set again
     sets, own, band = sets[once], own[once], band[once]
     found = trie_links([np.frombuffer(x, np.uint64) for x in table.column("grams").take(pa.array(once)).to_pylist()], own, band)
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    u, v = stars(sets[pairs[:, 0]], sets[pairs[:, 1]])
     H.release()
-    return pa.table({"u": pa.array([sets[i] for i, _ in found], pa.int64()), "v": pa.array([sets[j] for _, j in found], pa.int64())})
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def full_sets(n: int):  # noqa: ANN201
