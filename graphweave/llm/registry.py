@@ -14,6 +14,7 @@ from graphweave.llm import (
     jaccard_join,
     language_id,
     line_dedup,
+    source_divergence,
     source_mix,
     substring_dedup,
     toxicity,
@@ -39,10 +40,12 @@ def queries() -> dict[str, Query]:
         "op8_fuzzy_hash": on_documents(fuzzy_hash.query),
         "op9_hilbert_shards": on_documents(hilbert_shards.hilbert_shards),
         "op10_substring_dedup": on_documents(substring_dedup.query),
+        "op11_source_divergence": on_documents(source_divergence.source_divergence),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL,
+        "op11_source_divergence": source_divergence.SQL,
     }
