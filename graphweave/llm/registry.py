@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphweave.llm import (
     bpe,
+    conversation_trie,
     exact_dedup,
     fuzzy_hash,
     hilbert_shards,
@@ -41,11 +42,12 @@ def queries() -> dict[str, Query]:
         "op9_hilbert_shards": on_documents(hilbert_shards.hilbert_shards),
         "op10_substring_dedup": on_documents(substring_dedup.query),
         "op11_source_divergence": on_documents(source_divergence.source_divergence),
+        "op12_conversation_trie": lambda spark, d: conversation_trie.conversation_trie(read(spark, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": line_dedup.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL,
-        "op11_source_divergence": source_divergence.SQL,
+        "op11_source_divergence": source_divergence.SQL, "op12_conversation_trie": conversation_trie.SQL,
     }

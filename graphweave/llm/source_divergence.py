@@ -53,7 +53,7 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (count, docs) in met.items():
             n = len(count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * n), pa.array([source] * n), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64()), pa.array([docs[t] for t in count], pa.int64())],
+                [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64()), pa.array([docs[t] for t in count], pa.int64())],
                 names=["lang", "source", "term", "count", "docs"],
             )
         met.clear()
@@ -151,7 +151,7 @@ def summed(langs):  # noqa: ANN001, ANN201
                 total[lang] = total[lang] + got if lang in total else got
         for lang, sums in total.items():
             a, b = np.triu_indices(len(sums), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(sums[a, b])], names=["lang", "a", "b", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(sums[a, b])], names=["lang", "a", "b", "value"])
 
     return run
 
