@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphweave.llm import bpe, exact_dedup, jaccard_join, source_mix, toxicity
-from graphweave.llm.common import discard, materialise, read, tables
+from graphweave.llm.common import discard, read, scope, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order. A stage's own tables, and the result of the one before, go when its result is written."""
-    docs, kept = read(spark, sf_dir, "documents"), tables()
+    docs, last = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
-        discard(spark, [t for t in tables() if t not in kept][:-1])
+        with scope() as made:
+            docs, path = written(stage(spark, docs, sf_dir), "stage")
+        discard(spark, [*last, *(t for t in made if t != path)])
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

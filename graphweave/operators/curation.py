@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.functions import scores as S
 from graphweave.functions.text import strip
 from graphweave.operators import graph as G
-from graphweave.plans.tables import discard, materialise, tables
+from graphweave.plans.tables import discard, materialise, written
 
 
 def provenance(nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -98,15 +98,15 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = pairs.select(F.col("key_a").alias("k"), F.col("key_b").alias("other"))
     edges = materialise(edges.unionByName(edges.select(F.col("other").alias("k"), F.col("k").alias("other"))).where("k is not null and other is not null").distinct(), "edges")
-    roots = materialise(edges.groupBy("k").agg(F.least(F.min("other"), F.col("k")).alias("root")), "roots")
+    roots, path = written(edges.groupBy("k").agg(F.least(F.min("other"), F.col("k")).alias("root")), "roots")
     for _ in range(rounds):
         seen = edges.join(roots.withColumnRenamed("k", "other"), "other").groupBy("k").agg(F.min("root").alias("near"))
         lower = roots.join(seen, "k").select("k", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = roots.select(F.col("k").alias("root"), F.col("root").alias("far"))
-        before = tables()[-1:]
-        now = materialise(lower.join(jump, "root", "left").select("k", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
+        before = path
+        now, path = written(lower.join(jump, "root", "left").select("k", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
         roots = now.select("k", "root")
-        discard(now.sparkSession, before)
+        discard(now.sparkSession, [before])
         if now.where("root <> old").isEmpty():
             break
     else:

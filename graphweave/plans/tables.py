@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,31 +24,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Tables that this process wrote, the newest last.
-_made: list[str] = []
+#: The lists of the scopes that are open in this thread of control, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and a
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of the tables written inside, in this thread alone; whoever opened it may discard them."""
+    made: list[str] = []
+    token = _open.set((*_open.get(), made))
+    try:
+        yield made
+    finally:
+        _open.reset(token)
+
+
+def written(df: DataFrame, name: str, **options: object) -> tuple[DataFrame, str]:
+    """Write df as a Parquet table in the shared folder and read it back, with its path: this cuts the lineage, and a
     lost executor costs a reread, not a rerun of what led to the table."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    for made in _open.get():
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def tables() -> list[str]:
-    """The tables that materialise wrote and discard has not deleted."""
-    return list(_made)
+def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
+    return written(df, name, **options)[0]
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete tables that nothing reads any more: what was built on them is written."""
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _made:
-            _made.remove(path)
 
 
 def ranged(df: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:
