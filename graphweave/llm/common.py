@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.plans.tables import discard, materialise, shared_dir, tables
+from graphweave.plans.tables import discard, materialise, scope, shared_dir, written
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "discard", "documents", "materialise", "read", "shared_dir", "tables"]
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "discard", "documents", "materialise", "read", "scope", "shared_dir", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

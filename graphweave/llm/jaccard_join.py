@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import wordhash as H
-from graphweave.llm.common import discard, documents, materialise, tables
+from graphweave.llm.common import discard, documents, materialise, written
 
 N = 5
 #: The threshold as a fraction: a link has DEN * intersection >= NUM * union.
@@ -294,7 +294,7 @@ def components(edges: DataFrame) -> DataFrame:
     only whether they are settled. Rounds end when all edges are stars, which they are after about the logarithm of
     the longest path squared.
     """
-    edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    edges, path = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     while not settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -304,9 +304,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.select(F.col("m").alias("u"), "v").unionByName(low.select(F.col("m").alias("u"), F.col("u").alias("v")))
         small = small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        before = tables()[-1:]
-        edges = materialise(small.distinct(), "edges")
-        discard(edges.sparkSession, before)
+        before = path
+        edges, path = written(small.distinct(), "edges")
+        discard(edges.sparkSession, [before])
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 

@@ -11,6 +11,7 @@ from graphweave.llm import (
     conversation_trie,
     exact_dedup,
     fuzzy_hash,
+    hidden_markov,
     hilbert_shards,
     jaccard_join,
     language_id,
@@ -43,6 +44,7 @@ def queries() -> dict[str, Query]:
         "op10_substring_dedup": on_documents(substring_dedup.query),
         "op11_source_divergence": on_documents(source_divergence.source_divergence),
         "op12_conversation_trie": lambda spark, d: conversation_trie.conversation_trie(read(spark, d, "conversations")),
+        "op13_lm_scoring": on_documents(hidden_markov.lm_scores),
     }
 
 
