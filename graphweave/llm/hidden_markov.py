@@ -26,7 +26,7 @@ from graphweave.llm.toxicity import held_out
 
 STATES, EPOCHS, OWN, CLASSES, WINDOW = 12, 6, 1 << 16, 1024, 128
 #: Bytes of text in a chunk, chunks in a file, words of chunks in a task that sums counts, windows in one block.
-CHUNK, FILE_CHUNKS, PART_ENTRIES, BLOCK = 16 << 20, 8, 500_000, 4096
+CHUNK, FILE_CHUNKS, PART_ENTRIES, BLOCK = 8 << 20, 16, 500_000, 2048
 ADD = 0.1
 #: The end of a text as a word; the weight of the corpus's own shares in a state's emissions; units of an expected count.
 END, PRIOR, UNIT = H.U(0x656E64), 100.0, 1 << 16
