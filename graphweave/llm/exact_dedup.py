@@ -1,10 +1,9 @@
 """Exact dedup by a heavy-hitter split (DataFrame functions only).
 
-A Misra-Gries pass (DataFrame.freqItems, the Karp-Shenker-Papadimitriou form of it) names every digest
-that more than `support` of all rows have, among at most 1/support digests. Exact counts over all rows
-verify them; their winners are broadcast (at most 1/support rows, whatever the input's size) and settle
-their rows on the map side, without a shuffle. All other digests have at most support * rows rows each and
-take an ordinary shuffle on the digest.
+Misra-Gries sketches, merged in levels, name every digest that more than `support` of all rows have, among about
+1/support digests at most. Exact counts over all rows verify them; their winners are broadcast (about 1/support rows at most,
+whatever the input's size) and settle their rows on the map side, without a shuffle. All other digests have at most
+support * rows rows each and take an ordinary shuffle on the digest.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import ascii_lower, documents, materialise
+from graphweave.llm.common import ascii_lower, documents, frequent, materialise
 
 SUPPORT = 1 / 10_000
 
@@ -23,11 +22,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def heavy_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """text_sha256, keep_id, group_size of the frequent digests, counted exactly; at most 1/support rows."""
-    heavy = rows.freqItems(["text_sha256"], support).select(
-        F.explode("text_sha256_freqItems").alias("text_sha256")
-    )
-    return winners_of(rows.join(F.broadcast(heavy), "text_sha256"))
+    """text_sha256, keep_id, group_size of the frequent digests, counted exactly; about 1/support rows at most."""
+    heavy = frequent(rows, "text_sha256", support)
+    return winners_of(rows.join(F.broadcast(heavy), F.xxhash64("text_sha256") == F.col("item")))
 
 
 def winners_of(rows: DataFrame) -> DataFrame:

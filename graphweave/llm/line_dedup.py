@@ -1,7 +1,7 @@
 """Line dedup (DataFrame functions only): range-partitioned line hashes, sorted by document and position.
 
 Each line of at least `min_chars` becomes (hash, doc_id, position). Hashes that more than `support` of all
-lines have (at most 1/support, found by a Misra-Gries pass) are counted with a map-side combine and settled
+lines have (about 1/support at most, found by Misra-Gries sketches merged in levels) are counted with a map-side combine and settled
 by a broadcast of their winners. All others that enough documents have are partitioned by ranges of the hash and
 sorted within by document (largest first) and position, so that one streaming pass meets the first occurrence
 of each line before its repeats. What returns is not text but a compressed bitmap per document of the lines to drop:
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import SPACE, ascii_lower, documents, materialise
+from graphweave.llm.common import SPACE, ascii_lower, documents, frequent, materialise
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -40,8 +40,8 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dropped_lines(rows: DataFrame, min_docs: int = MIN_DOCS, support: float = SUPPORT) -> DataFrame:
     """doc_id, pos of the lines to drop."""
-    heavy = rows.freqItems(["hash"], support).select(F.explode("hash_freqItems").alias("hash"))
-    per_doc = rows.join(F.broadcast(heavy), "hash").groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
+    heavy = frequent(rows, "hash", support)
+    per_doc = rows.join(F.broadcast(heavy), F.xxhash64("hash") == F.col("item")).groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
     winners = materialise(
         per_doc.groupBy("hash").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "lines"
     )
