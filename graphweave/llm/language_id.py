@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import wordhash as H
-from graphweave.llm.common import documents
-from graphweave.llm.toxicity import held_out, sample
+from graphweave.llm.common import bounded_sample, documents
+from graphweave.llm.toxicity import held_out
 
 BITS, WIDTH = 14, 12
 #: Rows learned from, at most about this many, chosen by a hash of doc_id (their gram counts are bounded by 2**BITS each).
-SAMPLE = 4000
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 #: The share of accepted predictions that may be wrong.
 ERROR = 0.01
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -60,10 +60,10 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g = (key & ((1 << BITS) - 1)).astype(np.uint16)
             n = n.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"),
+                [*(batch.column(c) for c in ("doc_id", "text_hash", "lang")),
                  pa.array([g[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                  pa.array([n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                names=["doc_id", "lang", "grams", "counts"],
+                names=["doc_id", "text_hash", "lang", "grams", "counts"],
             )
 
 
@@ -105,12 +105,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs:
     return score, float(temperature), float(threshold)
 
 
-def train(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray, float, float]:
-    """Languages in order, and what fit gives, from at most about `most` rows outside the held-out fold."""
+def train(docs: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, float, float]:
+    """Languages in order, and what fit gives, from about `most` rows outside the held-out fold (bounded_sample says which)."""
     known = documents(docs, "lang").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & F.col("text").rlike(r"\p{L}")
     )
-    got = sample(known, most).mapInArrow(count_rows, "doc_id long, lang string, grams binary, counts binary").toPandas().sort_values("doc_id")
+    chosen = bounded_sample(known, most / max(1, known.count()), most, most_bytes).select("doc_id", "text_hash", "lang", "text")
+    rows = chosen.mapInArrow(count_rows, "doc_id long, text_hash long, lang string, grams binary, counts binary")
+    got = rows.toPandas().sort_values(["doc_id", "text_hash"])
     langs = sorted(set(got.lang))
     if not langs:
         return ["und"], np.zeros((1 << BITS, 1)), 1.0, 0.0

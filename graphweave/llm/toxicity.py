@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import wordhash as H
-from graphweave.llm.common import documents
+from graphweave.llm.common import bounded_sample, documents
 
 BITS = 18
-#: Labelled rows learned from, at most about this many, chosen by a hash of doc_id; and the longest text learned
-#: from, in bytes, which bounds what the driver holds.
-SAMPLE, LONGEST = 12_000, 1 << 15
+#: Labelled rows learned from, about this many and twice as many at most, drawn by a hash of doc_id; and how many bytes of
+#: text they have together, which bounds what the driver holds.
+SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
 THRESHOLD = 0.3
 _MARKS = np.array([35, 36, 37, 38, 42, 44, 46, 33, 63, 58, 59, 34, 39, 40, 41], np.uint8)
 
@@ -48,7 +48,8 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, feature = features(batch)
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
             blobs = [feature[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "features"])
+            keep = [batch.column(c) for c in ("doc_id", "text_hash", "label")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(blobs, pa.binary())], names=["doc_id", "text_hash", "label", "features"])
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -56,16 +57,6 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def sample(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` rows of all, chosen by a 63-bit hash of doc_id (all of them where there are no more). Rows that
-    share a chosen doc_id are cut off at twice `most`, so that a repeated row can't flood the driver."""
-    share = most / max(1, rows.count())
-    if share >= 1:
-        return rows
-    drawn = F.call_function("shiftrightunsigned", F.xxhash64("doc_id", F.lit(7)), F.lit(1)) < F.lit(int(share * 2**63))
-    return rows.where(drawn).limit(2 * most)
-
-
 def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 0.4, beta: float = 1.0, l1: float = 8.0, l2: float = 0.3) -> np.ndarray:
     """Weights for 2**BITS features, the bias last. Each text's features weigh 1 each."""
     n = (1 << BITS) + 1
@@ -94,8 +85,9 @@ def views(column: pa.Array) -> list[np.ndarray]:
     return [numbers[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[int, int] = (4, 2)) -> np.ndarray:
-    """Weights learned from at most about `most` labelled rows outside the held-out fold, of LONGEST bytes at most.
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[int, int] = (4, 2), most_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Weights learned from about `most` labelled rows outside the held-out fold (bounded_sample says which), in the order of doc_id
+    and text hash.
 
     Labels that are null are left out; of several labels for a doc_id the largest counts. Without any
     labelled row all weights are 0 and the bias is the least there is, so that nothing is rejected.
@@ -104,13 +96,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, fold: tuple[in
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *fold))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     )
-    learnable = documents(docs).where(F.octet_length("text") <= LONGEST)
-    chosen = learnable.join(sample(known, most), "doc_id").select("doc_id", "text", "label").limit(2 * most)
-    got = chosen.mapInArrow(feature_rows, "doc_id long, label int, features binary").toArrow().to_batches()
+    chosen = bounded_sample(documents(docs).join(known, "doc_id"), most / max(1, known.count()), most, most_bytes)
+    rows = chosen.select("doc_id", "text_hash", "label", "text").mapInArrow(feature_rows, "doc_id long, text_hash long, label int, features binary")
+    got = rows.toArrow().to_batches()
     if not sum(b.num_rows for b in got):
         return np.append(np.zeros(1 << BITS), -35.0)
     # the features stay in the batches' buffers: a pandas copy would need several times their size
-    order = np.argsort(np.concatenate([np.asarray(b.column("doc_id")) for b in got]), kind="stable")
+    order = np.lexsort([np.concatenate([np.asarray(b.column(c)) for b in got]) for c in ("text_hash", "doc_id")])
     examples = [x for b in got for x in views(b.column("features"))]
     labelled = np.concatenate([np.asarray(b.column("label")) for b in got])
     return ftrl([examples[i] for i in order], (labelled[order] > 0).astype(float))
