@@ -38,7 +38,9 @@ GROUP_ENTRIES, TASK_ENTRIES, SLICE = 500_000, 1_000_000, 4 << 20
 BLOCK = 500_000
 #: How often a gram is met to be frequent, and how many of the most frequent are told to all tasks (12 bytes each).
 FREQUENT, MOST_FREQUENT = 8, 500_000
-SETS = "doc_id long, n_shingles long, node long, check long, prefix binary"
+SETS = "doc_id long, text_hash long, n_shingles long, node long, check long, prefix binary"
+#: What names one text of a set: the id (null: the least there is) and the text's hash.
+ROW = ["row_id", "row_hash"]
 PACKED = "part int, nodes binary, counts binary, grams binary, often binary, done int"
 
 
@@ -100,12 +102,13 @@ def set_rows(n: int):  # noqa: ANN201
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k for k, _ in names], pa.int64()),
                         pa.array([c for _, c in names], pa.int64()),
                         pa.array([s[: prefix_length(len(s))].tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "check", "prefix"],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "check", "prefix"],
                 )
 
     return run
@@ -202,11 +205,23 @@ def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def frequent_grams(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The MOST_FREQUENT most frequent grams, sorted, and the rank of each. Any part of them would do, as long as all
-    nodes order their grams by the same: what is not in it just is not left out."""
+    """At most MOST_FREQUENT of the most frequent grams, sorted, and the rank of each. Any part of them would do, as long as
+    all nodes order their grams by the same: what is not in it just is not left out.
+
+    How many grams are met how often, in steps of an eighth, says from where on there are few enough; only those come here.
+    """
     rows = shared.where("done = 3").select("grams", "often").mapInArrow(frequent_rows, "gram long, often long")
-    got = rows.orderBy(F.desc("often"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
-    gram = np.asarray(got.column("gram")).view(np.uint64)
+    step = F.floor(F.log2(F.col("often").cast("double")) * 8).cast("int")
+    steps = rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()  # 512 at most
+    total, least_ = 0, None
+    for r in steps:
+        total += r.n
+        if total > MOST_FREQUENT:
+            break
+        least_ = r.step
+    got = rows.where(step >= least_ if least_ is not None else F.lit(False)).toArrow()
+    gram, often = np.asarray(got.column("gram")).view(np.uint64), np.asarray(got.column("often"))
+    gram = gram[np.lexsort((gram, -often))]
     order = np.argsort(gram)
     return gram[order], order.astype(np.int32)
 
@@ -483,7 +498,7 @@ def full_sets(n: int):  # noqa: ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in H.pieces(whole):
-                # of rows that share a doc_id, those whose set it is
+                # a text of another set, should two that share a doc_id also share a hash, is not taken for it
                 names = zip(batch.column("node").to_pylist(), batch.column("check").to_pylist(), strict=True)
                 blobs = [s.tobytes() if len(s) and names_of(s) == k else None for s, k in zip(sets_of(batch, n), names, strict=True)]
                 keep = [batch.column(c) for c in ("set", "root", "places")]
@@ -492,9 +507,14 @@ def full_sets(n: int):  # noqa: ANN201
     return run
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash: rows that share a doc_id, or have none, are told apart by their texts."""
+    return documents(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
 def shingle_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, node (null: empty set), prefix; a table in the shared folder."""
-    return materialise(documents(docs).mapInArrow(set_rows(n), SETS), "sets")
+    """doc_id, text_hash, n_shingles, node (null: empty set), prefix; a table in the shared folder."""
+    return materialise(hashed(docs).mapInArrow(set_rows(n), SETS), "sets")
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
@@ -517,6 +537,24 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
     return components(edges)
 
 
+def named_sets(sets: DataFrame) -> DataFrame:
+    """node, check, rep, n, row_id, row_hash: each set that is not empty, the least doc_id that has it, its size, and which
+    text to take for it."""
+    row = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("row_id"), F.col("text_hash").alias("row_hash"))
+    reps = sets.where(F.col("node").isNotNull()).groupBy("node", "check").agg(
+        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min(row).alias("row")
+    )
+    return reps.select("node", "check", "rep", "n", "row.*")
+
+
+def texts_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """chosen, which has ROW, with the text of each row. Of rows with equal id and text one goes on: a set has one text,
+    whatever repeats. The same plan for any number of sets: these grow with the input."""
+    id_ = F.coalesce("doc_id", F.lit(-(2**63))).alias("row_id")
+    text = hashed(docs).select(id_, F.col("text_hash").alias("row_hash"), "text").groupBy(*ROW).agg(F.first("text").alias("text"))
+    return text.join(chosen.hint("merge"), ROW)
+
+
 def dealt_tasks(groups: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """root, class, a, b, set, own, band, grams: the sets that each task's trie holds.
 
@@ -532,10 +570,8 @@ def dealt_tasks(groups: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     bands = placed.groupBy("root", "class").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / TASK_ENTRIES)).cast("int").alias("bands"))
     placed = placed.join(bands, ["root", "class"])
     where = F.struct("class", "bands", (F.col("size") == F.col("class")).alias("own"))
-    chosen = placed.groupBy("set", "root", "node", "check", F.col("rep").alias("__id")).agg(F.collect_list(where).alias("places"))
-    text = documents(docs)
-    # the same plan for any number of sets: these grow with the input
-    text = text.join(chosen.hint("merge"), F.coalesce(text["doc_id"], F.lit(-(2**63))) == F.coalesce("__id", F.lit(-(2**63))))
+    chosen = placed.groupBy("set", "root", "node", "check", *ROW).agg(F.collect_list(where).alias("places"))
+    text = texts_of(chosen, docs)
     keys = ["node", "check", "set", "root", "places"]
     grams = text.select(*keys, "text").mapInArrow(
         full_sets(n), "set long, root long, places array<struct<class:int,bands:int,own:boolean>>, grams binary"
@@ -558,7 +594,7 @@ def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     """
     sets = shingle_sets(docs, n)
     names = ["node", "check"]
-    reps = sets.where(F.col("node").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
+    reps = named_sets(sets)
     groups = candidate_groups(sets).join(reps, "node").withColumn("set", F.monotonically_increasing_id())
     groups = materialise(groups, "groups")
     tasks = dealt_tasks(groups, docs, n)
@@ -567,7 +603,7 @@ def jaccard_join(docs: DataFrame, n: int = N) -> DataFrame:
     least_ = classes.groupBy("root").agg(F.min("rep").alias("least"))
     named = classes.join(least_, "root").select(*names, "least")
     marked = reps.join(named, names, "left").select(*names, F.coalesce("least", "rep").alias("least"))
-    out = sets.drop("prefix").join(marked, names, "left")
+    out = sets.drop("prefix", "text_hash").join(marked, names, "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id")
 
