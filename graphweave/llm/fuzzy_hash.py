@@ -22,6 +22,9 @@ LENGTH, LEAST = 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Bytes of text in a range of documents that one task walks, and the most ranges: their bounds are one literal.
 RANGE_BYTES, RANGES = 16 << 20, 1 << 15
+#: Texts that a task knows to have met before it starts anew, and rows that one row stands for at most.
+HELD, MOST_COPIES = 200_000, 10_000
+NAMES = ["doc_id", "text_hash", "text", "n"]
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
@@ -150,14 +153,40 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(fingerprint_rows, "doc_id long, fingerprint string")
 
 
+def once_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once per task and doc_id, with a row of its own at the end that says how often it came again."""
+    again: dict[tuple[int, int], int] = {}
+
+    def counts() -> pa.RecordBatch:
+        rows = [(*k, n) for k, n in again.items() if n]
+        again.clear()
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.nulls(len(rows), pa.string()), pa.array(columns[2], pa.int64())], names=NAMES)
+
+    for batch in batches:
+        new = []
+        for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)):
+            if key in again:
+                again[key] += 1
+            else:
+                again[key] = 0
+                new.append(i)
+        rows = batch.take(pa.array(new, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in NAMES[:3]), pa.array(np.ones(len(new), np.int64))], names=NAMES)
+        if len(again) > HELD:
+            yield counts()
+    yield counts()
+
+
 def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range, doc_id from the largest down and text: each with the row that follows."""
+    """Rows sorted by range, doc_id from the largest down, hash and text: each text with the one that follows, and where it
+    came again, with itself."""
     import hashlib
 
-    def done(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-        texts = [t.encode() for _, t, _ in rows]
-        new = [edited(t, u).encode() for _, t, u in rows]
-        own, changed, following = fingerprints(texts), fingerprints(new), fingerprints([u.encode() for _, _, u in rows])
+    def done(rows: list[tuple[int, str, str, int]]) -> pa.RecordBatch:
+        texts = [t.encode() for _, t, _, _ in rows]
+        new = [edited(t, u).encode() for _, t, u, _ in rows]
+        own, changed, following = fingerprints(texts), fingerprints(new), fingerprints([u.encode() for _, _, u, _ in rows])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -166,17 +195,24 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(own), pa.array(changed),
                 pa.array(likeness(list(zip(own, changed, strict=True)))),
                 pa.array(likeness(list(zip(own, following, strict=True)))),
+                pa.array([r[3] for r in rows], pa.int64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies"],
         )
 
     before, rows, size = None, [], 0
     for batch in batches:
-        for where, doc_id, text, borrowed in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "text", "borrowed")), strict=True):
-            if before is not None and before[0] == where:
-                rows.append((before[1], before[2], text))
-                size += len(before[2]) + len(text)
-            before = None if borrowed else (where, doc_id, text)
+        for where, doc_id, text_hash, text, n, borrowed in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "text_hash", "text", "n", "borrowed")), strict=True):
+            if before is not None and before[:3] == (where, doc_id, text_hash) and not borrowed:
+                rows += [(doc_id, before[3], before[3], min(MOST_COPIES, n - k)) for k in range(0, n, MOST_COPIES)]
+                size += 2 * len(before[3])
+            else:
+                if before is not None and before[0] == where:
+                    rows.append((before[1], before[3], text, 1))
+                    size += len(before[3]) + len(text)
+                before = None if borrowed else (where, doc_id, text_hash, text)
+                if not borrowed and n > 1:
+                    rows += [(doc_id, text, text, min(MOST_COPIES, n - 1 - k)) for k in range(0, n - 1, MOST_COPIES)]
             if size > 1 << 20:
                 yield done(rows)
                 rows, size = [], 0
@@ -184,56 +220,66 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
-def cuts_of(rows: DataFrame, ranges: int) -> list[int]:
-    """At most ranges - 1 ascending doc_ids that part the bytes about evenly: quantiles of a sample in which a
-    document's chance is its size. They steer only how the work is dealt."""
+def cuts_of(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """At most ranges - 1 ascending (doc_id, turned hash) that part the bytes about evenly: quantiles of a sample of about 16
+    rows a range in which a row's chance is its size. They steer only how the work is dealt."""
     total = rows.agg(F.sum("bytes")).first()[0]
     if not total or ranges < 2:
         return []
-    chance = F.col("bytes") * F.lit(min(1.0, 64 * ranges / total) * 2.0**63)
-    drawn = rows.where(F.call_function("shiftrightunsigned", F.xxhash64("doc_id", F.lit(5)), F.lit(1)) < chance)
-    at = [i / ranges for i in range(1, ranges)]
-    return sorted(set(drawn.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []))
+    drawn = rows.where(F.rand(5) < F.col("bytes") * F.lit(min(1.0, 16 * ranges / total))).select("doc_id", "turned").toArrow()
+    found = sorted(zip(drawn.column("doc_id").to_pylist(), drawn.column("turned").to_pylist(), strict=True))
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
-def place_of(doc_id: Column, cuts: list[int]) -> Column:
-    """How many of the ascending cuts are less than doc_id, by bisection."""
+def place_of(doc_id: Column, turned: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the ascending cuts are less than (doc_id, turned), by bisection."""
     if not cuts:
         return F.lit(0)
-    table, steps = F.array(*map(F.lit, cuts)), F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < doc_id, at + step).otherwise(at))
+    ids, hashes = (F.array(*map(F.lit, x)) for x in zip(*cuts, strict=True))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    less = lambda at: (F.get(ids, at) < doc_id) | ((F.get(ids, at) == doc_id) & (F.get(hashes, at) < turned))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(less(at + step - 1), at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """range, doc_id, text, borrowed: each document in the range of its doc_id, and at the end of each
-    range a copy of the document that comes next (after the last range: the first document), so that
-    every task finds each document's successor beside it."""
-    rows = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    slim = materialise(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("bytes")), "sizes")
+    """range, doc_id, text_hash, text, n, borrowed: each text in the range of its doc_id and hash (n times; a null text
+    stands for one that came before in its task), and at the end of each range a copy of the document that comes next
+    (after the last range: the first document), so that every task finds each document's successor beside it.
+
+    The order is that of descending doc_id, then of the text's hash, so that rows which share an id, or have none, are in
+    as many ranges as they fill. Only copies of one text under one id stay together, as one row per task.
+    """
+    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+    rows = documents(docs).select(*key, "text")
+    turned = F.bitwise_not("text_hash")
+    slim = materialise(rows.select("doc_id", turned.alias("turned"), (F.octet_length("text") + 1).cast("long").alias("bytes")), "sizes")
     ranges = min(RANGES, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))
     cuts = cuts_of(slim, ranges)
-    rows = rows.withColumn("range", place_of(F.col("doc_id"), cuts))
+    once = rows.mapInArrow(once_rows, "doc_id long, text_hash long, text string, n long")
+    once = once.withColumn("range", place_of(F.col("doc_id"), turned, cuts))
     # the first document of each range belongs behind the range before it in the order of descending doc_id
-    heads = slim.groupBy(place_of(F.col("doc_id"), cuts).alias("range")).agg(F.max("doc_id").alias("doc_id"))
+    heads = slim.groupBy(place_of(F.col("doc_id"), F.col("turned"), cuts).alias("range")).agg(F.max(F.struct("doc_id", "turned")).alias("head"))
     turn = Window.orderBy(F.desc("range"))  # one row per range
-    heads = heads.select("doc_id", F.coalesce(F.lag("range").over(turn), F.min("range").over(Window.partitionBy())).alias("to"))
-    # of rows that share that doc_id, the one that sorts first
-    lent = rows.join(F.broadcast(heads), "doc_id").groupBy("doc_id", "to").agg(F.min("text").alias("text"))
-    lent = lent.select("doc_id", "text", F.col("to").alias("range"))
-    return rows.withColumn("borrowed", F.lit(False)).unionByName(lent.withColumn("borrowed", F.lit(True)))
+    to = F.coalesce(F.lag("range").over(turn), F.min("range").over(Window.partitionBy()))
+    heads = heads.select("head.doc_id", F.bitwise_not("head.turned").alias("text_hash"), to.alias("to"))
+    # of rows that share id and hash, the text that sorts first
+    lent = rows.join(F.broadcast(heads), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "to").agg(F.min("text").alias("text"))
+    lent = lent.select("doc_id", "text_hash", "text", F.lit(1).cast("long").alias("n"), F.col("to").alias("range"))
+    return once.withColumn("borrowed", F.lit(False)).unionByName(lent.withColumn("borrowed", F.lit(True)))
 
 
 def query(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text counts as empty. Rows that share a doc_id are ordered by text; a null doc_id comes last and
-    is returned as null. A single document follows itself. An empty table gives no rows; other columns are
+    A null text counts as empty. Rows that share a doc_id are in the order of their texts' 64-bit hashes; a null doc_id comes
+    last and is returned as null. A single document follows itself. An empty table gives no rows; other columns are
     not read.
     """
     rows = with_next(docs, range_bytes)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "range").sortWithinPartitions("range", "borrowed", F.desc("doc_id"), "text")
-    out = dealt.select("range", "doc_id", "text", "borrowed").mapInArrow(
-        pair_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    dealt = rows.repartition(parts, "range").sortWithinPartitions("range", "borrowed", F.desc("doc_id"), "text_hash", F.asc_nulls_last("text"))
+    out = dealt.select("range", "doc_id", "text_hash", "text", "n", "borrowed").mapInArrow(
+        pair_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long"
     )
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -11,6 +11,14 @@ def ascii_low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def signed_hash(text):
+    """Spark's xxhash64."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
 def jaccard_classes(rows, n=5):
     """Per row: the set's size and the smallest row number reachable by links."""
     sets = []
@@ -143,10 +151,10 @@ def likeness(x, y):
 
 
 def fuzzy_hash(rows):
-    """As the query: the next document is the next smaller doc_id, null last, ties by text."""
+    """As the query: the next document is the next smaller doc_id, null last, ties by the text's hash."""
     import hashlib
 
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed_hash(r[1])))
     out = []
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -267,13 +275,14 @@ def toxic_features(text):
 
 
 def toxic_scores(rows, labels, fold=(4, 2)):
-    """The score of each text: learned from labelled rows outside the fold, in the order of doc_id."""
+    """The score of each text: learned from labelled texts outside the fold, each once per doc_id, in the order of doc_id and hash."""
     import math
     import zlib
 
+
     known = {d: t for d, t in labels if t is not None and d is not None and zlib.crc32(str(d).encode()) % fold[0] != fold[1]}
-    learn = sorted((d, text or "") for d, text in rows if d in known)
-    w = ftrl([toxic_features(t) for _, t in learn], [float(known[d] > 0) for d, _ in learn])
+    learn = sorted({(d, signed_hash(text or ""), text or "") for d, text in rows if d in known})
+    w = ftrl([toxic_features(t) for _, _, t in learn], [float(known[d] > 0) for d, _, _ in learn])
     score = lambda t: 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.get(k, 0.0) for k in [*toxic_features(t), None])))))
     return [score(t) for _, t in rows]
 

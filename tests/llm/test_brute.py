@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweave.llm import (
-    bpe, exact_dedup, fuzzy_hash, hilbert_shards, jaccard_join, language_id, line_dedup, source_mix, substring_dedup, toxicity,
+    bpe, common, exact_dedup, fuzzy_hash, hilbert_shards, jaccard_join, language_id, line_dedup, source_mix, substring_dedup, toxicity,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -46,12 +46,26 @@ def test_toxicity(spark):
     assert {r.held_out for r in got} == {True, False} and all(r.predicted == int(r.score >= 0.3) for r in got)
 
 
-def test_sample_is_never_empty(spark):
-    """A share far under a millionth still draws rows; a doc_id that repeats can't flood the sample."""
-    rows = spark.range(2_000_000).withColumnRenamed("id", "doc_id")
-    assert 0 < toxicity.sample(rows, 5).count() <= 10
-    same = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"))
-    assert toxicity.sample(same, 20).count() <= 40
+def test_sample(spark):
+    """A share far under a millionth still draws rows; what repeats is taken once; bytes bound it, and a rerun takes the same."""
+    text = F.concat(F.lit("text "), F.col("doc_id").cast("string"))
+    rows = spark.range(2_000_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert 0 < common.bounded_sample(rows, 5 / 2_000_000, 5, 1000).count() <= 10
+    same = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a").alias("text"))
+    assert common.bounded_sample(same, 2, 20, 1000).count() == 1
+    other = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("text"))
+    assert common.bounded_sample(other, 2, 20, 1000).count() == 40
+    some = spark.range(1000).select(F.col("id").alias("doc_id")).withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.repeat(text, F.lit(100))).otherwise(text))
+    got = [sorted(r.doc_id for r in common.bounded_sample(x, 2, 500, 4000).collect()) for x in (some, some.repartition(7))]
+    assert got[0] == got[1] and 0 < len(got[0]) < 500 and some.where(F.col("doc_id").isin(got[0])).agg(F.sum(F.length("text"))).first()[0] <= 4000
+
+
+def test_long_texts_are_learned_from(spark):
+    """A text of any length is learned from while the sample has room for it."""
+    rows = [(i, " ".join(["vile" if i % 2 else "calm"] * 3 + [f"w{i}x{k}" for k in range(9000)]), "en", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame([*rows, (100, "vile", "en", "s"), (101, "calm", "en", "s")], SCHEMA), labels).collect()}
+    assert len(rows[0][1]) > 1 << 15 and got[100] > got[101]
 
 
 def test_language_id(spark):
@@ -98,3 +112,39 @@ def test_drop_copies_by_row(spark):
     for support in (1 / 10_000, 0.2):
         got = Counter((r.doc_id, (r.text or "").lower()) for r in exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), support).collect())
         assert got == Counter([(5, "a"), (5, "b"), (None, "c"), (7, "d"), (9, "")])
+
+
+def test_fuzzy_hash_hot_id(spark):
+    """Rows of one id, or of none, are in as many ranges as they fill; copies of one text are one row per task."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(rng.choice(CLEAN, 8).tolist()) + f" {rng.integers(0, 10**9)}"
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text()) for i in range(900)] + [(None, "the same text again")] * 300 + [(8, None)] * 40 + [(8, "")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = fuzzy_hash.with_next(frame, 2000).where("not borrowed").groupBy("range").agg(F.count("*").alias("n"), F.sum("n").alias("rows")).collect()
+    assert len(ranges) > 15 and max(r.n for r in ranges) < 120 and sum(r.rows for r in ranges) == len(rows)
+    for range_bytes in (700, 1 << 24):
+        got = Counter(map(str, (tuple(r) for r in fuzzy_hash.query(frame, range_bytes).collect())))
+        assert got == Counter(map(str, brute.fuzzy_hash(rows)))
+
+
+def test_texts_without_ids(spark):
+    """A third of the rows lack an id: the join of texts to sets has a row per set, however many they are."""
+    for n in (60, 240):
+        base = [f"{i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(n // 2)]
+        rows = [(None if i % 3 == 0 else i, base[i // 2] + (" more" if i % 2 else "")) for i in range(n)] + [(None, base[0])] * 50 + [(5, base[1])] * 50
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        sets, chosen = jaccard_join.shingle_sets(frame), None
+        reps = jaccard_join.named_sets(sets)
+        chosen = reps.select(*jaccard_join.ROW, F.monotonically_increasing_id().alias("set"))
+        assert jaccard_join.texts_of(chosen, frame).count() == reps.count() == n
+        assert Counter(map(tuple, jaccard_join.jaccard_join(frame).collect())) == Counter(brute.jaccard_join(rows))
+
+
+def test_frequent_in_levels(spark):
+    """All values over the share are named, from many partitions, and no task gets the sketches of all of them."""
+    rows = spark.range(0, 200_000, 1, 100).select(F.when(F.col("id") % 50 == 0, F.concat(F.lit("hot"), (F.col("id") % 150).cast("string"))).otherwise(F.col("id").cast("string")).alias("hash"))
+    out = common.frequent(rows, "hash", 1 / 200)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {r.item for r in out.collect()} == {brute.signed_hash(f"hot{k}") for k in (0, 50, 100)}
+    assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert common.frequent(rows.limit(0), "hash", 0.1).count() == 0
