@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,16 @@ def ranged(df: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:
     share a range. ranges is spark.sql.shuffle.partitions by default."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialise(df.repartitionByRange(n, *by).withColumn("__range", F.spark_partition_id()), "ranged")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """df with each row's place (from 0) among the rows of its key `by`, in the order of `order`, which should be unique within a
+    key. A key of any size is in as many ranges as it fills: places in a range and the counts of the ranges before add up."""
+    table = ranged(df, *by, *order)
+    counts = table.groupBy("__range", *by).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__range", *[F.col(c).alias(f"__{c}") for c in by], before.alias("__before"))  # a row per key and range
+    place = F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)) - 1
+    own = table.withColumn("__own", place)
+    same = [own["__range"] == starts["__range"], *[own[c].eqNullSafe(starts[f"__{c}"]) for c in by]]
+    return own.join(starts, same).select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
