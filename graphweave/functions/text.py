@@ -22,9 +22,13 @@ EXECUTABLE = r"(?i)(?:```|\bexec\s*\(|\beval\s*\(|\b__import__\s*\(|\bsubprocess
 IDENTIFIER, PROPERTY_NAME = r"^[A-Za-z][A-Za-z0-9_]*$", r"^[A-Za-z_][A-Za-z0-9_]*$"
 
 
+#: White space of any kind: that of ASCII with the four separators, and that beyond.
+BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(s: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; only the ends are looked at."""
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def primary_value(s: Column) -> Column:

@@ -14,14 +14,16 @@ def identities(docs: DataFrame, run: str = "run1") -> DataFrame:
     return docs.select("doc_id", content.alias("content_hash"), nul_hash(F.lit(run), F.coalesce("source", F.lit("")), content).alias("doc_hash"))
 
 
+# How blocks of each kind begin, or for tables what one of their lines is.
+HEADING, TABLE, LIST_ITEM = r"(?U)^#{1,6}\s+\S", r"(?Um)^\|?[\s\-:]+(\|[\s\-:]+)+\|?\s*$", r"(?U)^([-*+]\s+|\d+[.)]\s+)"
+
+
 def classify(block: Column) -> Column:
-    """heading, table, list_item or paragraph: by the first line, but a table by a separator line anywhere."""
-    first = strip(F.element_at(F.split(block, "\n", -1), 1))
+    """heading, table, list_item or paragraph: by the first line, but a table by a separator line anywhere; so only what has a
+    bar is searched for one."""
+    first = strip(F.substring_index(block, "\n", 1))
     return (
-        F.when(first.rlike(r"(?U)^#{1,6}\s+\S"), "heading")
-        .when(block.rlike(r"(?Um)^\|?[\s\-:]+(\|[\s\-:]+)+\|?\s*$"), "table")
-        .when(first.rlike(r"(?U)^([-*+]\s+|\d+[.)]\s+)"), "list_item")
-        .otherwise("paragraph")
+        F.when(first.rlike(HEADING), "heading").when(F.contains(block, F.lit("|")) & block.rlike(TABLE), "table").when(first.rlike(LIST_ITEM), "list_item").otherwise("paragraph")
     )
 
 

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.operators import governance as V
 from graphweave.operators import write as W
 from graphweave.plans.snapshots import Outcome, Snapshots, Tables, counts
 from graphweave.plans.tables import materialise
@@ -83,7 +82,7 @@ def run_plans(graph: Snapshots, plans: DataFrame, steps: DataFrame, approvals: D
         rows = audit(plans, record, wrong, at, actor, dry_run, bool(new))
         outcome = graph.commit(base, new, check if new else None, {"audit": rows})
         if outcome.state == "broken":
-            rows = audit(plans, record, None, at, actor, dry_run, False, ", ".join(sorted(outcome.broken)))
+            rows = audit(plans, record, wrong, at, actor, dry_run, False, ", ".join(sorted(outcome.broken)))
             outcome = Outcome("broken", graph.commit(base, {}, None, {"audit": rows}).version, outcome.broken)
         if outcome.state != "conflict":
             break
@@ -131,5 +130,3 @@ def served(graph: Snapshots) -> tuple[int, Tables]:
     version = graph.version()
     return version.number, graph.read(version)
 
-
-__all__ = ["expectations", "executed", "graph_invariants", "run_plans", "served", "start", "unmet", "V"]

@@ -79,3 +79,18 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place"
     own = table.withColumn("__own", place)
     same = [own["__range"] == starts["__range"], *[own[c].eqNullSafe(starts[f"__{c}"]) for c in by]]
     return own.join(starts, same).select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "last") -> DataFrame:
+    """df with the last value of the column `value` that is not null at or before each row of its key `by` in the order of `order`.
+    As in `numbered`, a key of any size is in as many ranges as it fills, and the ranges' last values are handed on."""
+    table = ranged(df, *by, *order)
+    ends = table.where(F.col(value).isNotNull()).groupBy("__range", *by).agg(F.max_by(value, F.struct(*order)).alias("__v"))
+    each = table.select("__range", *by).distinct().select("__range", *[F.col(c).alias(f"__{c}") for c in by])
+    each = each.join(ends, [each["__range"] == ends["__range"], *[each[f"__{c}"].eqNullSafe(ends[c]) for c in by]], "left").select(each["__range"], *[f"__{c}" for c in by], "__v")
+    before = F.last("__v", ignorenulls=True).over(Window.partitionBy(*[f"__{c}" for c in by]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = each.select("__range", *[f"__{c}" for c in by], before.alias("__before"))
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    own = table.withColumn("__own", here)
+    same = [own["__range"] == starts["__range"], *[own[c].eqNullSafe(starts[f"__{c}"]) for c in by]]
+    return own.join(starts, same).select(*df.columns, F.coalesce("__own", "__before").alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave import registry_curation, registry_documents, registry_findings, registry_functions, registry_governed
+from graphweave import registry_agents, registry_curation, registry_documents, registry_findings, registry_functions, registry_governed
 from graphweave.functions.text import STOPWORDS
 from graphweave.operators import documents as D
 from graphweave.operators import graph as G
@@ -63,6 +63,7 @@ def queries() -> dict[str, Query]:
         "agg_telemetry": lambda s, d: D.telemetry(M.records(s, d)),
         "st_telemetry_run": lambda s, d: D.telemetry_of_run(M.records(s, d), "run1"),
         "agg_histogram": lambda s, d: D.histogram(M.samples(s, d), s.createDataFrame([("view",), ("never",)], "name string").unionByName(M.samples(s, d).select("name"))),
+        **registry_agents.queries(),
         **registry_curation.queries(),
         **registry_documents.queries(),
         **registry_governed.queries(),
@@ -213,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
         **registry_curation.oracle_sql(),
         **registry_documents.oracle_sql(),
         **registry_governed.oracle_sql(),
+        **registry_agents.oracle_sql(),
         **registry_findings.oracle_sql(),
         **registry_functions.oracle_sql(),
     }
