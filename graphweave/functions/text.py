@@ -117,8 +117,9 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
-def jaro_winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
-    """jaro_winkler_of for many pairs at once: one step per character of the longest text, over all pairs."""
+def jaro_winkler_batch(a: list[str], b: list[str], prefix: float = 0.1) -> np.ndarray:
+    """jaro_winkler_of for many pairs at once: one step per character of the longest text, over all pairs. A prefix of 0
+    leaves Jaro's similarity as it is."""
     n = len(a)
     la, lb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
     wide, high = int(la.max(initial=0)), int(lb.max(initial=0))
@@ -143,12 +144,10 @@ def jaro_winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
     for i in range(min(4, k)):
         same += (same == i) & (x[:, i] == y[:, i])
     equal = np.array([s == t for s, t in zip(a, b, strict=True)], bool)
-    return np.where(equal, 1.0, jaro + same * 0.1 * (1 - jaro))
+    return np.where(equal, 1.0, jaro + same * prefix * (1 - jaro))
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Null where either text is."""
+def compared(a: pd.Series, b: pd.Series, prefix: float) -> pd.Series:
     known = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), np.nan)
     rows = np.flatnonzero(known)
@@ -161,6 +160,19 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
         while end < len(order) and (end + 1 - begin) * length[order[end]] <= 1 << 20:
             end += 1
         take = order[begin:end]
-        out[rows[take]] = jaro_winkler_batch(x[take].tolist(), y[take].tolist())
+        out[rows[take]] = jaro_winkler_batch(x[take].tolist(), y[take].tolist(), prefix)
         begin = end
     return pd.Series(out).where(known)
+
+
+@F.pandas_udf(DoubleType())
+def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Null where either text is."""
+    return compared(a, b, 0.1)
+
+
+@F.pandas_udf(DoubleType())
+def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Null where either text is."""
+    return compared(a, b, 0.0)
+

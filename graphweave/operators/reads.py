@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.operators import graph as G
 from graphweave.operators.documents import FLAGS
+from graphweave.plans.tables import numbered
 
 
 def page(rows: DataFrame, key: list[str], number: int = 1, size: int = 50) -> DataFrame:
     """A page of rows in the order of key, with how many there are in all and whether more follow. The number is 1 at
-    least and the size 1 to 5000; the first pages are a top-k of their end, so a deep page costs what lies before it."""
+    least and the size 1 to 5000. Rows are numbered in ranges, so that a deep page holds no more rows than the first."""
     number, size = max(1, number), min(max(1, size), 5000)
     total = rows.agg(F.count("*").alias("total"))
-    cut = rows.orderBy(*key).offset((number - 1) * size).limit(size)
+    every = numbered(rows.withColumn("__all", F.lit(1)), ["__all"], key, "__place")
+    cut = every.where(F.col("__place").between((number - 1) * size, number * size - 1)).orderBy(*key).drop("__all", "__place")
     return cut.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > number * size)
 
 
+def page_after(rows: DataFrame, key: list[str], last: tuple | None = None, size: int = 50) -> DataFrame:
+    """The first `size` rows behind a key, that of the last row of the page before: what lies before it is passed over by a filter."""
+    if last is not None:
+        behind = reduce(lambda rest, kv: (F.col(kv[0]) > F.lit(kv[1])) | ((F.col(kv[0]) == F.lit(kv[1])) & rest), list(zip(key, last, strict=True))[::-1], F.lit(False))
+        rows = rows.where(behind)
+    return rows.orderBy(*key).limit(min(max(1, size), 5000))
+
+
 def query_value(key: Column) -> Column:
     """What a key is looked up by: its second part between bars, else the whole key."""
     return F.when(F.contains(key, F.lit("|")), F.split_part(key, F.lit("|"), F.lit(2))).otherwise(key)

@@ -76,6 +76,17 @@ def update_outcomes(rows: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(have, "dedupe_key", "left").select("dedupe_key", F.when(F.col("have"), "updated").otherwise("missing").alias("outcome"))
 
 
+def create_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """seq, dedupe_key, outcome of requests to create nodes (seq, dedupe_key, node_type): incomplete without a key or a type, matched
+    where the key is there already or an earlier complete request has made it, else created."""
+    have = nodes.select("dedupe_key").distinct().withColumn("have", F.lit(True))
+    whole = (F.coalesce("dedupe_key", F.lit("")) != "") & (F.coalesce("node_type", F.lit("")) != "")
+    first = requests.where(whole).groupBy("dedupe_key").agg(F.min("seq").alias("first"))
+    rows = requests.join(have, "dedupe_key", "left").join(first, "dedupe_key", "left")
+    outcome = F.when(~whole, "incomplete").when(F.col("have") | (F.col("seq") > F.col("first")), "matched").otherwise("created")
+    return rows.select("seq", "dedupe_key", outcome.alias("outcome"))
+
+
 def create_outcomes(requests: DataFrame, rels: DataFrame, nodes: DataFrame) -> DataFrame:
     """dedupe_key, outcome of requests to create relationships (dedupe_key, rel_type, start_key, end_key): created, matched
     where type and ends are there already, missing_endpoint, or incomplete where a field is blank."""
@@ -147,7 +158,7 @@ def execute(plans: DataFrame, steps: DataFrame, codes: DataFrame, nodes: DataFra
     update = mine.where(F.col("operation").isin("update_node", "update_edge"))
     have = nodes.select("dedupe_key").unionByName(rels.select("dedupe_key")).distinct()
     failed = materialise(update.join(have, "dedupe_key", "left_anti").select("plan_id").distinct(), "failed")
-    sound = mine.join(failed, "plan_id", "left_anti")
+    sound = materialise(mine.join(failed, "plan_id", "left_anti"), "sound")
     count = sound.groupBy("plan_id").agg(F.count("*").alias("n"))
     rows = plans.join(codes, "plan_id").join(failed.withColumn("failed", F.lit(True)), "plan_id", "left").join(count, "plan_id", "left")
     outcome = F.when(F.col("code").isNotNull(), "rejected").when(F.col("failed") & F.lit(not dry_run), "failed").otherwise("applied")

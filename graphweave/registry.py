@@ -11,6 +11,7 @@ from graphweave import registry_agents, registry_curation, registry_documents, r
 from graphweave.functions.text import STOPWORDS
 from graphweave.operators import documents as D
 from graphweave.operators import graph as G
+from graphweave.operators import reads as R
 from graphweave.plans import model as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,11 @@ def queries() -> dict[str, Query]:
         row = v.orderBy("vec_id").select("embedding").first()
         return D.cosine_topk(v, list(row[0]) if row else [])
 
+    def second_page(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+        """Behind the last key of the first page, which a reader of pages has."""
+        last = R.page_after(rows, key, None, size).orderBy(*map(F.desc, key)).first()
+        return R.page_after(rows, key, tuple(last[k] for k in key) if last else None, size)
+
     def found(s: SparkSession, d: str) -> DataFrame:
         keep = ("candidate_id", "candidate_type", "severity")
         wrong = G.canonical_violations(r(s, d), n(s, d), M.schema_edges(s)).withColumn("candidate_type", F.lit("canonical_violation"))
@@ -43,7 +49,7 @@ def queries() -> dict[str, Query]:
         "agg_degree_outlier": lambda s, d: G.degree_outliers(G.degree(n(s, d), r(s, d))),
         "join_orphans": lambda s, d: G.orphans(n(s, d), r(s, d)),
         "join_neighbors": lambda s, d: G.neighbors(r(s, d)),
-        "page_nodes": lambda s, d: n(s, d).select("dedupe_key", "seq").orderBy("dedupe_key", "seq").offset(50).limit(50),
+        "page_nodes": lambda s, d: second_page(n(s, d).select("dedupe_key", "seq"), ["dedupe_key", "seq"], 50),
         "agg_exact_node_dup": lambda s, d: G.exact_node_duplicates(n(s, d)),
         "agg_exact_rel_dup": lambda s, d: G.exact_rel_duplicates(r(s, d)),
         "agg_bidir_rel_dup": lambda s, d: G.bidirectional_duplicates(r(s, d)),

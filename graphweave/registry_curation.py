@@ -14,6 +14,7 @@ from graphweave.operators import curation as C
 from graphweave.operators import governance as V
 from graphweave.operators import graph as G
 from graphweave.operators import jobs as J
+from graphweave.operators import reads as R
 from graphweave.plans import model as M
 from graphweave.streaming.jobs import latest_status_stream
 
@@ -174,7 +175,7 @@ def queries() -> dict[str, Query]:
         "flt_activity": lambda s, d: J.activity(events(s, d), ["purchase"]).select("event_id", "event_type"),
         "agg_extraction_status": lambda s, d: J.status_counts(events(s, d), "user_id"),
         "agg_counters": lambda s, d: J.counters(events(s, d).select(F.col("event_type").alias("name"), (F.col("user_id") % 3).alias("label"), "value", "ts", "event_id")),
-        "page_edges": lambda s, d: r(s, d).select("dedupe_key", "rel_type").orderBy("dedupe_key").offset(100).limit(50),
+        "page_edges": lambda s, d: R.page(r(s, d).select("dedupe_key", "rel_type"), ["dedupe_key"], 3, 50).select("dedupe_key", "rel_type"),
         "sort_degrees": lambda s, d: totals(s, d).orderBy(F.desc("total"), "dedupe_key"),
         "topk_central": lambda s, d: totals(s, d).orderBy(F.desc("total"), "dedupe_key").limit(10),
         "st_stream_status": lambda s, d: latest_status_stream(s, d, "events.parquet"),

@@ -119,8 +119,18 @@ def queries() -> dict[str, Query]:
         key = F.when(F.col("vec_id") == 3, "Part|small ring|v1").when(F.col("vec_id") == 14, "R::Part|a|v1::Part|b|v1::v1").otherwise("no bars")
         return v.select(F.concat_ws(" ", R.query_value(key), F.col("vec_id").cast("string")).alias("query"), F.col("embedding").alias("q"), F.col("vec_id").alias("pos"))
 
+    def keyed(s: SparkSession, d: str) -> DataFrame:
+        """Every 50th supplier's key, looked up by the value in it: a toy embedding deals values to vectors."""
+        v = t(s, d, "embeddings")
+        many = v.agg((F.max("vec_id") + 1).alias("many"))
+        keys = M.nodes(s, d).where("node_type = 'Supplier' and seq % 50 = 0").select(R.query_value(F.col("dedupe_key")).alias("query"))
+        value = F.col("query")
+        place = (F.char_length(value) * 31 + F.ascii(F.reverse(value)) * 7 + F.ascii(F.substring(value, -2, 1))) % F.col("many")
+        wanted = keys.crossJoin(F.broadcast(many)).select("query", place.alias("vec_id"))
+        return wanted.join(v.select("vec_id", F.col("embedding").alias("q")), "vec_id").select("query", "q")
+
     def by_key(s: SparkSession, d: str) -> DataFrame:
-        return R.nearest(vectors(s, d).where("run_id = 'run1'"), asked(s, d).select("query", "q"), 10)
+        return R.nearest(vectors(s, d).where("run_id = 'run1'"), keyed(s, d), 10)
 
     def of_run(s: SparkSession, d: str) -> DataFrame:
         row = t(s, d, "embeddings").orderBy("vec_id").select("embedding").first()
@@ -142,7 +152,7 @@ def queries() -> dict[str, Query]:
         "src_collection_stats": lambda s, d: X.collection_stats(chunks(s, d), s.createDataFrame([("run1",), ("run2",), ("run3",)], "run_id string")),
         "dml_store_manifest": stored,
         "dml_delete_document": deleted,
-        "dml_delete_chunks": lambda s, d: X.delete_chunks(chunks(s, d), chunks(s, d).where("chunk_index % 2 = 0")).groupBy("run_id").agg(F.count("*").alias("n")),
+        "dml_delete_chunks": lambda s, d: X.delete_chunks(chunks(s, d), chunks(s, d).where("chunk_index % 2 = 0")).select("run_id", "chunk_id"),
         "join_manifest_chunks_jobs": lambda s, d: X.pending_chunks(held(s, d), jobs(s, d)),
         "limit_batches": lambda s, d: X.pending_chunks(held(s, d), jobs(s, d), 8).groupBy("doc_id", "batch").agg(F.count("*").alias("n")),
         "join_semi_text": lambda s, d: jobs(s, d).where("status = 'running'").select("chunk_id").join(chunks(s, d).select("chunk_id", "text"), "chunk_id").select("chunk_id", F.sha2("text", 256).alias("text_sha256")),
@@ -222,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT count(DISTINCT doc_id), 'manifests left' FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM gone)
           UNION ALL SELECT count(*), 'chunks left' FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT count(*), 'jobs left'
             FROM job WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
-        "dml_delete_chunks": _C + "SELECT run_id, count(*) AS n FROM chunk WHERE chunk_index % 2 = 1 GROUP BY 1",
+        "dml_delete_chunks": _C + "SELECT run_id, chunk_id FROM chunk WHERE chunk_index % 2 = 1",
         "join_manifest_chunks_jobs": _C + _PEND + "SELECT doc_id, chunk_id, status, nth // 5 AS batch FROM left_",
         "limit_batches": _C + _PEND + "SELECT doc_id, nth // 8 AS batch, count(*) AS n FROM left_ GROUP BY 1, 2",
         "join_semi_text": _C + "SELECT chunk_id, sha256(text) AS text_sha256 FROM chunk JOIN job USING (chunk_id) WHERE status = 'running'",
@@ -250,7 +260,9 @@ def oracle_sql() -> dict[str, str]:
         "fn_safety_guard": """SELECT item_id, CASE WHEN item_id % 8 IN (1, 2, 5, 7) THEN 'mutation' WHEN item_id % 8 IN (3, 4,
           6) THEN 'executable' END AS kind FROM benchmark""",
         "fn_cost": "SELECT doc_id, round((length(text) + 40)::DOUBLE / 1000 * 0.001::DOUBLE, 6) AS cost FROM documents",
-        "topk_by_key": near(10, "vec_id % 2 = 1") + "SELECT query, vec_id, score FROM near",
+        "topk_by_key": """WITH k AS (SELECT s_name AS query, (length(s_name) * 31 + ascii(s_name[-1:]) * 7 + ascii(s_name[-2:-2])) % (SELECT max(vec_id) + 1 FROM embeddings) AS v FROM supplier WHERE s_suppkey % 50 = 0),
+          s AS (SELECT query, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 5) AS score FROM k JOIN embeddings x ON x.vec_id = v, embeddings e WHERE e.vec_id % 2 = 1)
+          SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 10""",
         "topk_evidence_run": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[])
           FROM embeddings ORDER BY vec_id LIMIT 1)), 5) AS score
           FROM embeddings WHERE vec_id % 2 = 1 ORDER BY score DESC, vec_id LIMIT 50""",
