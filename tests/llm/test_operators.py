@@ -205,6 +205,67 @@ def test_hilbert_brute(spark):
     assert (order.hilbert.diff().dropna() >= 0).all() and sorted(got.groupby("shard").size()) == [128] * 3 + [129] * 4
 
 
+def test_hilbert_plain(spark):
+    """Shards, slots and places on the curve against a plain walk over the sorted rows, whose order within a cell is the operator's own."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 90)), rng.choice(["en", "de", "fr"]).item(), f"s{rng.integers(0, 6)}") for i in range(400)] + [(900, None, None, None), (901, "", "en", None)] + [(902, "same", "en", "s1")] * 3
+    got = hilbert_shards.hilbert_shards(spark.createDataFrame(rows, SCHEMA), shards=6).toPandas().sort_values(["shard", "slot"])
+    size = lambda t: len((t or "").encode()) + 1
+    values = [[r[2] for r in rows], [r[3] for r in rows], [size(r[1]) for r in rows]]
+    cuts = []
+    for column in values:
+        known = sorted(v for v in column if v is not None)
+        cuts.append(sorted({known[len(known) * i >> 4] for i in range(1, 16)}))
+    cell = [tuple(sum(v >= c for c in cut) if v is not None else 0 for v, cut in zip(vs, cuts, strict=True)) for vs in zip(*values, strict=True)]
+
+    def place(x):
+        """Skilling's walk from axes to the transposed index, in plain numbers."""
+        x, n = list(x), 3
+        for q in (8, 4, 2):
+            for i in range(n):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & (q - 1)
+                    x[0] ^= t
+                    x[i] ^= t
+        for i in range(1, n):
+            x[i] ^= x[i - 1]
+        t = 0
+        for q in (8, 4, 2):
+            t ^= q - 1 if x[n - 1] & q else 0
+        return int("".join(str((v ^ t) >> b & 1) for b in (3, 2, 1, 0) for v in x), 2)
+
+    want = sorted(place(c) for c in cell)
+    assert got.hilbert.tolist() == want and got.groupby("shard").size().tolist() == [68] * 3 + [67] * 3
+    assert sorted(zip(got.doc_id, got["size"], got.hilbert, strict=True)) == sorted((r[0], size(r[1]), place(c)) for r, c in zip(rows, cell, strict=True))
+    assert [s for _, g in got.groupby("shard") for s in g.slot] == [i for n in [68] * 3 + [67] * 3 for i in range(n)]
+
+
+def test_hilbert_files(spark, tmp_path):
+    """A filter on any dimension leaves most files unread; all rows and columns are there."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.integers(1, 200)), f"l{rng.integers(0, 16):02}", f"s{rng.integers(0, 16):02}" if i % 3 else "s05") for i in range(6000)] + [(None, None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("more", F.lit(7))
+    hilbert_shards.write_shards(frame, f"file://{tmp_path}/shards", files=64)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.columns == ["doc_id", "text", "lang", "source", "more", "size"] and sorted(map(str, back.drop("size").collect())) == sorted(map(str, frame.collect()))
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/shards/*.parquet")]
+    assert len(files) > 50 and max(m.num_rows for m in files) < 4 * len(rows) / len(files)
+
+    def unread(column, low, high):
+        at = back.columns.index(column)
+        return sum(all(not g.statistics.has_min_max or g.statistics.max < low or g.statistics.min > high for g in (m.row_group(k).column(at) for k in range(m.num_row_groups))) for m in files) / len(files)
+
+    assert unread("lang", "l03", "l03") > 0.5 and unread("source", "s09", "s09") > 0.5 and unread("size", 10, 20) > 0.5
+    hilbert_shards.write_shards(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/none", files=3)
+    assert spark.read.parquet(f"file://{tmp_path}/none").count() == 0
+
+
 def test_source_mix(spark, docs, none):
     rows = [(i, "w " * 10, "en", "big" if i < 80 else "small") for i in range(100)]
     got = source_mix.source_mix(spark.createDataFrame(rows, SCHEMA), max_repeats=2.0).toPandas()
