@@ -1,6 +1,7 @@
 """The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, source mixing, BPE encoding.
 
-Each stage works on all that the one before kept; the stages' results are Parquet tables in the shared folder.
+Each stage works on all that the one before kept; the stages' results are Parquet tables in the shared folder. Rows are told
+apart by themselves, not by doc_id; of full ties any one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,27 +13,27 @@ from graphweave.llm.common import discard, read, scope, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. A null text is scored as empty; without labels nothing goes."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays; null and empty texts are equal, and a null doc_id is the smallest."""
     return exact_dedup.drop_copies(docs)
 
 
 def distant(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similarity the smallest doc_id stays."""
+    """Of documents linked by similarity the smallest doc_id stays; a null one only where no other is linked. Texts without words stay."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once, and those of small sources again up to the repetition limit."""
+    """Each document once, and those of small sources again up to the repetition limit. A null source is one source."""
     return source_mix.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix; a null text is empty."""
     return bpe.query(docs)
 
 
