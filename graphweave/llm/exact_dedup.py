@@ -60,17 +60,19 @@ def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     doc_id (a null one only where no other row has the text; of equal ones any).
 
     Rows are told apart by a number of their own in a written table, so that rows which share a doc_id, or
-    have none, stay or go by their own text.
+    have none, stay or go by their own text. A null text counts as empty and stays null. An empty table gives no rows.
     """
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    slim = materialise(digests(numbered.select(F.struct("doc_id", "__row").alias("doc_id"), "text")), "digests")
+    # the documents' columns within one, so that no name of theirs is taken
+    numbered = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("__row")), "rows")
+    slim = numbered.select(F.struct("doc.doc_id", "__row").alias("doc_id"), F.col("doc.text").alias("text"))
+    slim = materialise(digests(slim), "digests")
     # the largest (doc_id, row) of each text; a null doc_id is the smallest
     winners = materialise(heavy_winners(slim, support), "winners")
     known = slim.join(F.broadcast(winners), "text_sha256", "left")
     light = winners_of(known.where(F.col("group_size").isNull()).select("doc_id", "text_sha256"))
     stays = winners.unionByName(light).where(F.col("group_size") > 1).select("text_sha256", F.col("keep_id.__row").alias("__stays"))
     gone = slim.join(stays, "text_sha256").where("doc_id.__row <> __stays").select(F.col("doc_id.__row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    return numbered.join(gone, "__row", "left_anti").select("doc.*")
 
 
 SQL = """

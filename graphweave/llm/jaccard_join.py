@@ -613,18 +613,19 @@ def drop_near_copies(docs: DataFrame, n: int = N) -> DataFrame:
     smallest doc_id (a null one only where the class has no other; of equal ones any).
 
     Rows are told apart by a number of their own in a written table, so that rows which share a doc_id, or
-    have none, stay or go by their own text.
+    have none, stay or go by their own text. Texts without words are linked with nothing and stay. An empty table gives no rows.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    linked = jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text"), n)
+    # the documents' columns within one, so that no name of theirs is taken
+    rows = materialise(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("__row")), "rows")
+    linked = jaccard_join(rows.select(F.col("__row").alias("doc_id"), F.col("doc.text").alias("text")), n)
     linked = materialise(linked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")), "linked")
     # a class that is one row has nothing to lose
     several = linked.groupBy("__class").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__class")
-    placed = materialise(linked.join(several, "__class").join(rows.select("__row", "doc_id"), "__row"), "placed")
+    placed = materialise(linked.join(several, "__class").join(rows.select("__row", "doc.doc_id"), "__row"), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     stays = placed.groupBy("__class").agg(F.min(order)["__row"].alias("__row"))
     gone = placed.select("__row").join(stays.select("__row"), "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    return rows.join(gone, "__row", "left_anti").select("doc.*")
 
 
 SQL = r"""

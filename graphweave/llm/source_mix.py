@@ -111,7 +111,8 @@ def source_mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy
 
 
 def mixed(docs: DataFrame, **limits: float) -> DataFrame:
-    """The documents, with all their columns, each as often as its source's epochs say."""
+    """The documents, with all their columns, each as often as its source's epochs say: repeated rows and null texts too, and a null
+    source is a source of its own. An empty table gives no rows."""
     rows = docs.select(F.struct("*").alias("__row"), "doc_id", "source", F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(BLOCKS)).alias("block"))
     names = source_weights(materialise(token_rows(docs), "tokens"), **limits).select(F.col("source").alias("__s"), "whole", "places")
     both = rows.join(names, F.col("source").eqNullSafe(F.col("__s")))

@@ -148,3 +148,46 @@ def test_frequent_in_levels(spark):
     assert {r.item for r in out.collect()} == {brute.signed_hash(f"hot{k}") for k in (0, 50, 100)}
     assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 2
     assert common.frequent(rows.limit(0), "hash", 0.1).count() == 0
+
+
+CLASHING = ("__row", "__class", "__n", "__e", "__id", "doc", "text_hash", "text_sha256", "keep_id", "score", "n", "block", "copies", "node", "range")
+
+
+def test_clashing_columns(spark):
+    """Stages that return documents keep columns of any name as they were."""
+    rows, labels = some_rows(60)
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("text", F.lit("label"))
+    for out in (exact_dedup.drop_copies(frame), jaccard_join.drop_near_copies(frame), source_mix.mixed(frame), toxicity.drop_toxic(frame, marks)):
+        assert out.columns == frame.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in got for c in CLASHING)
+    for op in (bpe.query, line_dedup.query, jaccard_join.jaccard_join, exact_dedup.exact_dedup, language_id.language_id, fuzzy_hash.query, hilbert_shards.hilbert_shards, substring_dedup.query, source_mix.source_mix):
+        assert op(frame).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes among short ones, through each operator: results as of plain versions, or of its parts."""
+    words_ = [f"w{i * 7919 % 100_003}" for i in range(100_003)]
+    long, twin = " ".join(words_ * 3), " ".join(words_ * 3 + ["more"])
+    lines = "\n".join(f"line number {i} of a long text" for i in range(60_000))
+    rows = [(1, long, "en", "a"), (2, twin, "en", "a"), (3, lines, "en", "b"), (4, "line number 7 of a long text\nx", "en", "b"), (5, "Line number 7 of a long text ", "en", "b"), (6, "short", "fr", "b"), (7, long.upper(), "fr", "a")]
+    frame, pairs = spark.createDataFrame(rows, SCHEMA), [r[:2] for r in rows]
+    kept = {r.doc_id: r for r in exact_dedup.exact_dedup(frame).collect()}
+    assert kept[1].keep_id == 7 and kept[1].group_size == 2 and kept[2].kept
+    linked = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(frame).collect()}
+    assert linked[1] == (100_003, 1) and linked[2] == (100_004, 1) and linked[7] == (100_003, 1) and linked[3][1] == 3
+    dropped = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.query(frame).collect()}
+    assert dropped[3] == (60_000, 1) and dropped[4] == (2, 1) and dropped[5] == (1, 0) and dropped[1] == (1, 0)
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.query(frame).collect()}
+    assert cut[1] == (300_009, 200_006) and cut[2] == (300_010, 300_009) and cut[7] == (300_009, 200_006)
+    assert {r.doc_id: r.lang_pred for r in language_id.language_id(frame).collect()}.keys() == {r[0] for r in rows}
+    scored = toxicity.toxicity(frame, spark.createDataFrame([(4, 0), (6, 1)], "doc_id long, toxic int")).collect()
+    assert len(scored) == 7 and all(0 <= r.score <= 1 for r in scored)
+    copies = {r.doc_id: r.tokens for r in source_mix.source_mix(frame).collect()}
+    assert copies[1] > 300_000 and copies[6] == 1
+    shards = {r.doc_id: r for r in hilbert_shards.hilbert_shards(frame).collect()}
+    assert shards[1]["size"] == len(long) + 1 and len(shards) == 7
+    prints = Counter(map(str, (tuple(r) for r in fuzzy_hash.query(frame).collect())))
+    assert sum(prints.values()) == 7 and len({r.fingerprint for r in fuzzy_hash.fingerprint(frame).where("doc_id in (1, 2)").collect()}) == 2
+    assert {r.doc_id: r.n_tokens > 100_000 for r in bpe.query(frame).collect()}[1] and pairs
