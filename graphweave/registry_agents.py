@@ -26,6 +26,7 @@ from graphweave.plans.snapshots import Snapshots
 from graphweave.plans.tables import shared_dir
 from graphweave.sources import keyed as KV
 from graphweave.sources import parsing as P
+from graphweave.streaming import states as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 AT = datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc)
@@ -187,9 +188,12 @@ def rekeyed(s: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(unknown.select("id", F.lit("unknown").alias("outcome"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("route")))
 
 
+WANTED = ("approved", "deferred", "pending", "pending", "excluded", "executed", "pending")
+
+
 def machine_events(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Events as moves of the users' proposals; every user under 5 of 6 is known."""
-    wanted = F.array(*map(F.lit, ("approved", "deferred", "pending", "pending", "excluded", "executed", "pending")))
+    wanted = F.array(*map(F.lit, WANTED))
     e = M.table(s, d, "events")
     moves = e.select(F.col("user_id").alias("proposal_id"), F.col("event_id").alias("seq"), F.get(wanted, ((F.col("event_id") * 31 + F.col("user_id")) % 7).cast("int")).alias("wanted"))
     known = e.select(F.col("user_id").alias("proposal_id")).distinct().where("proposal_id % 6 < 5")
@@ -214,6 +218,23 @@ def cooled(s: SparkSession, d: str) -> DataFrame:
     return S.guarded(calls, e.where("event_type = 'purchase'").select("run_id", F.col("ts").alias("at")), locks, 600)
 
 
+def expired(s: SparkSession, d: str) -> DataFrame:
+    """Events as tokens of their users that hold for some minutes or days: those that hold at the last event."""
+    entry = lambda df: df.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("set_at"), (F.col("event_id") % 5 * 86_400 + 600).cast("double").alias("ttl_s"))
+    got = ST.expiring_stream(s, d, "events.parquet", folder(s, "tokens"), entry)
+    return got["keys"].select("key", "value", F.unix_micros("expires_at").alias("expires_at"))
+
+
+def streamed(s: SparkSession, d: str) -> DataFrame:
+    """The same events as gov_machine, as a stream."""
+    known = machine_events(s, d)[1]
+    wanted = F.array(*map(F.lit, WANTED))
+    moves = lambda e: e.select(F.col("user_id").alias("proposal_id"), F.col("event_id").alias("seq"), F.get(wanted, ((F.col("event_id") * 31 + F.col("user_id")) % 7).cast("int")).alias("wanted"))
+    got = ST.proposal_stream(s, d, "events.parquet", folder(s, "moves"), known, moves)
+    ends = got["states"].select("proposal_id", F.lit(-1).cast("long").alias("seq"), "state", F.lit("").alias("outcome"))
+    return ends.unionByName(got["steps"].select("proposal_id", "seq", "state", "outcome"))
+
+
 def scanned(s: SparkSession, d: str) -> DataFrame:
     """Keys of all chunks' jobs, laid out in their order; the keys under one prefix are read from few files."""
     jobs = RD.jobs(s, d).select(F.concat_ws(":", F.lit("job"), "run_id", F.lpad(F.col("doc_id").cast("string"), 8, "0"), "chunk_id").alias("key"), "status")
@@ -244,6 +265,8 @@ def queries() -> dict[str, Query]:
         "join_llm_by_id": rekeyed,
         "gov_machine": machine,
         "st_cooldown": cooled,
+        "st_expiry": expired,
+        "st_proposal_stream": streamed,
         "src_key_scan": scanned,
         "dml_store_json": stored_twice,
         "fn_round": lambda s, d: t(s, d, "lineitem").select("l_orderkey", "l_linenumber", round_exact(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double"), 6).alias("price"), round_exact(F.col("l_extendedprice").cast("double") / 7000, 2).alias("share")),
@@ -303,6 +326,14 @@ _WRONG = "CASE WHEN NOT json_valid(inner_text) THEN 'json' WHEN k % 11 IN (1, 2,
 
 def oracle_sql() -> dict[str, str]:
     ok, allowed = f"{_WRONG} IS NULL", f"(w.state, e.wanted) IN ({', '.join(map(str, sorted(S.ALLOWED)))})"
+    walked = f"""WITH RECURSIVE e AS (SELECT user_id AS p, event_id AS seq, ['approved', 'deferred', 'pending', 'pending', 'excluded', 'executed', 'pending'][(event_id * 31 + user_id) % 7 + 1] AS wanted,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+          walk AS (SELECT DISTINCT p, 0::BIGINT AS i, -1::BIGINT AS seq, '' AS before, 'pending' AS state, '' AS outcome FROM e WHERE p % 6 < 5
+            UNION ALL SELECT w.p, e.i, e.seq, w.state, CASE WHEN {allowed} THEN e.wanted ELSE w.state END, CASE WHEN {allowed} THEN 'moved' ELSE 'illegal' END
+            FROM walk w JOIN e ON e.p = w.p AND e.i = w.i + 1)
+          SELECT p AS proposal_id, seq, before AS state, outcome FROM walk WHERE i > 0
+          UNION ALL SELECT p, -1, max_by(state, i), '' FROM walk GROUP BY p
+          UNION ALL SELECT p, seq, NULL, 'unknown' FROM e WHERE p % 6 = 5"""
     return {
         "gov_execute_versioned": _execution("'applied ' || (1 + (next IS NOT NULL)::INT)", "applied AND k % 2 = 0 OR by_other", "applied AND k % 4 = 3", f"CASE WHEN applied THEN 'executed' ELSE {_HELD} END"),
         "gov_execute_broken": _execution("'failed 0 not_swapped dangling end'", "false", "false", _HELD),
@@ -321,14 +352,10 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT id, outcome, CASE WHEN outcome = 'taken' THEN said ELSE 0.0 END::DOUBLE AS score FROM r)
           SELECT *, CASE WHEN score >= 0.6 THEN 'propose' ELSE 'retrieve' END AS route FROM s
           UNION ALL SELECT id || 'x', 'unknown', NULL, NULL FROM r WHERE read AND k % 20 = 9""",
-        "gov_machine": f"""WITH RECURSIVE e AS (SELECT user_id AS p, event_id AS seq, ['approved', 'deferred', 'pending', 'pending', 'excluded', 'executed', 'pending'][(event_id * 31 + user_id) % 7 + 1] AS wanted,
-            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
-          walk AS (SELECT DISTINCT p, 0::BIGINT AS i, -1::BIGINT AS seq, '' AS before, 'pending' AS state, '' AS outcome FROM e WHERE p % 6 < 5
-            UNION ALL SELECT w.p, e.i, e.seq, w.state, CASE WHEN {allowed} THEN e.wanted ELSE w.state END, CASE WHEN {allowed} THEN 'moved' ELSE 'illegal' END
-            FROM walk w JOIN e ON e.p = w.p AND e.i = w.i + 1)
-          SELECT p AS proposal_id, seq, before AS state, outcome FROM walk WHERE i > 0
-          UNION ALL SELECT p, -1, max_by(state, i), '' FROM walk GROUP BY p
-          UNION ALL SELECT p, seq, NULL, 'unknown' FROM e WHERE p % 6 = 5""",
+        "gov_machine": walked, "st_proposal_stream": walked,
+        "st_expiry": """WITH e AS (SELECT *, ts + to_seconds(event_id % 5 * 86400 + 600) AS until FROM events),
+          l AS (SELECT user_id::VARCHAR AS key, arg_max(event_type, (ts, event_type)) AS value, arg_max(until, (ts, event_type)) AS until FROM e GROUP BY 1)
+          SELECT key, value, epoch_us(until) AS expires_at FROM l WHERE until > (SELECT max(ts) FROM events)""",
         "st_cooldown": """WITH e AS (SELECT *, 'run' || (user_id % 4) AS run_id FROM events),
           ran AS (SELECT DISTINCT run_id, ts AS ran FROM e WHERE event_type = 'purchase'),
           c AS (SELECT e.event_id, e.run_id, 600 - (epoch_us(ts) - epoch_us(ran)) / 1e6 AS left_s FROM (SELECT * FROM e WHERE event_type = 'click') e ASOF LEFT JOIN ran ON ran.run_id = e.run_id AND e.ts >= ran.ran)
