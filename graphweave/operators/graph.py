@@ -128,20 +128,32 @@ def sorted_window_pairs(nodes: DataFrame, width: int = 4, ranges: int | None = N
                         pick("value", "b.value").alias("value_a"), pick("b.value", "value").alias("value_b")).distinct()
 
 
+#: Tokens of a value up to which all their pairs are looked under.
+PAIRED_TOKENS = 32
+
+
 def token_pairs(nodes: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Pairs of keys of a type where one value's content tokens contain the other's (see token_containment).
 
-    The smaller set looks only under its rarest token, as all of its tokens must be in the larger; so a word that
-    most nodes have makes no pairs unless it is some node's rarest.
+    The smaller set looks only under its two rarest tokens together, as all of its tokens must be in the larger: so what meets
+    there shares both, and a two-word name meets those alone that hold it. Values of more than PAIRED_TOKENS tokens are looked
+    up under single tokens in place of their many pairs.
     """
-    rows = values_of(nodes, types).withColumn("t", content_tokens(F.col("value")))
+    rows = values_of(nodes, types).withColumn("t", F.array_sort(content_tokens(F.col("value"))))
     one = rows.select("node_type", F.explode("t").alias("token"), "dedupe_key", "value", "t")
     often = one.groupBy("node_type", "token").agg(F.count("*").alias("n"))
     rare = one.where(F.size("t") >= 2).join(often, ["node_type", "token"]).groupBy("node_type", "dedupe_key").agg(
-        F.min(F.struct("n", "token")).alias("least"), F.first("value").alias("v"), F.first("t").alias("s"))
-    a = rare.select("node_type", F.col("least.token").alias("token"), F.col("dedupe_key").alias("a"), "v", "s")
-    b = one.select("node_type", "token", F.col("dedupe_key").alias("b"), F.col("value").alias("w"), "t")
-    met = a.join(b, ["node_type", "token"]).where((F.size("s") < F.size("t")) & contained(F.col("v"), F.col("w"), F.col("s"), F.col("t")))
+        F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, 2).alias("two"), F.first("value").alias("v"), F.first("t").alias("s"))
+    a = rare.select(
+        "node_type", F.get("two.token", 0).alias("token"), F.least(F.get("two.token", 0), F.get("two.token", 1)).alias("p"), F.greatest(F.get("two.token", 0), F.get("two.token", 1)).alias("q"),
+        F.col("dedupe_key").alias("a"), "v", "s")
+    few = F.size("t") <= PAIRED_TOKENS
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("p"), y.alias("q")))))
+    b = rows.select("node_type", F.col("dedupe_key").alias("b"), F.col("value").alias("w"), "t")
+    short = b.where(few).withColumn("x", F.explode(pairs)).select("node_type", "x.p", "x.q", "b", "w", "t")
+    long = one.where(~few).select("node_type", "token", F.col("dedupe_key").alias("b"), F.col("value").alias("w"), "t")
+    both = a.join(short, ["node_type", "p", "q"]).drop("token").unionByName(a.join(long, ["node_type", "token"]).drop("token"))
+    met = both.where((F.size("s") < F.size("t")) & contained(F.col("v"), F.col("w"), F.col("s"), F.col("t")))
     flip = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
     return met.select("node_type", pick("a", "b").alias("key_a"), pick("b", "a").alias("key_b"), pick("v", "w").alias("value_a"), pick("w", "v").alias("value_b"))

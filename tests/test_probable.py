@@ -104,3 +104,23 @@ def test_empty(spark):
     nodes = spark.createDataFrame([], SCHEMA)
     rels = spark.createDataFrame([], "dedupe_key string, start_dedupe_key string, end_dedupe_key string")
     assert G.probable_duplicates(nodes, rels).count() == 0
+
+
+def test_token_pairs_plain(spark):
+    """Against all pairs of two sets of tokens, with values longer than those whose pairs are looked under."""
+    rng = random.Random(9)
+    words_ = [f"w{i}" for i in range(30)]
+    values = [" ".join(rng.sample(words_, rng.choice([1, 2, 2, 3, 5]))) for _ in range(150)] + [" ".join(rng.sample(words_, 3) + [f"x{i}y{k}" for k in range(40)]) for i in range(10)]
+    rows = spark.createDataFrame([(f"k{i:03}", "T", v, "r", "v", i) for i, v in enumerate(values)], SCHEMA)
+    sets = {f"k{i:03}": set(v.split()) for i, v in enumerate(values)}
+    want = {(min(a, b), max(a, b)) for a, s in sets.items() for b, t in sets.items() if len(s) >= 2 and len(s) < len(t) and s <= t}
+    got = [(r.key_a, r.key_b) for r in G.token_pairs(rows).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_token_pairs_of_common_words(spark):
+    """Two words that many names have, each with other partners: a name meets only those that hold both."""
+    names = [f"red item{i}" for i in range(300)] + [f"bolt part{i}" for i in range(300)] + ["red bolt", "red bolt m4"]
+    rows = spark.createDataFrame([(f"k{i}", "T", v, "r", "v", i) for i, v in enumerate(names)], SCHEMA)
+    found = G.token_pairs(rows)
+    assert [(r.key_a, r.key_b) for r in found.collect()] == [("k600", "k601")]
