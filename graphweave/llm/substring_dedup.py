@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import wordhash as H
-from graphweave.llm.common import documents, materialise
+from graphweave.llm.common import SPACE, documents, materialise
 
 WINDOW = 20
 #: Windows in a group, which are about 100 MB of arrays in the task; and in a bucket of grams before their prefix
 #: is extended. There are eight buckets to a group.
 GROUP_WINDOWS, BUCKET_WINDOWS = 1_500_000, 500_000
+#: Buckets that all tasks are told of by name.
+MOST_LARGE = 1_000_000
 SALT = 0x9E3779B97F4A7C15
 RUNS = "group int, doc_id binary, seq binary, runs binary, gram binary, first binary, length binary, path binary, kind int"
 PACKED_MARKS = "part int, doc_id binary, seq binary, runs binary, starts binary"
@@ -110,7 +112,8 @@ def bucket_counts(size: int, buckets: int):  # noqa: ANN201
 
 
 def runs_of(size: int, groups: int, buckets: int, large):  # noqa: ANN001, ANN201
-    """Packed runs by group. large: a broadcast of the sorted buckets whose windows are told apart by a second hash."""
+    """Packed runs by group. large: a broadcast of the sorted buckets whose windows are told apart by a second hash; None if all
+    are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, seqs, text, start, gram, path, h, at, again in unsettled(batches, size):
@@ -122,7 +125,9 @@ def runs_of(size: int, groups: int, buckets: int, large):  # noqa: ANN001, ANN20
                 rows.append((int(gram[0] % H.U(groups)), ids[t[cut]].tobytes(), seqs[t[cut]].tobytes(), n.tobytes(), b"", begins.astype(np.uint32).tobytes(), b"", b"", 1))
             left = np.flatnonzero(~again)
             text, start, gram, path, at = text[left], start[left], gram[left], path[left], at[left]
-            if len(large.value):
+            if large.value is None:
+                gram = H.ngrams(H.mix(h ^ H.U(SALT)), size)[at]
+            elif len(large.value):
                 bucket = (gram % H.U(buckets)).astype(np.int64)
                 back = np.minimum(np.searchsorted(large.value, bucket), len(large.value) - 1)
                 gram = np.where(large.value[back] == bucket, H.ngrams(H.mix(h ^ H.U(SALT)), size)[at], gram)
@@ -229,14 +234,16 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, group_windows: int = G
     """doc_id, seq, starts: little-endian 32-bit word numbers where a window starts that also starts
     earlier (a smaller doc_id, or the same document and an earlier start)."""
     rows = numbered(docs)
-    bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a text has a word more than it has white space at most: as many windows there are, and no more, however short words are
+    blanks = F.octet_length("text") - F.octet_length(F.translate("text", SPACE, "")) + 1
+    most = rows.agg(F.sum(blanks)).first()[0] or 0
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(parts, -(-bytes_ // (6 * group_windows)))
+    groups = max(parts, -(-most // group_windows))
     buckets = 8 * groups
     counts = rows.mapInArrow(bucket_counts(size, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # one for bucket_windows windows at most, in practice a few
-    large = sorted(r.bucket for r in counts.where(F.col("n") > bucket_windows).select("bucket").collect())
-    large = rows.sparkSession.sparkContext.broadcast(np.array(large, np.int64))
+    # one for bucket_windows windows at most, in practice a few; where there are many, all are taken for large, with the same result
+    large = counts.where(F.col("n") > bucket_windows).select("bucket").limit(MOST_LARGE + 1).toArrow().column("bucket")
+    large = rows.sparkSession.sparkContext.broadcast(None if len(large) > MOST_LARGE else np.sort(np.asarray(large)))
     found = rows.mapInArrow(runs_of(size, groups, buckets, large), RUNS).groupBy("group").applyInArrow(lambda t: repeats(t, groups), PACKED_MARKS)
     return materialise(found.groupBy("part").applyInArrow(by_document, MARKS), "repeats")
 

@@ -114,7 +114,7 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.query(none).count() == 0
 
 
-def test_substring_dedup_shared_phrase(spark):
+def test_substring_dedup_shared_phrase(spark, monkeypatch):
     """A phrase of ten words in many texts is no repeat of twenty, however often it occurs; one of twenty-two is."""
     phrase = " ".join(f"p{i}" for i in range(10))
     full = " ".join(f"q{i}" for i in range(22))
@@ -123,7 +123,8 @@ def test_substring_dedup_shared_phrase(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.substring_dedup(rows)
     assert sum(n for _, _, n, _ in want) < 22 * 60 + 1
-    for limit in (10, 500_000):  # with prefixes extended, and without
+    for limit, most in ((10, 1_000_000), (10, 0), (500_000, 1_000_000)):  # with some prefixes extended, with all, and without
+        monkeypatch.setattr(substring_dedup, "MOST_LARGE", most)
         marks = substring_dedup.repeated_windows(frame, bucket_windows=limit)
         assert sum(len(r.starts) // 4 for r in marks.collect()) == 59 * 3
     assert substring_rows(frame) == want
