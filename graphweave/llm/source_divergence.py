@@ -166,7 +166,9 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     entries = kept.select("lang", "term", F.explode("by_source").alias("s")).select("lang", "term", "s.*").join(groups.select("lang", "source", "no"), ["lang", "source"])
     vectors = entries.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("no", "count"))).alias("vector"))
     equal = vectors.groupBy("lang", "vector").agg(F.count("*").alias("length"))
-    ordered = equal.repartitionByRange("lang", "vector").sortWithinPartitions("lang", "vector")
+    # ranges are cut by the first counts of a vector, as whole vectors would make the bounds' sample large
+    cut = [F.col("lang"), F.slice("vector", 1, 2), F.xxhash64("vector")]
+    ordered = equal.repartitionByRange(*cut).sortWithinPartitions("lang", "vector")
     return ordered.mapInArrow(summed(told), SUMS).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
