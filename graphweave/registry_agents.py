@@ -90,7 +90,7 @@ def indexed(s: SparkSession, d: str) -> DataFrame:
     now = index.read()
     points = now["points"].select("chunk_id", "run_id", *[F.get("vector", i).cast("long").alias(f"v{i}") for i in range(3)])
     wrong = now["errors"].select(
-        F.concat_ws(" ", F.lit("batch"), F.col("batch").cast("string"), "stage", "error").alias("chunk_id"), "run_id", F.col("first").alias("v0"), F.col("last").alias("v1"), F.lit(None).cast("long").alias("v2"))
+        F.concat_ws(" ", F.lit("batch"), F.col("batch").cast("string"), "stage", "error").alias("chunk_id"), "run_id", F.col("first").alias("v0"), F.col("last").alias("v1"), F.lit(-1).cast("long").alias("v2"))
     return points.unionByName(wrong)
 
 
@@ -143,7 +143,7 @@ def parsed(s: SparkSession, d: str) -> DataFrame:
     pages = M.table(s, d, "pages").select(k.alias("doc_id"), F.col("url").alias("name"), F.encode(html, "UTF-8").alias("content"))
     got = P.parse_chain(pages, tiers())
     reasons = F.array_join(F.transform("attempts", lambda a: F.concat(a.parser, F.lit(": "), a.reason)), "; ")
-    return got.select("doc_id", "parser", "tier", F.sha2("text", 256).alias("text_sha256"), reasons.alias("attempts"), "error")
+    return got.select("doc_id", "parser", F.coalesce("tier", F.lit(-1)).alias("tier"), F.sha2("text", 256).alias("text_sha256"), reasons.alias("attempts"), "error")
 
 
 ASKED = T.StructType([
@@ -166,7 +166,7 @@ def replies(s: SparkSession, d: str) -> DataFrame:
 
 def decoded(s: SparkSession, d: str) -> DataFrame:
     x = decode(F.col("reply"), ASKED)
-    return replies(s, d).select("k", reply_error(F.col("reply"), ASKED).alias("error"), x.alias("x")).select("k", "error", "x.label", "x.count", "x.score", F.array_join("x.refs.key", ",").alias("refs"))
+    return replies(s, d).select("k", reply_error(F.col("reply"), ASKED).alias("error"), x.alias("x")).select("k", "error", "x.label", F.coalesce("x.count", F.lit(-1)).alias("count"), "x.score", F.array_join("x.refs.key", ",").alias("refs"))
 
 
 def rekeyed(s: SparkSession, d: str) -> DataFrame:
@@ -215,7 +215,7 @@ def cooled(s: SparkSession, d: str) -> DataFrame:
     e = M.table(s, d, "events").withColumn("run_id", F.concat(F.lit("run"), (F.col("user_id") % 4).cast("string")))
     calls = e.where("event_type = 'click'").select(F.col("event_id").alias("call_id"), "run_id", F.col("ts").alias("at"))
     locks = s.createDataFrame([("run0",), ("run1",), ("run2",)], "run_id string")
-    return S.guarded(calls, e.where("event_type = 'purchase'").select("run_id", F.col("ts").alias("at")), locks, 600)
+    return S.guarded(calls, e.where("event_type = 'purchase'").select("run_id", F.col("ts").alias("at")), locks, 600).fillna(0, ["retry_after"])
 
 
 def expired(s: SparkSession, d: str) -> DataFrame:
@@ -314,7 +314,7 @@ _PARSED = """WITH h AS (SELECT page_id AS k, CASE WHEN page_id % 29 = 0 THEN ' '
   w AS (SELECT *, CASE WHEN NOT ends_with(t, '</body></html>') THEN 'page is cut off' WHEN a = 0 OR z = 0 THEN 'substring not found' WHEN trim(t[a + 9:z - 1]) = '' THEN 'empty_text' END AS e1,
     CASE WHEN a = 0 OR contains(t, '<table') OR length(t) % 7 = 0 THEN 'no plain article' WHEN trim(t[a + 9:]) = '' THEN 'empty_text' END AS e2, CASE WHEN trim(t) = '' THEN 'empty_text' END AS e3 FROM p),
   o AS (SELECT *, CASE WHEN e1 IS NULL THEN 0 WHEN e2 IS NULL THEN 1 WHEN e3 IS NULL THEN 2 END AS tier FROM w)
-  SELECT k AS doc_id, ['whole', 'body', 'raw_text'][tier + 1] AS parser, tier, sha256(CASE tier WHEN 0 THEN t[a + 9:z - 1] WHEN 1 THEN t[a + 9:] WHEN 2 THEN t END) AS text_sha256,
+  SELECT k AS doc_id, ['whole', 'body', 'raw_text'][tier + 1] AS parser, coalesce(tier, -1) AS tier, sha256(CASE tier WHEN 0 THEN t[a + 9:z - 1] WHEN 1 THEN t[a + 9:] WHEN 2 THEN t END) AS text_sha256,
     concat_ws('; ', 'whole: ' || e1, CASE WHEN e1 IS NOT NULL THEN 'body: ' || e2 END, CASE WHEN e1 IS NOT NULL AND e2 IS NOT NULL THEN 'raw_text: ' || e3 END) AS attempts,
     CASE WHEN tier IS NULL THEN 'all_parsers_failed' END AS error FROM o"""
 _REPLY = """WITH r AS (SELECT p_partkey AS k, p_name, p_size, '{"label": "' || p_name || '", "count": ' || CASE p_partkey % 11 WHEN 1 THEN '"' || p_size || '"' WHEN 2 THEN '2.5' ELSE p_size::VARCHAR END
@@ -340,11 +340,11 @@ def oracle_sql() -> dict[str, str]:
         "dml_index_chunks": RD._C + """, placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY doc_id, chunk_index) - 1 AS place FROM chunk),
           b AS (SELECT *, place // 100 AS batch, bool_or(contains(text, '©') OR contains(lower(text), 'copyright')) OVER (PARTITION BY run_id, place // 100) AS bad FROM placed)
           SELECT chunk_id, run_id, length(text) AS v0, length(text) - length(replace(text, ' ', '')) AS v1, length(text) - length(replace(text, 'e', '')) AS v2 FROM b WHERE NOT bad
-          UNION ALL SELECT 'batch ' || batch || ' embedding no vector for this text', run_id, min(place), max(place), NULL FROM b WHERE bad GROUP BY run_id, batch""",
+          UNION ALL SELECT 'batch ' || batch || ' embedding no vector for this text', run_id, min(place), max(place), -1 FROM b WHERE bad GROUP BY run_id, batch""",
         "ag_retrieval_loop": _ROUNDS,
         "src_parse_chain": _PARSED,
         "fn_strip_code_fence": _REPLY + "SELECT k, sha256(inner_text) AS inner_sha256 FROM reply",
-        "fn_decode_reply": _REPLY + f"""SELECT k, {_WRONG} AS error, CASE WHEN {ok} THEN p_name END AS label, CASE WHEN {ok} THEN p_size END AS count,
+        "fn_decode_reply": _REPLY + f"""SELECT k, {_WRONG} AS error, CASE WHEN {ok} THEN p_name END AS label, CASE WHEN {ok} THEN p_size ELSE -1 END AS count,
           CASE WHEN {ok} AND k % 5 > 1 THEN CASE k % 5 WHEN 2 THEN 1.0 ELSE 0.25 END END::DOUBLE AS score, CASE WHEN {ok} THEN CASE k % 11 WHEN 6 THEN '' ELSE 'a,b' END END AS refs FROM reply""",
         "join_llm_by_id": """WITH c AS (SELECT c_custkey AS k, c_custkey // 20 AS batch, 'c' || c_custkey AS id FROM customer),
           o AS (SELECT *, batch % 11 <> 5 AND batch % 7 <> 3 AS read, CASE WHEN k % 20 < 5 THEN 0.9 WHEN k % 10 <> 3 THEN (k % 13)::DOUBLE / 10 END AS said FROM c),
@@ -360,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
           ran AS (SELECT DISTINCT run_id, ts AS ran FROM e WHERE event_type = 'purchase'),
           c AS (SELECT e.event_id, e.run_id, 600 - (epoch_us(ts) - epoch_us(ran)) / 1e6 AS left_s FROM (SELECT * FROM e WHERE event_type = 'click') e ASOF LEFT JOIN ran ON ran.run_id = e.run_id AND e.ts >= ran.ran)
           SELECT event_id AS call_id, CASE WHEN left_s > 0 THEN 'execution_cooldown' WHEN run_id = 'run3' THEN 'schema_not_locked' ELSE 'ok' END AS outcome,
-            CASE WHEN left_s > 0 THEN CAST(floor(left_s) + 1 AS BIGINT) END AS retry_after FROM c""",
+            CASE WHEN left_s > 0 THEN CAST(floor(left_s) + 1 AS BIGINT) ELSE 0 END AS retry_after FROM c""",
         "src_key_scan": RD._C + """, k AS (SELECT 'job:' || run_id || ':' || lpad(doc_id::VARCHAR, 8, '0') || ':' || chunk_id AS key, status FROM job)
           SELECT * FROM k WHERE starts_with(key, 'job:run1:0000') OR starts_with(key, 'job:run2:')""",
         "dml_store_json": RD._C + """SELECT c.run_id, c.doc_id, CASE WHEN c.doc_id % 10 = 0 THEN 'new' ELSE sha256(coalesce(d.text, '')) END AS content_hash, count(*) AS n_chunks

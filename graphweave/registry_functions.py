@@ -100,7 +100,7 @@ def queries() -> dict[str, Query]:
         rows = pairs(s, d).select("candidate_id", "seq").withColumn("candidate_type", F.lit("old"))
         for found in (G.exact_node_duplicates(n(s, d)), G.exact_rel_duplicates(r(s, d)), G.canonical_violations(r(s, d), n(s, d), M.schema_edges(s)).withColumn("candidate_type", F.lit("canonical_violation"))):
             rows = rows.unionByName(found.select("candidate_id", "candidate_type", "severity").distinct(), allowMissingColumns=True)
-        return rows
+        return rows.fillna(-1, ["seq"])
 
     def generated(s: SparkSession, d: str) -> DataFrame:
         """Calls of three runs: one that may go on, one in cooldown, one without a locked schema; findings of the first alone."""
@@ -212,8 +212,8 @@ def oracle_sql() -> dict[str, str]:
           o AS (SELECT s.key_a, s.key_b, s.k, list_sort(list_distinct(list(x.v) FILTER (x.p <> s.p))) AS vs FROM s JOIN s x USING (k) GROUP BY 1, 2, 3)
           SELECT key_a, key_b, k AS dedupe_key, len(coalesce(vs, [])) AS others, array_to_string(list_slice(coalesce(vs, []), 1, 10), ',') AS first_others FROM o""",
         "set_candidates_union": g + N._PAIRS.replace("WITH p AS", ", p AS") + Q.violations_sql(Q.ALLOWED) + f"""SELECT id AS candidate_id, k AS seq, 'old' AS candidate_type, NULL AS severity FROM p
-          UNION ALL SELECT candidate_id, NULL, candidate_type, severity FROM ({Q._NODE_DUP}) UNION ALL SELECT candidate_id, NULL, candidate_type, severity FROM ({Q._REL_DUP})
-          UNION ALL (SELECT DISTINCT candidate_id, NULL::BIGINT, 'canonical_violation', severity FROM bad)""",
+          UNION ALL SELECT candidate_id, -1, candidate_type, severity FROM ({Q._NODE_DUP}) UNION ALL SELECT candidate_id, -1, candidate_type, severity FROM ({Q._REL_DUP})
+          UNION ALL (SELECT DISTINCT candidate_id, -1, 'canonical_violation', severity FROM bad)""",
         "set_jaccard": _NAMES + jaccard(tok),
         "set_property_keys": marks + "SELECT seq, string_agg(name, ',' ORDER BY name) FILTER (coalesce(x, y) IS NOT NULL) AS names FROM named GROUP BY 1",
         "fn_jaro_winkler": N.recursive(g + M.MORE_RELS_SQL + _NAMES.replace("WITH p AS", ", p AS") + ", named_pairs AS (SELECT p_partkey, a AS value_a, b AS value_b FROM p) " + walked) + " SELECT p_partkey, round(jw, 6) AS score FROM scored",
