@@ -1,8 +1,10 @@
 """Queries whose cost grew faster than their input: hubs, many queries, long tables in one task."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphweave.operators import reads as R
+from graphweave.plans.tables import materialise
 
 
 def test_context_of_hub(spark):
@@ -16,3 +18,27 @@ def test_context_of_hub(spark):
     assert len(got) == 2 * n + 2 and got["e7", "hub"] == got["loop", "hub"] == (n, "c0000")
     assert got["e7", "c0007"] == (1, "hub") and got["alone", "nobody"] == (0, None)
     assert near.count() == 2 * n and near.where("ref = 'hub'").count() == n
+
+
+def test_nearest_blocks(spark, monkeypatch):
+    """Blocks of any size give what all pairs summed in order give: ties by id, copies, repeated queries, vectors without a direction. Equal
+    query vectors meet the vectors once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-3, 4, (40, 6)).astype(np.float32)
+    rows = [(i, base[i % 40].tolist()) for i in range(200)] + [(200, [0.0] * 6), (201, None), (202, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = [(f"q{i}", base[i % 30].tolist()) for i in range(60)] + [("q0", base[5].tolist()), ("q0", base[0].tolist())]
+    queries = spark.createDataFrame(asked, "query string, q array<float>")
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 50)
+    calls = []
+    monkeypatch.setattr(R, "materialise", lambda df, name: calls.append(df.count()) or materialise(df, name))
+    got = sorted((r.query, r.vec_id, r.score) for r in R.nearest(vectors, queries, 9).collect())
+    want = []
+    for name in {n for n, _ in asked}:
+        every = [(-R.rounded_cosine(np.float64(v), np.float64(q)), i) for n, q in asked if n == name for i, v in rows[:200] if any(v) and any(q)]
+        want += [(name, i, -s) for s, i in sorted(every)[:9]]
+    assert got == sorted(want) and calls == [len({tuple(q) for _, q in asked})]
+    few = R.nearest(vectors.where("vec_id > 198"), queries.where("query = 'q1'"), 9).collect()
+    assert [(r.vec_id, r.score is None) for r in few] == [(199, False), (200, True), (201, True), (202, True)]
+    assert R.nearest(vectors.where("false"), queries).count() == R.nearest(vectors, queries.where("false")).count() == 0
