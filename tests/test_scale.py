@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from graphweave.operators import chunking as K
 from graphweave.operators import reads as R
 from graphweave.plans.tables import materialise
 
@@ -42,3 +43,23 @@ def test_nearest_blocks(spark, monkeypatch):
     few = R.nearest(vectors.where("vec_id > 198"), queries.where("query = 'q1'"), 9).collect()
     assert [(r.vec_id, r.score is None) for r in few] == [(199, False), (200, True), (201, True), (202, True)]
     assert R.nearest(vectors.where("false"), queries).count() == R.nearest(vectors, queries.where("false")).count() == 0
+
+
+def test_chunks_stream(spark):
+    """Documents that end anywhere in Arrow's batches are folded as alone, and none is a group of its own, which cost more than its text."""
+    rows = [(d, p, "paragraph", f"{d}-{p} " + "x" * (d * 37 % 300), p, 0.9, d % 3 == 0) for d in range(40) for p in range(d % 7 + 1)]
+    frame = spark.createDataFrame(rows[::-1], "doc_id long, pos long, element_type string, text string, page int, confidence double, raw boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = K.chunks(frame, 400)
+        got = {(r.doc_id, r.chunk_index): (r.elements, r.start_page, r.end_page, r.text, r.flags) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for d in range(40):
+        mine = [r for r in rows if r[0] == d]
+        for n, at in enumerate(K.fold([r[2] for r in mine], [r[3] for r in mine], 400, 250)):
+            text = "\n\n".join(mine[i][3] for i in at)
+            want[d, n] = (len(at), at[0], at[-1], text, (["low_text_density"] if len(text) < 20 else []) + (["raw_fallback"] if d % 3 == 0 else []))
+    assert got == want
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
