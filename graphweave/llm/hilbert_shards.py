@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve (DataFrame functions only).
 
-Several metadata dimensions are quantised to `bits` bits each at quantiles of a sample of their whole values, the
+Several metadata dimensions are quantised to `bits` bits each at the quantiles of all values, the
 cell's place on the Hilbert curve is computed with column arithmetic, and runs of the curve's order are cut into
 shards, so that each file covers a compact box of all dimensions and its statistics prune on any of them.
 Ranks come from a histogram of (curve index, bucket) with running sums in two levels, never from one global sort:
@@ -19,8 +19,6 @@ from graphweave.llm.common import documents, materialise
 BITS = 4
 #: Rows of a bucket, which one task ranks (a cell with more is split), and buckets whose running sum one task takes.
 BUCKET_ROWS, RUN_BUCKETS = 500, 2000
-#: Rows, at most twice as many, whose values the bounds come from. Bounds steer only how compact the files are.
-SAMPLE = 8192
 
 
 def hilbert(axes: list[Column], bits: int) -> Column:
@@ -65,13 +63,22 @@ def hilbert(axes: list[Column], bits: int) -> Column:
 
 
 def bounds(df: DataFrame, dims: list[str], bits: int) -> list[list]:
-    """For each dimension at most 2**bits - 1 ascending bounds: quantiles of the sampled values that are not null."""
-    share = SAMPLE / max(1, df.count())
-    key = F.call_function("shiftrightunsigned", F.xxhash64("doc_id", "text_crc32", "size"), F.lit(1))
-    rows = df if share >= 1 else df.where(key < F.lit(int(share * 2**63))).orderBy(key, *dims).limit(2 * SAMPLE)
-    got = rows.select(*dims).collect()
-    columns = [sorted(r[d] for r in got if r[d] is not None) for d in dims]
-    return [sorted({c[len(c) * i >> bits] for i in range(1, 1 << bits)}) if c else [] for c in columns]
+    """For each dimension at most 2**bits - 1 ascending bounds: the quantiles of all values that are not null."""
+    return [quantiles(df.where(F.col(d).isNotNull()).groupBy(d).agg(F.count("*").alias("__n")), d, bits) for d in dims]
+
+
+def quantiles(counts: DataFrame, d: str, bits: int) -> list:
+    """Of counted values (d, __n) those at each 2**bits-th of all rows, in order. Running sums are taken in ranges of the values and over
+    the ranges, so no task sees all values; the driver gets the quantiles alone."""
+    table = materialise(counts.repartitionByRange(d).withColumn("__range", F.spark_partition_id()), "counts")
+    runs = table.groupBy("__range").agg(F.sum("__n").alias("__sum"))
+    runs = runs.select("__range", "__sum", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__before"))  # a row per range
+    total = runs.agg(F.sum("__sum")).first()[0] or 0
+    wanted = F.array(*[F.lit(total * i >> bits).cast("long") for i in range(1, 1 << bits)])
+    until = F.sum("__n").over(Window.partitionBy("__range").orderBy(d)) + F.col("__before")
+    placed = table.join(F.broadcast(runs), "__range").withColumn("__until", until)
+    held = F.exists(wanted, lambda p: (p >= F.col("__until") - F.col("__n")) & (p < F.col("__until")))
+    return sorted(r[0] for r in placed.where(held).select(d).collect())
 
 
 def curve(df: DataFrame, dims: list[str], bits: int = BITS) -> tuple[DataFrame, list[str]]:
