@@ -58,8 +58,10 @@ def generate(
         found.append(structural_findings(nodes, rels, properties, qualifiers, run, version))
     every = materialise(reduce(DataFrame.unionByName, found), "found")
     named = every.where(F.col("candidate_type").isin("exact_node_duplicate", "probable_duplicate")).select(F.explode("refs").alias("__ref")).distinct()
-    orphan = F.when(F.col("method") == "orphan_node", F.get("refs", 0))
-    return first_by_id(every.withColumn("__orphan", orphan).join(named, F.col("__orphan") == F.col("__ref"), "left_anti").drop("__orphan"))
+    # only orphans are looked up: a join of all findings would bring those without a key to one task
+    orphan = F.col("method") == "orphan_node"
+    alone = every.where(orphan).withColumn("__ref", F.get("refs", 0)).join(named, "__ref", "left_anti").drop("__ref")
+    return first_by_id(every.where(~orphan).unionByName(alone))
 
 
 def first_by_id(found: DataFrame) -> DataFrame:
