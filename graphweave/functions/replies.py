@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,15 +15,24 @@ from graphweave.functions.text import BLANKS, strip
 FENCE = "```"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def strip_code_fence(reply: Column) -> Column:
     """Without blanks at its ends, and, where it begins with a fence, without its first line and without the fence at its
     end. A fence without a line after it stays."""
-    clean = strip(reply)
-    line = F.instr(clean, "\n")
-    body = F.when(line > 0, F.substr(clean, line + 1)).otherwise(clean)
-    trimmed = strip_end(body)
-    inner = F.when(F.endswith(trimmed, F.lit(FENCE)), strip_end(F.left(trimmed, F.char_length(trimmed) - len(FENCE)))).otherwise(body)
-    return F.when(F.startswith(clean, F.lit(FENCE)), inner).otherwise(clean)
+
+    def inner(body: Column) -> Column:
+        return bound(strip_end(body), lambda x: F.when(F.endswith(x, F.lit(FENCE)), strip_end(F.left(x, F.char_length(x) - len(FENCE)))).otherwise(body))
+
+    def opened(clean: Column) -> Column:
+        line = F.instr(clean, "\n")
+        body = F.when(line > 0, F.substr(clean, line + 1)).otherwise(clean)
+        return F.when(F.startswith(clean, F.lit(FENCE)), bound(body, inner)).otherwise(clean)
+
+    return bound(strip(reply), opened)
 
 
 def strip_end(text: Column) -> Column:
@@ -38,15 +48,16 @@ def fits(value: Column, wanted: T.DataType) -> Column:
     of its type; whole numbers are no fractions, numbers no strings. Null is only what a field may be."""
     kind = _kind(value)
     if isinstance(wanted, T.StructType):
-        as_map = F.variant_get(value, "$", "map<string,variant>")
-        keys = F.map_keys(as_map)
-        known = F.size(F.array_except(keys, F.array(*map(F.lit, wanted.names)))) == 0
-        parts = []
-        for f in wanted.fields:
-            inner = F.element_at(as_map, F.lit(f.name))
-            absent = ~F.array_contains(keys, f.name) | F.coalesce(F.is_variant_null(inner), F.lit(False))
-            parts.append(F.when(absent, F.lit(f.nullable)).otherwise(fits(inner, f.dataType)))
-        return F.when(F.startswith(kind, F.lit("OBJECT")), reduce(lambda a, b: a & b, parts, known)).otherwise(F.lit(False))
+        def whole(as_map: Column) -> Column:
+            keys = F.map_keys(as_map)
+            known = F.size(F.array_except(keys, F.array(*map(F.lit, wanted.names)))) == 0
+            parts = []
+            for f in wanted.fields:
+                none = lambda inner: inner.isNull() | F.is_variant_null(inner)
+                parts.append(bound(F.element_at(as_map, F.lit(f.name)), lambda inner: F.when(none(inner), F.lit(f.nullable)).otherwise(fits(inner, f.dataType))))  # noqa: B023 called at once
+            return reduce(lambda a, b: a & b, parts, known)
+
+        return F.when(F.startswith(kind, F.lit("OBJECT")), bound(F.variant_get(value, "$", "map<string,variant>"), whole)).otherwise(F.lit(False))
     if isinstance(wanted, T.ArrayType):
         each = F.transform(F.variant_get(value, "$", "array<variant>"), lambda v: fits(v, wanted.elementType))
         return F.when(F.startswith(kind, F.lit("ARRAY")), F.forall(each, lambda ok: F.coalesce(ok, F.lit(False)))).otherwise(F.lit(False))
@@ -71,11 +82,15 @@ def parsed(text: Column) -> Column:
 def reply_error(reply: Column, schema: T.StructType) -> Column:
     """Why a reply is refused: json (no JSON, or with a name twice), fields (another type, a field too few or too many); null where it is
     taken. A null reply is no JSON."""
-    value = parsed(strip_code_fence(reply))
-    return F.when(value.isNull(), "json").when(~F.coalesce(fits(value, schema), F.lit(False)), "fields")
+    error = lambda value: F.when(value.isNull(), "json").when(~F.coalesce(fits(value, schema), F.lit(False)), "fields")
+    return bound(strip_code_fence(reply), lambda clean: bound(parsed(clean), error))
+
+
+def taken(reply: Column, error: Column, schema: T.StructType) -> Column:
+    """The reply as a struct of the schema where there is no error."""
+    return F.when(error.isNull(), F.from_json(strip_code_fence(reply), schema, {"mode": "PERMISSIVE"}))
 
 
 def decode(reply: Column, schema: T.StructType) -> Column:
     """The reply as a struct of the schema, or null where anything is off."""
-    clean = strip_code_fence(reply)
-    return F.when(reply_error(reply, schema).isNull(), F.from_json(clean, schema, {"mode": "PERMISSIVE"}))
+    return taken(reply, reply_error(reply, schema), schema)
