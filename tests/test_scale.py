@@ -83,3 +83,20 @@ def test_orphans_alone_are_looked_up(spark):
     df = T.generate(nodes, rels, schema, None, props, {"T": "q"}, "r", "v")
     assert df.groupBy("method").count().count() == 2 and df.where("method = 'orphan_node'").isEmpty()
     assert "__orphan" not in df._jdf.queryExecution().toString()
+
+
+def test_search_keeps_its_tasks(spark, monkeypatch):
+    """Blocks of few bytes are not put together in one task; what compares classes first finds the best, copies included."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3000, 8)).astype(np.float32)
+    base[2000:2600] = base[7]
+    near = (base[:50] @ base.T).astype(np.float32)
+    least = R.floor_of_best(near, 10)
+    assert (least <= np.sort(near, axis=1)[:, -10]).all() and (least > np.median(near, axis=1)).all()
+    got = list(R.best_of(np.arange(1), base[7:8].astype(np.float64), np.arange(3000), base.astype(np.float64), 5))
+    assert got[0][1].tolist() == [7, 2000, 2001, 2002, 2003] and set(got[0][2].tolist()) == {1.0}
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(base[:100])], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 25)
+    df = R.nearest(vectors, vectors.where("vec_id < 9").selectExpr("string(vec_id) as query", "embedding as q"), 3)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    assert {r.query for r in df.where("score = 1 and query = vec_id").collect()} == set("012345678")
