@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.functions import scores as S
 from graphweave.functions.text import strip
 from graphweave.operators import graph as G
-from graphweave.plans.tables import discard, materialise, written
+from graphweave.plans.tables import discard, joined, materialise, written
 
 
 def provenance(nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -92,26 +92,42 @@ def scoped_candidates(nodes: DataFrame, rels: DataFrame, schema: DataFrame, focu
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """dedupe_key, root: the least key that pairs (key_a, key_b) reach.
 
-    Each round lowers a key's root to the least root among its neighbours and then follows that root's own
-    root, so that long chains halve; a round's roots are a table in the shared folder (the round before's is deleted),
-    and the driver sees one count. Keys that take part in no pair are not returned.
+    Keys get numbers in no order of theirs. Each round a number goes to the least among itself and its neighbours, twice over, and
+    the pairs are those of where their ends went: long chains shrink by a factor, and a round costs what is left. The rounds' tables
+    lie in the shared folder; the driver sees whether pairs are left. Keys that take part in no pair are not returned.
     """
-    edges = pairs.select(F.col("key_a").alias("k"), F.col("key_b").alias("other"))
-    edges = materialise(edges.unionByName(edges.select(F.col("other").alias("k"), F.col("k").alias("other"))).where("k is not null and other is not null").distinct(), "edges")
-    roots, path = written(edges.groupBy("k").agg(F.least(F.min("other"), F.col("k")).alias("root")), "roots")
+    ends = materialise(pairs.where("key_a is not null and key_b is not null").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct(), "ends")
+    keys = ends.select(F.explode(F.array("a", "b")).alias("k")).distinct().sortWithinPartitions(F.xxhash64("k"))
+    keys = materialise(keys.select("k", F.monotonically_increasing_id().alias("n")), "keys")
+
+    def moved(edges: DataFrame, to: DataFrame) -> DataFrame:
+        for end in "ab":
+            edges = edges.join(to.select(F.col(to.columns[0]).alias(end), F.col(to.columns[1]).alias(f"__{end}")).hint("merge"), end).drop(end)
+        return edges.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))
+
+    edges, path = written(moved(ends, keys), "edges")
+    went: list[DataFrame] = []
     for _ in range(rounds):
-        seen = edges.join(roots.withColumnRenamed("k", "other"), "other").groupBy("k").agg(F.min("root").alias("near"))
-        lower = roots.join(seen, "k").select("k", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = roots.select(F.col("k").alias("root"), F.col("root").alias("far"))
+        each = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = materialise(each.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("a")).alias("to")), "to")
+        for _ in range(2):
+            to = to.join(to.select(F.col("n").alias("to"), F.col("to").alias("far")).hint("merge"), "to").select("n", F.col("far").alias("to"))
+            to = materialise(to, "to")
+        went.append(to)
         before = path
-        now, path = written(lower.join(jump, "root", "left").select("k", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
-        roots = now.select("k", "root")
-        discard(now.sparkSession, [before])
-        if now.where("root <> old").isEmpty():
+        edges, path = written(moved(edges, to).where("a <> b").distinct(), "edges")
+        discard(edges.sparkSession, [before])
+        if edges.isEmpty():
             break
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
-    return roots.withColumnRenamed("k", "dedupe_key")
+    last = went.pop()
+    for to in reversed(went):
+        far = last.select(F.col("n").alias("to"), F.col("to").alias("far")).hint("merge")
+        last = to.join(far, "to", "left").select("n", F.coalesce("far", "to").alias("to"))
+    label = materialise(keys.join(last.hint("merge"), "n").select(F.col("k").alias("dedupe_key"), "to"), "label")
+    least = materialise(label.groupBy("to").agg(F.min("dedupe_key").alias("root"), F.count("*").alias("__n")), "least")
+    return joined(label, least, "to").select("dedupe_key", "root")
 
 
 def enrich(pairs: DataFrame, properties: DataFrame) -> DataFrame:
@@ -132,13 +148,14 @@ def validate_clusters(enriched: DataFrame, most: int = 8) -> DataFrame:
     """Enriched pairs with their cluster (least key) and whether it is suspect: of more than `most` keys, of mixed
     types, or with a conflict. A suspect cluster's high pairs become medium."""
     pairs = materialise(enriched, "pairs")
-    roots = components(pairs)
+    roots = materialise(components(pairs), "roots")
     size = roots.groupBy("root").agg(F.count("*").alias("keys"))
-    placed = pairs.join(roots.withColumnsRenamed({"dedupe_key": "key_a", "root": "cluster"}), "key_a")
-    facts = placed.groupBy("cluster").agg((F.min("node_type") != F.max("node_type")).alias("mixed"), F.max(F.size("conflicts") > 0).alias("conflict"))
+    placed = pairs.join(roots.withColumnsRenamed({"dedupe_key": "key_a", "root": "cluster"}).hint("merge"), "key_a")
+    facts = placed.groupBy("cluster").agg((F.min("node_type") != F.max("node_type")).alias("mixed"), F.max(F.size("conflicts") > 0).alias("conflict"), F.count("*").alias("__n"))
     facts = facts.join(size.withColumnRenamed("root", "cluster"), "cluster")
     suspect = (F.col("keys") > most) | F.col("mixed") | F.col("conflict")
-    flagged = placed.join(facts.select("cluster", "keys", suspect.alias("suspect")), "cluster")
+    facts = materialise(facts.select("cluster", "keys", suspect.alias("suspect"), "__n"), "facts")
+    flagged = joined(materialise(placed, "placed"), facts, "cluster")
     return flagged.withColumn("band", F.when(F.col("suspect") & (F.col("band") == "high"), "medium").otherwise(F.col("band")))
 
 

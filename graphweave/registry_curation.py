@@ -38,7 +38,7 @@ def events(s: SparkSession, d: str) -> DataFrame:
 def marked(s: SparkSession, d: str) -> DataFrame:
     """Nodes with a property map; some without a version, some parts without a brand."""
     p = M.table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.lit("Part").alias("node_type"), "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
-    full = M.nodes(s, d).join(p, ["node_type", "seq"], "left")
+    full = M.nodes(s, d).join(p.hint("merge"), ["node_type", "seq"], "left")  # small as a file, large as a broadcast
     brand = F.when(F.col("seq") % 20 != 0, F.col("p_brand"))
     props = F.map_filter(F.create_map(F.lit("brand"), brand, F.lit("kind"), F.col("p_type"), F.lit("size"), F.col("p_size")), lambda _, v: v.isNotNull())
     return full.select("dedupe_key", "node_type", "seq", F.when(F.col("seq") % 50 != 0, F.col("schema_version")).otherwise(" ").alias("schema_version"), props.alias("properties"))

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from graphweave.llm import hilbert_shards as H
 from graphweave.operators import chunking as K
+from graphweave.operators import curation as C
 from graphweave.operators import detect as T
+from graphweave.operators import graph as G
 from graphweave.operators import reads as R
+from graphweave.plans import tables as P
 from graphweave.plans.tables import materialise
 
 
@@ -100,3 +103,36 @@ def test_search_keeps_its_tasks(spark, monkeypatch):
     df = R.nearest(vectors, vectors.where("vec_id < 9").selectExpr("string(vec_id) as query", "embedding as q"), 3)
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
     assert {r.query for r in df.where("score = 1 and query = vec_id").collect()} == set("012345678")
+
+
+def test_components_of_long_chain(spark):
+    """A chain is halved and more in each round, whatever the order of its keys; a component of many keys is joined from a broadcast."""
+    n = 3000
+    chain = spark.range(n).select(F.format_string("c%05d", "id").alias("key_a"), F.format_string("c%05d", F.col("id") + 1).alias("key_b"))
+    star = spark.range(200).select(F.lit("hub").alias("key_a"), F.format_string("s%03d", "id").alias("key_b"))
+    more = spark.createDataFrame([("z", "z"), ("p", None), ("b", "a"), ("a", "b")], "key_a string, key_b string")
+    roots = C.components(chain.unionByName(star).unionByName(more), rounds=8)
+    got = {r.dedupe_key: r.root for r in roots.collect()}
+    assert got == {f"c{i:05d}": "c00000" for i in range(n + 1)} | {f"s{i:03d}": "hub" for i in range(200)} | {"hub": "hub", "z": "z", "a": "a", "b": "a"}
+
+
+def test_joined_heavy_keys(spark, monkeypatch):
+    """Keys of many rows and of few give the same rows, and only the heavy ones are broadcast."""
+    monkeypatch.setattr(P, "HEAVY", 50)
+    rows = spark.range(300).select("id", F.when(F.col("id") < 200, "big").otherwise(F.col("id").cast("string")).alias("k"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("__n"), F.min("id").alias("least"))
+    got = P.joined(rows, facts, "k")
+    assert got.columns == ["id", "k", "least"]
+    assert {(r.id, r.least) for r in got.collect()} == {(i, 0 if i < 200 else i) for i in range(300)}
+    assert "Broadcast" not in P.joined(rows.where("id >= 200"), facts.where("__n = 1"), "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probable_pairs_are_scored_once(spark, monkeypatch):
+    """What is kept is a table, as its context reads it twice."""
+    made = []
+    monkeypatch.setattr(G, "materialise", lambda df, name, **o: made.append(name) or materialise(df, name, **o))
+    nodes = spark.createDataFrame([(f"T|{v}", "T", v, "r", "v", i) for i, v in enumerate(["small ring", "small rings", "the small ring of tin", "bolt"])], "dedupe_key string, node_type string, primary_value string, run_id string, schema_version string, seq long")
+    rels = spark.createDataFrame([("e", "T|small ring", "T|bolt")], "dedupe_key string, start_dedupe_key string, end_dedupe_key string")
+    df = G.probable_pairs(nodes, rels)
+    assert made[-1] == "kept" and "jaro_winkler(" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key_a, r.key_b, r.method) for r in df.collect()} == {("T|small ring", "T|small rings", G.BY_SIMILARITY), ("T|small ring", "T|the small ring of tin", G.BY_TOKENS)}
