@@ -80,9 +80,10 @@ def shared_groups(found: DataFrame) -> DataFrame:
     """candidate_id, group: candidates (candidate_id, refs) that are connected by shared references have one group, the
     least candidate_id of them."""
     each = found.select("candidate_id", F.explode("refs").alias("ref")).distinct()
-    link = each.groupBy("ref").agg(F.min("candidate_id").alias("least")).join(each, "ref").where("candidate_id <> least")
+    # sides that grow with the findings are merged, as small ones on disk are large broadcasts
+    link = each.groupBy("ref").agg(F.min("candidate_id").alias("least")).hint("merge").join(each, "ref").where("candidate_id <> least")
     roots = C.components(link.select(F.col("least").alias("key_a"), F.col("candidate_id").alias("key_b")))
-    rows = found.select("candidate_id").join(roots.select(F.col("dedupe_key").alias("candidate_id"), "root"), "candidate_id", "left")
+    rows = found.select("candidate_id").join(roots.select(F.col("dedupe_key").alias("candidate_id"), "root").hint("merge"), "candidate_id", "left")
     return rows.select("candidate_id", F.coalesce("root", "candidate_id").alias("group"))
 
 
@@ -91,7 +92,7 @@ def packed_batches(found: DataFrame, size: int = 8) -> DataFrame:
     sends at most some hundreds, packed in the order of their groups' first seq: groups stay whole, a group that
     doesn't fit begins a new batch, and one larger than a batch is one by itself."""
     groups = shared_groups(found)
-    rows = found.select("call", "seq", "candidate_id").join(groups, "candidate_id")
+    rows = found.select("call", "seq", "candidate_id").join(groups.hint("merge"), "candidate_id")
     sizes = rows.groupBy("call", "group").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +108,7 @@ def packed_batches(found: DataFrame, size: int = 8) -> DataFrame:
         return part.sort_values("first").assign(batch=out)[["call", "group", "batch"]]
 
     placed = sizes.groupBy("call").applyInPandas(pack, "call long, group string, batch long")
-    return rows.join(placed, ["call", "group"]).select("candidate_id", "call", "batch")
+    return rows.join(placed.hint("merge"), ["call", "group"]).select("candidate_id", "call", "batch")
 
 
 def consolidated(found: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,9 @@ from graphweave.operators import chunking as K
 from graphweave.operators import curation as C
 from graphweave.operators import detect as T
 from graphweave.operators import graph as G
+from graphweave.operators import execution as X
 from graphweave.operators import reads as R
+from graphweave.operators import write as W
 from graphweave.plans import tables as P
 from graphweave.plans.tables import materialise
 
@@ -136,3 +138,35 @@ def test_probable_pairs_are_scored_once(spark, monkeypatch):
     df = G.probable_pairs(nodes, rels)
     assert made[-1] == "kept" and "jaro_winkler(" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.key_a, r.key_b, r.method) for r in df.collect()} == {("T|small ring", "T|small rings", G.BY_SIMILARITY), ("T|small ring", "T|the small ring of tin", G.BY_TOKENS)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_references_without_broadcast(spark):
+    """Findings are not sent to the driver, however few bytes they have as files."""
+    found = spark.range(40).select(F.lit(0).alias("call"), F.col("id").alias("seq"), F.format_string("c%02d", "id").alias("candidate_id"), F.array((F.col("id") / 2).cast("int").cast("string"), F.concat(F.lit("x"), "id")).alias("refs"))
+    df = T.packed_batches(materialise(found, "found"))
+    assert "Broadcast" not in plan_of(df)
+    batches = {}
+    for r in df.collect():
+        batches.setdefault(r.batch, []).append(r.candidate_id)
+    assert sorted(map(len, batches.values())) == [8] * 5
+
+
+def test_plans_without_broadcast(spark):
+    """Of what execution joins only the locks, a row a run, are broadcast."""
+    plans = materialise(spark.range(20).selectExpr("id as plan_id", "'r' as run_id", "id as proposal_id", "id as approval_id", "'v' as schema_version", "'d' as diff_id"), "plans")
+    allowed = materialise(plans.select("approval_id", "proposal_id"), "approvals")
+    proposals = materialise(plans.selectExpr("run_id", "proposal_id", "'approved' as state"), "proposals")
+    codes = W.rejections(plans, allowed, proposals, spark.createDataFrame([("r", "v")], "run_id string, version_hash string"))
+    assert plan_of(codes).count("BroadcastExchange") <= 1
+    nodes = materialise(spark.range(20).selectExpr("concat('n', id) as dedupe_key", "'T' as node_type", "'r' as run_id", "'v' as schema_version", "map('a', '1') as properties"), "nodes")
+    rels = materialise(spark.range(9).selectExpr("concat('e', id) as dedupe_key", "'R' as rel_type", "concat('n', id) as start_dedupe_key", "concat('n', id + 1) as end_dedupe_key", "'r' as run_id", "'v' as schema_version", "map('a', '1') as properties"), "rels")
+    steps = materialise(plans.selectExpr("plan_id", "0L as step", "if(plan_id = 3, 'delete_node', 'update_node') as operation", "concat('n', plan_id) as dedupe_key", "cast(null as array<string>) as merge_keys", "cast(null as string) as rel_type", "cast(null as string) as start_key", "cast(null as string) as end_key", "map('b', '2') as put", "array('a') as cut"), "steps")
+    new, left, record = W.execute(plans, steps, materialise(codes, "codes"), nodes, rels)
+    done = plans.select("plan_id")
+    for df in (record, X.unmet(steps.join(done.hint("merge"), "plan_id", "left_semi"), nodes, rels), X.executed(proposals, plans), X.graph_invariants({"nodes": nodes, "rels": rels})):
+        assert "BroadcastExchange" not in plan_of(df)
+    assert record.where("outcome = 'applied'").count() == 20 and new.count() == 19 and left.count() == 7
