@@ -29,12 +29,12 @@ def unmet(steps: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFrame:
     """plan_id, step, reason of the steps that the new graph does not bear out. A survivor's relationships also need a key and a
     schema version."""
     have = nodes.select(F.lit("node").alias("element"), "dedupe_key").unionByName(rels.select(F.lit("edge").alias("element"), "dedupe_key")).distinct()
-    wanted = expectations(steps).join(have.withColumn("have", F.lit(True)), ["element", "dedupe_key"], "left")
+    wanted = expectations(steps).join(have.withColumn("have", F.lit(True)).hint("merge"), ["element", "dedupe_key"], "left")
     wrong = wanted.where(F.col("have").isNotNull() != F.col("there"))
     reason = F.concat_ws(" ", "operation", F.when(F.col("there"), "not_found").otherwise("still_there"), "dedupe_key")
     bare = rels.where("dedupe_key is null or schema_version is null").select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("dedupe_key")).distinct()
     survivors = steps.where("operation = 'merge_nodes'").select("plan_id", "step", F.get("merge_keys", 0).alias("dedupe_key"))
-    ungoverned = survivors.join(bare, "dedupe_key").select("plan_id", "step", F.concat(F.lit("merge_nodes ungoverned "), "dedupe_key").alias("reason"))
+    ungoverned = survivors.join(bare.hint("merge"), "dedupe_key").select("plan_id", "step", F.concat(F.lit("merge_nodes ungoverned "), "dedupe_key").alias("reason"))
     return wrong.select("plan_id", "step", reason.alias("reason")).unionByName(ungoverned)
 
 
@@ -42,7 +42,7 @@ def graph_invariants(tables: Tables) -> DataFrame:
     """name, broken: relationships whose ends are not nodes, and keys that two nodes have."""
     keys = tables["nodes"].groupBy("dedupe_key").agg(F.count("*").alias("n"))
     ends = tables["rels"].select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("dedupe_key"))
-    return counts(ends.join(keys, "dedupe_key", "left_anti"), "dangling end").unionByName(counts(keys.where("n > 1"), "repeated key"))
+    return counts(ends.join(keys.hint("merge"), "dedupe_key", "left_anti"), "dangling end").unionByName(counts(keys.where("n > 1"), "repeated key"))
 
 
 def run_plans(graph: Snapshots, plans: DataFrame, steps: DataFrame, approvals: DataFrame, locks: DataFrame, at: datetime, actor: str, dry_run: bool = False, check=graph_invariants) -> tuple[Outcome, DataFrame]:  # noqa: ANN001
@@ -63,14 +63,14 @@ def run_plans(graph: Snapshots, plans: DataFrame, steps: DataFrame, approvals: D
         now = graph.read(base)
         codes = materialise(W.rejections(plans, approvals, now["proposals"], locks), "codes")
         if wrong is not None:
-            codes = codes.join(wrong, "plan_id", "left").select("plan_id", F.coalesce("code", F.when(F.col("reason").isNotNull(), "invariant_failed")).alias("code"))
+            codes = codes.join(wrong.hint("merge"), "plan_id", "left").select("plan_id", F.coalesce("code", F.when(F.col("reason").isNotNull(), "invariant_failed")).alias("code"))
         nodes, rels, record = W.execute(plans, steps, codes, now["nodes"], now["rels"], dry_run=dry_run)
         record = materialise(record, "record")
         applied = record.where("outcome = 'applied'").select("plan_id")
         new: Tables = {}
         if not dry_run and not applied.isEmpty():
             new = {"nodes": materialise(nodes, "nodes"), "rels": materialise(rels, "rels")}
-            broken = unmet(steps.join(applied, "plan_id", "left_semi"), new["nodes"], new["rels"]).groupBy("plan_id").agg(F.min("reason").alias("reason"))
+            broken = unmet(steps.join(applied.hint("merge"), "plan_id", "left_semi"), new["nodes"], new["rels"]).groupBy("plan_id").agg(F.min("reason").alias("reason"))
             broken = materialise(broken, "broken")
             if not broken.isEmpty():
                 wrong = broken if wrong is None else wrong.unionByName(broken)
@@ -78,7 +78,7 @@ def run_plans(graph: Snapshots, plans: DataFrame, steps: DataFrame, approvals: D
                     continue
                 new = {}  # what is left would need another attempt: nothing of it is applied
             else:
-                new["proposals"] = executed(now["proposals"], plans.join(applied, "plan_id", "left_semi"))
+                new["proposals"] = executed(now["proposals"], plans.join(applied.hint("merge"), "plan_id", "left_semi"))
         rows = audit(plans, record, wrong, at, actor, dry_run, bool(new))
         outcome = graph.commit(base, new, check if new else None, {"audit": rows})
         if outcome.state == "broken":
@@ -92,16 +92,16 @@ def run_plans(graph: Snapshots, plans: DataFrame, steps: DataFrame, approvals: D
 def executed(proposals: DataFrame, plans: DataFrame) -> DataFrame:
     """Proposals with those of the plans as executed."""
     done = plans.select("run_id", "proposal_id").distinct().withColumn("__done", F.lit(True))
-    both = proposals.join(done, ["run_id", "proposal_id"], "left")
+    both = proposals.join(done.hint("merge"), ["run_id", "proposal_id"], "left")
     return both.withColumn("state", F.when(F.col("__done"), "executed").otherwise(F.col("state"))).drop("__done").select(*proposals.columns)
 
 
 def audit(plans: DataFrame, record: DataFrame, wrong: DataFrame | None, at: datetime, actor: str, dry_run: bool, swapped: bool, broken: str = "") -> DataFrame:
     """One row per plan of what was done: outcome (applied, failed, rejected), steps applied, and why not. A plan that was sound but not
     swapped in has failed."""
-    rows = plans.join(record, "plan_id")
+    rows = plans.join(record.hint("merge"), "plan_id")
     reasons = wrong if wrong is not None else plans.select("plan_id", F.lit(None).cast("string").alias("reason")).limit(0)
-    rows = rows.join(reasons.groupBy("plan_id").agg(F.min("reason").alias("reason")), "plan_id", "left")
+    rows = rows.join(reasons.groupBy("plan_id").agg(F.min("reason").alias("reason")).hint("merge"), "plan_id", "left")
     lost = (F.col("outcome") == "applied") & F.lit(not swapped and not dry_run)
     unborne = F.coalesce(F.col("code") == "invariant_failed", F.lit(False)) | (lost & F.col("reason").isNotNull())
     detail = (

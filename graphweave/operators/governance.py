@@ -98,18 +98,18 @@ def delete_nodes(nodes: DataFrame, rels: DataFrame, gone: DataFrame) -> tuple[Da
     """The nodes left, and the relationships left: those of a deleted node go with it."""
     keys = gone.select("dedupe_key").distinct()
     for end in ("start_dedupe_key", "end_dedupe_key"):
-        rels = rels.join(keys.withColumnRenamed("dedupe_key", end), end, "left_anti")
-    return nodes.join(keys, "dedupe_key", "left_anti"), rels
+        rels = rels.join(keys.withColumnRenamed("dedupe_key", end).hint("merge"), end, "left_anti")
+    return nodes.join(keys.hint("merge"), "dedupe_key", "left_anti"), rels
 
 
 def delete_edges(rels: DataFrame, gone: DataFrame) -> DataFrame:
-    return rels.join(gone.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
+    return rels.join(gone.select("dedupe_key").distinct().hint("merge"), "dedupe_key", "left_anti")
 
 
 def update_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """Nodes with the properties of changes (dedupe_key, put map, cut array; a key at most once) put over
     their own, and those in cut removed."""
-    both = nodes.join(changes.select("dedupe_key", F.col("put").alias("__put"), F.col("cut").alias("__cut")), "dedupe_key", "left")
+    both = nodes.join(changes.select("dedupe_key", F.col("put").alias("__put"), F.col("cut").alias("__cut")).hint("merge"), "dedupe_key", "left")
     put, cut = F.coalesce("__put", F.create_map().cast("map<string,string>")), F.coalesce("__cut", F.array().cast("array<string>"))
     own = F.map_filter("properties", lambda k, _: ~F.array_contains(F.concat(F.map_keys(put), cut), k))
     kept = F.map_filter(put, lambda k, _: ~F.array_contains(cut, k))

@@ -44,14 +44,14 @@ def merge_edges(snapshot: DataFrame, incoming: DataFrame, nodes: DataFrame) -> t
     keys = nodes.select("dedupe_key").distinct()
     rows = incoming
     for end in ("start", "end"):
-        rows = rows.join(keys.select(F.col("dedupe_key").alias(f"{end}_dedupe_key"), F.lit(True).alias(f"__{end}")), f"{end}_dedupe_key", "left")
+        rows = rows.join(keys.select(F.col("dedupe_key").alias(f"{end}_dedupe_key"), F.lit(True).alias(f"__{end}")).hint("merge"), f"{end}_dedupe_key", "left")
     held = F.col("__start").isNotNull() & F.col("__end").isNotNull()
     body = F.struct("dedupe_key", "run_id", "schema_version", user_properties(F.col("properties")).alias("properties"))
     seen = rows.groupBy(*ends, held.alias("held")).agg(F.min_by(body, F.struct("seq", "dedupe_key")).alias("first"), F.count("*").alias("n"))
     old = snapshot.select(*ends, F.struct("dedupe_key", "run_id", "schema_version", "properties").alias("old"))
     same = old.select(*[F.col(c).alias(f"__{c}") for c in ends], "old")
     match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ends]
-    both = seen.join(same, match, "left").drop(*[f"__{c}" for c in ends])
+    both = seen.join(same.hint("merge"), match, "left").drop(*[f"__{c}" for c in ends])
     new = both.where("held and old is null").select(*ends, "first.*")
     created = F.when(F.col("held") & F.col("old").isNull(), 1).otherwise(0).cast("long")
     held, n = F.col("held"), F.col("n")
@@ -104,8 +104,8 @@ def create_outcomes(requests: DataFrame, rels: DataFrame, nodes: DataFrame) -> D
 def rejections(plans: DataFrame, approvals: DataFrame, proposals: DataFrame, schema: DataFrame) -> DataFrame:
     """plan_id, code: the first reason not to execute a plan (plan_id, run_id, proposal_id, approval_id, schema_version), or
     null. Approvals, proposals and locked schemas are unique per id, (run, id) and run."""
-    rows = plans.join(approvals.select("approval_id", F.col("proposal_id").alias("__for")), "approval_id", "left")
-    rows = rows.join(proposals.select("run_id", "proposal_id", F.coalesce("state", F.lit("")).alias("__state")), ["run_id", "proposal_id"], "left")
+    rows = plans.join(approvals.select("approval_id", F.col("proposal_id").alias("__for")).hint("merge"), "approval_id", "left")
+    rows = rows.join(proposals.select("run_id", "proposal_id", F.coalesce("state", F.lit("")).alias("__state")).hint("merge"), ["run_id", "proposal_id"], "left")
     rows = rows.join(schema.select("run_id", F.col("version_hash").alias("__version")), "run_id", "left")
     code = (
         F.when(F.col("__for").isNull(), "approval_not_found").when(F.col("__for") != F.col("proposal_id"), "approval_mismatch")
@@ -153,14 +153,15 @@ def execute(plans: DataFrame, steps: DataFrame, codes: DataFrame, nodes: DataFra
     A rejected plan changes nothing. A plan that updates a key which is not there fails, and nothing of it is applied:
     all or nothing, as a snapshot takes the old one's place only whole. A dry run applies nothing and says so.
     """
-    good = plans.join(codes.where("code is null").select("plan_id"), "plan_id", "left_semi")
-    mine = steps.join(good.select("plan_id", "run_id"), "plan_id")
+    # all sides grow with the plans: small as files, they would be large broadcasts
+    good = plans.join(codes.where("code is null").select("plan_id").hint("merge"), "plan_id", "left_semi")
+    mine = steps.join(good.select("plan_id", "run_id").hint("merge"), "plan_id")
     update = mine.where(F.col("operation").isin("update_node", "update_edge"))
     have = nodes.select("dedupe_key").unionByName(rels.select("dedupe_key")).distinct()
-    failed = materialise(update.join(have, "dedupe_key", "left_anti").select("plan_id").distinct(), "failed")
-    sound = materialise(mine.join(failed, "plan_id", "left_anti"), "sound")
+    failed = materialise(update.join(have.hint("merge"), "dedupe_key", "left_anti").select("plan_id").distinct(), "failed")
+    sound = materialise(mine.join(failed.hint("merge"), "plan_id", "left_anti"), "sound")
     count = sound.groupBy("plan_id").agg(F.count("*").alias("n"))
-    rows = plans.join(codes, "plan_id").join(failed.withColumn("failed", F.lit(True)), "plan_id", "left").join(count, "plan_id", "left")
+    rows = plans.join(codes.hint("merge"), "plan_id").join(failed.withColumn("failed", F.lit(True)).hint("merge"), "plan_id", "left").join(count.hint("merge"), "plan_id", "left")
     outcome = F.when(F.col("code").isNotNull(), "rejected").when(F.col("failed") & F.lit(not dry_run), "failed").otherwise("applied")
     done = F.when((outcome == "applied") & F.lit(not dry_run), F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
     record = rows.select("plan_id", outcome.alias("outcome"), done.alias("steps_applied"), F.coalesce("code", F.when(F.col("failed") & F.lit(not dry_run), "no_such_element")).alias("code"))
