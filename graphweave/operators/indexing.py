@@ -79,6 +79,15 @@ def embedded(chunks: DataFrame, embed: Embed, dims: int, size: int = BATCH) -> t
     return points, rows.where("error is not null").select("run_id", "batch", "stage", "first", "last", "error")
 
 
+def last_points(points: DataFrame, fields: list[str]) -> DataFrame:
+    """The last point of each chunk_id. Hashes of ids are counted, so that only points whose hash comes again are dealt by their id."""
+    points = points.withColumn("__h", F.xxhash64("chunk_id"))
+    again = materialise(points.groupBy("__h").agg(F.count("*").alias("n")).where("n > 1").select("__h"), "again")
+    rest = [c for c in fields if c != "chunk_id"]
+    many = points.join(again, "__h", "left_semi").groupBy("chunk_id").agg(F.max_by(F.struct(*rest), F.struct("run_id", "place")).alias("p")).select("chunk_id", "p.*").select(*fields)
+    return points.join(again, "__h", "left_anti").select(*fields).unionByName(many)
+
+
 def index_chunks(index: Snapshots, chunks: DataFrame, embed: Embed, dims: int, size: int = BATCH) -> Outcome:
     """Put chunks into the index's tables points and errors as one version.
 
@@ -88,11 +97,14 @@ def index_chunks(index: Snapshots, chunks: DataFrame, embed: Embed, dims: int, s
     """
     points, errors = embedded(chunks, embed, dims, size)
     fields = [x.split()[0] for x in POINTS.split(", ")]
-    new = points.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in fields if c != "chunk_id"]), F.struct("run_id", "place")).alias("p")).select("chunk_id", "p.*").select(*fields)
+    new = last_points(points, fields)
     for _ in range(3):  # another writer may come first
         base = index.version()
         old = index.read(base) if base.number >= 0 else {"points": index.spark.createDataFrame([], POINTS), "errors": index.spark.createDataFrame([], ERRORS)}
-        kept = old["points"].join(new.select("chunk_id"), "chunk_id", "left_anti").select(*fields)
+        # ids alone say whether any old point stays; where none does, no old text is read
+        stay = materialise(old["points"].select("chunk_id").join(new.select("chunk_id"), "chunk_id", "left_anti"), "stay")
+        kept = old["points"].where("false") if stay.isEmpty() else old["points"].join(new.select("chunk_id"), "chunk_id", "left_anti")
+        kept = kept.select(*fields)
         runs = chunks.select("run_id").distinct()
         out = index.commit(base, {"points": kept.unionByName(new), "errors": old["errors"].join(runs, "run_id", "left_anti").unionByName(errors)})
         if out.state != "conflict":

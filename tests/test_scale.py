@@ -9,6 +9,7 @@ from graphweave.operators import curation as C
 from graphweave.operators import detect as T
 from graphweave.operators import graph as G
 from graphweave.operators import execution as X
+from graphweave.operators import indexing as I
 from graphweave.operators import reads as R
 from graphweave.operators import write as W
 from graphweave.plans import tables as P
@@ -170,3 +171,21 @@ def test_plans_without_broadcast(spark):
     for df in (record, X.unmet(steps.join(done.hint("merge"), "plan_id", "left_semi"), nodes, rels), X.executed(proposals, plans), X.graph_invariants({"nodes": nodes, "rels": rels})):
         assert "BroadcastExchange" not in plan_of(df)
     assert record.where("outcome = 'applied'").count() == 20 and new.count() == 19 and left.count() == 7
+
+
+def test_numbered_deals_rows_once(spark):
+    """Places follow from numbers that the written ranges have: no window over all rows."""
+    rows = spark.range(500).select(F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 37 % 500).alias("v"))
+    df = P.numbered(rows, ["k"], ["v"])
+    assert "Window" not in plan_of(df)
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r.v):
+        want.setdefault(r.k, []).append(r.v)
+    assert {(r.k, r.v, r.place) for r in df.collect()} == {(k, v, i) for k, vs in want.items() for i, v in enumerate(vs)}
+
+
+def test_last_points(spark):
+    """Only points whose id comes again are grouped; of these the last by run and place stays, of null ids too."""
+    fields = ["run_id", "chunk_id", "text"]
+    points = spark.createDataFrame([("r1", 0, "a", "old"), ("r1", 5, "a", "new"), ("r2", 1, "b", "only"), ("r1", 9, "c", "old"), ("r2", 0, "c", "new"), ("r1", 3, None, "old"), ("r1", 4, None, "new")], "run_id string, place long, chunk_id string, text string")
+    assert {(r.chunk_id, r.text) for r in I.last_points(points, fields).collect()} == {("a", "new"), ("b", "only"), ("c", "new"), (None, "new")}
