@@ -9,6 +9,7 @@ from graphweave.operators import curation as C
 from graphweave.operators import detect as T
 from graphweave.operators import graph as G
 from graphweave.operators import execution as X
+from graphweave.operators import governance as V
 from graphweave.operators import indexing as I
 from graphweave.operators import reads as R
 from graphweave.operators import write as W
@@ -189,3 +190,29 @@ def test_last_points(spark):
     fields = ["run_id", "chunk_id", "text"]
     points = spark.createDataFrame([("r1", 0, "a", "old"), ("r1", 5, "a", "new"), ("r2", 1, "b", "only"), ("r1", 9, "c", "old"), ("r2", 0, "c", "new"), ("r1", 3, None, "old"), ("r1", 4, None, "new")], "run_id string, place long, chunk_id string, text string")
     assert {(r.chunk_id, r.text) for r in I.last_points(points, fields).collect()} == {("a", "new"), ("b", "only"), ("c", "new"), (None, "new")}
+
+
+def test_collapse_of_hubs(spark, monkeypatch):
+    """A node's relationships are dealt over all tasks, whether it is obsolete or not; what becomes of them is the same."""
+    monkeypatch.setattr(P, "HEAVY", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ends = [(f"c{i:03d}", "hub") for i in range(300)] + [("gone", f"d{i:03d}") for i in range(200)] + [("c001", "o1"), ("o1", "o2"), (None, "hub"), (None, "o1"), ("gone", "kept"), ("hub", None)]
+        rows = [(f"e{i:03d}", "R", a, b, "r", "v", f"chunk{i}", {"p": str(i), "_k": "x"}) for i, (a, b) in enumerate(ends)]
+        rels = spark.createDataFrame(rows, "dedupe_key string, rel_type string, start_dedupe_key string, end_dedupe_key string, run_id string, schema_version string, chunk_id string, properties map<string,string>")
+        merges = spark.createDataFrame([("gone", "kept", 1), ("o1", "hub", 2), ("o2", "hub", 3)], "obsolete string, survivor string, nth int")
+        hubs = P.heavy_keys(rels.select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("k")), "k")
+        assert {r.k for r in hubs.collect()} == {"hub", "gone"}
+        facts = merges.select(F.col("obsolete").alias("end_dedupe_key"), "survivor")
+        got = P.looked_up(rels, facts, "end_dedupe_key", hubs.withColumnRenamed("k", "end_dedupe_key")).withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == len(rows) and {r.dedupe_key: r.survivor for r in got if r.survivor} == {"e500": "hub", "e501": "hub", "e503": "hub"}
+        tasks = [r.task for r in got if r.end_dedupe_key == "hub"]
+        assert len(set(tasks)) == 4 and max(map(tasks.count, range(4))) < 150
+        new, keys = V.collapse(rels, merges)
+        got = {(r.start_dedupe_key, r.end_dedupe_key): (r.moved, r.dedupe_key, "_k" in r.properties) for r in new.collect()}
+        want = {(a, b): (False, f"e{i:03d}", True) for i, (a, b) in enumerate(ends) if not {a, b} & {"gone", "o1", "o2"}}
+        want |= {("kept", f"d{i:03d}"): (True, f"R::kept::d{i:03d}::v1", False) for i in range(200)}
+        assert got == want  # c001 to the hub was there before; o1 to o2 and gone to kept are loops; without a start, none is seen to be no loop
+        assert keys.where("dedupe_key is not null").count() == 200 + 6
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
