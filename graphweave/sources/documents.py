@@ -6,17 +6,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweave.functions.text import nul_hash, strip
+from graphweave.sources.hashing import hashes, literal
 
 # File extensions that are read as text. .pdf and .docx are types of their own; any other is unknown.
 TEXT_EXTENSIONS = [".txt", ".md", ".rst", ".csv", ".tsv", ".html", ".htm", ".xml", ".json", ".log"]
 
+#: Bytes of a file up to which one task reads it whole.
+WHOLE = 128 << 20
+
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, size, content of the files under path. Empty files are rejected: Spark's reader gives no row for them."""
+    """name, size, content of the files under path. Empty files are rejected: Spark's reader gives no row for them. A file is one row
+    of at most 2 GB; `file_hashes` bears more."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 
 
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """name, size, content_hash of the files under path; as in `binary_files`, empty ones have no row. Files over WHOLE bytes are hashed
+    in parts. Those with the extension of a compression codec, or a first _, can't be read in parts: they are read whole."""
+    name, hashed = F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("content_hash")
+    reader = lambda: spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    files = reader().load(path)
+    large = [(r.path, r.length, r.name) for r in files.where(F.col("length") > WHOLE).select("path", "length", name).collect()]
+    jvm = spark._jvm
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    whole = [p for p, _, n in large if n.startswith("_") or codecs.getCodec(jvm.org.apache.hadoop.fs.Path(p)) is not None]
+    rows = files.where(F.col("length") <= WHOLE)  # the reader opens no others
+    if whole:
+        rows = rows.unionByName(reader().load([literal(p) for p in whole]))
+    out = rows.select(name, F.col("length").alias("size"), hashed)
+    cut = [x for x in large if x[0] not in whole]
+    if not cut:
+        return out
+    found = hashes(spark.sparkContext, [(p, size) for p, size, _ in cut])
+    return out.unionByName(spark.createDataFrame([(n, size, h) for (_, size, n), h in zip(cut, found, strict=True)], out.schema))
+
+
 def extension(name: Column) -> Column:
     """The lower-cased last extension of a file name with its dot; a leading or a last dot begins none."""
     return F.lower(F.regexp_extract(name, r"[^/.][^/]*?(\.[^./]+)$", 1))

@@ -1,5 +1,8 @@
 """Sources, plans, execution, findings and lists on small fixtures: nulls, empty tables, repeats."""
 
+from hashlib import sha256
+
+import pytest
 from pyspark.sql import functions as F
 
 from graphweave.functions.text import sanitize
@@ -9,6 +12,7 @@ from graphweave.operators import governance as V
 from graphweave.operators import reads as R
 from graphweave.operators import write as W
 from graphweave.sources import documents as X
+from graphweave.sources import hashing
 
 MAP = "map<string,string>"
 
@@ -30,6 +34,35 @@ def test_binary_files(spark, tmp_path):
     assert got == {"full.bin": (3, b"abc")}
 
 
+def test_file_hashes(spark, tmp_path, monkeypatch):
+    """Files of any size are hashed in bounded parts, whatever their name and wherever they end; files that can't be read in parts, whole."""
+    monkeypatch.setattr(X, "WHOLE", 64)
+    monkeypatch.setattr(hashing, "RECORD", 16)
+    monkeypatch.setattr(hashing, "RECORDS", 4)
+    sizes = {"none": 0, "one": 1, "whole": 64, "more": 65, "a,b{c}[d]*?.bin": 1000, "ab{c}[d]xy.bin": 999, "text.gz": 90, "_k=v": 80} | {f"n{i}": i for i in (70, 71, 80, 127, 128, 129, 134, 135, 160, 161)}
+    bodies = {n: bytes(i * 31 % 251 for i in range(k)) for n, k in sizes.items()}
+    for n, body in bodies.items():
+        (tmp_path / n).write_bytes(body)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # what the reader takes as a row
+    try:
+        got = sorted(map(tuple, X.file_hashes(spark, f"file://{tmp_path}").collect()))
+        assert got == sorted((n, len(b), sha256(b).hexdigest()) for n, b in bodies.items() if b)
+        few = X.file_hashes(spark, f"file://{tmp_path}", "n1*").select("name", "size", "content_hash")
+        assert {r.name for r in few.collect()} == {n for n in bodies if n.startswith("n1")}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_hash_states():
+    """A state holds all of a stream before it, and one that has seen another number of bytes is refused."""
+    state = hashing.begun()
+    for piece in (b"a" * 63, b"", b"b" * 130, b"c"):
+        state = hashing.extended(state, [piece])
+    assert hashing.digest(state, 194) == sha256(b"a" * 63 + b"b" * 130 + b"c").hexdigest()
+    with pytest.raises(ValueError):
+        hashing.digest(state, 195)
+
+
 def test_elements(spark):
     text = "# Head\nmore\n\n  - item\n\nplain\n\n\n\n| a | b |\n| --- | :-: |\n| 1 | 2 |\n\n1) one\n\n#no head"
     frame = spark.createDataFrame([(1, text), (2, None), (3, " \n\n "), (4, "one\ntwo")], "doc_id long, text string")
