@@ -7,11 +7,13 @@ import ctypes.util
 import re
 from collections.abc import Iterable
 from functools import cache
+from threading import Lock
 
 from pyspark import RDD, SparkContext
 
 #: Bytes of a record, and records of a task.
 RECORD, RECORDS = 1 << 20, 64
+_settings = Lock()
 #: OpenSSL's SHA256_CTX: eight words of state, two of the count of bits, sixteen of data, two of lengths.
 STATE = 112
 
@@ -42,7 +44,7 @@ def extended(state: bytes, pieces: Iterable[bytes]) -> bytes:
     """The state after further pieces of the stream."""
     now = ctypes.create_string_buffer(state, STATE)
     for piece in pieces:
-        _openssl().SHA256_Update(now, bytes(piece), ctypes.c_size_t(len(piece)))
+        _openssl().SHA256_Update(now, piece, ctypes.c_size_t(len(piece)))
     return now.raw
 
 
@@ -62,15 +64,19 @@ def literal(path: str) -> str:
 
 
 def records(sc: SparkContext, path: str, length: int, split: int) -> RDD:
-    """(number, bytes) of a file's records of `length` bytes, `split` bytes to a partition. The last partition has up to a tenth more, and
-    can't be read where the file ends inside a record."""
-    conf = {
-        "mapreduce.input.fileinputformat.inputdir": re.sub(r"([\\,])", r"\\\1", literal(path)),
-        "mapreduce.input.fileinputformat.split.minsize": str(split), "mapreduce.input.fileinputformat.split.maxsize": str(split),
-        "org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(length),
-    }
-    kinds = ["org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable"]
-    return sc.newAPIHadoopRDD(*kinds, conf=conf)
+    """A file's records of `length` bytes, `split` bytes to a partition. The last partition has up to a tenth more, and can't be read where
+    the file ends inside a record."""
+    conf = sc._jsc.hadoopConfiguration()
+    names = [f"mapreduce.input.fileinputformat.split.{x}size" for x in ("min", "max")]
+    with _settings:  # the RDD keeps a copy of them
+        before = [conf.get(name) for name in names]
+        try:
+            for name in names:
+                conf.set(name, str(split))
+            return sc.binaryRecords(literal(path).replace(",", r"{\,}"), length)  # a comma alone parts paths
+        finally:
+            for name, value in zip(names, before, strict=True):
+                conf.unset(name) if value is None else conf.set(name, value)
 
 
 def hashes(sc: SparkContext, files: list[tuple[str, int]]) -> list[str]:
@@ -88,7 +94,7 @@ def hashes(sc: SparkContext, files: list[tuple[str, int]]) -> list[str]:
     for turn in range(max(map(len, todo), default=0)):
         now = {nth[turn]: i for i, nth in enumerate(todo) if turn < len(nth)}
         old = {p: states[i] for p, i in now.items()}
-        after = every.mapPartitionsWithIndex(lambda p, it, old=old: [(p, extended(old[p], (x for _, x in it)))])
+        after = every.mapPartitionsWithIndex(lambda p, it, old=old: [(p, extended(old[p], it))])
         for p, state in sc.runJob(after, lambda it: it, list(now)):
             states[now[p]] = state
     return [digest(state, size) for state, (_, size) in zip(states, files, strict=True)]
