@@ -127,12 +127,12 @@ def collapse(rels: DataFrame, merges: DataFrame, version: str = "v1") -> tuple[D
     its chunk and its run, and gets a new key. moved says that none was there before. A survivor must not be obsolete
     itself; obsolete keys are unique. Affected are survivors, obsolete nodes, and the other ends.
     """
+    ends = ["start_dedupe_key", "end_dedupe_key"]
     # nodes with many relationships would send all of them to one task
-    hubs = heavy_keys(rels.select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("key")), "key")
-    for end in ("start", "end"):
-        key = f"{end}_dedupe_key"
+    hubs = heavy_keys(rels.select(F.explode(F.array(*ends)).alias("key")), "key")
+    for end, key in zip(("start", "end"), ends, strict=True):
         facts = merges.select(F.col("obsolete").alias(key), F.col("survivor").alias(f"__{end}"), F.col("nth").alias(f"__{end}_nth"))
-        rels = looked_up(rels, facts, key, hubs.select(F.col("key").alias(key)))
+        rels = looked_up(rels, facts, key, hubs.select(F.col("key").alias(key)), ends)
     start, end = F.coalesce("__start", "start_dedupe_key"), F.coalesce("__end", "end_dedupe_key")
     moved = F.col("__start").isNotNull() | F.col("__end").isNotNull()
     both = F.col("__start").isNotNull() & F.col("__end").isNotNull()

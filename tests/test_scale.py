@@ -204,7 +204,7 @@ def test_collapse_of_hubs(spark, monkeypatch):
         hubs = P.heavy_keys(rels.select(F.explode(F.array("start_dedupe_key", "end_dedupe_key")).alias("k")), "k")
         assert {r.k for r in hubs.collect()} == {"hub", "gone"}
         facts = merges.select(F.col("obsolete").alias("end_dedupe_key"), "survivor")
-        got = P.looked_up(rels, facts, "end_dedupe_key", hubs.withColumnRenamed("k", "end_dedupe_key")).withColumn("task", F.spark_partition_id()).collect()
+        got = P.looked_up(rels, facts, "end_dedupe_key", hubs.withColumnRenamed("k", "end_dedupe_key"), ["start_dedupe_key", "end_dedupe_key"]).withColumn("task", F.spark_partition_id()).collect()
         assert len(got) == len(rows) and {r.dedupe_key: r.survivor for r in got if r.survivor} == {"e500": "hub", "e501": "hub", "e503": "hub"}
         tasks = [r.task for r in got if r.end_dedupe_key == "hub"]
         assert len(set(tasks)) == 4 and max(map(tasks.count, range(4))) < 150
